@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pelagia.llm.chat import OP9_SQL, op9_chat_formatting
+from pelagia.llm.mixing import op2_mixing
 from pelagia.llm.sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
