@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Java's regular expression for a word: what lies between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: With this setting Spark removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: this cuts the lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: this cuts the lineage and survives lost executors.
+
+    Nothing reads the query's shuffle files after that, so they need not stay until the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,9 +10,11 @@ from pelagia.llm.chat import OP9_SQL, op9_chat_formatting
 from pelagia.llm.decontamination import op4_decontamination
 from pelagia.llm.html import op3_html_extraction
 from pelagia.llm.mixing import op2_mixing
+from pelagia.llm.neighbours import op8_nearest_neighbours
 from pelagia.llm.secrets import op1_secret_scans
 from pelagia.llm.sharding import op10_sharding
 from pelagia.llm.simhash import op6_simhash
+from pelagia.llm.substrings import op5_repeated_substrings
 from pelagia.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,8 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
+    "op5_repeated_substrings": op5_repeated_substrings,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
 }
