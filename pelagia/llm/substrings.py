@@ -59,17 +59,17 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def bucketed(docs: DataFrame, length: int, q: int, rounds: int, round_: int, whole: bool) -> DataFrame:
-    """bucket and doc, and if `whole` also deep, start and n, of the stretches in this round's share of the buckets."""
+    """bucket and doc, and if `whole` also copy, deep, start and n, of the stretches in this round's share of the buckets."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             held, size = [], 0
-            for doc, text in zip(b["doc"], b["text"], strict=True):
+            for doc, copy, text in zip(b["doc"], b["copy"], b["text"], strict=True):
                 start, n, bucket, deep = stretches(_bytes(text), length, q)
                 take = bucket % np.uint64(rounds) == round_
                 got = {"bucket": bucket[take].view(np.int64), "doc": np.full(int(take.sum()), doc)}
                 if whole:
-                    got |= {"deep": deep[take].view(np.int64), "start": start[take], "n": n[take].astype(np.int32)}
+                    got |= {"copy": np.full(int(take.sum()), copy, dtype=np.int32), "deep": deep[take].view(np.int64), "start": start[take], "n": n[take].astype(np.int32)}
                 held.append(got)
                 size += int(take.sum())
                 if size > 200_000:
@@ -78,7 +78,7 @@ def bucketed(docs: DataFrame, length: int, q: int, rounds: int, round_: int, who
             if held:
                 yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
-    return docs.mapInPandas(made, "bucket long, doc long" + ", deep long, start long, n int" * whole)
+    return docs.mapInPandas(made, "bucket long, doc long" + ", copy int, deep long, start long, n int" * whole)
 
 
 def shared_stretches(docs: DataFrame, length: int, q: int, rounds: int) -> DataFrame:
@@ -102,32 +102,32 @@ def window_ids(data: np.ndarray, length: int, q: int) -> np.ndarray:
 
 
 def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 20, rounds: int = 2) -> DataFrame:
-    """doc and ranges (start, end in bytes; they may overlap) that cover what a smaller document holds as well.
+    """doc, copy and ranges (start, end in bytes; they may overlap) that cover what a smaller document holds as well.
 
-    docs: doc (long, not null) and text."""
+    docs: doc (long, not null), copy (which tells rows of one doc with different texts apart) and text."""
     found = shared_stretches(docs, length, q, rounds)
     classes = save(found.groupBy("bucket", "deep").agg(F.min("doc").alias("first")), "classes")
     apart = classes.groupBy("bucket").agg(F.count("*").alias("n_classes")).where("n_classes > 1").select("bucket")
     placed = save(found.join(classes, ["bucket", "deep"]), "placed")
-    whole = placed.where("doc > first").select("doc", F.col("start"), (F.col("start") + F.col("n") + (length - 1)).alias("end"))
+    whole = placed.where("doc > first").select("doc", "copy", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
     firsts = placed.where("doc = first").join(apart, "bucket", "left_semi")
-    asked = firsts.groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("asked"))
+    asked = firsts.groupBy("doc", "copy").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("asked"))
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, text, asked_ in zip(b["doc"], b["text"], b["asked"], strict=True):
+            for doc, copy, text, asked_ in zip(b["doc"], b["copy"], b["text"], b["asked"], strict=True):
                 ids = window_ids(_bytes(text), length, q)
                 n = np.array([r["n"] for r in asked_])
                 at = np.repeat(np.array([r["start"] for r in asked_]) - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 bucket = np.repeat(np.array([r["bucket"] for r in asked_]), n)
                 for i in range(0, len(at), 200_000):
                     part = slice(i, i + 200_000)
-                    yield pd.DataFrame({"bucket": bucket[part], "string": ids[at[part]].view(np.int64), "doc": doc, "start": at[part]})
+                    yield pd.DataFrame({"bucket": bucket[part], "string": ids[at[part]].view(np.int64), "doc": doc, "copy": copy, "start": at[part]})
 
-    single = save(docs.join(asked, "doc").select("doc", "text", "asked").mapInPandas(strings, "bucket long, string long, doc long, start long"), "strings")
+    single = save(docs.join(asked, ["doc", "copy"]).select("doc", "copy", "text", "asked").mapInPandas(strings, "bucket long, string long, doc long, copy int, start long"), "strings")
     pointers = single.groupBy("bucket", "string").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("bucket", "string", "first")
-    parts = single.join(pointers, ["bucket", "string"]).where("doc > first").select("doc", "start", (F.col("start") + length).alias("end"))
-    return whole.union(parts).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    parts = single.join(pointers, ["bucket", "string"]).where("doc > first").select("doc", "copy", "start", (F.col("start") + length).alias("end"))
+    return whole.union(parts).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -144,7 +144,8 @@ def remove_repeats(df: DataFrame, length: int = 50, q: int = 20, rounds: int = 2
     A byte goes if a string of `length` bytes that covers it also starts in a row with a smaller id. Null texts are
     empty; rows of one id don't remove from each other; rows without an id keep all and remove nothing; other columns
     are not read; an empty table gives an empty result. length must be at least q and less than q + 128."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.hash(text).alias("copy"), text.alias("text"))
     ranges = save(repeated_ranges(docs.where("doc is not null"), length, q, rounds), "ranges")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +163,7 @@ def remove_repeats(df: DataFrame, length: int = 50, q: int = 20, rounds: int = 2
             out_ = pd.DataFrame(rows, columns=[id_col, "kept", "n_bytes", "n_removed", "spans"])
             yield out_.astype({id_col: "Int64"})
 
-    joined = docs.join(ranges, "doc", "left").select("doc", "text", "ranges")
+    joined = docs.join(ranges, ["doc", "copy"], "left").select("doc", "text", "ranges")
     return joined.mapInPandas(cut, f"`{id_col}` long, kept binary, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>")
 
 
