@@ -185,10 +185,11 @@ def mix(
     return out.withColumn("_shards", F.concat("_whole", last)).select(*df.columns, "_size", "_source_size", "_target", "_shards", "_order")
 
 
-def drawn_rows(mixed: DataFrame, columns: list[str], n_shards: int = 8) -> DataFrame:
-    """The mix itself: a row for each time one is taken, each output shard in a hashed local order."""
-    rows = mixed.select(*columns, "_order", F.posexplode("_shards").alias("_pass", "_shard"))
-    return rows.repartition(n_shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_order", "_pass"))
+def drawn_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The mix itself: a row for each time one is taken, shard after shard, each in a hashed local order."""
+    rows = mixed.select(*columns, F.xxhash64("_order").alias("_mixed"), F.posexplode("_shards").alias("_pass", "_shard"))
+    local = F.xxhash64("_mixed", "_pass").alias("_local")
+    return rows.select(*columns, "_shard", local).repartitionByRange("_shard", "_local").sortWithinPartitions("_shard", "_local").select(*columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

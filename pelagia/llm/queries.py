@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pelagia.llm.chat import OP9_SQL, op9_chat_formatting
 from pelagia.llm.decontamination import op4_decontamination
 from pelagia.llm.html import op3_html_extraction
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL}

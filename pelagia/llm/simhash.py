@@ -15,6 +15,7 @@ import itertools
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -151,6 +152,65 @@ def near_duplicates(df: DataFrame, width: int = 5, radius: int = 4, id_col: str
     return marked.join(named, "fp").select(id_col, "fp", "component")
 
 
+def word_fingerprint(text: str | None, seed: int) -> int:
+    """The fingerprint of a text's distinct words: what few edits change least."""
+    words = set(SPACE.split((text or "").encode("utf-8").translate(LOWER))) - {b""}
+    got = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+    ones = np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(ones * 2 > len(got)).tolist()))
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles of `width` words, in order; a shorter text is one shingle."""
+    words = [w for w in SPACE.split((text or "").encode("utf-8").translate(LOWER)) if w]
+    lines = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), dtype=np.uint64, count=len(lines)))
+
+
+def groups(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, seeds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, text_key (MD5 of the text) and group (the smallest id that it is linked with) of each row of df.
+
+    Links join texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`. Candidates
+    are texts of which one of `seeds` fingerprints of the distinct words lies within `radius` bits; every link is
+    verified on the shingles. Equal texts are one node. Null and empty texts are equal to each other; a null id counts
+    as larger than any other, and a text that only such rows have is in no group. Other columns are not read."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [np.array([word_fingerprint(t, 42 + s) for s in range(seeds)], dtype=np.uint64).view(np.int64) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "key": b["key"], "fps": made})
+
+    marked = save(rows.withColumn("key", F.md5("text")).mapInPandas(hashed, "id long, key string, fps array<long>"), "marked")
+    least = save(marked.groupBy("key").agg(F.min("id").alias("node"), F.first("fps").alias("fps")).where("node is not null"), "texts")
+    found = []
+    for s in range(seeds):
+        owner = save(least.select(F.col("fps")[s].alias("fp"), "node").groupBy("fp").agg(F.min("node").alias("owner")), "owners")
+        same = least.select(F.col("fps")[s].alias("fp"), "node").join(owner, "fp").where("node <> owner").select(F.col("node").alias("a"), F.col("owner").alias("b"))
+        near = links(owner.select("fp"), radius)
+        near = near.join(owner.toDF("a", "na"), "a").join(owner.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        found.append(save(same.union(near), "candidates"))
+    pairs = save(reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "shingles": [shingle_hashes(t, width).view(np.int64) for t in b["text"]]})
+
+    sets = save(rows.join(ends, "id").groupBy("id").agg(F.min("text").alias("text")).mapInPandas(shingled, "id long, shingles array<long>"), "shingles")
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(b["x"], b["y"], strict=True)]
+            share = np.array([n / (len(x) + len(y) - n) for n, x, y in zip(both, b["x"], b["y"], strict=True)])
+            yield b[["a", "b"]][share >= similarity]
+
+    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    roots = components(joined.select("a", "b", "x", "y").mapInPandas(alike, "a long, b long"))
+    named = save(least.join(roots, least["node"] == roots["node"], "left").select("key", F.coalesce("root", least["node"]).alias("group")), "groups")
+    return marked.join(named, "key", "left").select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "group")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint and component of every document, with 4-word shingles as its contract says."""
     made = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
