@@ -213,7 +213,8 @@ def _completed(blocks: DataFrame, candidates: DataFrame, d: int, k: int, shards:
                 apart = np.arccos(np.clip(x @ c.T, -1, 1)) - np.array([r["radius"] for r in balls])[None, :]
                 reach = np.cos(np.clip(apart, 0, np.pi)) + 1e-7
                 needed = (reach >= np.array([r["floor"] for r in q])[:, None]).any(axis=0)
-                yield pd.DataFrame({"team": team, "number": [r["number"] for r, y in zip(balls, needed, strict=True) if y]})
+                if needed.any():
+                    yield pd.DataFrame({"team": team, "number": [r["number"] for r, y in zip(balls, needed, strict=True) if y]})
 
     spread = teams.select("team", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     pairs = save(spread.join(centres, "shard").select("team", "q", "balls").mapInPandas(open_, "team long, number long"), "open")

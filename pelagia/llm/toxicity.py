@@ -116,7 +116,8 @@ def learn_lexicon(sample: DataFrame, least: float = 12.0, most: int = 20_000) ->
         for b in batches:
             for text, label in zip(b["text"], b["label"], strict=True):
                 (toxic if label else clean).update(document_pieces(text))
-        yield pd.DataFrame({"piece": list(toxic), "t": list(toxic.values()), "c": [clean[p] for p in toxic]})
+        if toxic:
+            yield pd.DataFrame({"piece": list(toxic), "t": list(toxic.values()), "c": [clean[p] for p in toxic]})
         rest = [p for p in clean if p not in toxic]
         for i in range(0, len(rest), 100_000):
             part = rest[i : i + 100_000]
