@@ -106,7 +106,12 @@ def smooth_axis(df: DataFrame, name: str, axis: str, n: int, weights: list[float
     reach = len(weights) - 1
     # cell `at` reaches output o when the mirrored index of o + k is `at`; sources are unfolded over the mirror images
     images = [F.col(axis), -F.col(axis) - 1, 2 * n - 1 - F.col(axis)]
-    sent = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k, c=c, m=m: F.struct((c - k).cast("int").alias("to"), F.abs(k).cast("int").alias("far"), F.lit(m).alias("image"))) for m, c in enumerate(images)))))
+    offsets = F.sequence(F.lit(-reach), F.lit(reach))
+
+    def reached(image: int, c: Column) -> Column:
+        return F.transform(offsets, lambda k: F.struct((c - k).cast("int").alias("to"), F.abs(k).cast("int").alias("far"), F.lit(image).alias("image")))
+
+    sent = F.flatten(F.array(*(reached(m, c) for m, c in enumerate(images))))
     sent = F.filter(sent, lambda s: s["to"].between(0, n - 1))
     w = F.array(*map(F.lit, weights))
     rows = df.select(*others, F.col(name).alias("_v"), F.explode(sent).alias("_s"))
