@@ -120,7 +120,7 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     """Great-circle distance in the unit of the radius."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     a = _sq(F.sin((p2 - p1) / 2)) + F.cos(p1) * F.cos(p2) * _sq(F.sin(F.radians(lon2 - lon1) / 2))
-    a = F.least(F.lit(1.0), a)
+    a = F.when(a > 1, 1.0).otherwise(a)
     return 2 * radius * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 

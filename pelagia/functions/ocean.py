@@ -82,7 +82,7 @@ def physically_valid(t: Column, s: Column, ice: Column, thickness: Column, speed
 
 def clamp(x: Column, lo: float | Column, hi: float | Column) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    return F.greatest(as_col(lo), F.least(as_col(hi), x))
+    return F.when(x.isNotNull(), F.greatest(as_col(lo), F.least(as_col(hi), x)))
 
 
 def constrained(name: str, x: Column) -> Column:
