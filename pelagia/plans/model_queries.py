@@ -351,12 +351,12 @@ def ensemble_spread(spark, sf_dir):
 
 
 @query(
-    f"d AS (SELECT block, member, cell, x - avg(x) OVER (PARTITION BY block, cell) AS d FROM v_ensemble), n AS (SELECT count(DISTINCT member) AS n FROM v_ensemble), s AS (SELECT a.block, a.cell AS r, b.cell AS c, sum(a.d*b.d) AS s, (b.cell - a.cell)/4e0 AS q FROM d a JOIN d b ON a.block = b.block AND a.member = b.member AND b.cell - a.cell BETWEEN 0 AND 8 GROUP BY 1, 2, 3) "
-    f"SELECT block, r, c, {r('s/(n - 1)*CASE WHEN q <= 1 THEN (((-0.25e0*q + 0.5e0)*q + 0.625e0)*q - 5e0/3)*q*q + 1 WHEN q <= 2 THEN ((((q/12 - 0.5e0)*q + 0.625e0)*q + 5e0/3)*q - 5)*q + 4 - 2/(3*q) ELSE 0e0 END', 8)} AS covariance FROM s, n",
+    f"d AS (SELECT block, member, cell, x - avg(x) OVER (PARTITION BY block, cell) AS d FROM v_ensemble), n AS (SELECT count(DISTINCT member) AS n FROM v_ensemble), s AS (SELECT a.block, a.cell AS r, b.cell AS c, sum(a.d*b.d) AS s, (b.cell - a.cell)/3e0 AS q FROM d a JOIN d b ON a.block = b.block AND a.member = b.member AND b.cell - a.cell BETWEEN 0 AND 6 GROUP BY 1, 2, 3) "
+    f"SELECT block, r, c, {r('s/(n - 1)*CASE WHEN q <= 1 THEN (((-0.25e0*q + 0.5e0)*q + 0.625e0)*q - 5e0/3)*q*q + 1 WHEN q <= 2 THEN ((((q/12 - 0.5e0)*q + 0.625e0)*q + 5e0/3)*q - 5)*q + 4 - 2/(3*q) ELSE 0e0 END')} AS covariance FROM s, n",
     "v_ensemble",
 )
 def localized_covariance(spark, sf_dir):
-    return ensemble.covariance(views.ensemble(spark, sf_dir), 4.0).withColumn("covariance", rounded(F.col("covariance"), 8))
+    return ensemble.covariance(views.ensemble(spark, sf_dir), 3.0).withColumn("covariance", rounded(F.col("covariance")))
 
 
 @query(f"d AS (SELECT *, avg(x) OVER (PARTITION BY block, cell) AS m FROM v_ensemble) SELECT member, block, cell, {r('m + 1.05e0*(x - m)', 10)} AS x FROM d", "v_ensemble")
