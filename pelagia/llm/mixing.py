@@ -21,6 +21,8 @@ from pelagia.llm.common import WORD, save, table, text_or_empty
 MOST = 3
 #: Hash bits that order the documents of a block.
 ORDER_BITS = 40
+#: Columns of a mix's result besides those of its input; input columns of these names are replaced.
+MADE = ("_size", "_source_size", "_target", "_shards", "_order")
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: int = MOST) -> list[float]:
@@ -64,7 +66,9 @@ def splitting_tree(quotas: Sequence[int], n_shards: int, seed: int) -> np.ndarra
 
 def _measured(df: DataFrame, source_col: str, id_col: str, size: F.Column, seed: int) -> DataFrame:
     mixed = F.xxhash64(F.col(id_col), F.lit(seed))
-    return df.withColumns({"_source": F.col(source_col), "_size": size, "_block_hash": F.pmod(mixed, F.lit(1 << 20)), "_order": F.pmod(F.shiftright(mixed, 20), F.lit(1 << ORDER_BITS))})
+    order = F.pmod(F.shiftright(mixed, 20), F.lit(1 << ORDER_BITS))
+    names = [c for c in df.columns if c not in MADE]
+    return df.select(F.struct(*names).alias("_row"), F.col(source_col).alias("_source"), size.alias("_size"), F.pmod(mixed, F.lit(1 << 20)).alias("_block_hash"), order.alias("_order"))
 
 
 def plan(sized: DataFrame, n_shards: int, seed: int, weights: Sequence[float] | None, block_words: int, max_blocks: int) -> tuple[list[tuple], list[tuple]]:
@@ -182,14 +186,14 @@ def mix(
     on = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))
     out = blocked(measured, sources_frame(spark, sources)).join(F.broadcast(drawn), on)
     last = F.when(F.col("_last").isNotNull() & (F.col("_order") <= F.col("_cut")), F.array("_last")).otherwise(F.array().cast("array<int>"))
-    return out.withColumn("_shards", F.concat("_whole", last)).select(*df.columns, "_size", "_source_size", "_target", "_shards", "_order")
+    return out.withColumn("_shards", F.concat("_whole", last)).select("_row.*", *MADE)
 
 
 def drawn_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: a row for each time one is taken, shard after shard, each in a hashed local order."""
-    rows = mixed.select(*columns, F.xxhash64("_order").alias("_mixed"), F.posexplode("_shards").alias("_pass", "_shard"))
-    local = F.xxhash64("_mixed", "_pass").alias("_local")
-    return rows.select(*columns, "_shard", local).repartitionByRange("_shard", "_local").sortWithinPartitions("_shard", "_local").select(*columns)
+    rows = mixed.select(F.struct(*columns).alias("_row"), F.xxhash64("_order").alias("_mixed"), F.posexplode("_shards").alias("_pass", "_shard"))
+    placed = rows.select("_row", "_shard", F.xxhash64("_mixed", "_pass").alias("_local")).repartitionByRange("_shard", "_local")
+    return placed.sortWithinPartitions("_shard", "_local").select("_row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

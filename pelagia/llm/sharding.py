@@ -101,7 +101,7 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     names = [c for c in df.columns if c not in ("size", "shard", "slot")]
     text = text_or_empty(text_col)
     keys = df.select(
-        *names,
+        F.struct(*names).alias("_row"),
         (F.octet_length(text).cast("long") + 1).alias("_size"),
         text_key(text).alias("_k"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("_d"),
@@ -115,7 +115,7 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
         before[to] += x.rows
     placed = _located(keys, _intervals_frame(df.sparkSession, found, places))
     order = Window.partitionBy("_bin", "_k0", "_d0").orderBy("_k", "_d")
-    return placed.select(*names, F.col("_size").alias("size"), F.col("_a").cast("int").alias("shard"), (F.col("_b") + F.row_number().over(order) - 1).alias("slot"))
+    return placed.select("_row.*", F.col("_size").alias("size"), F.col("_a").cast("int").alias("shard"), (F.col("_b") + F.row_number().over(order) - 1).alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

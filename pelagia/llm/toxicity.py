@@ -32,6 +32,8 @@ SEPARATED = re.compile(r"(?<!\w)[^\W\d_](?:[.\-*_][^\W\d_]){2,}(?!\w)")
 LETTERS = re.compile(r"[^\W\d_]+")
 FEATURES = ("insults", "learned", "weight", "best", "hits", "per_second_person", "capitals", "shouted", "exclamations", "questions", "obfuscated", "obfuscated_hits", "length")
 NEAR = 5
+#: Columns that scoring makes.
+OWN = ("features", "score", "_vector", "_raw", "_probability", "_prediction")
 LONGEST_PREFIX = 8
 
 
@@ -138,8 +140,8 @@ def learn_lexicon(sample: DataFrame, least: float = 12.0, most: int = 20_000) ->
 
 
 def with_features(df: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
-    """df without text_col, with `features` as an array in the order of FEATURES."""
-    names = [c for c in df.columns if c != text_col]
+    """df without text_col, with `features` as an array in the order of FEATURES; columns of the names in OWN are replaced."""
+    names = [c for c in df.columns if c != text_col and c not in OWN]
     kinds = dict(df.dtypes)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

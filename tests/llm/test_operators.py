@@ -1,0 +1,350 @@
+"""Each operator on awkward inputs, against plain versions where SQL has none."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import hashlib
+import urllib.parse
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brute import repeats
+from pelagia.llm import chat, components, decontamination, html, mixing, neighbours, secrets, sharding, simhash, substrings, toxicity
+from pelagia.llm.queries import ORACLES, QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"word{i % 977} other{i % 31}" for i in range(6000))
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, and columns whose names operators use."""
+    rows = [
+        (1, "the quick brown fox jumps over the lazy dog and runs far away from here today", "en", "a", 1),
+        (2, "the quick brown fox jumps over the lazy dog and runs far away from here today", "en", "a", 1),
+        (2, "the quick brown fox jumps over the lazy dog and runs far away from here today", "en", "a", 1),
+        (3, None, None, None, None),
+        (4, "", "en", "b", 0),
+        (5, LONG, "en", "b", 5),
+        (6, LONG + " tail", "en", None, 5),
+        (None, "no id at all", "en", "a", 3),
+        (7, "ÀÉ ünïcode \U0001f600 text with several words in a line of its own", "fr", "c", 4),
+    ]
+    return spark.createDataFrame(rows, DOCS).select("*", *(F.lit("x").alias(c) for c in ("_size", "shard", "slot", "_k", "features", "score", "spans", "group", "fp", "_row", "key")))
+
+
+def test_secrets_unwrap_layers_and_map_spans():
+    inner = "password=hunter22 ok"
+    packed = base64.b64encode(gzip.compress(inner.encode())).decode()
+    twice = base64.b64encode(f"data {packed}".encode()).decode()
+    for text, kind, start, end in (
+        (f"zz {twice} yy", "assign", None, None),
+        ("a " + urllib.parse.quote("token: abcdef123", "") + " b", "assign", 2, 22),
+        ("a \\u0074oken=abcdefgh b", "assign", 2, 21),
+        ("q " + base64.b64encode(b"secret=abcdefgh").decode() + " r", "assign", 2, 22),
+        ("AKIA" + "Q" * 16, "access", 0, 20),
+        ("x " + "0f" * 12 + " y", "hex", 2, 26),
+    ):
+        base, spans, _ = secrets.scan(text)
+        found = [s for s in spans if s[0] == kind]
+        assert found, text
+        assert set(base) <= set(spans)
+        if start is not None:
+            assert found[0][1:] == (start, end)
+    assert secrets.scan(None)[:2] == ([], []) and secrets.scan("secret=abc")[0] == []
+    assert secrets.scan("Token = 'abcdef'")[0] == [("assign", 0, 15)]
+
+
+def test_a_layer_that_decodes_to_itself_ends():
+    assert secrets.scan("%25" * 50 + "%41")[2] < 100
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_base_spans_equal_the_contract(seed):
+    import re
+
+    rng = np.random.default_rng(seed)
+    words = ["token", "=", ":", " ", "api_key", "passwd", '"', "abc", "ABCDEF", "AKIA", "Z9" * 9, "0a" * 7, "/", "secret", "é", "\n"]
+    text = "".join(rng.choice(words, 400))
+    want = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    want += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    want += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    assert sorted(secrets.base_spans(text)) == sorted(want)
+
+
+def test_pages_keep_the_article_only():
+    page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>
+    <div class="cookie-notice">We use cookies</div><div id="content"><h2>Head &amp; more</h2><p>First  para <b>bo</b>ld.<p>Second<br>line with text enough to be the article.</p>
+    <form><input value=q>Search</form><script>var a="<p>no</p>"</script></div><aside>Related</aside><div class="comments"><p>Nice!</p></div><footer>&copy; me</footer></body></html>"""
+    assert html.extract(page) == "Head & more First para bold. Second line with text enough to be the article."
+    assert html.extract(None) == "" and html.extract("") == "" and html.extract("<nav>a</nav>") == ""
+    assert html.extract("just text &lt;here") == "just text <here"
+    assert html.extract("<p>" * 3000 + "deep") == "deep"
+
+
+def test_pages_of_the_table(spark, sf):
+    rows = QUERIES["op3_html_extraction"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
+
+
+def test_mix_meets_its_targets(spark, sf):
+    rows = QUERIES["op2_mixing"](spark, sf).collect()
+    by = {}
+    for r in rows:
+        assert r["taken"] <= 3 * r["size"] and r["taken"] == r["size"] * len(r["shards"])
+        t = by.setdefault(r["target"], [0, 0])
+        t[0] += r["taken"]
+        t[1] = max(t[1], r["size"])
+    assert all(abs(taken - target) <= largest for target, (taken, largest) in by.items())
+    assert sum(by) == pytest.approx(sum(r["size"] for r in rows))
+    assert {(r["doc_id"], tuple(r["shards"])) for r in QUERIES["op2_mixing"](spark, sf).collect()} == {(r["doc_id"], tuple(r["shards"])) for r in rows}
+
+
+def test_water_filling_caps_and_reshares():
+    assert mixing.water_fill([10, 1000], [3, 1], 1010) == [30.0, 980.0]
+    assert mixing.water_fill([10, 10], [1, 2], 20) == pytest.approx([20 / 3, 40 / 3])
+
+
+def test_splitting_tree_keeps_quotas():
+    t = mixing.splitting_tree([7, 0, 20], 4, 3)
+    assert t.sum(axis=1).tolist() == [7, 0, 20] and max(t.sum(axis=0)) - min(t.sum(axis=0)) <= 1
+
+
+def test_mix_of_awkward_rows(spark, awkward):
+    made = mixing.mix(awkward)
+    assert made.count() == awkward.count()
+    assert set(awkward.columns) <= set(made.columns)
+    assert mixing.drawn_rows(made, ["doc_id", "text"]).columns == ["doc_id", "text"]
+    assert mixing.mix(awkward.where("false")).count() == 0
+
+
+def test_benchmark_copies_are_found_and_clean_ones_left(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    words = item.split()
+    edited = " ".join(w if i % 7 else "changed" for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, f"x {edited.upper()} y"), (3, "alpha beta gamma delta only"), (4, None), (5, ""), (6, LONG), (6, LONG), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, None), (12, "too short"), (13, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 10), (1, 13), (2, 10), (2, 13)}
+    assert got[1, 10]["score"] == 1 and (got[1, 10]["start"], got[1, 10]["end"]) == (1, 21)
+    assert decontamination.contaminated(docs.where("false"), bench).count() == 0
+    assert decontamination.contaminated(docs, bench.where("false")).count() == 0
+
+
+def test_alignment_equals_the_plain_recurrence():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        a, b = rng.integers(0, 5, 12), rng.integers(0, 5, 30)
+        h = np.zeros((13, 31), dtype=int)
+        for i in range(1, 13):
+            for j in range(1, 31):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        assert decontamination.align(a, b)[0] == h.max()
+
+
+def test_repeats_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = repeats([tuple(r) for r in docs.collect()])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op5_repeated_substrings"](spark, sf).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeats_of_low_entropy_texts(spark, seed):
+    rng = np.random.default_rng(seed)
+    parts = ["".join(rng.choice(list("ab"), n)) for n in (60, 45, 130, 52)] + ["a" * 200, "é" * 40]
+    rows = [(i, "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 5)))) for i in range(25)]
+    made = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in made.collect()}
+    assert got == repeats(rows)
+
+
+def test_repeats_of_awkward_rows(spark, awkward):
+    rows = substrings.remove_repeats(awkward).collect()
+    assert len(rows) == awkward.count()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r["n_removed"])
+    assert by[1] == [0] and by[2] == [77, 77] and by[None] == [0] and by[3] == [0]
+    assert by[6] == [len(LONG)]
+    assert substrings.remove_repeats(awkward.where("false")).count() == 0
+
+
+def _linked(fps: dict[int, int], radius: int) -> dict[int, int]:
+    parent = {i: i for i in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(fps)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_simhash_components_equal_brute_force(spark, sf):
+    rows = QUERIES["op6_simhash"](spark, sf).collect()
+    fps = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
+    assert {r["doc_id"]: r["component_id"] for r in rows} == _linked(fps, 4)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    from xxhash import xxh64_intdigest
+
+    for i in list(texts)[:40]:
+        words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[i] or "").translate({k: " " for k in range(9, 14)}).split(" ") if w]
+        h = [xxh64_intdigest(" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))] if words else []
+        assert fps[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_links_at_the_radius(spark):
+    rng = np.random.default_rng(2)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    fps = set(base)
+    for x in base[:20]:
+        for _ in range(4):
+            y = x
+            for b in rng.choice(63, rng.integers(1, 7), replace=False):
+                y ^= 1 << int(b)
+            fps.add(y)
+    ids = dict(enumerate(sorted(fps)))
+    edges = simhash.links(spark.createDataFrame([(v,) for v in ids.values()], "fp long"), 4)
+    got = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    want = _linked(ids, 4)
+    assert all(got.get(ids[i], ids[i]) == ids[r] for i, r in want.items())
+
+
+def test_groups_verify_their_links(spark, awkward):
+    base = [f"w{i}" for i in range(400)]
+    near = base[:200] + ["edited"] + base[201:]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(f"z{i}" for i in range(400))), (5, " ".join(base[:150]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["group"] for r in simhash.groups(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    got = simhash.groups(awkward).collect()
+    assert len(got) == awkward.count()
+    assert {r["group"] for r in got if r["doc_id"] in (1, 2)} == {1} and {r["group"] for r in got if r["doc_id"] in (3, 4)} == {3}
+    assert simhash.near_duplicates(awkward).count() == awkward.count() and simhash.groups(awkward.where("false")).count() == 0
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(160, 101), (7, 7), (None, 3), (5, 4)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 161)}
+
+
+def test_toxicity_scores(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    rows = QUERIES["op7_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    right = np.mean([r["predicted"] == r["toxic"] for r in held])
+    assert right > 0.93 and all(0 <= r["score"] <= 1 for r in rows)
+    assert np.mean([r["predicted"] for r in held if r["toxic"] == 1]) > 0.6
+    assert np.mean([r["predicted"] for r in held if r["toxic"] == 0]) < 0.02
+
+
+def test_toxicity_of_awkward_rows(spark, awkward):
+    none = toxicity.fit(awkward.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
+    rows = toxicity.score_toxicity(awkward.select("doc_id", "text", "score"), none).collect()
+    assert len(rows) == awkward.count() and all(r["score"] == 0 for r in rows)
+    assert toxicity.features("you 1d10t, YOU idiot!", {})[0] > 0 and toxicity.features(None, {}) == [0.0] * len(toxicity.FEATURES)
+
+
+def test_isotonic_values_rise():
+    raw = np.array([0.1, 0.2, 0.3, 0.4, 0.8, 0.9])
+    places, values = toxicity.pool_adjacent(raw, np.array([0, 1, 0, 0, 1, 1]))
+    assert places == sorted(places) and values == sorted(values) and values[0] < 0.5 < values[-1]
+
+
+def test_neighbours_equal_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding IS NOT NULL").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    norm = np.sqrt((x * x).sum(axis=1))
+    got = {}
+    for r in QUERIES["op8_nearest_neighbours"](spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = (x * x[q]).sum(axis=1) / (norm * norm[q])
+        s[q] = -9
+        assert got[ids[q]] == ids[np.lexsort((ids, -s))[:5]].tolist()
+
+
+def test_neighbours_of_awkward_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [[1.0, 0.0], [1.0, 0.0], [2.0, 0.0], [0.0, 1.0], None, [0.0, 0.0], [nan, 1.0], [inf, 1.0], [1.0, None], [1.0], [1.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    rows = neighbours.search(df, F.col("id") % 10 == 0, k=5, size=2, per_range=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in rows] == [(0, 1), (0, 2), (0, 10), (0, 3), (10, 0), (10, 1), (10, 2), (10, 3)]
+    assert neighbours.search(df.where("false"), F.col("id") % 10 == 0).count() == 0
+
+
+def test_hilbert_keys_visit_every_cell_by_single_steps():
+    cells = np.array([(a, b, c) for a in range(4) for b in range(4) for c in range(4)])
+    keys = neighbours.hilbert_keys(cells, 2)
+    assert sorted(keys.tolist()) == list(range(64))
+    path = cells[np.argsort(keys)]
+    assert np.abs(np.diff(path, axis=0)).sum(axis=1).max() == 1
+
+
+def test_chat_round_trip_with_parts(spark):
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    tricky = "a\\<|b <\\| <|im_end|>\n\\\\ 中"
+    rows = [
+        (1, 0, "us%er\n", [("text", tricky, None, None, None, None, None), ("image", None, "i.png", 56, 29, None, None), ("audio", None, "s.wav", None, None, 1.5, None)]),
+        (1, 1, "assistant", [("text", "ok", None, None, None, None, None), ("document", None, "d.pdf", None, None, None, 2)]),
+        (2, 0, None, None),
+        (None, 0, "assistant", [("text", None, None, None, None, None, None)]),
+    ]
+    made = chat.format_chat(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>"))
+    got = {r["conv"]: r for r in made.withColumn("turns", chat.parse_chat(F.col("formatted"))).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("us%er\n", tricky + "<|image|><|audio|>"), ("assistant", "ok<|document|>")]
+    assert [(a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [("i.png", 4), ("s.wav", 38), ("d.pdf", 2048)] and got[1]["expanded_tokens"] == 2090
+    assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("", "")] and len(got) == 3
+    assert chat.format_chat(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{part}>")).count() == 0
+
+
+def test_chat_equals_its_oracle(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = con.sql(ORACLES["op9_chat_formatting"])
+    got = QUERIES["op9_chat_formatting"](spark, sf).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_shards_are_even_and_gapless(spark, sf):
+    rows = QUERIES["op10_sharding"](spark, sf).collect()
+    total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    for k in range(8):
+        mine = [r for r in rows if r["shard"] == k]
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
+        assert abs(sum(r["size"] for r in mine) - total / 8) <= max(largest, 0.06 * total / 8)
+
+
+def test_shards_of_awkward_and_hot_rows(spark, awkward):
+    made = sharding.shard(awkward, 4)
+    assert made.count() == awkward.count() and made.columns == [*[c for c in awkward.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot"]
+    hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    sizes = {r["shard"]: r["s"] for r in sharding.shard(hot).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+    assert sharding.shard(awkward.where("false")).count() == 0
+
+
+def test_pipeline_takes_its_decisions(spark, sf):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    near = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert near.columns == docs.columns and near.count() == near.select("text").distinct().count() < docs.count()
+    clean = corpus_pipeline.decontamination(spark, docs, sf)
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert not any(i in r["text"] for r in clean.collect() for i in items)
+    done = corpus_pipeline.run(spark, sf)
+    assert done.columns == [*docs.columns, "size", "shard", "slot"] and done.count() > 0
