@@ -93,14 +93,15 @@ def test_pages_of_the_table(spark, sf):
 
 def test_mix_meets_its_targets(spark, sf):
     rows = QUERIES["op2_mixing"](spark, sf).collect()
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     by = {}
     for r in rows:
         assert r["taken"] <= 3 * r["size"] and r["taken"] == r["size"] * len(r["shards"])
-        t = by.setdefault(r["target"], [0, 0])
+        t = by.setdefault(source[r["doc_id"]], [0, 0, r["target"]])
         t[0] += r["taken"]
         t[1] = max(t[1], r["size"])
-    assert all(abs(taken - target) <= largest for target, (taken, largest) in by.items())
-    assert sum(by) == pytest.approx(sum(r["size"] for r in rows))
+    assert all(abs(taken - target) <= largest for taken, largest, target in by.values())
+    assert sum(t[2] for t in by.values()) == pytest.approx(sum(r["size"] for r in rows))
     assert {(r["doc_id"], tuple(r["shards"])) for r in QUERIES["op2_mixing"](spark, sf).collect()} == {(r["doc_id"], tuple(r["shards"])) for r in rows}
 
 
