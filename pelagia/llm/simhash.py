@@ -72,16 +72,20 @@ def masks(radius: int) -> np.ndarray:
 
 
 def _may_link(distinct: DataFrame, radius: int, blocks: int = 8) -> DataFrame:
-    """The fingerprints that share all but `radius` of `blocks` equal blocks of bits with another one: a superset of those that link."""
+    """The fingerprints that share all but `radius` of `blocks` equal blocks of bits with another one: a superset of those that link.
+
+    Where just two share a choice of blocks their distance decides at once, so chance meetings open nothing."""
     size = 64 // blocks
     one = (1 << size) - 1
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     kept = [signed(sum(one << (size * i) for i in choice)) for choice in itertools.combinations(range(blocks), blocks - radius)]
     choices = F.array(*(F.struct(F.lit(i).alias("c"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(kept)))
-    keyed = distinct.select("fp", F.explode(choices).alias("x")).select("fp", F.xxhash64("x.c", F.col("fp").bitwiseAND(F.col("x.m"))).alias("key"))
+    spread = distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    keyed = spread.select("fp", F.explode(choices).alias("x")).select("fp", F.xxhash64("x.c", F.col("fp").bitwiseAND(F.col("x.m"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    few = shared.where("n = 2").select(F.explode(F.array("lo", "hi")).alias("fp"))
-    many = keyed.join(shared.where("n > 2").select("key"), "key", "left_semi").select("fp")
+    shared = save(shared, "simhash-shared")
+    few = shared.where((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius)).select(F.explode(F.array("lo", "hi")).alias("fp"))
+    many = keyed.join(shared.where("n > 2").select("key").hint("merge"), "key", "left_semi").select("fp")
     return few.union(many).distinct()
 
 
