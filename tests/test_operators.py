@@ -184,3 +184,23 @@ def test_empty_fields_do_not_fail(spark):
     assert stencil.with_velocity_gradients(d, 1.0, 1.0).count() == 0
     assert stencil.median_filter(d, "water_u", 25, 20).count() == 0
     assert registry.stats.field_statistics(d).first()["valid"] == 0
+
+
+def test_runge_kutta_methods_reach_their_order(spark):
+    from pelagia.operators import ode
+
+    y, f = np.array([[1.0, 2.0]]), lambda y, t: -y
+    for name, t in ode.METHODS.items():
+        errors = []
+        for n in (8, 16):
+            x = y
+            for k in range(n):
+                x = ode.batch_step(x, k / n, 1 / n, f, t)
+            errors.append(float(np.abs(x - y * math.exp(-1)).max()))
+        assert math.log2(errors[0] / errors[1]) > t.order - 0.4, name
+        assert sum(t.b) == pytest.approx(1) and (t.lower is None or sum(t.lower) == pytest.approx(1))
+    got, steps = ode.adaptive(y, 0.0, 1.0, f, 1e-10, 0.1)
+    assert np.allclose(got, y * math.exp(-1), atol=1e-8) and steps > 5
+    with pytest.raises(ValueError):
+        ode.explicit_step({}, F.lit(0.0), 0.1, lambda s, t: s, ode.GAUSS1)
+    assert ode.golden_section(lambda x: (x - 2) ** 2, 0, 5) == pytest.approx(2, abs=1e-6)
