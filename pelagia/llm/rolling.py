@@ -75,20 +75,27 @@ def ngram_hashes(words: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def window_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each n-byte string of a byte array; equal strings have equal hashes wherever they are."""
+    """The hash of each n-byte string of a byte array; equal strings have equal hashes wherever they are.
+
+    By doubling: hashes of 1, 2, 4, ... bytes are put together for the binary digits of n."""
     k = len(data) - n + 1
     if k <= 0:
         return np.zeros(0, dtype=np.uint64)
-    value = np.zeros(k, dtype=np.uint64)
-    wide, done, at = data.astype(np.uint64) + np.uint64(1), 0, 0
-    power, width = wide, 1
-    # by doubling: hashes of 1, 2, 4, ... bytes are put together for the binary digits of n
+    value, power, width, at = None, data.astype(np.uint64), 1, 0
+    power += np.uint64(1)
     while True:
+        factor = np.uint64(pow(BASE, width, 1 << 64))
         if n & width:
-            value = value * np.uint64(pow(BASE, width, 1 << 64)) + power[at : at + k]
+            value = power[at : at + k].copy() if value is None else value * factor
+            if at:
+                value += power[at : at + k]
             at += width
-            done += width
-        if done == n:
-            return mixed(value)
-        power = power[: len(power) - width] * np.uint64(pow(BASE, width, 1 << 64)) + power[width:]
-        width *= 2
+        if at == n:
+            break
+        wider = power[:-width] * factor
+        wider += power[width:]
+        power, width = wider, width * 2
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xC4CEB9FE1A85EC53)
+    value ^= value >> np.uint64(29)
+    return value

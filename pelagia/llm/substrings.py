@@ -3,7 +3,8 @@
 Strings of `length` bytes that start in several documents share their q-grams. Equal q-grams form a bucket, and the
 bucket's pointer is the smallest document in it. A bucket is refined by the bucket identifiers at later offsets: first
 by those of the whole stretch that one q-gram stands for, then, only where a bucket falls apart, string by string. The
-pointers that the first refinement found are reused: only a class's first document still needs the second one.
+pointers that the first refinement found are reused: only a class's first document still needs the second one, and only
+where its bucket is still shared with some bytes more on either side.
 
 One q-gram stands for all strings of which it is the smallest by hash (a minimizer), so each string is in exactly one
 bucket, equal strings are in equal buckets, and about one position in 16 enters the shuffle. Deeper refinement, to a full
@@ -12,8 +13,8 @@ suffix order, would not change the result: strings longer than `length` are cove
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,72 +24,147 @@ from pyspark.sql import functions as F
 from pelagia.llm.common import save, table
 from pelagia.llm.rolling import BASE, INVERSE, mixed, powers, window_hashes
 
-#: Positions for which one call looks for minimizers; their numbers take the low bits of a key.
-SLICE_BITS = 20
+#: Positions that are looked at together; their numbers take the low bits of a key.
+PLACE_BITS = 18
+#: A stretch packs its start, the minimizer's place in it and its number of strings into one long.
+PLACE, COUNT = 7, 7
 
 
-def stretches(data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of strings, bucket, class) of each stretch of strings with the same minimizer, in order.
+def slices(texts: Sequence[str | None], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, text's index, first byte in the text, end in these bytes) of runs of texts; long texts in overlapping parts."""
+    most = (1 << PLACE_BITS) - length
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        for at in range(0, max(0, len(raw) - length + 1), most):
+            part = raw[at : at + most + length - 1]
+            if held and size + len(part) > most:
+                yield _joined(held)
+                held, size = [], 0
+            held.append((i, at, part))
+            size += len(part)
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(h[2] for h in held), dtype=np.uint8)
+    return data, np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.cumsum([len(h[2]) for h in held])
+
+
+def stretches(texts: Sequence[str | None], length: int, q: int, deep: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(text's index, packed place, bucket, class) of each stretch of strings with the same minimizer.
 
     The class is a hash of the bucket identifiers of all q-grams in the stretch and of the minimizer's place in it."""
-    found = []
-    for at in range(0, max(0, len(data) - length + 1), 1 << SLICE_BITS):
-        ids = window_hashes(data[at : at + (1 << SLICE_BITS) + length - 1], q)
-        key = (ids & ~np.uint64((1 << (SLICE_BITS + 1)) - 1)) | np.arange(len(ids), dtype=np.uint64)
-        span, least, width = length - q + 1, key, 1
+    low = np.uint64((1 << (PLACE_BITS + 1)) - 1)
+    span = length - q + 1
+    for data, text, first, end in slices(texts, length):
+        ids = window_hashes(data, q)
+        least = ids & ~low
+        least |= np.arange(len(ids), dtype=np.uint64)
+        width = 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        place = (least & np.uint64((1 << (SLICE_BITS + 1)) - 1)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        n = np.diff(np.concatenate([start, [len(place)]]))
-        up, down = powers(BASE, len(ids)), powers(INVERSE, len(ids))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(ids * up, dtype=np.uint64)])
-        deep = (total[start + n - 1 + span] - total[start]) * down[start]
-        where = ((place[start] - start) * 128 + n).astype(np.uint64)
-        found.append((start + at, n, ids[place[start]], mixed(deep + where)))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+        place = (least & low).astype(np.int64)
+        valid = np.ones(len(place) + 1, dtype=bool)
+        for e in end.tolist():
+            valid[max(0, e - length + 1) : e] = False
+        valid[-1] = False
+        new = np.ones(len(place) + 1, dtype=bool)
+        new[1:-1] = place[1:] != place[:-1]
+        new[1:] |= valid[1:] != valid[:-1]
+        edge = np.flatnonzero(new)
+        n = np.diff(edge)
+        start = edge[:-1]
+        fine = valid[start]
+        start, n = start[fine], n[fine]
+        anchor = place[start]
+        part = np.searchsorted(end, start, side="right")
+        origin = np.concatenate([[0], end[:-1]])[part] - first[part]
+        packed = (((start - origin) << PLACE | anchor - start) << COUNT) | n
+        classes = None
+        if deep:
+            up, down = _powers(len(ids))
+            total = np.concatenate([[np.uint64(0)], np.cumsum(ids * up, dtype=np.uint64)])
+            body = (total[start + n - 1 + span] - total[start]) * down[start]
+            classes = mixed(body + ((anchor - start) * 128 + n).astype(np.uint64))
+        yield text[part], packed, ids[anchor], classes
+
+
+@lru_cache(maxsize=1)
+def _all_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(BASE, 1 << PLACE_BITS), powers(INVERSE, 1 << PLACE_BITS)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _all_powers()
+    return up[:n], down[:n]
+
+
+def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, minimizer's place from there, number of strings)."""
+    return packed >> (PLACE + COUNT), (packed >> COUNT) & ((1 << PLACE) - 1), packed & ((1 << COUNT) - 1)
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
-def bucketed(docs: DataFrame, length: int, q: int, rounds: int, round_: int, whole: bool) -> DataFrame:
-    """bucket and doc, and if `whole` also copy, deep, start and n, of the stretches in this round's share of the buckets."""
+def bucketed(docs: DataFrame, length: int, q: int, whole: bool) -> DataFrame:
+    """bucket and doc, and if `whole` also copy, deep and place, of every stretch."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            held, size = [], 0
-            for doc, copy, text in zip(b["doc"], b["copy"], b["text"], strict=True):
-                start, n, bucket, deep = stretches(_bytes(text), length, q)
-                take = bucket % np.uint64(rounds) == round_
-                got = {"bucket": bucket[take].view(np.int64), "doc": np.full(int(take.sum()), doc)}
-                if whole:
-                    got |= {"copy": np.full(int(take.sum()), copy, dtype=np.int32), "deep": deep[take].view(np.int64), "start": start[take], "n": n[take].astype(np.int32)}
-                held.append(got)
-                size += int(take.sum())
-                if size > 200_000:
-                    yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
-                    held, size = [], 0
-            if held:
-                yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
-
-    return docs.mapInPandas(made, "bucket long, doc long" + ", copy int, deep long, start long, n int" * whole)
-
-
-def shared_stretches(docs: DataFrame, length: int, q: int, rounds: int) -> DataFrame:
-    """The stretches in buckets that more than one document is in. Buckets are handled in `rounds` shares to bound the shuffle."""
-    found = []
-    for r in range(rounds):
-        pointers = bucketed(docs, length, q, rounds, r, False).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        pointers = save(pointers.where("lo < hi").select("bucket"), "buckets")
-        found.append(save(bucketed(docs, length, q, rounds, r, True).join(pointers, "bucket"), "stretches"))
-    return reduce(DataFrame.union, found)
+            doc, copy = b["doc"].to_numpy(), b["copy"].to_numpy()
+            for text, packed, bucket, deep in stretches(b["text"], length, q, whole):
+                got = {"bucket": bucket.view(np.int64), "doc": doc[text]}
+                yield pd.DataFrame(got | ({"copy": copy[text], "deep": deep.view(np.int64), "place": packed} if whole else {}))
+
+    return docs.mapInPandas(made, "bucket long, doc long" + ", copy short, deep long, place long" * whole)
+
+
+def shared_stretches(docs: DataFrame, length: int, q: int) -> DataFrame:
+    """The stretches in buckets that more than one document is in."""
+    pointers = bucketed(docs, length, q, False).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    pointers = save(pointers.where("lo < hi").select("bucket"), "buckets")
+    return save(bucketed(docs, length, q, True).join(pointers, "bucket"), "stretches")
+
+
+def _asked(docs: DataFrame, places: DataFrame, answer: Callable, schema: str) -> DataFrame:
+    """answer(bytes, buckets, places), for each document the rows of its places, with doc and copy."""
+
+    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, copy, text, asked in zip(b["doc"], b["copy"], b["text"], b["asked"], strict=True):
+                got = answer(_bytes(text), np.array([r["bucket"] for r in asked]), np.array([r["place"] for r in asked]))
+                for i in range(0, len(got), 200_000):
+                    yield got[i : i + 200_000].assign(doc=doc, copy=copy)
+
+    asked = places.groupBy("doc", "copy").agg(F.collect_list(F.struct("bucket", "place")).alias("asked"))
+    return docs.join(asked, ["doc", "copy"]).select("doc", "copy", "text", "asked").mapInPandas(answered, f"{schema}, doc long, copy short")
+
+
+def widened(docs: DataFrame, places: DataFrame, length: int, q: int) -> DataFrame:
+    """The stretches whose bucket still has several documents after half of the missing bytes are added on a side.
+
+    A string reaches at least so far to the left or to the right of its minimizer, so no stretch that shares one is lost."""
+    half = (length - q) // 2
+
+    def sides(data: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+        ids = window_hashes(data, q)
+        start, off, n = unpacked(place)
+        at = start + off
+        left, right = off >= half, off - n + 1 <= length - q - half
+        wide = [mixed(ids[at[left] - half] * np.uint64(BASE) + ids[at[left]]), mixed(ids[at[right]] * np.uint64(INVERSE) + ids[at[right] + (length - q - half)])]
+        return pd.DataFrame({"wide": np.concatenate(wide).view(np.int64), "bucket": np.concatenate([bucket[left], bucket[right]]), "place": np.concatenate([place[left], place[right]])})
+
+    both = save(_asked(docs, places, sides, "wide long, bucket long, place long"), "widened")
+    held = both.groupBy("wide").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("wide")
+    return save(both.join(held, "wide", "left_semi").select("bucket", "place", "doc", "copy").distinct(), "wide-kept")
 
 
 def window_ids(data: np.ndarray, length: int, q: int) -> np.ndarray:
@@ -101,30 +177,26 @@ def window_ids(data: np.ndarray, length: int, q: int) -> np.ndarray:
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 20, rounds: int = 2) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame:
     """doc, copy and ranges (start, end in bytes; they may overlap) that cover what a smaller document holds as well.
 
     docs: doc (long, not null), copy (which tells rows of one doc with different texts apart) and text."""
-    found = shared_stretches(docs, length, q, rounds)
+    found = shared_stretches(docs, length, q)
     classes = save(found.groupBy("bucket", "deep").agg(F.min("doc").alias("first")), "classes")
     apart = classes.groupBy("bucket").agg(F.count("*").alias("n_classes")).where("n_classes > 1").select("bucket")
     placed = save(found.join(classes, ["bucket", "deep"]), "placed")
-    whole = placed.where("doc > first").select("doc", "copy", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
-    firsts = placed.where("doc = first").join(apart, "bucket", "left_semi")
-    asked = firsts.groupBy("doc", "copy").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("asked"))
-
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for doc, copy, text, asked_ in zip(b["doc"], b["copy"], b["text"], b["asked"], strict=True):
-                ids = window_ids(_bytes(text), length, q)
-                n = np.array([r["n"] for r in asked_])
-                at = np.repeat(np.array([r["start"] for r in asked_]) - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                bucket = np.repeat(np.array([r["bucket"] for r in asked_]), n)
-                for i in range(0, len(at), 200_000):
-                    part = slice(i, i + 200_000)
-                    yield pd.DataFrame({"bucket": bucket[part], "string": ids[at[part]].view(np.int64), "doc": doc, "copy": copy, "start": at[part]})
-
-    single = save(docs.join(asked, ["doc", "copy"]).select("doc", "copy", "text", "asked").mapInPandas(strings, "bucket long, string long, doc long, copy int, start long"), "strings")
+    begin, n = F.shiftright("place", PLACE + COUNT), F.col("place").bitwiseAND((1 << COUNT) - 1)
+    whole = placed.where("doc > first").select("doc", "copy", begin.alias("start"), (begin + n + (length - 1)).alias("end"))
+    firsts = placed.where("doc = first").join(apart, "bucket", "left_semi").select("doc", "copy", "bucket", "place")
+    open_ = widened(docs, firsts, length, q)
+
+    def strings(data: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+        ids = window_ids(data, length, q)
+        start, _, n = unpacked(place)
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return pd.DataFrame({"bucket": np.repeat(bucket, n), "string": ids[at].view(np.int64), "start": at})
+
+    single = save(_asked(docs, open_, strings, "bucket long, string long, start long"), "strings")
     pointers = single.groupBy("bucket", "string").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("bucket", "string", "first")
     parts = single.join(pointers, ["bucket", "string"]).where("doc > first").select("doc", "copy", "start", (F.col("start") + length).alias("end"))
     return whole.union(parts).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
@@ -138,15 +210,15 @@ def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, length: int = 50, q: int = 20, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 50, q: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, kept (the remaining bytes), n_bytes, n_removed and spans (maximal removed runs) of each row of df.
 
     A byte goes if a string of `length` bytes that covers it also starts in a row with a smaller id. Null texts are
     empty; rows of one id don't remove from each other; rows without an id keep all and remove nothing; other columns
-    are not read; an empty table gives an empty result. length must be at least q and less than q + 128."""
+    are not read; an empty table gives an empty result. length must exceed q, by less than 127."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.hash(text).alias("copy"), text.alias("text"))
-    ranges = save(repeated_ranges(docs.where("doc is not null"), length, q, rounds), "ranges")
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.pmod(F.hash(text), F.lit(32768)).cast("short").alias("copy"), text.alias("text"))
+    ranges = save(repeated_ranges(docs.where("doc is not null"), length, q), "ranges")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
