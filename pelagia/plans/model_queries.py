@@ -110,10 +110,10 @@ def lw(vel: str, w: str) -> str:
     return f"{vel}*(lead(c) OVER {w} - lag(c) OVER {w})/{2 * D}e0 - {vel}*{vel}*{DT / 2}e0*(lead(c) OVER {w} - 2*c + lag(c) OVER {w})/{D * D}e0"
 
 
-@query(f"SELECT time_idx, j, i, {r('coalesce(' + lw('water_u', 'wx') + ' + ' + lw('water_v', 'wy') + ', 0e0)', 9)} AS advection FROM v_tracer {WINDOWS}", "v_tracer")
+@query(f"SELECT time_idx, j, i, {r('coalesce(' + lw('water_u', 'wx') + ' + ' + lw('water_v', 'wy') + ', 0e0)', 13)} AS advection FROM v_tracer {WINDOWS}", "v_tracer")
 def lax_wendroff_advection(spark, sf_dir):
     d = transport.advection(tracer(spark, sf_dir), "lax_wendroff", D, D, DT)
-    return d.select("time_idx", "j", "i", rounded(F.col("advection"), 9).alias("advection"))
+    return d.select("time_idx", "j", "i", rounded(F.col("advection"), 13).alias("advection"))
 
 
 def quick_sql(vel: str, w: str) -> str:
