@@ -39,7 +39,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._saved_at = path
+    return made
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables of save() that nothing reads any more, so that long jobs do not fill the shared folder."""
+    for df in saved:
+        session = df.sparkSession.sparkContext
+        path = session._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

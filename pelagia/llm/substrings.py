@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import save, table
+from pelagia.llm.common import discard, save, table
 from pelagia.llm.rolling import BASE, INVERSE, mixed, powers, window_hashes
 
 #: Positions that are looked at together; their numbers take the low bits of a key.
@@ -135,17 +135,26 @@ def shared_stretches(docs: DataFrame, length: int, q: int) -> DataFrame:
 
 
 def _asked(docs: DataFrame, places: DataFrame, answer: Callable, schema: str) -> DataFrame:
-    """answer(bytes, buckets, places), for each document the rows of its places, with doc and copy."""
+    """answer(bytes, buckets, places), for each document the columns of its places, with doc and copy."""
 
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
         for b in batches:
-            for doc, copy, text, asked in zip(b["doc"], b["copy"], b["text"], b["asked"], strict=True):
-                got = answer(_bytes(text), np.array([r["bucket"] for r in asked]), np.array([r["place"] for r in asked]))
-                for i in range(0, len(got), 200_000):
-                    yield got[i : i + 200_000].assign(doc=doc, copy=copy)
+            for doc, copy, text, bucket, place in zip(b["doc"], b["copy"], b["text"], b["buckets"], b["places"], strict=True):
+                got = answer(_bytes(text), np.asarray(bucket), np.asarray(place))
+                n = len(next(iter(got.values())))
+                held.append(got | {"doc": np.full(n, doc), "copy": np.full(n, copy, dtype=np.int16)})
+                size += n
+                if size > 100_000:
+                    yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
     asked = places.groupBy("doc", "copy").agg(F.collect_list(F.struct("bucket", "place")).alias("asked"))
-    return docs.join(asked, ["doc", "copy"]).select("doc", "copy", "text", "asked").mapInPandas(answered, f"{schema}, doc long, copy short")
+    asked = asked.select("doc", "copy", F.col("asked.bucket").alias("buckets"), F.col("asked.place").alias("places"))
+    return docs.join(asked, ["doc", "copy"]).select("doc", "copy", "text", "buckets", "places").mapInPandas(answered, f"{schema}, doc long, copy short")
 
 
 def widened(docs: DataFrame, places: DataFrame, length: int, q: int) -> DataFrame:
@@ -154,17 +163,19 @@ def widened(docs: DataFrame, places: DataFrame, length: int, q: int) -> DataFram
     A string reaches at least so far to the left or to the right of its minimizer, so no stretch that shares one is lost."""
     half = (length - q) // 2
 
-    def sides(data: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+    def sides(data: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
         ids = window_hashes(data, q)
         start, off, n = unpacked(place)
         at = start + off
         left, right = off >= half, off - n + 1 <= length - q - half
         wide = [mixed(ids[at[left] - half] * np.uint64(BASE) + ids[at[left]]), mixed(ids[at[right]] * np.uint64(INVERSE) + ids[at[right] + (length - q - half)])]
-        return pd.DataFrame({"wide": np.concatenate(wide).view(np.int64), "bucket": np.concatenate([bucket[left], bucket[right]]), "place": np.concatenate([place[left], place[right]])})
+        return {"wide": np.concatenate(wide).view(np.int64), "bucket": np.concatenate([bucket[left], bucket[right]]), "place": np.concatenate([place[left], place[right]])}
 
     both = save(_asked(docs, places, sides, "wide long, bucket long, place long"), "widened")
     held = both.groupBy("wide").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("wide")
-    return save(both.join(held, "wide", "left_semi").select("bucket", "place", "doc", "copy").distinct(), "wide-kept")
+    kept = save(both.join(held, "wide", "left_semi").select("bucket", "place", "doc", "copy").distinct(), "wide-kept")
+    discard(both)
+    return kept
 
 
 def window_ids(data: np.ndarray, length: int, q: int) -> np.ndarray:
@@ -184,21 +195,26 @@ def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame
     found = shared_stretches(docs, length, q)
     classes = save(found.groupBy("bucket", "deep").agg(F.min("doc").alias("first")), "classes")
     apart = classes.groupBy("bucket").agg(F.count("*").alias("n_classes")).where("n_classes > 1").select("bucket")
-    placed = save(found.join(classes, ["bucket", "deep"]), "placed")
+    placed = found.join(classes, ["bucket", "deep"])
     begin, n = F.shiftright("place", PLACE + COUNT), F.col("place").bitwiseAND((1 << COUNT) - 1)
     whole = placed.where("doc > first").select("doc", "copy", begin.alias("start"), (begin + n + (length - 1)).alias("end"))
-    firsts = placed.where("doc = first").join(apart, "bucket", "left_semi").select("doc", "copy", "bucket", "place")
+    whole = save(whole, "whole")
+    firsts = save(placed.where("doc = first").join(apart, "bucket", "left_semi").select("doc", "copy", "bucket", "place"), "firsts")
+    discard(found, classes)
     open_ = widened(docs, firsts, length, q)
+    discard(firsts)
 
-    def strings(data: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> pd.DataFrame:
+    def strings(data: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
         ids = window_ids(data, length, q)
         start, _, n = unpacked(place)
         at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return pd.DataFrame({"bucket": np.repeat(bucket, n), "string": ids[at].view(np.int64), "start": at})
+        return {"bucket": np.repeat(bucket, n), "string": ids[at].view(np.int64), "start": at}
 
     single = save(_asked(docs, open_, strings, "bucket long, string long, start long"), "strings")
     pointers = single.groupBy("bucket", "string").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("bucket", "string", "first")
-    parts = single.join(pointers, ["bucket", "string"]).where("doc > first").select("doc", "copy", "start", (F.col("start") + length).alias("end"))
+    pointers = save(pointers, "pointers")
+    parts = save(single.join(pointers, ["bucket", "string"]).where("doc > first").select("doc", "copy", "start", (F.col("start") + length).alias("end")), "parts")
+    discard(open_, single, pointers)
     return whole.union(parts).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
