@@ -128,10 +128,12 @@ def bucketed(docs: DataFrame, length: int, q: int, whole: bool) -> DataFrame:
 
 
 def shared_stretches(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """The stretches in buckets that more than one document is in."""
+    """The stretches in buckets that more than one document is in.
+
+    The pointers hold a row for each bucket, so they spread evenly and one partition's fit a hash table."""
     pointers = bucketed(docs, length, q, False).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     pointers = save(pointers.where("lo < hi").select("bucket"), "buckets")
-    return save(bucketed(docs, length, q, True).join(pointers, "bucket"), "stretches")
+    return save(bucketed(docs, length, q, True).join(pointers.hint("shuffle_hash"), "bucket"), "stretches")
 
 
 def _asked(docs: DataFrame, places: DataFrame, answer: Callable, schema: str) -> DataFrame:
@@ -213,7 +215,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 20) -> DataFrame
     single = save(_asked(docs, open_, strings, "bucket long, string long, start long"), "strings")
     pointers = single.groupBy("bucket", "string").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("bucket", "string", "first")
     pointers = save(pointers, "pointers")
-    parts = save(single.join(pointers, ["bucket", "string"]).where("doc > first").select("doc", "copy", "start", (F.col("start") + length).alias("end")), "parts")
+    parts = save(single.join(pointers.hint("shuffle_hash"), ["bucket", "string"]).where("doc > first").select("doc", "copy", "start", (F.col("start") + length).alias("end")), "parts")
     discard(open_, single, pointers)
     return whole.union(parts).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
