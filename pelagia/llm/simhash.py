@@ -171,7 +171,7 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), dtype=np.uint64, count=len(lines)))
 
 
-def groups(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, seeds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(df: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, seeds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text_key (MD5 of the text) and group (the smallest id that it is linked with) of each row of df.
 
     Links join texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`. Candidates
