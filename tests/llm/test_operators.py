@@ -233,6 +233,37 @@ def test_groups_verify_their_links(spark, awkward):
     assert simhash.near_duplicates(awkward).count() == awkward.count() and simhash.groups(awkward.where("false")).count() == 0
 
 
+def _alike(texts, least=0.8):
+    """The smallest id that each text reaches over links of this similarity, by comparing all with all."""
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    return root
+
+
+def test_word_fingerprints_equal_single_ones():
+    texts = ["", None, "a b A", LONG, "one two three"]
+    got = simhash.word_fingerprints(texts, range(42, 45), 20)
+    assert got.tolist() == [[simhash.word_fingerprint(t, s) for s in range(42, 45)] for t in texts]
+
+
+def test_groups_find_texts_with_an_added_paragraph(spark):
+    """Copies with a block of other words, which change the words' fingerprints in more than 4 bits."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for k in range(40):
+        words = rng.choice(vocabulary, 200).tolist()
+        texts[2 * k] = " ".join(words)
+        texts[2 * k + 1] = " ".join(words + rng.choice(vocabulary, 30 + k % 20).tolist())
+    got = {r["doc_id"]: r["group"] for r in simhash.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == _alike(texts) and sum(i != g for i, g in got.items()) >= 35
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(160, 101), (7, 7), (None, 3), (5, 4)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
