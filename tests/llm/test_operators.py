@@ -8,6 +8,7 @@ import hashlib
 import urllib.parse
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,38 @@ def test_groups_find_texts_with_an_added_paragraph(spark):
     assert got == _alike(texts) and sum(i != g for i, g in got.items()) >= 35
 
 
+def test_groups_find_links_past_the_owner(spark):
+    """Texts of the same words in other orders: all fingerprints are equal, the smallest id is like none of them."""
+    rng = np.random.default_rng(6)
+    words, texts = [f"w{i}" for i in range(100)], {}
+    for k in range(30):
+        mine = rng.permutation(words).tolist()
+        texts[3 * k] = " ".join(mine)
+        for i in (1, 2):
+            mine[40 * i], mine[40 * i + 1] = mine[40 * i + 1], mine[40 * i]
+            texts[3 * k + i] = " ".join(mine)
+    texts = {0: " ".join(words)} | {i + 1: t for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["group"] for r in simhash.groups(docs, small=2, pivots=1).collect()}
+    assert got == _alike(texts) and sum(i != g for i, g in got.items()) == 60
+
+
+def test_meetings_in_rounds_lose_no_pair():
+    rng = np.random.default_rng(7)
+    n = 300
+    frame = pd.DataFrame({"token": np.sort(rng.integers(0, 3, n)), "node": rng.permutation(n), "size": 10, "pos": 0}).astype(np.int64)
+    frame["comp"] = np.where(frame["node"] % 4 == 0, frame["node"], 1)
+    want = {(min(a.node, b.node), max(a.node, b.node)) for a in frame.itertuples() for b in frame.itertuples() if a.token == b.token and a.comp != b.comp}
+    got, pivots, rounds = set(), 2, 0
+    while len(frame):
+        made = simhash._meetings(frame, 0.8, 8, pivots)
+        got |= set(made.loc[~made["left"], ["a", "b"]].itertuples(index=False, name=None))
+        stay = made[made["left"]].rename(columns={"a": "node", "b": "token"})
+        frame = stay[["token", "node", "size", "pos"]].merge(frame[["token", "node", "comp"]], on=["token", "node"])
+        pivots, rounds = pivots * 4, rounds + 1
+    assert got == want and rounds > 1
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(160, 101), (7, 7), (None, 3), (5, 4)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
