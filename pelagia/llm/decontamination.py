@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Every word n-gram of a test item is a seed. A bitmap of fixed size finds the texts' n-grams that may be seeds without a
-shuffle; what it lets through joins the seeds exactly. A passage goes to alignment when it has a seed that is rare in
-the corpus, or several seeds of any frequency, so that a passage that leaked thousands of times is found as well.
+shuffle; what it lets through joins the seeds exactly. Every passage with a seed of an item goes to alignment unless it
+holds too few of the item's words to reach the score, so the answer for a document does not hang on the other documents.
 Alignment is local and works on words, so insertions, deletions and replaced words only lower the score.
 """
 
@@ -126,9 +126,6 @@ def contaminated(
     benchmark: DataFrame,
     n: int = 4,
     least: float = 0.5,
-    few_seeds: int = 3,
-    rare: int = 50,
-    rare_share: float = 1e-4,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -136,34 +133,28 @@ def contaminated(
 ) -> DataFrame:
     """id_col, item_col, score, matched, start, end: the best passage for each document and test item that scores `least`.
 
-    score: the alignment's share of the item's highest score, from 0 to 1; start and end count words. A seed is rare
-    when at most `rare` documents, or `rare_share` of all passages, hold it; `few_seeds` seeds of any frequency do as
-    well. Items of fewer than n words and empty texts have no seeds; null ids are no matches; rows of one id are read as
-    one document; ties go to the first passage. Other columns are not read."""
+    score: the alignment's share of the item's highest score, from 0 to 1; start and end count words. A passage and an
+    item with a seed in common are aligned. Items of fewer than n words, items so edited that no n words in a row are
+    left, and empty texts have no seeds; null ids are no matches; rows of one id are read as one document; ties go to
+    the first passage. Other columns are not read."""
     items = save(item_words(benchmark, item_col, item_text_col).where("item is not null"), "items")
     seeds = save(item_seeds(items, n), "seeds")
     reach = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     found = save(passages(docs, seeds, n, max(n, reach + reach // 4), id_col, text_col), "passages")
     hits = found.where("id is not null").select("id", "start", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("id", "start", F.col("x.hashes").alias("hash")).distinct()
-    known = hits.join(seeds.select("hash").distinct(), "hash", "left_semi")
-    spread = known.groupBy("hash").agg(F.count("*").alias("df"))
-    weighed = save(seeds.join(spread, "hash"), "seeds-weighed")
-    limit = max(rare, int(rare_share * found.count()))
-    pairs = (
-        hits.join(weighed, "hash")
-        .groupBy("id", "start", "item")
-        .agg(F.count("*").alias("seeds"), F.min("df").alias("rarest"), F.max("n_seeds").alias("of"))
-        .where((F.col("rarest") <= limit) | (F.col("seeds") >= F.least(F.lit(few_seeds), F.col("of"))))
-    )
+    pairs = hits.join(seeds.select("hash", "item"), "hash").select("id", "start", "item").distinct()
     joined = pairs.join(found.select("id", "start", "words"), ["id", "start"]).join(items.withColumnsRenamed({"words": "item_words"}), "item")
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for id_, start, item, words, target in zip(b["id"], b["start"], b["item"], b["words"], b["item_words"], strict=True):
+                if np.isin(target, words).sum() < least * len(target):  # MATCH for each would not reach the score
+                    continue
                 score, i0, i1, j0, j1 = aligned_span(np.asarray(target), np.asarray(words))
                 rows.append((id_, item, score / (MATCH * len(target)), i1 - i0, start + j0, start + j1))
-            yield pd.DataFrame(rows, columns=["id", "item", "score", "matched", "start", "end"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "item", "score", "matched", "start", "end"])
 
     made = joined.select("id", "start", "item", "words", "item_words").mapInPandas(scored, "id long, item long, score double, matched int, start int, end int")
     best = made.where(F.col("score") >= least).groupBy("id", "item").agg(F.max(F.struct("score", "matched", (-F.col("start")).alias("s"), "end")).alias("x"))

@@ -137,6 +137,16 @@ def test_benchmark_copies_are_found_and_clean_ones_left(spark):
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("replaced", [(4, 9, 13), (4, 9, 14)])
+def test_edited_copies_are_found_however_often_they_leaked(spark, replaced):
+    words = [f"item{i}" for i in range(17)]
+    copy = " ".join("other" if i in replaced else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(i, f"page {i} begins here {copy} and ends") for i in range(60)] + [(60, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = decontamination.contaminated(docs, items).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(60)) and {round(r["score"], 3) for r in got} == {0.735}
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(5)
     for _ in range(20):
