@@ -15,6 +15,9 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[ord("A") : ord("Z") + 1] += 32
 IN_WORD = np.zeros(256, dtype=bool)
 IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+#: Bytes of what stands between the six ASCII white-space characters.
+NOT_SPACE = np.ones(256, dtype=bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -46,10 +49,10 @@ def chunks(texts: Sequence[str | None], most: int = 1 << 21, lower: bool = False
         yield first, held
 
 
-def word_hashes(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of its text), words in order over all texts of a run."""
-    data = LOWERED[np.frombuffer(b"\0".join(raws) + b"\0", dtype=np.uint8)]
-    inside = IN_WORD[data]
+def word_hashes(raws: Sequence[bytes], in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of its text), words in order over all texts of a run; in_word: which bytes make words."""
+    data = LOWERED[np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)]
+    inside = in_word[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate([[0], edge])

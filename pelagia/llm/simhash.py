@@ -14,8 +14,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,7 +70,7 @@ def masks(radius: int) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def _may_link(distinct: DataFrame, radius: int, blocks: int = 8) -> DataFrame:
+def _may_link(distinct: DataFrame, radius: int, n: int, blocks: int = 8) -> DataFrame:
     """The fingerprints that share all but `radius` of `blocks` equal blocks of bits with another one: a superset of those that link.
 
     Where just two share a choice of blocks their distance decides at once, so chance meetings open nothing."""
@@ -80,7 +79,7 @@ def _may_link(distinct: DataFrame, radius: int, blocks: int = 8) -> DataFrame:
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     kept = [signed(sum(one << (size * i) for i in choice)) for choice in itertools.combinations(range(blocks), blocks - radius)]
     choices = F.array(*(F.struct(F.lit(i).alias("c"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(kept)))
-    spread = distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    spread = distinct.repartition(max(shuffle_partitions(distinct.sparkSession), -(-n * len(kept) // 1_000_000)))
     keyed = spread.select("fp", F.explode(choices).alias("x")).select("fp", F.xxhash64("x.c", F.col("fp").bitwiseAND(F.col("x.m"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     shared = save(shared, "simhash-shared")
@@ -124,7 +123,7 @@ def links(distinct: DataFrame, radius: int = 4, rows_per_task: int = 3_000_000)
     half = (radius + 1) // 2
     balls = masks(half)
     spark = distinct.sparkSession
-    open_ = save(_may_link(distinct, radius), "simhash-open") if 0 < radius < 8 else distinct
+    open_ = save(_may_link(distinct, radius, distinct.count()), "simhash-open") if 0 < radius < 8 else distinct
     n = max(1, math.ceil(open_.count() * len(balls) / rows_per_task), min(shuffle_partitions(spark), 8))
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,245 +155,6 @@ def near_duplicates(df: DataFrame, width: int = 5, radius: int = 4, id_col: str
     return marked.join(named, "fp").select(id_col, "fp", "component")
 
 
-def word_fingerprint(text: str | None, seed: int) -> int:
-    """The fingerprint of a text's distinct words: what few edits change least."""
-    words = set(SPACE.split((text or "").encode("utf-8").translate(LOWER))) - {b""}
-    got = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
-    ones = np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(ones * 2 > len(got)).tolist()))
-
-
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles of `width` words, in order; a shorter text is one shingle."""
-    words = [w for w in SPACE.split((text or "").encode("utf-8").translate(LOWER)) if w]
-    lines = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), dtype=np.uint64, count=len(lines)))
-
-
-def word_fingerprints(texts: Iterable[str | None], seeds: Sequence[int], most_words: int = 50_000) -> np.ndarray:
-    """word_fingerprint of each text (rows) with each seed (columns); each word of some thousand texts is hashed once."""
-    out, part, size = [], [], 0
-
-    def made() -> np.ndarray:
-        got = np.zeros((len(part), len(seeds)), dtype=np.uint64)
-        full = [i for i, words in enumerate(part) if words]
-        if full:
-            vocabulary = {w: k for k, w in enumerate(set().union(*part))}
-            at = np.fromiter((vocabulary[w] for i in full for w in part[i]), dtype=np.int64)
-            counts = np.array([len(part[i]) for i in full])
-            starts = np.cumsum(counts) - counts
-            for s, seed in enumerate(seeds):
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), dtype=np.uint64, count=len(vocabulary))
-                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits[at], starts, axis=0, dtype=np.int64)
-                got[full, s] = np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        return got
-
-    for t in texts:
-        part.append(set(SPACE.split((t or "").encode("utf-8").translate(LOWER))) - {b""})
-        size += len(part[-1])
-        if size >= most_words:
-            out.append(made())
-            part, size = [], 0
-    out.append(made())
-    return np.concatenate(out)
-
-
-def _whole_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames of rows sorted by token, cut so that no token lies in two frames."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        tokens = b["token"].to_numpy()
-        cut = int(np.searchsorted(tokens, tokens[-1]))
-        if held and (cut or held[-1]["token"].iat[-1] != tokens[-1]):
-            yield pd.concat([*held, b.iloc[:cut]], ignore_index=True)
-            held = []
-        elif cut:
-            yield b.iloc[:cut]
-        held.append(b.iloc[cut:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def prefix_length(size: int, similarity: float) -> int:
-    """Two sets of a Jaccard similarity of `similarity` share one of their first members of this number, in any common order."""
-    return size - math.ceil(similarity * size - 1e-9) + 1
-
-
-def _may_be_alike(sa: np.ndarray, pa: np.ndarray, sb: np.ndarray, pb: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes, whose first common member has these places, can reach the similarity."""
-    need = np.ceil(similarity / (1 + similarity) * (sa + sb) - 1e-9)
-    return np.minimum(sa - pa, sb - pb) >= need
-
-
-def _meetings(b: pd.DataFrame, similarity: float, small: int, pivots: int) -> pd.DataFrame:
-    """Pairs to verify (left is false) and the members still to be compared (left is true) of whole tokens.
-
-    Members of one component need no pair. A token of up to `small` members gives all its other pairs; of a larger one
-    `pivots` members of its smallest components are compared with all, and the rest stays for the next round, when
-    most of it is one component."""
-    b = b.sort_values("token", kind="stable", ignore_index=True)
-    token, node, size, pos, comp = (b[c].to_numpy() for c in ("token", "node", "size", "pos", "comp"))
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    counts = np.diff(np.r_[starts, len(token)])
-    mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-    firsts, seconds, left = [], [], []
-
-    def take(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (comp[i] != comp[j]) & _may_be_alike(size[i], pos[i], size[j], pos[j], similarity)
-        firsts.append(np.minimum(node[i], node[j])[ok])
-        seconds.append(np.maximum(node[i], node[j])[ok])
-
-    few = np.repeat(mixed & (counts <= small), counts)
-    ends = np.repeat(starts + counts, counts)
-    rows = np.flatnonzero(few)
-    for d in range(1, int(counts[mixed & (counts <= small)].max(initial=0))):
-        rows = rows[rows + d < ends[rows]]
-        take(rows, rows + d)
-    for start, count in zip(starts[mixed & (counts > small)], counts[mixed & (counts > small)], strict=True):
-        members = np.arange(start, start + count)
-        _, inverse, sizes = np.unique(comp[members], return_inverse=True, return_counts=True)
-        members = members[np.lexsort((node[members], sizes[inverse]))]
-        for k in range(min(pivots, count - 1)):
-            take(np.full(count - k - 1, members[k]), members[k + 1 :])
-        rest = members[pivots:]
-        if len(rest) and (comp[rest] != comp[rest[0]]).any():
-            left.append(rest)
-    pairs = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)], axis=1), axis=0) if firsts else np.zeros((0, 2), dtype=np.int64)
-    rest = np.concatenate(left) if left else np.zeros(0, dtype=np.int64)
-    met = pd.DataFrame({"left": False, "a": pairs[:, 0], "b": pairs[:, 1], "size": 0, "pos": 0})
-    stay = pd.DataFrame({"left": True, "a": node[rest], "b": token[rest], "size": size[rest], "pos": pos[rest]})
-    return pd.concat([met, stay], ignore_index=True).astype({"left": bool, "a": np.int64, "b": np.int64, "size": np.int32, "pos": np.int32})
-
-
-def _meets(rows: DataFrame, n_texts: int, width: int, similarity: float, sample: int, most_hot: int) -> DataFrame:
-    """token, node, size, pos: the shingles in the prefix of each of rows' texts (id, text, key) that another one has too.
-
-    Prefixes are complete in any order that all texts have in common. Here shingles that are frequent in about `sample`
-    texts come last, so that they seldom lie in a prefix."""
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 256):
-                got = [shingle_hashes(t, width) for t in b["text"].iloc[i : i + 256]]
-                yield pd.DataFrame({"token": np.concatenate(got).view(np.int64)})
-
-    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n_texts // sample))) == 0).dropDuplicates(["key"]).select("text")
-    top = some.mapInPandas(listed, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(most_hot)
-    hot = save(top, "hot-shingles").toPandas().sort_values("token")
-    tokens, counts = hot["token"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 256):
-                made = []
-                for node, text in zip(b["id"].iloc[i : i + 256], b["text"].iloc[i : i + 256], strict=True):
-                    got = shingle_hashes(text, width).view(np.int64)
-                    rank = np.zeros(len(got), dtype=np.int64)
-                    if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, got), len(tokens) - 1)
-                        rank = np.where(tokens[at] == got, counts[at], 0)
-                    first = got[np.lexsort((got, rank))[: prefix_length(len(got), similarity)]]
-                    made.append(pd.DataFrame({"token": first, "node": node, "size": len(got), "pos": np.arange(len(first))}))
-                yield pd.concat(made, ignore_index=True)
-
-    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _whole_tokens(batches):
-            token = b["token"].to_numpy()
-            same = token[1:] == token[:-1]
-            yield b[np.r_[False, same] | np.r_[same, False]]
-
-    form = "token long, node long, size int, pos int"
-    return save(rows.select("id", "text").mapInPandas(prefixes, form).repartition("token").sortWithinPartitions("token").mapInPandas(shared, form), "meets")
-
-
-def groups(
-    df: DataFrame,
-    width: int = 5,
-    similarity: float = 0.8,
-    radius: int = 4,
-    seeds: int = 8,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    small: int = 64,
-    pivots: int = 32,
-    sample: int = 20_000,
-    most_hot: int = 1 << 18,
-) -> DataFrame:
-    """id_col, text_key (MD5 of the text) and group (the smallest id that it is linked with) of each row of df.
-
-    Links join texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`. The first
-    candidates are texts of which one of `seeds` fingerprints of the distinct words lies within `radius` bits. Their
-    verified links give components; then all texts of different components meet that share a shingle in their prefixes,
-    which every link does. So no link between two components is left out, and every link is verified on the shingles.
-    Equal texts are one node. Null and empty texts are equal to each other; a null id counts as larger than any other,
-    and a text that only such rows have is in no group. Other columns are not read."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = word_fingerprints(b["text"], range(42, 42 + seeds)).view(np.int64)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "key": b["key"], "fps": list(made)})
-
-    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "shingles": [shingle_hashes(t, width).view(np.int64) for t in b["text"]]})
-
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(b["x"], b["y"], strict=True)]
-            share = np.array([n / (len(x) + len(y) - n) for n, x, y in zip(both, b["x"], b["y"], strict=True)])
-            yield b[["a", "b"]][share >= similarity]
-
-    marked = save(rows.mapInPandas(hashed, "id long, key string, fps array<long>"), "marked")
-    least = save(marked.groupBy("key").agg(F.min("id").alias("node"), F.first("fps").alias("fps")).where("node is not null"), "texts")
-    own = least.select(F.col("node").alias("id"), "key")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b)."""
-        ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
-        texts = rows.join(own.join(ends, "id"), ["id", "key"]).dropDuplicates(["id", "key"])
-        sets = save(texts.select("id", "text").mapInPandas(shingled, "id long, shingles array<long>"), "shingles")
-        joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        made = save(joined.select("a", "b", "x", "y").mapInPandas(alike, "a long, b long"), "links")
-        discard(sets)
-        return made
-
-    found = []
-    for s in range(seeds):
-        owner = save(least.select(F.col("fps")[s].alias("fp"), "node").groupBy("fp").agg(F.min("node").alias("owner")), "owners")
-        same = least.select(F.col("fps")[s].alias("fp"), "node").join(owner, "fp").where("node <> owner").select(F.col("node").alias("a"), F.col("owner").alias("b"))
-        near = links(owner.select("fp"), radius)
-        near = near.join(owner.toDF("a", "na"), "a").join(owner.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        found.append(save(same.union(near), "candidates"))
-    pairs = save(reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    nodes = least.select("node").distinct()
-    label = save(nodes.join(components(verified(pairs)), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "labels")
-    waiting = _meets(rows.where("id is not null"), least.count(), width, similarity, sample, most_hot)
-    form = "left boolean, a long, b long, size int, pos int"
-
-    while True:
-
-        def meetings(batches: Iterator[pd.DataFrame], most: int = pivots) -> Iterator[pd.DataFrame]:
-            for b in _whole_tokens(batches):
-                yield _meetings(b, similarity, small, most)
-
-        step = save(waiting.join(label, "node").repartition("token").sortWithinPartitions("token").mapInPandas(meetings, form), "meetings")
-        discard(waiting)
-        new = verified(step.where("not left").select("a", "b").distinct())
-        ends = new.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select("ca", "cb").distinct()
-        label = save(label.join(components(ends).toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
-        waiting = save(step.where("left").select(F.col("b").alias("token"), F.col("a").alias("node"), "size", "pos"), "meets")
-        discard(step)
-        if waiting.isEmpty():
-            break
-        pivots *= 4
-    named = save(least.join(label, "node").select("key", F.col("comp").alias("group")), "groups")
-    return marked.join(named, "key", "left").select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "group")
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint and component of every document, with 4-word shingles as its contract says."""
     made = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import urllib.parse
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import repeats
-from pelagia.llm import chat, components, decontamination, html, mixing, neighbours, secrets, sharding, simhash, substrings, toxicity
+from pelagia.llm import chat, components, decontamination, html, mixing, neighbours, secrets, sharding, similar, simhash, substrings, toxicity
 from pelagia.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -237,16 +238,18 @@ def test_groups_verify_their_links(spark, awkward):
     base = [f"w{i}" for i in range(400)]
     near = base[:200] + ["edited"] + base[201:]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(f"z{i}" for i in range(400))), (5, " ".join(base[:150]))], "doc_id long, text string")
-    assert {r["doc_id"]: r["group"] for r in simhash.groups(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
-    got = simhash.groups(awkward).collect()
+    assert {r["doc_id"]: r["group"] for r in similar.groups(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    got = similar.groups(awkward).collect()
     assert len(got) == awkward.count()
     assert {r["group"] for r in got if r["doc_id"] in (1, 2)} == {1} and {r["group"] for r in got if r["doc_id"] in (3, 4)} == {3}
-    assert simhash.near_duplicates(awkward).count() == awkward.count() and simhash.groups(awkward.where("false")).count() == 0
+    assert [(r["group"], r["first"]) for r in got if r["doc_id"] is None] == [(None, True)]
+    assert simhash.near_duplicates(awkward).count() == awkward.count() and similar.groups(awkward.where("false")).count() == 0
 
 
 def _alike(texts, least=0.8):
     """The smallest id that each text reaches over links of this similarity, by comparing all with all."""
-    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    split = lambda t: [w for w in re.split("[\\x20\\x09-\\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, split(t)) for i, t in texts.items())}
     root = {i: i for i in texts}
     for a in texts:
         for b in texts:
@@ -256,10 +259,12 @@ def _alike(texts, least=0.8):
     return root
 
 
-def test_word_fingerprints_equal_single_ones():
-    texts = ["", None, "a b A", LONG, "one two three"]
-    got = simhash.word_fingerprints(texts, range(42, 45), 20)
-    assert got.tolist() == [[simhash.word_fingerprint(t, s) for s in range(42, 45)] for t in texts]
+def test_groups_equal_brute_force_on_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = similar.groups(docs).collect()
+    assert {r["doc_id"]: r["group"] for r in got} == _alike(texts)
+    assert sorted(r["doc_id"] for r in got if r["first"]) == sorted(set(_alike(texts).values()))
 
 
 def test_groups_find_texts_with_an_added_paragraph(spark):
@@ -271,7 +276,7 @@ def test_groups_find_texts_with_an_added_paragraph(spark):
         words = rng.choice(vocabulary, 200).tolist()
         texts[2 * k] = " ".join(words)
         texts[2 * k + 1] = " ".join(words + rng.choice(vocabulary, 30 + k % 20).tolist())
-    got = {r["doc_id"]: r["group"] for r in simhash.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["group"] for r in similar.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == _alike(texts) and sum(i != g for i, g in got.items()) >= 35
 
 
@@ -287,22 +292,30 @@ def test_groups_find_links_past_the_owner(spark):
             texts[3 * k + i] = " ".join(mine)
     texts = {0: " ".join(words)} | {i + 1: t for i, t in texts.items()}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["group"] for r in simhash.groups(docs, small=2, pivots=1).collect()}
+    got = {r["doc_id"]: r["group"] for r in similar.groups(docs, small=2, pivots=1).collect()}
     assert got == _alike(texts) and sum(i != g for i, g in got.items()) == 60
 
 
-def test_meetings_in_rounds_lose_no_pair():
+@pytest.mark.parametrize("batch", [1, 7, 50, 1000])
+def test_meetings_in_rounds_lose_no_pair(batch):
     rng = np.random.default_rng(7)
     n = 300
-    frame = pd.DataFrame({"token": np.sort(rng.integers(0, 3, n)), "node": rng.permutation(n), "size": 10, "pos": 0}).astype(np.int64)
+    frame = pd.DataFrame({"token": np.r_[rng.integers(0, 3, n - 40), rng.integers(3, 20, 40)], "node": rng.permutation(n), "size": 10, "pos": 0}).astype(np.int64)
     frame["comp"] = np.where(frame["node"] % 4 == 0, frame["node"], 1)
     want = {(min(a.node, b.node), max(a.node, b.node)) for a in frame.itertuples() for b in frame.itertuples() if a.token == b.token and a.comp != b.comp}
     got, pivots, rounds = set(), 2, 0
-    while len(frame):
-        made = simhash._meetings(frame, 0.8, 8, pivots)
-        got |= set(made.loc[~made["left"], ["a", "b"]].itertuples(index=False, name=None))
-        stay = made[made["left"]].rename(columns={"a": "node", "b": "token"})
-        frame = stay[["token", "node", "size", "pos"]].merge(frame[["token", "node", "comp"]], on=["token", "node"])
+    comps = frame[["node", "comp"]].drop_duplicates()
+    comps["weight"] = comps.groupby("comp")["node"].transform("size")
+    members = frame[["token", "node", "size", "pos"]]
+    while len(members):
+        rows = members.merge(comps, on="node").sort_values(["token", "weight", "comp", "node"], ignore_index=True)
+        of = rows.groupby("token")
+        rows["r"], rows["n"], rows["last"] = of.cumcount() + 1, of["node"].transform("size"), of["comp"].transform("last")
+        rows = rows[of["comp"].transform("nunique") > 1]
+        made = pd.concat([*similar.meetings((rows.iloc[i : i + batch] for i in range(0, len(rows), batch)), 0.8, 8, pivots), pd.DataFrame(columns=["left", "a", "b", "size", "pos"])])
+        left = made["left"].astype(bool)
+        got |= set(made.loc[~left, ["a", "b"]].itertuples(index=False, name=None))
+        members = made.loc[left, ["b", "a", "size", "pos"]].set_axis(["token", "node", "size", "pos"], axis=1).astype(np.int64)
         pivots, rounds = pivots * 4, rounds + 1
     assert got == want and rounds > 1
 
