@@ -15,7 +15,7 @@ from pelagia.llm.common import save, table
 from pelagia.llm.decontamination import contaminated
 from pelagia.llm.mixing import drawn_rows, mix
 from pelagia.llm.sharding import shard
-from pelagia.llm.simhash import groups
+from pelagia.llm.similar import groups
 from pelagia.llm.toxicity import fit, with_features
 
 #: Documents of this score or more are rejected.
@@ -32,11 +32,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of texts with a similarity of 0.8 or more on 5-word shingles.
 
-    Rows that repeat a document's id and text go as well; rows without an id stay."""
+    Rows that repeat a document's id and text go as well. Rows without an id stay only where no row with one is alike;
+    null texts count as empty ones. An empty table gives an empty result; columns that documents has besides stay."""
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    kept = groups(docs).where(F.col("doc_id") == F.col("group")).select("doc_id", "text_key").distinct()
-    once = docs.where("doc_id is not null").withColumn("text_key", key).join(kept, ["doc_id", "text_key"], "left_semi")
-    return once.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = groups(docs).where("first").select(F.struct("text_key", F.col("doc_id").alias("id")).alias("_kept")).distinct()
+    own = F.struct(key.alias("text_key"), F.col("doc_id").cast("long").alias("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_own"))
+    once = rows.join(kept, F.col("_own") == F.col("_kept"), "left_semi").groupBy("_own").agg(F.first("_row").alias("_row"))
+    return once.select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
