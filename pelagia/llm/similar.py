@@ -208,7 +208,7 @@ def groups(
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
         ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-        named = texts.join(ends, "node").select("node", "key")
+        named = save(texts.join(ends, "node").select("node", "key"), "ends")
         held = rows.withColumn("node", node_of(F.col("id"), F.col("key"))).join(named, ["node", "key"]).select(F.col("node").alias("id"), "text")
         sets = save(held.mapInPandas(shingled, "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
         joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")

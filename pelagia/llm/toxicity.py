@@ -30,6 +30,7 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"\S+")
 SEPARATED = re.compile(r"(?<!\w)[^\W\d_](?:[.\-*_][^\W\d_]){2,}(?!\w)")
 LETTERS = re.compile(r"[^\W\d_]+")
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 FEATURES = ("insults", "learned", "weight", "best", "hits", "per_second_person", "capitals", "shouted", "exclamations", "questions", "obfuscated", "obfuscated_hits", "length")
 NEAR = 5
 #: Columns that scoring makes.
@@ -49,50 +50,65 @@ def document_pieces(text: str) -> set[str]:
     return out
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """The dense features of a text, in the order of FEATURES; an empty text gives zeros."""
+class Words(dict):
+    """What is known of a token, made when it is first met: letters, capitals and flags, packed into one number."""
+
+    SIDE, SECOND, SHOUTED, INSULT, LEARNED, OBFUSCATED, FOUND_OBFUSCATED = 28, 56, 57, 58, 59, 60, 61
+    HIT = 1 << INSULT | 1 << LEARNED
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.weights, self.heads = lexicon, {}, {p[1:4] for p in lexicon}
+
+    def weight(self, word: str) -> float:
+        if word[:3] not in self.heads:
+            return 0.0
+        return max((self.lexicon[p] for p in pieces(word) if p in self.lexicon), default=0.0)
+
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        plain_word = low.isalpha()
+        word = low if plain_word else "".join(LETTERS.findall(low))
+        w, insult, hidden, found = self.weight(word), word in INSULTS, False, False
+        if not plain_word and not w and not insult:
+            core = low.strip(".,;:!?\"'()[]")
+            if core and not core.isalpha():
+                plain = "".join(LETTERS.findall(core.translate(LEET)))
+                if plain and (plain != word or SEPARATED.search(core)):
+                    hidden = any(c.isalpha() for c in core)
+                    w, insult = self.weight(plain), plain in INSULTS
+                    found = bool(w or insult)
+        if w:
+            self.weights[token] = w
+        made = len(token) if plain_word and len(low) == len(token) else sum(map(str.isalpha, token))
+        if token != low:
+            made |= len(CAPITAL.findall(token)) << self.SIDE | (len(token) > 2 and token.isupper()) << self.SHOUTED
+        made |= (word in SECOND_PERSON) << self.SECOND | insult << self.INSULT | (w > 0) << self.LEARNED | hidden << self.OBFUSCATED | found << self.FOUND_OBFUSCATED
+        self[token] = made
+        return made
+
+
+def features(text: str | None, words: Words, most_held: int = 500_000) -> list[float]:
+    """The dense features of a text, in the order of FEATURES; an empty text gives zeros. words is emptied when it is full."""
     text = text or ""
     tokens = WORD.findall(text)
     n = max(1, len(tokens))
-    cache: dict[str, float] = {}
-
-    def weight(word: str) -> float:
-        if word not in cache:
-            found = [lexicon[p] for p in pieces(word) if p in lexicon]
-            cache[word] = max(found, default=0.0)
-        return cache[word]
-
-    insults = learned = obfuscated = obfuscated_hits = shouted = 0
-    total = best = 0.0
-    hits, persons = [], []
-    for i, t in enumerate(tokens):
-        low = t.lower()
-        word = low if low.isalpha() else "".join(LETTERS.findall(low))
-        if word in SECOND_PERSON:
-            persons.append(i)
-        shouted += len(t) > 2 and t.isupper()
-        w, insult = weight(word), word in INSULTS
-        if not low.isalpha() and not w and not insult:
-            core = low.strip(".,;:!?\"'()[]")
-            plain = "".join(LETTERS.findall(core.translate(LEET)))
-            if core and not core.isalpha() and plain and (plain != word or SEPARATED.search(core)):
-                obfuscated += any(c.isalpha() for c in core)
-                w, insult = weight(plain), plain in INSULTS
-                obfuscated_hits += bool(w or insult)
-        if w or insult:
-            hits.append(i)
-            insults += insult
-            learned += w > 0
-            total += w
-            best = max(best, w)
+    if len(words) > most_held:
+        words.clear()
+    known = np.fromiter(map(words.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    on = lambda k: (known >> k) & 1
+    hits, persons = np.flatnonzero(known & words.HIT), np.flatnonzero(on(words.SECOND))
+    found = [words.weights.get(tokens[i], 0.0) for i in hits.tolist()]
     near = 0
-    if hits and persons:
+    if len(hits) and len(persons):
         at = np.searchsorted(persons, hits)
-        p = np.asarray([-(10**9), *persons, 10**9])
-        near = int(np.sum(np.minimum(np.asarray(hits) - p[at], p[at + 1] - np.asarray(hits)) <= NEAR))
-    letters = sum(map(str.isalpha, text)) if not text.islower() else 1
-    capitals = sum(1 for _ in re.finditer(r"[A-ZÀ-ÖØ-Þ]", text)) / max(1, letters)
-    return [insults / n, learned / n, total / n, best, math.log1p(len(hits)), near / n, capitals, shouted / n, text.count("!") / n, text.count("?") / n, obfuscated / n, obfuscated_hits / n, math.log1p(len(tokens))]
+        p = np.r_[-(10**9), persons, 10**9]
+        near = int(np.sum(np.minimum(hits - p[at], p[at + 1] - hits) <= NEAR))
+    side = (1 << words.SIDE) - 1
+    letters, capitals = int((known & side).sum()), int((known >> words.SIDE & side).sum())
+    count = lambda k: int(on(k).sum()) / n
+    shouts, asks = text.count("!") / n, text.count("?") / n
+    densities = [count(words.INSULT), count(words.LEARNED), sum(found) / n, max(found, default=0.0), math.log1p(len(hits)), near / n]
+    return densities + [capitals / max(1, letters), count(words.SHOUTED), shouts, asks, count(words.OBFUSCATED), count(words.FOUND_OBFUSCATED), math.log1p(len(tokens))]
 
 
 def is_held_out(id_: Column) -> Column:
@@ -110,8 +126,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str =
     return texts.join(chosen, id_col).select(id_col, fold.alias("fold"), "text", "label")
 
 
-def learn_lexicon(sample: DataFrame, least: float = 12.0, most: int = 20_000) -> dict[str, float]:
-    """Pieces that are more frequent in toxic documents by a likelihood ratio of `least`, with their log odds; the best `most`."""
+def learn_lexicon(sample: DataFrame, least: float = 12.0) -> dict[str, float]:
+    """Pieces that are more frequent in toxic documents by a likelihood ratio of `least`, with their log odds.
+
+    The sample is bounded, and so is what it teaches."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, clean = Counter(), Counter()
@@ -135,7 +153,7 @@ def learn_lexicon(sample: DataFrame, least: float = 12.0, most: int = 20_000) ->
     part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / (of * rate))).otherwise(0.0) + F.when(of - seen > 0, (of - seen) * F.log((of - seen) / (of * (1 - rate)))).otherwise(0.0)
     odds = F.log(((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1)))
     scored = counts.where((F.col("t") >= 3) & (t / n_toxic > 2 * c / n_clean)).select("piece", (2 * (part(t, n_toxic) + part(c, n_clean))).alias("ratio"), odds.alias("odds"))
-    best = scored.where((F.col("ratio") >= least) & (F.col("odds") > 2)).orderBy(F.desc("ratio"), "piece").limit(most).collect()
+    best = scored.where((F.col("ratio") >= least) & (F.col("odds") > 2)).collect()
     return {r["piece"]: r["odds"] for r in best}
 
 
@@ -145,8 +163,9 @@ def with_features(df: DataFrame, lexicon: dict[str, float], text_col: str = "tex
     kinds = dict(df.dtypes)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(lexicon)
         for b in batches:
-            yield b[names].assign(features=[features(t, lexicon) for t in b[text_col]])
+            yield b[names].assign(features=[features(t, words) for t in b[text_col]])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "features array<double>"])
     return df.select(*names, text_col).mapInPandas(measured, schema)
@@ -159,9 +178,10 @@ class Model:
         self.lexicon, self.trees, self.steps = lexicon, trees, steps
 
     def score(self, measured: DataFrame) -> DataFrame:
-        """measured (with `features`) and its calibrated `score`; without trees, the lexicon's weight alone decides."""
+        """measured (with `features`) and its calibrated `score`; without trees, the share of words that are hits decides."""
         if self.trees is None:
-            return measured.withColumn("score", F.when(F.col("features")[0] > 0, 0.9).otherwise(0.0))
+            hit = F.greatest(F.col("features")[FEATURES.index("insults")], F.col("features")[FEATURES.index("learned")])
+            return measured.withColumn("score", 1 - F.exp(-20 * hit))
         got = self.trees.transform(measured.withColumn("_vector", array_to_vector("features")))
         raw = vector_to_array("_probability")[1]
         return got.withColumn("score", calibrated(raw, *self.steps)).drop("_vector", "_raw", "_probability", "_prediction")
@@ -202,7 +222,10 @@ def calibrated(raw: Column, places: list[float], values: list[float]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, rounds: int = 15, depth: int = 3) -> Model:
-    """Train on at most `most` labelled rows (a documented bound) that are not held out. Few or one-sided labels give the lexicon alone."""
+    """Train on at most `most` labelled rows (a documented bound) that are not held out.
+
+    Where a fold has fewer than two labels of a kind, as in an empty table, the model has no trees and scores by the
+    share of hits alone. Null labels and null ids teach nothing; repeated labels of an id count once, the toxic one."""
     sample = save(labelled_sample(docs, labels, most).repartition(12, "doc_id"), "toxic-sample")
     lexicon = learn_lexicon(sample.where("fold = 0"))
     measured = save(with_features(sample.where("fold > 0"), lexicon).coalesce(2).sortWithinPartitions("doc_id"), "toxic-features")
@@ -217,7 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, rounds: int = 15
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the text, with `features` and `score` from 0 to 1. Empty and null texts score as texts without a hit."""
+    """docs without the text, with `features` and `score` from 0 to 1.
+
+    Empty and null texts score as texts without a hit, and equal texts, repeated rows included, score the same. Ids,
+    null ones too, are carried along and never read; an empty table gives an empty result; columns of df named like
+    those in OWN are replaced."""
     return model.score(with_features(docs, model.lexicon, text_col))
 
 

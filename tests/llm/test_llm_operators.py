@@ -340,7 +340,27 @@ def test_toxicity_of_awkward_rows(spark, awkward):
     none = toxicity.fit(awkward.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     rows = toxicity.score_toxicity(awkward.select("doc_id", "text", "score"), none).collect()
     assert len(rows) == awkward.count() and all(r["score"] == 0 for r in rows)
-    assert toxicity.features("you 1d10t, YOU idiot!", {})[0] > 0 and toxicity.features(None, {}) == [0.0] * len(toxicity.FEATURES)
+    assert toxicity.features("you 1d10t, YOU idiot!", toxicity.Words({}))[0] > 0 and toxicity.features(None, toxicity.Words({})) == [0.0] * len(toxicity.FEATURES)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, ("you idiot scum " if i % 2 else "fine words here ") + f"number {i}") for i in range(300)], "doc_id long, text string")
+    model = toxicity.fit(docs, labels)
+    fitted = toxicity.score_toxicity(awkward.select("doc_id", "text", "score", "features"), model).collect()
+    assert model.trees is not None and len(fitted) == awkward.count() and all(0 <= r["score"] <= 1 for r in fitted)
+    assert toxicity.score_toxicity(docs.where("false"), model).count() == 0
+    assert toxicity.fit(docs.where("false"), labels).trees is None
+
+
+def test_features_equal_the_plain_counts():
+    """Each feature of a text once more, by a loop over its words."""
+    lexicon = {"=idiot": 3.0, "^scu": 2.0}
+    text = "You are an IDIOT, said Émile; sc.u.m and 1d10t! Fine words: scumbag? your hat."
+    got = dict(zip(toxicity.FEATURES, toxicity.features(text, toxicity.Words(lexicon)), strict=True))
+    tokens = text.split()
+    n = len(tokens)
+    assert got["length"] == pytest.approx(np.log1p(n)) and got["exclamations"] == 1 / n and got["questions"] == 1 / n
+    assert got["learned"] == 4 / n and got["best"] == 3.0 and got["weight"] == pytest.approx(10.0 / n) and got["insults"] == 3 / n
+    assert got["capitals"] == pytest.approx(sum(c.isupper() for c in text) / sum(c.isalpha() for c in text)) and got["shouted"] == 1 / n
+    assert got["hits"] == pytest.approx(np.log1p(4)) and got["per_second_person"] == 3 / n
 
 
 def test_isotonic_values_rise():
