@@ -176,6 +176,15 @@ def test_repeats_of_low_entropy_texts(spark, seed):
     assert got == repeats(rows)
 
 
+def test_repeats_of_one_id_with_many_texts(spark):
+    """700 texts of one id: each row gets its own ranges."""
+    shared = " ".join(f"common{i}" for i in range(20))
+    rows = [(1, shared)] + [(5, "x" * i + shared + "y" * (i % 7)) for i in range(700)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 701 and sum(r["n_removed"] for r in got if r["doc_id"] == 5) == 700 * len(shared)
+    assert sorted(bytes(r["kept"]).decode() for r in got if r["doc_id"] == 5) == sorted("x" * i + "y" * (i % 7) for i in range(700))
+
+
 def test_repeats_of_awkward_rows(spark, awkward):
     rows = substrings.remove_repeats(awkward).collect()
     assert len(rows) == awkward.count()
