@@ -33,7 +33,7 @@ from pelagia.llm.rolling import BASE, INVERSE, mixed, powers, window_hashes
 #: Positions that are looked at together; their numbers take the low bits of a key.
 PLACE_BITS = 18
 #: Stretches or strings that a task holds before it deals them, and that a part is meant to have.
-HELD, PER_PART = 1_000_000, 500_000
+HELD, PER_PART = 250_000, 300_000
 #: The columns of a stretch and of a string on their way to a part.
 STRETCH = {"bucket": np.uint64, "deep": np.uint64, "doc": np.int64, "copy": np.int64, "start": np.int32, "off": np.uint8, "n": np.uint8, "side": np.uint32}
 STRING = {"one": np.uint64, "two": np.uint64, "doc": np.int64, "copy": np.int64, "start": np.int32}
