@@ -21,7 +21,7 @@ from pelagia.llm.rolling import NOT_SPACE, chunks, ngram_hashes, word_hashes
 from pelagia.llm.simhash import links
 
 PAIRS = "left boolean, a long, b long, size int, pos int"
-MEETING = ("token", "node", "size", "pos", "comp", "n", "r", "last")
+MEETING = ("token", "node", "size", "pos", "comp", "n", "r")
 
 
 def shingle_sets(texts: Iterable[str | None], width: int) -> Iterator[list[np.ndarray]]:
@@ -93,10 +93,10 @@ def _may_be_alike(sa: np.ndarray, pa: np.ndarray, sb: np.ndarray, pb: np.ndarray
 def meetings(batches: Iterator[pd.DataFrame], similarity: float, small: int, pivots: int) -> Iterator[pd.DataFrame]:
     """Pairs to verify (left is false) and members still to be compared (left is true).
 
-    Rows come sorted by token and r, a member's place among the n that share the token, small components first; `last`
-    is the component of the last of them. Members of one component need no pair. A token of up to `small` members gives
-    all other pairs. Of a larger one the first `pivots` members are compared with all, and the rest stays for the next
-    round unless it is one component. Only the pivots and one small token are held."""
+    Rows come sorted by token and r, a member's place among the n that share the token: first those with the fewest
+    rarer shingles, which are like the most others. Members of one component need no pair. A token of up to `small`
+    members gives all other pairs. Of a larger one the first `pivots` members are compared with all, and the rest stays
+    for the next round. Only the pivots and one small token are held."""
     carry: pd.DataFrame | None = None
     open_: dict | None = None
     for b in batches:
@@ -105,11 +105,11 @@ def meetings(batches: Iterator[pd.DataFrame], similarity: float, small: int, piv
         if carry is not None:
             b = pd.concat([carry, b], ignore_index=True)
             carry = None
-        token, node, size, pos, comp, n, r, last = (b[c].to_numpy() for c in MEETING)
+        token, node, size, pos, comp, n, r = (b[c].to_numpy() for c in MEETING)
         if n[-1] <= small and r[-1] < n[-1]:
             cut = int(np.searchsorted(np.cumsum(token[::-1] != token[-1]), 1))
             carry = b.iloc[len(b) - cut :]
-            token, node, size, pos, comp, n, r, last = (b[c].to_numpy()[: len(b) - cut] for c in MEETING)
+            token, node, size, pos, comp, n, r = (b[c].to_numpy()[: len(b) - cut] for c in MEETING)
         firsts, seconds, left = [], [], []
 
         def take(na, sa, pa, ca, nb, sb, pb, cb) -> None:
@@ -124,7 +124,7 @@ def meetings(batches: Iterator[pd.DataFrame], similarity: float, small: int, piv
         big = np.flatnonzero(n > small)
         for part in np.split(big, np.flatnonzero(np.diff(token[big])) + 1) if len(big) else ():
             if open_ is None or open_["token"] != token[part[0]]:
-                open_ = {"token": token[part[0]], "held": [], "rest": None}
+                open_ = {"token": token[part[0]], "held": []}
             new = part[r[part] <= pivots]
             for i in new.tolist():
                 later = part[part > i]
@@ -133,26 +133,19 @@ def meetings(batches: Iterator[pd.DataFrame], similarity: float, small: int, piv
             for one in open_["held"]:
                 take(*one, *(x[part] for x in (node, size, pos, comp)))
             open_["held"] += [(node[i], size[i], pos[i], comp[i]) for i in new.tolist()]
-            if len(rest):
-                if open_["rest"] is None:
-                    open_["rest"] = comp[rest[0]]
-                if open_["rest"] != last[rest[0]]:
-                    left.append(rest)
+            left.append(rest)
         pairs = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)], axis=1), axis=0) if firsts else np.zeros((0, 2), dtype=np.int64)
         if len(pairs):
             yield pd.DataFrame({"left": False, "a": pairs[:, 0], "b": pairs[:, 1], "size": 0, "pos": 0})
-        for rest in left:
+        for rest in filter(len, left):
             yield pd.DataFrame({"left": True, "a": node[rest], "b": token[rest], "size": size[rest], "pos": pos[rest]})
 
 
 def met(members: DataFrame, label: DataFrame, similarity: float, small: int, pivots: int) -> DataFrame:
     """The rows of meetings() for members (token, node, size, pos) with the components that label gives them."""
-    weight = label.groupBy("comp").agg(F.count("*").alias("weight"))
-    rows = members.join(label.join(weight, "comp"), "node")
     one = Window.partitionBy("token")
-    ranked = rows.withColumn("r", F.row_number().over(one.orderBy("weight", "comp", "node"))).withColumn("n", F.count("*").over(one))
-    ends = ranked.withColumn("first", F.min("comp").over(one)).withColumn("last", F.max(F.struct("weight", "comp")).over(one)["comp"]).withColumn("most", F.max("comp").over(one))
-    apart = ends.where("n > 1 AND first < most").select(*MEETING)
+    ranked = members.join(label, "node").withColumn("r", F.row_number().over(one.orderBy("pos", "node"))).withColumn("n", F.count("*").over(one))
+    apart = ranked.withColumn("first", F.min("comp").over(one)).withColumn("most", F.max("comp").over(one)).where("first < most").select(*MEETING)
     return apart.mapInPandas(lambda batches: meetings(batches, similarity, small, pivots), PAIRS)
 
 
@@ -169,7 +162,7 @@ def groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     small: int = 24,
-    pivots: int = 4,
+    pivots: int = 8,
     sample: int = 20_000,
     most_hot: int = 1 << 18,
 ) -> DataFrame:
@@ -233,7 +226,7 @@ def groups(
         members = step.where("left").select(F.col("b").alias("token"), F.col("a").alias("node"), "size", "pos")
         if members.isEmpty():
             break
-        pivots *= 4
+        pivots *= 8
     named = save(texts.join(label, "node").select("key", "node", F.col("comp").alias("group")), "groups")
     out = marked.select("id", "key", F.col("node").alias("own")).join(named, "key")
     real = F.when(F.col("group") < (1 << 62), F.col("group"))

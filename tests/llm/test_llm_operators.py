@@ -314,12 +314,11 @@ def test_meetings_in_rounds_lose_no_pair(batch):
     want = {(min(a.node, b.node), max(a.node, b.node)) for a in frame.itertuples() for b in frame.itertuples() if a.token == b.token and a.comp != b.comp}
     got, pivots, rounds = set(), 2, 0
     comps = frame[["node", "comp"]].drop_duplicates()
-    comps["weight"] = comps.groupby("comp")["node"].transform("size")
     members = frame[["token", "node", "size", "pos"]]
     while len(members):
-        rows = members.merge(comps, on="node").sort_values(["token", "weight", "comp", "node"], ignore_index=True)
+        rows = members.merge(comps, on="node").sort_values(["token", "pos", "node"], ignore_index=True)
         of = rows.groupby("token")
-        rows["r"], rows["n"], rows["last"] = of.cumcount() + 1, of["node"].transform("size"), of["comp"].transform("last")
+        rows["r"], rows["n"] = of.cumcount() + 1, of["node"].transform("size")
         rows = rows[of["comp"].transform("nunique") > 1]
         made = pd.concat([*similar.meetings((rows.iloc[i : i + batch] for i in range(0, len(rows), batch)), 0.8, 8, pivots), pd.DataFrame(columns=["left", "a", "b", "size", "pos"])])
         left = made["left"].astype(bool)
