@@ -1,11 +1,12 @@
-"""Approximate nearest neighbours on shifted space-filling curves, with an exact pass over what bounds cannot exclude.
+"""Approximate nearest neighbours on shifted space-filling curves, with a reach that is fitted to the wanted recall.
 
 Vectors are projected to a few random directions, shifted, and ordered along a Hilbert curve; several projections give
 several orders. Spark range-partitions each order, and runs of consecutive vectors become windows. A query is compared
 with its own and the neighbouring windows of every curve; the merged candidates are reranked by their exact cosine.
-The k-th best score so far then bounds what another window may offer: windows whose centre and radius cannot beat it
-are skipped, the others are compared in blocks. So the answer does not depend on how well the curves fit the data,
-only the work does.
+
+How many curves and how many windows on either side are used is fitted: a bounded sample of the queries is compared with
+all vectors, and the cheapest choice that finds the wanted share of the sample's true neighbours is taken. Vectors with
+structure need few windows; vectors without any, whose neighbours are hardly nearer than others, need most of them.
 """
 
 from __future__ import annotations
@@ -153,91 +154,94 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = 3, size: int = 1024, per_range: int = 100_000, exact: bool = True) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest other rows of each query row by cosine, ties to the smaller id.
-
-    is_query: a condition on the column `id`. Null, zero, null-holding and non-finite vectors, vectors of an unusual
-    length and rows without an id take no part. Rows that repeat an id are compared with each other's queries as one
-    neighbour. exact=False leaves the result at what the curves' windows found; an empty table gives an empty result."""
-    spark = df.sparkSession
-    vectors = save(usable(df, id_col, vector_col), "vectors")
-    n = vectors.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = vectors.select(F.size("vec")).first()[0]
-    n_ranges = max(2, -(-n // per_range))
+def _compared(rows: DataFrame, d: int, k: int) -> DataFrame:
+    """The k best of each row's queries (asking, asked) in its window (ids, data)."""
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for asking, asked, ids, data in zip(b["asking"], b["asked"], b["ids"], b["data"], strict=True):
                 yield _best(np.asarray(asking), _matrix(asked, d), np.full(len(asking), -np.inf), np.asarray(ids), _matrix(data, d), k)
 
-    orders = [windows(vectors, d, c, size, n_ranges, is_query) for c in range(curves)]
-    found = []
-    for blocks in orders:
-        near = queries_of(blocks, d).select(F.explode(F.sequence(F.col("number") - 1, F.col("number") + 1)).alias("number"), "asking", "asked")
-        found.append(near.join(blocks, "number").select("asking", "asked", "ids", "data").mapInPandas(compared, FOUND))
-    candidates = save(merged(reduce(DataFrame.union, found), k), "candidates")
-    if not exact:
-        return candidates.select("query_id", "rank", "vec_id", "score")
-    return _completed(orders[0], candidates, d, k)
-
-
-def _completed(blocks: DataFrame, candidates: DataFrame, d: int, k: int, shards: int = 16) -> DataFrame:
-    """candidates made exact: windows that may hold a better neighbour of a query are compared with it, in blocks."""
-    floors = candidates.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("floor"))
-
-    def one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for number, asking, asked in zip(b["number"], b["asking"], b["asked"], strict=True):
-                yield pd.DataFrame({"team": number // 16, "query_id": np.asarray(asking), "vec": [x.tobytes() for x in _matrix(asked, d)]})
-
-    single = queries_of(blocks, d).mapInPandas(one_by_one, "team long, query_id long, vec binary").join(floors, "query_id", "left")
-    asked = F.struct("query_id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "vec")
-    teams = save(single.groupBy("team").agg(F.array_sort(F.collect_list(asked)).alias("q")), "teams")
+    return rows.select("asking", "asked", "ids", "data").mapInPandas(compared, FOUND)
 
-    def centred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for number, data in zip(b["number"], b["data"], strict=True):
-                centre, radius = _ball(_matrix(data, d))
-                yield pd.DataFrame([(number, number % shards, centre.tobytes(), radius)], columns=["number", "shard", "centre", "radius"])
-
-    centres = blocks.mapInPandas(centred, "number long, shard long, centre binary, radius double").groupBy("shard").agg(F.collect_list(F.struct("number", "centre", "radius")).alias("balls"))
 
-    def open_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for team, q, balls in zip(b["team"], b["q"], b["balls"], strict=True):
-                x = _matrix(b"".join(r["vec"] for r in q), d)
-                x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                c = _matrix(b"".join(r["centre"] for r in balls), d)
-                apart = np.arccos(np.clip(x @ c.T, -1, 1)) - np.array([r["radius"] for r in balls])[None, :]
-                reach = np.cos(np.clip(apart, 0, np.pi)) + 1e-7
-                needed = (reach >= np.array([r["floor"] for r in q])[:, None]).any(axis=0)
-                if needed.any():
-                    yield pd.DataFrame({"team": team, "number": [r["number"] for r, y in zip(balls, needed, strict=True) if y]})
-
-    spread = teams.select("team", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    pairs = save(spread.join(centres, "shard").select("team", "q", "balls").mapInPandas(open_, "team long, number long"), "open")
+def true_neighbours(vectors: DataFrame, queries: DataFrame, d: int, k: int, size: int = 4096) -> DataFrame:
+    """FOUND: the exact k nearest of few queries (their vectors travel with the tasks), by one pass over all vectors."""
+    rows = queries.orderBy("id").collect()
+    asking, asked = np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=np.float64)
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame(columns=["query_id", "vec_id", "score"])
         for b in batches:
-            for q, ids, data in zip(b["q"], b["ids"], b["data"], strict=True):
-                asking = np.array([r["query_id"] for r in q])
-                yield _best(asking, _matrix(b"".join(r["vec"] for r in q), d), np.array([r["floor"] for r in q]), np.asarray(ids), _matrix(data, d), k)
-
-    more = pairs.join(blocks, "number").join(teams, "team").select("q", "ids", "data").mapInPandas(compared, FOUND)
-    return merged(more.union(candidates.select("query_id", "vec_id", "score")), k).select("query_id", "rank", "vec_id", "score")
-
-
-def _ball(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """A unit centre of vectors and the largest angle between it and one of them."""
-    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-    centre = unit.sum(axis=0)
-    length = np.sqrt((centre * centre).sum())
-    centre = centre / length if length > 1e-12 else unit[0]
-    return centre, float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+            for i in range(0, len(b), size):
+                part = b.iloc[i : i + size]
+                got = _best(asking, asked, np.full(len(asking), -np.inf), part["id"].to_numpy(), np.stack(part["vec"].to_numpy()), k)
+                best = pd.concat([best, got]) if len(best) else got
+                best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(2 * k)
+        yield best
+
+    return merged(vectors.select("id", "vec").mapInPandas(passed, FOUND), k)
+
+
+def fitted_reach(places: DataFrame, true: DataFrame, curves: int, recall: float) -> tuple[int, int]:
+    """(curves, windows on either side) of the fewest windows in all that find `recall` of the true neighbours.
+
+    places: curve, id, number of the window; true: query_id, vec_id, both of a bounded sample."""
+    ask = true.select("query_id", "vec_id").distinct()
+    asked = ask.join(places.toDF("curve", "query_id", "own"), "query_id").join(places.toDF("curve", "vec_id", "its"), ["curve", "vec_id"])
+    rows = asked.groupBy("query_id", "vec_id", "curve").agg(F.min(F.abs(F.col("own") - F.col("its"))).alias("apart")).collect()
+    pairs = sorted({(r["query_id"], r["vec_id"]) for r in rows})
+    if not pairs:
+        return 1, 1
+    at = {p: i for i, p in enumerate(pairs)}
+    apart = np.full((len(pairs), curves), np.iinfo(np.int64).max)
+    for r in rows:
+        apart[at[r["query_id"], r["vec_id"]], r["curve"]] = r["apart"]
+    need = int(np.ceil(recall * len(pairs))) - 1
+    reach = [int(np.sort(apart[:, : c + 1].min(axis=1))[need]) for c in range(curves)]
+    best = min(range(curves), key=lambda c: ((c + 1) * (2 * max(1, reach[c]) + 1), c))
+    return best + 1, max(1, reach[best])
+
+
+def search(
+    df: DataFrame,
+    is_query: Column,
+    k: int = 5,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    curves: int = 6,
+    size: int = 256,
+    per_range: int = 100_000,
+    recall: float = 0.96,
+    sample: int = 128,
+) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest found of each query row by cosine, ties to the smaller id.
+
+    is_query: a condition on the column `id`. All vectors are in the windows of every curve. The number of curves (at
+    most `curves`) and of windows is fitted so that `sample` queries, those of the smallest hashes, find `recall` of
+    their true neighbours; both are bounds on what reaches the driver. Null, zero, null-holding and non-finite vectors,
+    vectors of an unusual length and rows without an id take no part. Rows that repeat an id count as one neighbour, the
+    nearest; queries of one id are answered together. Equal vectors tie. An empty table or one without queries gives an
+    empty result."""
+    spark = df.sparkSession
+    vectors = save(usable(df, id_col, vector_col), "vectors")
+    n = vectors.count()
+    if not n or vectors.where(is_query).isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    d = vectors.select(F.size("vec")).first()[0]
+    n_ranges = max(2, -(-n // per_range))
+    orders = [save(windows(vectors, d, c, size, n_ranges, is_query), "windows") for c in range(curves)]
+    few = vectors.where(is_query).orderBy(F.xxhash64("id"), "id").limit(sample)
+    true = save(true_neighbours(vectors, few, d, k), "true-neighbours")
+    places = reduce(DataFrame.union, (o.select(F.lit(c).alias("curve"), F.explode("ids").alias("id"), "number") for c, o in enumerate(orders)))
+    used, reach = fitted_reach(places, true, curves, recall)
+    found = []
+    for blocks in orders[:used]:
+        near = queries_of(blocks, d).select(F.explode(F.sequence(F.col("number") - reach, F.col("number") + reach)).alias("number"), "asking", "asked")
+        found.append(_compared(near.join(blocks, "number"), d, k))
+    return merged(reduce(DataFrame.union, found), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest other vectors of every 50th vector."""
+    """The 5 nearest other vectors found of every 50th vector."""
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
