@@ -3,8 +3,9 @@
 A page becomes a tree. For every node the characters, tags, characters in links and link tags of its subtree give its
 composite text density: characters per tag, damped where much of the text is link text. A node's density sum adds the
 densities of its children. The node with the largest sum holds the article; the smallest density on the path from the
-body to it is the threshold that a block must reach to count as content. What the markup itself names as furniture
-(menus, footers, forms, adverts, notices, comments) is taken out before the densities are summed.
+body to it is the threshold: the article is widened to neighbours that reach it, and lists of links in the article that
+do not reach it are left out. What the markup itself names as furniture (menus, footers, forms, adverts, notices,
+comments) is taken out before the densities are summed. Markup is read in time proportional to the page's length.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,18 +43,31 @@ CLOSES_P = BLOCK - frozenset("body html li dt dd td th tr tbody thead tfoot opti
 #: Elements, roles and words of class or id that name what is not the article.
 FURNITURE = frozenset("nav footer aside form button select input label dialog menu svg canvas object audio video script style noscript template iframe textarea head title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar|side-?bar|aside|footer|foot|masthead|topbar|header|site-?header|page-?header|toolbar|pagination|pager|"
-    r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|widget|login|search|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.IGNORECASE,
+NAMES = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice
+    notification alert popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer foot
+    masthead topbar header toolbar pagination pager share sharing social related recommended recommendations comment comments commentlist disqus replies respond widget
+    widgets login search skip copyright legal disclaimer""".split()
 )
+#: Words that beside one of NAMES still name furniture; any other word makes a name of the page's own.
+BESIDE = frozenset("site page main top bottom left right primary secondary global mobile box bar list links link icons buttons block section container wrapper wrap inner outer area items item form text message posts post".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+MARK = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))")
+QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 SPACE = re.compile(r"\s+")
 
 
+def names_furniture(names: str) -> bool:
+    """Whether one of a class attribute's names or an id says that the element is not the article."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        own_title = "post" in parts and "header" in parts
+        if any(p in NAMES for p in parts) and all(p in NAMES or p in BESIDE for p in parts) and not own_title:
+            return True
+    return False
+
+
 @dataclass
 class Node:
     """An element; children hold nodes and decoded strings in page order."""
@@ -74,66 +89,110 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(text)}
 
 
+class Tags:
+    """The marks of a page in order; remembers what the rest of the page does not hold, so that nothing is searched twice."""
+
+    def __init__(self, page: str):
+        self.page, self.lenient = page, False
+
+    def end(self, at: int) -> int:
+        """The place after the `>` that ends the tag whose name ends at `at`; -1 if none does. Quoted values may hold one."""
+        page, pos = self.page, at
+        while not self.lenient:
+            m = QUOTE_OR_END.search(page, pos)
+            if m is None:
+                self.lenient = True
+            elif m[0] == ">":
+                return m.end()
+            elif page[:m.start()].endswith("=") or page[max(at, m.start() - 20) : m.start()].rstrip().endswith("="):
+                close = page.find(m[0], m.end())
+                if close < 0:
+                    self.lenient = True
+                pos = close + 1
+            else:
+                pos = m.end()
+        return page.find(">", at) + 1 or -1
+
+
 def parse(page: str) -> Node:
     """A tree of any markup: unknown end tags are ignored, open elements end with the page."""
     root = Node("html")
-    at, pos, open_ = root, 0, []
+    at, pos, tags, open_ = root, 0, Tags(page), Counter()
+    no_cdata_end = False
 
     def close(tag: str, within: frozenset[str] = frozenset()) -> None:
         nonlocal at
-        node = at
+        if not open_[tag]:
+            return
+        node, passed = at, []
         while node is not root and node.tag != tag:
             if node.tag in within:
                 return
+            passed.append(node.tag)
             node = node.parent
         if node is not root:
+            open_.subtract([*passed, tag])
             at = node.parent
 
-    while True:
-        m = TOKEN.search(page, pos)
-        raw = page[pos : m.start() if m else len(page)]
+    def text(raw: str) -> None:
         if raw:
             at.children.append(entities.unescape(raw) if "&" in raw else raw)
+
+    while True:
+        m = MARK.search(page, pos)
+        text(page[pos : m.start() if m else len(page)])
         if m is None:
             return root
         pos = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                at.children.append(m[0][9:-3])
+            if m[0] == "<!--":
+                end = page.find("-->", pos)
+                pos = end + 3 if end >= 0 else len(page)
+            elif m[0] == "<![CDATA[" and not no_cdata_end and (end := page.find("]]>", pos)) >= 0:
+                at.children.append(page[pos:end])
+                pos = end + 3
+            else:
+                no_cdata_end |= m[0] == "<![CDATA["
+                end = page.find(">", pos)
+                pos = end + 1 if end >= 0 else len(page)
             continue
-        tag = m[2].lower()
+        end = tags.end(pos)
+        if end < 0:  # no tag ends any more: the rest is text
+            text(page[m.start() :])
+            return root
+        inside, pos, tag = page[pos : end - 1], end, m[2].lower()
         if m[1]:
             if tag not in VOID:
                 close(tag)
             elif tag == "br":
                 at.children.append(Node("br", at))
             continue
-        if tag in ("html", "body") and at.tag == "html":
-            if tag == "html":
-                continue
+        if tag == "html":
+            continue
         if tag in CLOSES_P:
             close("p", SCOPES | frozenset(["button"]))
         for other in CLOSED_BY.get(tag, ()):
             close(other, frozenset("ul ol dl table select".split()))
-        found = _attributes(m[3]) if m[3].strip(" /") else {}
+        found = _attributes(inside) if inside.strip(" /") else {}
         node = Node(tag, at, f"{found.get('class', '')} {found.get('id', '')}".strip())
         node.drop = tag in FURNITURE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
         node.drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE))
         at.children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW and tag not in ("a", "b", "i", "em", "strong", "span"):
+        if tag in VOID or inside.endswith("/") and tag not in BLOCK and tag not in RAW and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, pos)
             node.drop = True
-            pos = end.end() if end else len(page)
+            raw_end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, pos)
+            pos = raw_end.end() if raw_end else len(page)
             continue
         at = node
+        open_[tag] += 1
 
 
 def _furniture(node: Node, in_article: bool) -> bool:
     if node.drop or node.tag == "header" and not in_article:
         return True
-    return bool(node.names) and node.tag not in ("html", "body", "article", "main") and NAMED.search(node.names) is not None
+    return bool(node.names) and node.tag not in ("html", "body", "article", "main") and names_furniture(node.names)
 
 
 def measure(root: Node) -> None:
@@ -183,8 +242,15 @@ def _nodes(node: Node) -> Iterator[Node]:
         stack += [c for c in reversed(here.children) if isinstance(c, Node)]
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below a node in page order, white space as one space; `br` ends a block as well."""
+def _is_link_list(node: Node, threshold: float) -> bool:
+    """Whether a block below the threshold holds several links and little else."""
+    return node.tag in BLOCK and node.density < threshold and node.link_tags >= 3 and node.link_chars * 4 >= node.chars * 3
+
+
+def blocks(node: Node, threshold: float = 0.0) -> list[str]:
+    """The texts of the blocks below a node in page order, white space as one space; `br` ends a block as well.
+
+    Lists of links whose density is below the threshold are no blocks of the article."""
     out: list[str] = []
     text: list[str] = []
 
@@ -202,7 +268,7 @@ def blocks(node: Node) -> list[str]:
             text.append(here)
         elif here.tag in ("br", "hr"):
             end()
-        else:
+        elif here is node or not _is_link_list(here, threshold):
             if here.tag in BLOCK:
                 end()
                 stack.append(None)
@@ -211,14 +277,14 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def main_node(root: Node) -> Node | None:
-    """The node whose subtree is the article: the largest density sum, widened while the path's threshold allows.
+def main_node(root: Node) -> tuple[Node | None, float]:
+    """The node whose subtree is the article, and the path's threshold: the largest density sum, widened while the threshold allows.
 
     An `article` or `main` element that holds the winner is taken as a whole, as what the page itself marks."""
     body = next((n for n in _nodes(root) if n.tag == "body"), root)
     best = max(_nodes(body), key=lambda n: n.density_sum, default=None)
     if best is None or not best.chars:
-        return body if body.chars else None
+        return (body if body.chars else None), 0.0
     marked, node, threshold = None, best, best.density
     while node is not None and node is not body.parent:
         threshold = min(threshold, node.density)
@@ -226,14 +292,14 @@ def main_node(root: Node) -> Node | None:
             marked = node
         node = node.parent
     if marked is not None:
-        return marked
+        return marked, threshold
     node = best
     while node is not body and node.parent is not None:
         rest = [c for c in node.parent.children if isinstance(c, Node) and c is not node and c.chars]
         if not rest or all(c.density < threshold or c.link_chars * 2 > c.chars for c in rest):
             break
         node = node.parent
-    return node
+    return node, threshold
 
 
 def extract(page: str | None) -> str:
@@ -242,15 +308,16 @@ def extract(page: str | None) -> str:
         return ""
     root = parse(page)
     measure(root)
-    node = main_node(root)
-    return " ".join(blocks(node)) if node is not None else ""
+    node, threshold = main_node(root)
+    return " ".join(blocks(node, threshold)) if node is not None else ""
 
 
 def main_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df without html_col and with a column `text`, the main text of the page; a column `text` of df is replaced.
 
     Null, empty and text-free pages give an empty text; any other bytes are read as leniently as a browser would.
-    Repeated rows are answered row by row."""
+    Repeated rows and equal pages are answered row by row; null values in other columns and columns of any names are
+    carried along; an empty table gives an empty result. Equal density sums go to the node that comes first."""
     names = [c for c in df.columns if c not in (html_col, "text")]
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
