@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -60,6 +63,72 @@ def test_secrets_unwrap_layers_and_map_spans():
     assert secrets.scan("Token = 'abcdef'")[0] == [("assign", 0, 15)]
 
 
+def _levels(text, depth=5):
+    """Kinds found in a text and in what it decodes to, level by level, by other means than the operator's."""
+    kinds = {k for k, _, _ in secrets.base_spans(text)}
+    if depth:
+        whole = urllib.parse.unquote(text, errors="replace")
+        pieces = [whole] if whole != text else []
+        for run in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+            try:
+                data = base64.b64decode(run)
+            except ValueError:
+                continue
+            for open_ in (gzip.decompress, bz2.decompress, lzma.decompress, lambda x: zlib.decompress(x, -15), bytes):
+                try:
+                    pieces.append(open_(data).decode("latin-1"))
+                except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+                    continue
+        for p in pieces:
+            kinds |= _levels(p, depth - 1)
+    return kinds
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_random_wrappings_are_unwrapped(seed):
+    rng = np.random.default_rng(seed)
+    raw = zlib.compressobj(wbits=-15)
+    wraps = [
+        lambda t: base64.b64encode(t.encode()).decode(),
+        lambda t: base64.b64encode(gzip.compress(t.encode("utf-8"))).decode(),
+        lambda t: base64.b64encode(bz2.compress(t.encode())).decode(),
+        lambda t: base64.b64encode(lzma.compress(t.encode())).decode(),
+        lambda t: base64.b64encode(raw.copy().compress(t.encode()) + (lambda z: z.compress(t.encode()) + z.flush())(raw.copy())).decode(),
+        lambda t: urllib.parse.quote(t, ""),
+    ]
+    text = "é\u00a0 ok password=hunter2222 " + "0f" * 13
+    for k in rng.integers(0, len(wraps), 3):
+        text = f"before {wraps[k](text)} after"
+    assert _levels(text) <= {k for k, _, _ in secrets.scan(text)[1]}
+    assert {"assign", "hex"} <= {k for k, _, _ in secrets.scan(text)[1]}
+
+
+def test_layers_of_any_bytes_are_scanned():
+    for data in ("mot de passe é: token=abcdef99".encode("latin-1"), b"x\0y token=abcdef99", b"\xfftoken=abcdef99 zz", gzip.compress(b"nothing ") + gzip.compress(b"token=abcdef99")):
+        text = f"q {base64.b64encode(data).decode()} r"
+        assert any(k == "assign" for k, _, _ in secrets.scan(text)[1]), data
+    quoted = urllib.parse.quote(gzip.compress(b"token=abcdef99 and more"), safe="")
+    assert ("assign", 2, 2 + len(quoted)) in secrets.scan(f"q {quoted} r")[1]
+
+
+def test_deep_escapes_cost_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("%" + "25" * 20_000 + "41", "&" + "#38;" * 5_000 + "#65;", "\\u005c" + "u005c" * 5_000 + "u0041"):
+        assert secrets.scan(text)[2] <= 2 * secrets.DEEP + 4
+    assert time.time() - began < 8
+    for levels in (12, 18):
+        text = "secret%" + "25" * levels + "3Dabcdefgh"
+        assert ("assign", 0, len(text)) in secrets.scan(text + ";")[1]
+
+
+def test_secrets_of_awkward_rows(spark, awkward):
+    rows = secrets.find_secrets(awkward.union(awkward)).collect()
+    assert len(rows) == 2 * awkward.count() and all(r["n_layers"] == 1 for r in rows if r["doc_id"] in (3, 4))
+    assert secrets.find_secrets(awkward.where("false")).count() == 0
+
+
 def test_a_layer_that_decodes_to_itself_ends():
     assert secrets.scan("%25" * 50 + "%41")[2] < 100
 
@@ -87,6 +156,39 @@ def test_pages_keep_the_article_only():
     assert html.extract("<p>" * 3000 + "deep") == "deep"
 
 
+#: Pages with what is the article marked by hand.
+LABELLED = [
+    ('<div class="content with-sidebar"><p>real article body text</p></div>', "real article body text"),
+    ('<article><h1>On science</h1><div class="social-science"><p>Social science is a field of study.</p></div><div class="social-share"><a href=x>Share</a></div></article>', "On science Social science is a field of study."),
+    ('<body><div id="site-header">Logo</div><div class="post"><div class="post-header"><h1>Title here</h1></div><p>Body of the post, which is long enough.</p></div><ul class="main-menu"><li><a>a</a></ul></body>', "Title here Body of the post, which is long enough."),
+    ('<main><p>One paragraph with words, and a <a href="x">link</a> in it.</p><ul><li>first point<li>second point</ul></main><div class="comment-list"><p>me too</p></div>', "One paragraph with words, and a link in it. first point second point"),
+    ('<body><nav><a href="/">Home</a></nav><table><tr><td>Cell one text<td>Cell two text</table><div class="cookie-banner">We use cookies</div></body>', "Cell one text Cell two text"),
+    ('<p title="a > b">Greater &gt; than</p><!-- <p>no</p> --><p>5 < 6 and more</p>', "Greater > than 5 < 6 and more"),
+]
+
+
+@pytest.mark.parametrize("page, article", LABELLED)
+def test_labelled_pages(page, article):
+    assert html.extract(page) == article
+
+
+def test_hostile_markup_is_read_in_linear_time():
+    import time
+
+    began = time.time()
+    for part in ('<a b="', "<a ", "<![CDATA[", "</x>", "<p></div>", "<!-- ", "<a b='\">", '<i a="> ', "<li>", "<p", "&#", "<b><p></b>"):
+        html.extract(part * (1_000_000 // len(part)) if part not in ("<li>", "<p></div>", "<b><p></b>") else part * 20_000)
+    assert time.time() - began < 30
+
+
+def test_pages_of_awkward_rows(spark):
+    rows = [(1, None, None, "x"), (1, "", "u", None), (2, "<p>" + "long text " * 100_000, "u", "x"), (2, "<p>same", "u", "x"), (2, "<p>same", "u", "x"), (None, "plain", None, None)]
+    made = html.main_text(spark.createDataFrame(rows, "page_id long, html string, url string, text string"))
+    assert made.columns == ["page_id", "url", "text"]
+    assert sorted(len(r["text"]) for r in made.collect()) == [0, 0, 4, 4, 5, 999_999]
+    assert html.main_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
 def test_pages_of_the_table(spark, sf):
     rows = QUERIES["op3_html_extraction"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
@@ -377,17 +479,49 @@ def test_isotonic_values_rise():
     assert places == sorted(places) and values == sorted(values) and values[0] < 0.5 < values[-1]
 
 
-def test_neighbours_equal_brute_force(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding IS NOT NULL").select("vec_id", "embedding").collect()
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
-    norm = np.sqrt((x * x).sum(axis=1))
-    got = {}
-    for r in QUERIES["op8_nearest_neighbours"](spark, sf).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    for q in np.flatnonzero(ids % 50 == 0):
+def _recall(got, ids, x, is_query, k=5):
+    """The share of the true neighbours that got (query_id, vec_id, score rows) holds; scores must be exact."""
+    norm, found, hits, asked = np.sqrt((x * x).sum(axis=1)), {}, 0, 0
+    for r in got:
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    at = {i: k for k, i in enumerate(ids.tolist())}
+    for q in np.flatnonzero(is_query):
         s = (x * x[q]).sum(axis=1) / (norm * norm[q])
+        mine = found[ids[q]]
+        assert ids[q] not in mine and all(s[at[i]] == pytest.approx(v, abs=1e-12) for i, v in mine.items())
         s[q] = -9
-        assert got[ids[q]] == ids[np.lexsort((ids, -s))[:5]].tolist()
+        hits += len(set(ids[np.lexsort((ids, -s))[:k]].tolist()) & set(mine))
+        asked += k
+    return hits / asked
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.1"])
+def test_neighbours_against_brute_force(spark, sf, scale):
+    sf = sf.replace("0.001", scale)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding IS NOT NULL").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    got = QUERIES["op8_nearest_neighbours"](spark, sf).orderBy("query_id", "rank").collect()
+    assert _recall(got, ids, x, ids % 50 == 0) >= 0.9
+    assert all(a["score"] >= b["score"] for a, b in zip(got, got[1:], strict=False) if a["query_id"] == b["query_id"])
+
+
+def test_neighbours_of_clustered_vectors_need_few_windows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((150, 24))
+    x = np.repeat(centres, 40, axis=0) + 0.1 * rng.standard_normal((6000, 24))
+    ids = np.arange(6000)
+    fit, chosen = neighbours.fitted_reach, []
+    monkeypatch.setattr(neighbours, "fitted_reach", lambda *a: chosen.append(fit(*a)) or chosen[-1])
+    got = neighbours.search(spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()})), F.col("id") % 50 == 0, size=64).collect()
+    assert _recall(got, ids, x, ids % 50 == 0) >= 0.9
+    assert chosen[0][0] * (2 * chosen[0][1] + 1) <= 30  # of 94 windows, on each of so many curves
+
+
+def test_neighbours_of_ties_and_repeated_ids(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(8)] + [(9, [0.0, 1.0]), (9, [0.0, 2.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k=3, size=4).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
+    assert neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(False)).count() == 0
 
 
 def test_neighbours_of_awkward_vectors(spark):
