@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelagia.lineage import cut
+
 #: Java's regular expression for a word: what lies between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: With this setting Spark removes a query's shuffle files when the query has ended.
@@ -18,30 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pelagia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: this cuts the lineage and survives lost executors.
 
     Nothing reads the query's shuffle files after that, so they need not stay until the session ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        return cut(df, name, "tables")
     finally:
         spark.conf.set(CLEANUP, before)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._saved_at = path
-    return made
 
 
 def discard(*saved: DataFrame) -> None:
