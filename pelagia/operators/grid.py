@@ -26,8 +26,8 @@ def z_to_sigma(z: Column, depth: Column, eta: Column) -> Column:
 
 
 def layer_thickness(levels: DataFrame) -> DataFrame:
-    """Levels (j, i, k, sigma, depth, eta) with the thickness of the layer above each; null for the top one."""
-    above = F.lead("sigma").over(Window.partitionBy("j", "i").orderBy("k"))
+    """Levels (j, i, k, sigma, depth, eta; time_idx too if there are several) with the thickness of the layer above each; null for the top one."""
+    above = F.lead("sigma").over(Window.partitionBy(*(c for c in ("time_idx", "j", "i") if c in levels.columns)).orderBy("k"))
     return levels.withColumn("thickness", (above - F.col("sigma")) * (F.col("depth") + F.col("eta")))
 
 

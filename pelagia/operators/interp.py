@@ -149,15 +149,22 @@ def wet_cell_fix(points: DataFrame, cells: DataFrame, axes: Axes, rings: int = 4
     return points.join(ranked, "id", "left").select("id", "lon", "lat", F.col("b.j").alias("j"), F.col("b.i").alias("i"), F.col("b.ring").alias("ring"))
 
 
-def nearest_index(axis: DataFrame, points: DataFrame, x: str) -> DataFrame:
-    """Index of the nearest value of an irregular axis (idx, value) to each point's x; the smaller index wins ties.
-
-    An as-of lookup in both directions over the ordered union, not a comparison of all with all."""
-    rows = axis.select(F.col("value").alias("_x"), F.col("idx").alias("_idx"), F.lit(0).alias("_t")).unionByName(points.select("*", F.col(x).cast("double").alias("_x"), F.lit(1).alias("_t")), allowMissingColumns=True)
-    rows = rows.withColumn("_g", F.lit(0))
-    known = F.when(F.col("_t") == 0, F.struct(F.col("_x").alias("x"), F.col("_idx").alias("idx")))
-    down = Window.partitionBy("_g").orderBy("_x", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("_g").orderBy("_x", F.desc("_t")).rowsBetween(0, Window.unboundedFollowing)
-    w = rows.withColumn("_lo", F.last(known, True).over(down)).withColumn("_hi", F.first(known, True).over(up)).where("_t = 1")
-    pick = F.when(F.col("_lo").isNull(), F.col("_hi.idx")).when(F.col("_hi").isNull(), F.col("_lo.idx")).when(F.col("_x") - F.col("_lo.x") <= F.col("_hi.x") - F.col("_x"), F.col("_lo.idx")).otherwise(F.col("_hi.idx"))
-    return w.select(*points.columns, pick.alias("nearest_idx"))
+def nearest_index(axis: DataFrame, points: DataFrame, x: str, bins: int = 4096) -> DataFrame:
+    """points with nearest_idx, the index of the nearest value of an irregular axis (idx, value) to each point's x.
+
+    The axis is cut into its gaps, and each gap lies in the bins that it reaches, so points meet gaps by an equi-join on
+    the bin; only the axis is ever ordered as a whole. The smaller index wins ties; a null x has no nearest index."""
+    ends = axis.agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi")).first()
+    if ends["lo"] is None:
+        return points.withColumn("nearest_idx", F.lit(None).cast(dict(axis.dtypes)["idx"]))
+    width = (ends["hi"] - ends["lo"]) / bins or 1.0
+    bin_of = lambda c: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((c - ends["lo"]) / width))).cast("int")
+    order = Window.orderBy("value", "idx")
+    gaps = axis.select(F.col("value").cast("double").alias("_a"), F.col("idx").alias("_ia"), F.lead(F.col("value").cast("double")).over(order).alias("_b"), F.lead("idx").over(order).alias("_ib"), F.row_number().over(order).alias("_n"))
+    first = gaps.where("_n = 1").select(F.lit(float("-inf")).alias("_a"), F.col("_ia").alias("_ia"), F.col("_a").alias("_b"), F.col("_ia").alias("_ib"))
+    every = gaps.select("_a", "_ia", F.coalesce("_b", F.lit(float("inf"))).alias("_b"), F.coalesce("_ib", "_ia").alias("_ib")).union(first)
+    held = every.where("_a < _b").withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_a")), bin_of(F.col("_b")))))
+    p = points.withColumn("_x", F.col(x).cast("double")).withColumn("_bin", bin_of(F.col("_x")))
+    met = p.join(held, (p["_bin"] == held["_bin"]) & (F.col("_x") >= F.col("_a")) & (F.col("_x") < F.col("_b")), "left")
+    pick = F.when(F.col("_x").isNull(), None).when(F.col("_x") - F.col("_a") <= F.col("_b") - F.col("_x"), F.col("_ia")).otherwise(F.col("_ib"))
+    return met.select(*(p[c] for c in points.columns), pick.alias("nearest_idx"))

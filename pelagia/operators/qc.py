@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,28 +12,42 @@ from pelagia.operators.stencil import along_t, derivative, along_x, along_y, med
 
 GOOD, SUSPECT, BAD, MISSING, INTERPOLATED = range(5)
 
-#: Physical limits by kind of variable.
-LIMITS = {"temperature": (-2.5, 40.0), "salinity": (0.0, 50.0), "velocity": (-5.0, 5.0), "sea_surface_height": (-10.0, 10.0), "pressure": (0.0, 11000.0)}
-
-#: Whole words in a variable's name that tell its kind.
-KIND_WORDS = {
-    "temperature": ("temp", "temperature", "sst", "theta"),
-    "salinity": ("salt", "salinity", "psal", "sss"),
-    "velocity": ("u", "v", "w", "uo", "vo", "velocity", "current"),
-    "sea_surface_height": ("ssh", "sla", "zos", "adt", "height"),
-    "pressure": ("pres", "pressure"),
+#: Physical limits by kind of variable (degrees C, PSU, m/s, m, dbar).
+LIMITS = {
+    "temperature": (-5.0, 50.0),
+    "salinity": (0.0, 50.0),
+    "speed": (0.0, 5.0),
+    "u_velocity": (-3.0, 3.0),
+    "v_velocity": (-3.0, 3.0),
+    "w_velocity": (-0.5, 0.5),
+    "ssh": (-3.0, 3.0),
+    "pressure": (0.0, 1100.0),
 }
 
+#: What a variable's name holds for each kind, the first that fits counts; then what its units hold.
+KIND_NAMES = (("temperature", "temp sst"), ("salinity", "sal"), ("speed", "speed velocity_magnitude"), ("u_velocity", "u"), ("v_velocity", "v"), ("w_velocity", "w"), ("ssh", "ssh sea_surface_height sla"), ("pressure", "pres"))
+KIND_UNITS = (("temperature", "celsius °c"), ("salinity", "psu|practical salinity"), ("speed", "m/s"), ("pressure", "dbar decibar"))
+
 
-def variable_kind(name: Column) -> Column:
-    """The kind of a variable by the words of its name; null if none fits."""
-    words = F.split(F.lower(name), "[^a-z]+")
-    out = F.lit(None).cast("string")
-    for kind, known in reversed(KIND_WORDS.items()):
-        out = F.when(F.arrays_overlap(words, F.array(*map(F.lit, known))), kind).otherwise(out)
+def variable_kind(name: Column, units: Column | None = None) -> Column:
+    """The kind of a variable by its name, else by its units, else `unknown`."""
+    out = F.lit("unknown")
+    holds = lambda c, words: reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(w)) for w in words.split("|" if "|" in words else " ")))
+    for kind, words in reversed(KIND_UNITS if units is not None else ()):
+        out = F.when(holds(units, words), kind).otherwise(out)
+    for kind, words in reversed(KIND_NAMES):
+        out = F.when(holds(name, words), kind).otherwise(out)
     return out
 
 
+def limit_flags(df: DataFrame, name: str = "name", value: str = "value", units: str | None = None, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Rows (name, value, units) of several variables with their kind and flag: bad outside the kind's limits, missing if null."""
+    known = LIMITS | (limits or {})
+    kind, c = variable_kind(F.col(name), F.col(units) if units else None), F.col(value)
+    outside = reduce(lambda a, k: a.when(F.col("kind") == k, (c < known[k][0]) | (c > known[k][1])), known, F)
+    return df.withColumn("kind", kind).withColumn("flag", F.when(c.isNull(), MISSING).when(F.coalesce(outside, F.lit(False)), BAD).otherwise(GOOD))
+
+
 def robust_bounds(df: DataFrame, name: str) -> DataFrame:
     """One row: mean, std, quartiles, median and the median absolute deviation of a column."""
     c = F.col(name)

@@ -50,9 +50,9 @@ def exponential_average(df: DataFrame, alpha: float = 0.1, value: str = "value")
 def with_neighbours(df: DataFrame, order: str = "idx", value: str = "value", by: tuple[str, ...] = ("key",)) -> DataFrame:
     """df with the nearest known value and its place on either side: _v0, _p0, _v1, _p1."""
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)  # a frame that only grows costs one step a row
     known = F.when(F.col(value).isNotNull(), F.col(order))
-    return df.withColumns({"_v0": F.last(value, True).over(before), "_p0": F.last(known, True).over(before), "_v1": F.first(value, True).over(after), "_p1": F.first(known, True).over(after)})
+    return df.withColumns({"_v0": F.last(value, True).over(before), "_p0": F.last(known, True).over(before), "_v1": F.last(value, True).over(after), "_p1": F.last(known, True).over(after)})
 
 
 def fill_gaps(df: DataFrame, max_gap: int | None = None, order: str = "idx", value: str = "value", by: tuple[str, ...] = ("key",), out: str = "filled") -> DataFrame:
@@ -71,9 +71,9 @@ def resample(df: DataFrame, targets: DataFrame, x: str = "x", value: str = "valu
     rows = df.where(F.col(value).isNotNull()).select("key", F.col(x).cast("double").alias("x"), F.col(value).alias("_v"), F.lit(0).alias("_t"))
     both = rows.unionByName(targets.select("key", F.col(x).cast("double").alias("x"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_t")))
     before = Window.partitionBy("key").orderBy("x", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("key").orderBy("x", F.desc("_t")).rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy("key").orderBy(F.desc("x"), "_t").rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("_t") == 0, F.col("x"))
-    w = both.withColumns({"_v0": F.last("_v", True).over(before), "_x0": F.last(known, True).over(before)}).withColumns({"_v1": F.first("_v", True).over(after), "_x1": F.first(known, True).over(after)})
+    w = both.withColumns({"_v0": F.last("_v", True).over(before), "_x0": F.last(known, True).over(before)}).withColumns({"_v1": F.last("_v", True).over(after), "_x1": F.last(known, True).over(after)})
     share = F.try_divide(F.col("x") - F.col("_x0"), F.col("_x1") - F.col("_x0"))
     linear = F.when(F.col("_x1") == F.col("_x0"), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share)
     nearest = F.when(F.col("x") - F.col("_x0") <= F.col("_x1") - F.col("x"), F.col("_v0")).otherwise(F.col("_v1"))
@@ -187,9 +187,16 @@ def natural_spline(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Values at t of the cubic spline with no curvature at its ends, by the tridiagonal system of its curvatures."""
     n, h = len(x), np.diff(x)
     m = np.zeros(n)
-    if n > 2:
-        a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        m[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(y) / h))
+    if n > 2:  # one pass down and one up; memory grows with n only
+        main, side, right = (2 * (h[:-1] + h[1:])).tolist(), h[1:-1].tolist(), (6 * np.diff(np.diff(y) / h)).tolist()
+        for k in range(1, n - 2):
+            f = side[k - 1] / main[k - 1]
+            main[k] -= f * side[k - 1]
+            right[k] -= f * right[k - 1]
+        right[-1] /= main[-1]
+        for k in range(n - 4, -1, -1):
+            right[k] = (right[k] - side[k] * right[k + 1]) / main[k]
+        m[1:-1] = right
     k = np.clip(np.searchsorted(x, t, side="right") - 1, 0, n - 2)
     l, r = t - x[k], x[k + 1] - t
     return (m[k] * r**3 + m[k + 1] * l**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * r + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * l
@@ -214,25 +221,38 @@ def surface_value(powers: list[tuple[int, int]], coefficients: np.ndarray, x: Co
     return out
 
 
-def orthogonal_modes(df: DataFrame, n_modes: int = 5) -> DataFrame:
-    """mode, variance_share and pattern (one value per cell) of columns (step, cell, x), by the covariance of the cells.
-
-    Spark sums the cells' covariance, whose size is the number of cells squared; the driver decomposes it, so this is
-    for slabs of up to a few thousand cells."""
-    anomaly = df.withColumn("a", F.col("x") - F.avg("x").over(Window.partitionBy("cell"))).select("step", "cell", "a")
-    n = df.select("step").distinct().count()
-    pairs = anomaly.toDF("step", "r", "x").join(anomaly.toDF("step", "c", "y"), "step").where("r <= c").groupBy("r", "c").agg((F.sum(F.col("x") * F.col("y")) / max(1, n - 1)).alias("v"))
-    got = pairs.toPandas()
-    cells = np.unique(got[["r", "c"]].to_numpy())
-    place = {c: i for i, c in enumerate(cells.tolist())}
-    a = np.zeros((len(cells), len(cells)))
-    for r, c, v in got.itertuples(index=False):
-        a[place[r], place[c]] = a[place[c], place[r]] = v
-    values, vectors = np.linalg.eigh(a)
-    order = np.argsort(-values)[:n_modes]
-    total = float(values.sum()) or 1.0
-    rows = [(k, float(values[m]), float(values[m]) / total, vectors[:, m].tolist()) for k, m in enumerate(order.tolist())]
-    return df.sparkSession.createDataFrame(rows, "mode int, variance double, variance_share double, pattern array<double>")
+def orthogonal_modes(df: DataFrame, n_modes: int = 5, by: str = "block", most_steps: int = 4096) -> DataFrame:
+    """by, mode, variance, variance_share and pattern (one value per cell, the largest positive) of columns (by, step, cell, x).
+
+    Spark sums the products of a block's steps over its cells, so only steps by steps numbers of a block meet in a task,
+    whatever the number of cells; the patterns are sums over the steps. Nulls count as the cell's mean. A block of more
+    than most_steps steps is refused."""
+    anomaly = df.withColumn("a", F.coalesce(F.col("x") - F.avg("x").over(Window.partitionBy(by, "cell")), F.lit(0.0))).select(by, "step", "cell", "a")
+    pairs = anomaly.select(by, "cell", F.col("step").alias("r"), F.col("a").alias("x")).join(anomaly.select(by, "cell", F.col("step").alias("c"), F.col("a").alias("y")), [by, "cell"])
+    products = pairs.where("r <= c").groupBy(by, "r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+    def decomposed(rows: pd.DataFrame) -> pd.DataFrame:
+        steps = np.unique(rows[["r", "c"]].to_numpy())
+        n = len(steps)
+        if n > most_steps:
+            raise ValueError(f"{n} steps in a block; orthogonal_modes takes at most {most_steps}")
+        a = np.zeros((n, n))
+        r, c = np.searchsorted(steps, rows["r"]), np.searchsorted(steps, rows["c"])
+        a[r, c] = a[c, r] = rows["v"]
+        values, vectors = np.linalg.eigh(a)
+        order = [m for m in np.argsort(-values)[:n_modes].tolist() if values[m] > 0]
+        total = float(values.sum()) or 1.0
+        out = pd.DataFrame({"step": np.tile(steps, len(order)), "mode": np.repeat(np.arange(len(order)), n), "weight": np.concatenate([vectors[:, m] / np.sqrt(values[m]) for m in order]) if order else []})
+        out["variance"] = np.repeat([float(values[m]) / max(1, n - 1) for m in order], n)
+        out["variance_share"] = np.repeat([float(values[m]) / total for m in order], n)
+        return out.assign(**{by: rows[by].iloc[0]})
+
+    kind = dict(df.dtypes)
+    weights = products.groupBy(by).applyInPandas(decomposed, f"step {kind['step']}, mode int, weight double, variance double, variance_share double, `{by}` {kind[by]}")
+    cells = weights.join(anomaly, [by, "step"]).groupBy(by, "mode", "cell").agg(F.sum(F.col("weight") * F.col("a")).alias("p"), F.first("variance").alias("variance"), F.first("variance_share").alias("variance_share"))
+    made = cells.groupBy(by, "mode", "variance", "variance_share").agg(F.array_sort(F.collect_list(F.struct("cell", "p"))).alias("c"))
+    largest = F.array_max(F.transform("c", lambda c: F.struct(F.abs(c["p"]).alias("size"), c["p"].alias("p"))))["p"]
+    return made.select(by, "mode", "variance", "variance_share", F.transform("c", lambda c: c["p"] * F.signum(largest)).alias("pattern"))
 
 
 def project_modes(df: DataFrame, patterns: dict[int, list[float]]) -> Iterator[tuple[int, Column]]:

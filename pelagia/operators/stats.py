@@ -89,12 +89,12 @@ def levels(df: DataFrame, name: str, n: int = 21) -> DataFrame:
 
 
 def tracer_statistics(df: DataFrame, c: str, cell_area: float) -> DataFrame:
-    """Mass, max, mean, the cell of the maximum (first in j, i) and the area above a thousandth of the maximum."""
+    """For each time_idx: mass, max, mean, the cell of the maximum (first in j, i) and the area above a thousandth of the maximum."""
     top = F.max(F.struct(F.col(c).alias("c"), (-F.col("j")).alias("j"), (-F.col("i")).alias("i"))).alias("_top")
-    s = df.agg((F.sum(c) * cell_area).alias("mass"), F.max(c).alias("max"), F.avg(c).alias("mean"), top)
-    s = s.select("mass", "max", "mean", (-F.col("_top.j")).alias("max_j"), (-F.col("_top.i")).alias("max_i"))
-    wide = df.join(F.broadcast(s.select("max")), F.col(c) > 0.001 * F.col("max")).agg((F.count("*") * cell_area).alias("area"))
-    return s.join(F.broadcast(wide))
+    s = df.groupBy("time_idx").agg((F.sum(c) * cell_area).alias("mass"), F.max(c).alias("max"), F.avg(c).alias("mean"), top)
+    s = s.select("time_idx", "mass", "max", "mean", (-F.col("_top.j")).alias("max_j"), (-F.col("_top.i")).alias("max_i"))
+    wide = df.join(s.select("time_idx", "max"), "time_idx").groupBy("time_idx").agg((F.count_if(F.col(c) > 0.001 * F.col("max")) * cell_area).alias("area"))
+    return s.join(wide, "time_idx")
 
 
 def boundary_flux(df: DataFrame, c: str, n_x: int, n_y: int, dx: float, dy: float, u: str = "water_u", v: str = "water_v") -> DataFrame:

@@ -296,14 +296,15 @@ def regrid(spark, sf_dir):
 
 
 @query(
-    f"p AS (SELECT id, {NEAR_I} AS ci, {NEAR_J} AS cj, lon, lat FROM v_particle), w AS (SELECT j, i, lat AS w_lat, lon AS w_lon FROM v_field WHERE time_idx = 0 AND water_u IS NOT NULL), "
+    f"p AS (SELECT id, {NEAR_I} AS ci, {NEAR_J} AS cj, lon, lat FROM v_particle), w AS (SELECT j, i, min(lat) AS w_lat, min(lon) AS w_lon FROM v_field GROUP BY 1, 2 HAVING count(water_u) = count(*)), "
     "m AS (SELECT p.id, greatest(abs(w.i - ci), abs(w.j - cj)) AS ring, (w_lon - lon)*(w_lon - lon) + (w_lat - lat)*(w_lat - lat) AS d, w.j, w.i FROM p JOIN w ON abs(w.i - ci) <= 4 AND abs(w.j - cj) <= 4) "
     "SELECT id, j, i, ring FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ring, d, j, i) AS k FROM m) WHERE k = 1",
     "v_field",
     "v_particle",
 )
 def wet_cell_fix(spark, sf_dir):
-    wet = views.field(spark, sf_dir).where("time_idx = 0 AND water_u IS NOT NULL")
+    cells = views.field(spark, sf_dir).groupBy("j", "i").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.every(F.col("water_u").isNotNull()).alias("wet"))
+    wet = cells.where("wet")
     return interp.wet_cell_fix(views.particles(spark, sf_dir), wet, AXES).select("id", "j", "i", "ring")
 
 
@@ -363,15 +364,15 @@ def flat_index(spark, sf_dir):
 
 
 @query(
-    f"l AS (SELECT f.j, f.i, CAST(k AS INT) AS k, k/4e0 AS sigma, 100e0 + f.i AS depth, f.water_u AS eta FROM v_field f, range(5) t(k) WHERE f.time_idx = 0 AND f.water_u IS NOT NULL) "
-    f"SELECT j, i, k, {r('-depth + sigma*(depth + eta)')} AS z, {r('(lead(sigma) OVER (PARTITION BY j, i ORDER BY k) - sigma)*(depth + eta)')} AS thickness FROM l",
+    f"l AS (SELECT f.time_idx, f.j, f.i, CAST(k AS INT) AS k, k/4e0 AS sigma, 100e0 + f.i AS depth, f.water_u AS eta FROM v_field f, range(5) t(k) WHERE f.water_u IS NOT NULL) "
+    f"SELECT time_idx, j, i, k, {r('-depth + sigma*(depth + eta)')} AS z, {r('(lead(sigma) OVER (PARTITION BY time_idx, j, i ORDER BY k) - sigma)*(depth + eta)')} AS thickness FROM l",
     "v_field",
 )
 def sigma_thickness(spark, sf_dir):
-    base = views.field(spark, sf_dir).where("time_idx = 0 AND water_u IS NOT NULL")
-    lv = base.select("j", "i", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), (100.0 + F.col("i")).alias("depth"), F.col("water_u").alias("eta")).withColumn("sigma", F.col("k") / 4.0)
+    base = views.field(spark, sf_dir).where("water_u IS NOT NULL")
+    lv = base.select("time_idx", "j", "i", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), (100.0 + F.col("i")).alias("depth"), F.col("water_u").alias("eta")).withColumn("sigma", F.col("k") / 4.0)
     d = grid.layer_thickness(lv)
-    return d.select("j", "i", "k", rounded(grid.sigma_to_z(F.col("sigma"), F.col("depth"), F.col("eta"))).alias("z"), rounded(F.col("thickness")).alias("thickness"))
+    return d.select("time_idx", "j", "i", "k", rounded(grid.sigma_to_z(F.col("sigma"), F.col("depth"), F.col("eta"))).alias("z"), rounded(F.col("thickness")).alias("thickness"))
 
 
 # quality control

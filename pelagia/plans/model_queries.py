@@ -64,9 +64,9 @@ def cloud_spread(spark, sf_dir):
     return d.select("step", "particles", *(rounded(F.col(c)).alias(c) for c in ("c_lon", "c_lat", "max_km", "mean_km")))
 
 
-@query(f"{TRACK} SELECT id, step, CAST(id AS VARCHAR) || ',' || CAST(step AS VARCHAR) || ',' || printf('%.6f', lon) || ',' || printf('%.6f', lat) AS value FROM tr WHERE step = 0", "v_field", "v_particle")
+@query(f"{TRACK} SELECT id, step, CAST(id AS VARCHAR) || ',' || CAST(step AS VARCHAR) || ',' || printf('%.6f', lon) || ',' || printf('%.6f', lat) AS value FROM tr", "v_field", "v_particle")
 def track_lines(spark, sf_dir):
-    return sinks.track_lines(track(spark, sf_dir).where("step = 0"))
+    return sinks.track_lines(track(spark, sf_dir))
 
 
 @query(
@@ -235,12 +235,12 @@ def reactions(spark, sf_dir):
 
 
 @query(
-    f"t AS (SELECT * FROM v_tracer WHERE time_idx = 0), m AS (SELECT max(c) AS mx FROM t) SELECT {r('sum(c)*1e6', 2)} AS mass, max(c) AS max, {r('avg(c)')} AS mean, (SELECT j FROM t ORDER BY c DESC, j, i LIMIT 1) AS max_j, (SELECT i FROM t ORDER BY c DESC, j, i LIMIT 1) AS max_i, count(*) FILTER (c > 0.001e0*mx)*1e6 AS area FROM t, m",
+    f"t AS (SELECT *, max(c) OVER (PARTITION BY time_idx) AS mx, row_number() OVER (PARTITION BY time_idx ORDER BY c DESC, j, i) AS k FROM v_tracer) SELECT time_idx, {r('sum(c)*1e6', 2)} AS mass, max(c) AS max, {r('avg(c)')} AS mean, max(j) FILTER (k = 1) AS max_j, max(i) FILTER (k = 1) AS max_i, count(*) FILTER (c > 0.001e0*mx)*1e6 AS area FROM t GROUP BY 1",
     "v_tracer",
 )
 def tracer_statistics(spark, sf_dir):
-    d = stats.tracer_statistics(tracer(spark, sf_dir).where("time_idx = 0"), "c", D * D)
-    return d.select(rounded(F.col("mass"), 2).alias("mass"), "max", rounded(F.col("mean")).alias("mean"), "max_j", "max_i", "area")
+    d = stats.tracer_statistics(tracer(spark, sf_dir), "c", D * D)
+    return d.select("time_idx", rounded(F.col("mass"), 2).alias("mass"), "max", rounded(F.col("mean")).alias("mean"), "max_j", "max_i", "area")
 
 
 @query(
@@ -271,7 +271,7 @@ def series_transport(spark, sf_dir):
 
 @query()
 def dispersion_step(spark, sf_dir):
-    return transport.dispersion_step(tracer(spark, sf_dir).where("time_idx = 0"), 300.0, 13915.0, N, N).select("j", "i", rounded(F.col("c")).alias("c"))
+    return transport.dispersion_step(tracer(spark, sf_dir), 300.0, 13915.0, N, N).select("time_idx", "j", "i", rounded(F.col("c")).alias("c"))
 
 
 @query()
@@ -414,7 +414,7 @@ def ensemble_analysis(spark, sf_dir):
 
 @query()
 def orthogonal_modes(spark, sf_dir):
-    d = views.ensemble(spark, sf_dir).where("block = 0").select(F.col("member").alias("step"), "cell", "x")
+    d = views.ensemble(spark, sf_dir).select("block", F.col("member").alias("step"), "cell", "x")
     return series.orthogonal_modes(d, 3)
 
 

@@ -62,12 +62,12 @@ def recent_average(spark, sf_dir):
 
 
 @query(
-    "p AS (SELECT id, lon AS x, lat AS y FROM v_particle WHERE id <= 60) SELECT count(*) AS pairs, " + r("avg(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)))") + " AS mean, " + r("stddev_pop(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)))") + " AS std FROM p a JOIN p b ON a.id < b.id",
+    "p AS (SELECT id, lon AS x, lat AS y FROM v_particle ) SELECT count(*) AS pairs, " + r("avg(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)))") + " AS mean, " + r("stddev_pop(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)))") + " AS std FROM p a JOIN p b ON a.id < b.id AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 0.015625e0",
     "v_particle",
 )
 def pair_distances(spark, sf_dir):
-    p = views.particles(spark, sf_dir).where("id <= 60").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return stats.distance_pairs(p, p).where("id_a < id_b").agg(F.count("*").alias("pairs"), rounded(F.avg("distance")).alias("mean"), rounded(F.stddev_pop("distance")).alias("std"))
+    p = views.particles(spark, sf_dir).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return stats.distance_pairs(p, p, most=0.125, cell=0.125).where("id_a < id_b").agg(F.count("*").alias("pairs"), rounded(F.avg("distance")).alias("mean"), rounded(F.stddev_pop("distance")).alias("std"))
 
 
 @query("SELECT id, " + r("lon*exp(-0.5e0)", 2) + " AS x FROM v_particle", "v_particle")
@@ -91,7 +91,7 @@ def decay_implicit(spark, sf_dir):
 
 @query()
 def streamlines(spark, sf_dir):
-    p = views.particles(spark, sf_dir).where("id <= 50").select("id", (F.col("lon") - 120).alias("x"), (F.col("lat") - 23).alias("y"))
+    p = views.particles(spark, sf_dir).select("id", (F.col("lon") - 120).alias("x"), (F.col("lat") - 23).alias("y"))
     return ode.streamlines(p, 0.1, 5, lambda x, y: (-y, x))
 
 

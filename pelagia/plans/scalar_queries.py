@@ -238,13 +238,28 @@ def text_functions(spark, sf_dir):
     return points(spark, sf_dir).select("id", mathx.hours_text((F.col("id") % 500).cast("double")).alias("duration"), mathx.cache_key(F.lit("interp"), F.col("id").cast("string")).alias("cache_key"))
 
 
-KINDS = "('water_temp', 'temperature'), ('pressure', 'pressure'), ('water_u', 'velocity'), ('sea_surface_height', 'sea_surface_height'), ('salinity', 'salinity'), ('colour', NULL)"
+KINDS = [("water_temp", "", "temperature"), ("pres", "dbar", "pressure"), ("water_u", "m/s", "u_velocity"), ("ssh", "m", "ssh"), ("salinity", "", "salinity"), ("q1", "degrees_Celsius", "temperature"), ("q2", "m/s", "speed"), ("color", "", "unknown")]
 
 
-@query(f"SELECT name, kind FROM (VALUES {KINDS}) t(name, kind)")
+@query("SELECT name, kind FROM (VALUES " + ", ".join(f"('{n}', '{k}')" for n, _, k in KINDS) + ") t(name, kind)")
 def variable_kinds(spark, sf_dir):
-    names = ["water_temp", "pressure", "water_u", "sea_surface_height", "salinity", "colour"]
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("name")).select("name", qc.variable_kind(F.col("name")).alias("kind"))
+    names = spark.createDataFrame([(n, u) for n, u, _ in KINDS], "name string, units string")
+    return names.select("name", qc.variable_kind(F.col("name"), F.col("units")).alias("kind"))
+
+
+VARIABLES = "SELECT 'temperature' AS name, lat*3 - 20 AS value FROM v_field UNION ALL SELECT 'salinity', lon*0.5e0 - 9 FROM v_field UNION ALL SELECT 'water_u', water_u*4 FROM v_field UNION ALL SELECT 'w', water_v FROM v_field UNION ALL SELECT 'ssh', water_u*3.5e0 FROM v_field UNION ALL SELECT 'pres', lat*50 FROM v_field"
+
+
+@query(
+    f"d AS ({VARIABLES}), k AS (SELECT d.*, lo, hi FROM d JOIN (VALUES ('temperature', -5e0, 50e0), ('salinity', 0e0, 50e0), ('water_u', -3e0, 3e0), ('w', -0.5e0, 0.5e0), ('ssh', -3e0, 3e0), ('pres', 0e0, 1100e0)) t(name, lo, hi) ON t.name = d.name) "
+    "SELECT name, CAST(CASE WHEN value IS NULL THEN 3 WHEN value < lo OR value > hi THEN 2 ELSE 0 END AS INT) AS flag, count(*) AS n FROM k GROUP BY 1, 2",
+    "v_field",
+)
+def qc_limits(spark, sf_dir):
+    d = views.field(spark, sf_dir)
+    made = {"temperature": F.col("lat") * 3 - 20, "salinity": F.col("lon") * 0.5 - 9, "water_u": F.col("water_u") * 4, "w": F.col("water_v"), "ssh": F.col("water_u") * 3.5, "pres": F.col("lat") * 50}
+    rows = d.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in made.items()))).alias("x")).select("x.*")
+    return qc.limit_flags(rows).groupBy("name", "flag").agg(F.count("*").alias("n"))
 
 
 # text outputs
@@ -270,4 +285,4 @@ def geojson_vectors(spark, sf_dir):
 
 @query()
 def json_rows(spark, sf_dir):
-    return sinks.json_rows(views.field(spark, sf_dir).where("time_idx = 0"))
+    return sinks.json_rows(views.field(spark, sf_dir))

@@ -39,7 +39,7 @@ def moving_average(spark, sf_dir):
 
 
 @query(
-    "t AS (SELECT key, k*2.5e0 AS x FROM (SELECT key, max(idx) AS n FROM v_series GROUP BY 1), range(200) t(k) WHERE k*2.5e0 <= n), p AS (SELECT key, CAST(idx AS DOUBLE) AS x, value FROM v_series WHERE value IS NOT NULL), "
+    "t AS (SELECT key, k*2.5e0 AS x FROM (SELECT key, max(idx) AS n FROM v_series GROUP BY 1), generate_series(0, CAST(floor(n/2.5e0) AS BIGINT)) t(k)), p AS (SELECT key, CAST(idx AS DOUBLE) AS x, value FROM v_series WHERE value IS NOT NULL), "
     "lo AS (SELECT t.key, t.x, p.x AS x0, p.value AS v0 FROM t ASOF LEFT JOIN p ON t.key = p.key AND t.x >= p.x), b AS (SELECT lo.*, p.x AS x1, p.value AS v1 FROM lo ASOF LEFT JOIN p ON lo.key = p.key AND lo.x <= p.x) "
     f"SELECT key, x, {r('CASE WHEN x0 = x1 THEN v0 ELSE v0 + (v1 - v0)*(x - x0)/(x1 - x0) END')} AS value FROM b",
     "v_series",
@@ -47,7 +47,7 @@ def moving_average(spark, sf_dir):
 def resample_linear(spark, sf_dir):
     d = views.series(spark, sf_dir)
     ends = d.groupBy("key").agg(F.max("idx").alias("n"))
-    targets = ends.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k")).select("key", (F.col("k") * 2.5).alias("x"), "n").where("x <= n").drop("n")
+    targets = ends.select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2.5))).alias("k")).select("key", (F.col("k") * 2.5).alias("x"))
     return series.resample(d.withColumn("x", F.col("idx").cast("double")), targets).select("key", "x", rounded(F.col("value")).alias("value"))
 
 
@@ -150,6 +150,10 @@ def spline_resample(spark, sf_dir):
     return series.cubic_resample(d, targets)
 
 
-@query()
+@query(
+    "k AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY idx) AS n FROM v_series WHERE value IS NOT NULL), m AS (SELECT key, max(n) AS last FROM k GROUP BY 1) "
+    f"SELECT k.key, {r('sum(value*CASE WHEN n = 1 THEN pow(0.9e0, last - 1) ELSE 0.1e0*pow(0.9e0, last - n) END)')} AS ema FROM k JOIN m ON k.key = m.key GROUP BY 1",
+    "v_series",
+)
 def exponential_average(spark, sf_dir):
-    return series.exponential_average(views.series(spark, sf_dir))
+    return series.exponential_average(views.series(spark, sf_dir)).select("key", rounded(F.col("ema")).alias("ema"))

@@ -92,7 +92,7 @@ def test_polynomial_surface_and_modes(spark):
     powers, c = series.polynomial_surface(d)
     assert dict(zip(powers, np.round(c, 6).tolist(), strict=True)) == {(0, 0): 1.0, (0, 1): -1.0, (0, 2): 0.0, (1, 0): 2.0, (1, 1): 0.5, (2, 0): 0.0}
     e = spark.createDataFrame([(t, k, math.sin(t) * (k + 1.0)) for t in range(12) for k in range(4)], "step int, cell int, x double")
-    assert series.orthogonal_modes(e, 2).orderBy("mode").first()["variance_share"] == pytest.approx(1.0)
+    assert series.orthogonal_modes(e.withColumn("block", F.lit(0)), 2).orderBy("mode").first()["variance_share"] == pytest.approx(1.0)
 
 
 def test_implicit_diffusion_solves_its_equation(spark):
@@ -204,3 +204,40 @@ def test_runge_kutta_methods_reach_their_order(spark):
     with pytest.raises(ValueError):
         ode.explicit_step({}, F.lit(0.0), 0.1, lambda s, t: s, ode.GAUSS1)
     assert ode.golden_section(lambda x: (x - 2) ** 2, 0, 5) == pytest.approx(2, abs=1e-6)
+
+
+def test_modes_of_each_block_equal_a_decomposition(spark):
+    rng = np.random.default_rng(8)
+    data = {b: rng.standard_normal((6, 9)) for b in (1, 2)}
+    rows = [(b, s, c, float(x[s, c])) for b, x in data.items() for s in range(6) for c in range(9)]
+    got = series.orthogonal_modes(spark.createDataFrame(rows, "block long, step int, cell int, x double"), 2).collect()
+    for b, x in data.items():
+        u, d, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+        for k in range(2):
+            r = next(r for r in got if r["block"] == b and r["mode"] == k)
+            assert r["variance"] == pytest.approx(d[k] ** 2 / 5) and np.abs(np.dot(r["pattern"], v[k])) == pytest.approx(1)
+
+
+def test_spline_passes_its_points_and_ends_straight():
+    rng = np.random.default_rng(9)
+    x = np.sort(rng.random(200)) * 100
+    y = np.sin(x)
+    assert series.natural_spline(x, y, x) == pytest.approx(y)
+    n, h = len(x), np.diff(x)
+    a = np.zeros((n, n))
+    a[0, 0] = a[-1, -1] = 1
+    for k in range(1, n - 1):
+        a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
+    m = np.linalg.solve(a, np.r_[0, 6 * np.diff(np.diff(y) / h), 0])
+    mid = (x[1:] + x[:-1]) / 2
+    want = (y[1:] + y[:-1]) / 2 - h * h / 16 * (m[1:] + m[:-1])
+    assert series.natural_spline(x, y, mid) == pytest.approx(want)
+
+
+def test_nearest_index_of_uneven_axes(spark):
+    axis = [0.0, 1.0, 1.5, 10.0]
+    x = [-5.0, 0.5, 0.500001, 1.25, 1.3, 5.75, 5.76, 99.0, None]
+    points = spark.createDataFrame(list(enumerate(x)), "id long, x double")
+    got = {r["id"]: r["nearest_idx"] for r in interp.nearest_index(spark.createDataFrame([(k, v) for k, v in enumerate(axis)], "idx long, value double"), points, "x").collect()}
+    assert got == {i: None if v is None else int(np.argmin(np.abs(np.array(axis) - v))) for i, v in enumerate(x)}
+    assert interp.nearest_index(spark.createDataFrame([], "idx long, value double"), points, "x").where("nearest_idx is null").count() == 9
