@@ -64,8 +64,8 @@ def splitting_tree(quotas: Sequence[int], n_shards: int, seed: int) -> np.ndarra
     return out
 
 
-def _measured(df: DataFrame, source_col: str, id_col: str, size: F.Column, seed: int) -> DataFrame:
-    mixed = F.xxhash64(F.col(id_col), F.lit(seed))
+def _measured(df: DataFrame, source_col: str, id_col: str, text_col: str, size: F.Column, seed: int) -> DataFrame:
+    mixed = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed + 1))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
     order = F.pmod(F.shiftright(mixed, 20), F.lit(1 << ORDER_BITS))
     names = [c for c in df.columns if c not in MADE]
     return df.select(F.struct(*names).alias("_row"), F.col(source_col).alias("_source"), size.alias("_size"), F.pmod(mixed, F.lit(1 << 20)).alias("_block_hash"), order.alias("_order"))
@@ -175,10 +175,10 @@ def mix(
 
     Size is the number of words (null text: none). Sources come in code-point order, a null source last; weights repeat
     1, 2, 3 unless given. Targets share all words and stop at three times a source's words. A source's taken words miss
-    its target by at most half of one id's words. Rows of one id are drawn together; a null id is an id. Reruns agree,
-    whatever the partitions. An empty table gives an empty result. The number of sources is taken to fit the driver."""
+    its target by at most half of one id's words. Rows of one id are drawn together, and so are rows of one text that
+    have no id. Reruns agree, whatever the partitions. An empty table gives an empty result. The number of sources is taken to fit the driver."""
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    measured = _measured(df, source_col, id_col, size, seed)
+    measured = _measured(df, source_col, id_col, text_col, size, seed)
     sized = save(measured.select("_source", "_size", "_block_hash", "_order"), "mix-sizes")
     sources, blocks = plan(sized, n_shards, seed, weights, block_words, max_blocks)
     spark = df.sparkSession

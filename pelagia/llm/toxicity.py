@@ -87,7 +87,7 @@ class Words(dict):
         return made
 
 
-def features(text: str | None, words: Words, most_held: int = 500_000) -> list[float]:
+def features(text: str | None, words: Words, most_held: int = 100_000) -> list[float]:
     """The dense features of a text, in the order of FEATURES; an empty text gives zeros. words is emptied when it is full."""
     text = text or ""
     tokens = WORD.findall(text)

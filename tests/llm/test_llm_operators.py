@@ -209,6 +209,27 @@ def test_mix_meets_its_targets(spark, sf):
     assert {(r["doc_id"], tuple(r["shards"])) for r in QUERIES["op2_mixing"](spark, sf).collect()} == {(r["doc_id"], tuple(r["shards"])) for r in rows}
 
 
+def test_mix_sizes_and_targets_equal_plain_counts(spark, sf):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = {i: len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")) for i, r in docs.items()}
+    names = sorted({r["source"] for r in docs.values()}, key=lambda s: (s is None, s or ""))
+    of = {s: sum(size[i] for i, r in docs.items() if r["source"] == s) for s in names}
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    target, left, open_ = {}, float(sum(of.values())), set(names)
+    while True:  # the plain way: cap the worst source, share again
+        share = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        worst = max(open_, key=lambda s: share[s] - 3 * of[s])
+        if share[worst] <= 3 * of[worst]:
+            target |= share
+            break
+        target[worst] = 3.0 * of[worst]
+        left -= target[worst]
+        open_.remove(worst)
+    for r in QUERIES["op2_mixing"](spark, sf).collect():
+        s = docs[r["doc_id"]]["source"]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], of[s]) and r["target"] == pytest.approx(target[s])
+
+
 def test_water_filling_caps_and_reshares():
     assert mixing.water_fill([10, 1000], [3, 1], 1010) == [30.0, 980.0]
     assert mixing.water_fill([10, 10], [1, 2], 20) == pytest.approx([20 / 3, 40 / 3])
@@ -577,6 +598,25 @@ def test_shards_are_even_and_gapless(spark, sf):
         assert abs(sum(r["size"] for r in mine) - total / 8) <= max(largest, 0.06 * total / 8)
 
 
+def test_shards_equal_a_sort_of_all_rows(spark, sf):
+    """The first byte of each text's copies, in the order of the keys, decides their shard; slots count on in that order."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in QUERIES["op10_sharding"](spark, sf).collect()}
+    key = lambda i: int(hashlib.md5(texts[i].encode()).hexdigest()[:15], 16)
+    size = {i: len(t.encode()) + 1 for i, t in texts.items()}
+    total, at, began, slots = sum(size.values()), 0, {}, {}
+    copies = {}
+    for i in texts:
+        copies[texts[i]] = copies.get(texts[i], 0) + size[i]
+    for i in sorted(texts, key=lambda i: (key(i), i)):
+        unit = texts[i] if copies[texts[i]] <= 0.05 * total / 8 else i
+        began.setdefault(unit, at)
+        at += size[i]
+        shard = min(7, began[unit] * 8 // total)
+        assert (rows[i]["shard"], rows[i]["slot"], rows[i]["size"], rows[i]["text_crc32"]) == (shard, slots.get(shard, 0), size[i], zlib.crc32(texts[i].encode()))
+        slots[shard] = slots.get(shard, 0) + 1
+
+
 def test_shards_of_awkward_and_hot_rows(spark, awkward):
     made = sharding.shard(awkward, 4)
     assert made.count() == awkward.count() and made.columns == [*[c for c in awkward.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot"]
@@ -586,6 +626,29 @@ def test_shards_of_awkward_and_hot_rows(spark, awkward):
     assert sharding.shard(awkward.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"])
+def test_stages_of_awkward_rows(spark, awkward, sf, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = awkward.union(awkward.where("doc_id is null"))
+    made = stage(spark, docs, sf)
+    rows, kept = made.collect(), {"toxicity": docs.count(), "decontamination": docs.count(), "sharding": docs.count(), "near_duplicates": 5}
+    assert name not in kept or len(rows) == kept[name]
+    assert made.columns == (docs.columns if name != "sharding" else [*[c for c in docs.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot"])
+    if name == "near_duplicates":
+        assert sorted((r["doc_id"] for r in rows), key=str) == [1, 3, 5, 7, None]
+    assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_decontamination_of_rows_without_an_id(spark, sf):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(None, f"some words before {item}"), (None, "clean words only"), (7, "clean too")], "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.decontamination(spark, docs, sf).collect()) == ["clean too", "clean words only"]
+
+
 def test_pipeline_takes_its_decisions(spark, sf):
     import corpus_pipeline
 
