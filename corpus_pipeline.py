@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import save, table
+from pelagia.llm.common import save, table, text_key, text_or_empty
 from pelagia.llm.decontamination import contaminated
 from pelagia.llm.mixing import drawn_rows, mix
 from pelagia.llm.sharding import shard
@@ -23,10 +23,13 @@ TOXIC = 0.7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the labelled rows that are not held out."""
+    """Documents that the classifier does not reject; it learns from the labelled rows that are not held out.
+
+    Null and empty texts score like texts without a hit and stay; repeated rows are judged alike; ids are not needed; an
+    empty table gives an empty result; further columns stay, those with names that scoring uses too."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    measured = with_features(docs.withColumn("_text", F.col("text")), model.lexicon, "_text")
-    return model.score(measured).where(F.col("score") < TOXIC).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    return model.score(with_features(rows, model.lexicon, "_text")).where(F.col("score") < TOXIC).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +46,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy, exact or edited, of a test item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a copy, exact or edited, of a test item.
+
+    Rows of one id go together; a row without an id is judged by its text alone. Null and empty texts stay; an empty
+    table, of documents or of items, removes nothing; further columns stay, whatever their names."""
+    own = F.coalesce(F.col("doc_id").cast("long"), -1 - text_key(text_or_empty()))
+    found = contaminated(docs.select(own.alias("_own"), "text"), table(spark, sf_dir, "benchmark"), id_col="_own").select("_own").distinct()
+    return docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_own")).join(found, "_own", "left_anti").select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it, so rows are repeated and dropped.
+
+    A null text has no words and a null source is a source; rows without an id are drawn by their text; an empty table
+    gives an empty result; further columns stay."""
     return drawn_rows(mix(docs), docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their size in bytes, their shard and their slot in it."""
+    """All rows with their size in bytes, their shard and their slot in it.
+
+    A null text has no bytes, a null id sorts first, repeated rows get a slot each, an empty table gives an empty result;
+    columns named size, shard or slot are replaced, others stay."""
     return shard(docs)
 
 
