@@ -11,6 +11,8 @@ from pelagia.lineage import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: With this setting Spark removes a query's shuffle files when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: no shuffle files afterwards, and batches for Python of at most 8 MB, whatever the rows' size.
+WRITING = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +24,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
     Nothing reads the query's shuffle files after that, so they need not stay until the session ends."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         return cut(df, name, "tables")
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def discard(*saved: DataFrame) -> None:
