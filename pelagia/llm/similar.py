@@ -149,6 +149,17 @@ def met(members: DataFrame, label: DataFrame, similarity: float, small: int, piv
     return apart.mapInPandas(lambda batches: meetings(batches, similarity, small, pivots), PAIRS)
 
 
+def stars(members: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each member and the first one of its shingle, where their components differ.
+
+    What they confirm collapses the large groups, so that met() has little left to compare."""
+    one = Window.partitionBy("token")
+    rows = members.join(label, "node").withColumn("n", F.count("*").over(one)).withColumn("head", F.min(F.struct("pos", "node", "size", "comp")).over(one))
+    ends = rows.where((F.col("n") > 1) & (F.col("comp") != F.col("head.comp"))).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"), F.col("size").alias("sa"), F.col("head.size").alias("sb"), F.col("pos").alias("pa"), F.col("head.pos").alias("pb"))
+    need = F.ceil(similarity / (1 + similarity) * (F.col("sa") + F.col("sb")) - 1e-9)
+    return ends.where(F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= need).select("a", "b").distinct()
+
+
 def node_of(id_: Column, key: Column) -> Column:
     """The id, and for a null id a number of the text's own above all ids, from 2^62."""
     return F.coalesce(id_, F.lit(1 << 62) + F.xxhash64(key).bitwiseAND((1 << 61) - 1))
@@ -196,7 +207,10 @@ def groups(
                 at += len(sets)
 
     marked = save(rows.mapInPandas(measured, "id long, key string, fp long, size int, tokens array<long>").withColumn("node", node_of(F.col("id"), F.col("key"))), "marked")
-    texts = save(marked.groupBy("key").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "texts")
+    listed = save(marked.groupBy("key").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "prefixes")
+    texts, whole = save(listed.select("key", "node", "fp"), "texts"), marked
+    marked = save(whole.select("id", "key", "node"), "rows")
+    discard(whole)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
@@ -207,7 +221,14 @@ def groups(
         joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         both = joined.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("s"))
         made = save(both.where(F.col("c") / (F.col("s") - F.col("c")) >= similarity).select("a", "b"), "links")
-        discard(sets)
+        discard(sets, named, pairs)
+        return made
+
+    def relabelled(label: DataFrame, new: DataFrame) -> DataFrame:
+        ends = new.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select("ca", "cb").distinct()
+        joined = components(ends).toDF("comp", "root")
+        made = save(label.join(joined, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+        discard(label, new)
         return made
 
     owner = save(texts.groupBy("fp").agg(F.min("node").alias("owner")), "owners")
@@ -216,13 +237,13 @@ def groups(
     near = near.join(owner.toDF("a", "na"), "a").join(owner.toDF("b", "nb"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     found = verified(save(same.union(near).distinct(), "pairs"))
     label = save(texts.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "labels")
-    members = texts.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
+    members = listed.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
+    label = relabelled(label, verified(save(stars(members, label, similarity), "pairs")))
+    before = listed
     while True:
         step = save(met(members, label, similarity, small, pivots), "meetings")
-        new = verified(save(step.where("not left").select("a", "b").distinct(), "pairs"))
-        ends = new.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select("ca", "cb").distinct()
-        joined = components(ends).toDF("comp", "root")
-        label = save(label.join(joined, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
+        discard(before)
+        label, before = relabelled(label, verified(save(step.where("not left").select("a", "b").distinct(), "pairs"))), step
         members = step.where("left").select(F.col("b").alias("token"), F.col("a").alias("node"), "size", "pos")
         if members.isEmpty():
             break
