@@ -32,3 +32,11 @@ def cut(df: DataFrame, name: str = "step", folder: str = "steps") -> DataFrame:
     made = spark.read.schema(df.schema).parquet(path)
     made._saved_at = path
     return made
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete tables of cut() that nothing reads any more."""
+    for df in made:
+        session = df.sparkSession.sparkContext
+        path = session._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.operators.series import fill_gaps
+from pelagia.operators.stats import quantiles
 from pelagia.operators.stencil import along_t, derivative, along_x, along_y, median_filter
 
 GOOD, SUSPECT, BAD, MISSING, INTERPOLATED = range(5)
@@ -51,9 +52,10 @@ def limit_flags(df: DataFrame, name: str = "name", value: str = "value", units:
 def robust_bounds(df: DataFrame, name: str) -> DataFrame:
     """One row: mean, std, quartiles, median and the median absolute deviation of a column."""
     c = F.col(name)
-    s = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    mad = df.select(c.alias("_c")).join(F.broadcast(s.select(F.col("q")[1].alias("_m")))).agg(F.percentile(F.abs(F.col("_c") - F.col("_m")), F.lit(0.5)).alias("mad"))
-    return s.join(F.broadcast(mad))
+    q = quantiles(df, c, [0.25, 0.5, 0.75])
+    (mad,) = quantiles(df, F.abs(c - F.lit(q[1])), [0.5])
+    fixed = [F.first(F.array(*(F.lit(x).cast("double") for x in q))).alias("q"), F.first(F.lit(mad).cast("double")).alias("mad")]
+    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), *fixed)
 
 
 def flag(df: DataFrame, name: str, limits: tuple[float, float], dx: float = 1.0, dy: float = 1.0, z: float = 3.0, steepest: float = 5.0, jump: float = 2.0) -> DataFrame:
@@ -68,11 +70,11 @@ def flag(df: DataFrame, name: str, limits: tuple[float, float], dx: float = 1.0,
     yes = lambda x: F.coalesce(x, F.lit(False))
     d = d.withColumn("_gx", derivative(c, along_x(), dx)).withColumn("_gy", derivative(c, along_y(), dy)).withColumn("_g", F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy")))
     d = d.withColumn("_dt", F.abs((c - F.lag(c).over(along_t())) / (F.col("time_idx") - F.lag("time_idx").over(along_t()))))
-    edge = d.agg(F.least(2 * F.percentile("_g", F.lit(0.95)), F.lit(steepest)).alias("_edge"))
-    d = d.join(F.broadcast(edge))
+    (p95,) = quantiles(d, "_g", [0.95])
+    edge = steepest if p95 is None else min(2 * p95, steepest)
     f = F.when(yes((c < limits[0]) | (c > limits[1])), BAD).otherwise(GOOD)
     f = F.when((F.col("n") >= 10) & yes(by_std) & yes(by_box) & yes(by_mad), SUSPECT).otherwise(f)
-    f = F.when(yes(F.col("_g") > F.col("_edge")), SUSPECT).otherwise(f)
+    f = F.when(yes(F.col("_g") > edge), SUSPECT).otherwise(f)
     f = F.when(yes(F.col("_dt") > jump * F.col("std")), SUSPECT).otherwise(f)
     f = F.when(c.isNull(), MISSING).otherwise(f)
     return d.withColumn("flag", f.cast("int")).select(*df.columns, "flag")

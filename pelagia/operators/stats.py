@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions import geo, ocean
 from pelagia.functions.mathx import direction, speed
+from pelagia.lineage import cut, discard
 
 WET = "water_u IS NOT NULL AND water_v IS NOT NULL"
 
@@ -17,12 +20,52 @@ def with_speed(df: DataFrame, u: str = "water_u", v: str = "water_v") -> DataFra
     return df.withColumns({"speed": speed(F.col(u), F.col(v)), "direction": d, "direction_deg": F.degrees(d)})
 
 
+def quantiles(df: DataFrame, column: str | Column, shares: list[float], bins: int = 4096) -> list[float | None]:
+    """Exact quantiles of a column, interpolated between the two nearest values; None for each if there is no value.
+
+    Counts in `bins` bins narrow the range around each wanted rank until it holds a single value. So no task holds the
+    values, and at most `bins` counts for each open range reach the driver, whatever the number of rows. Nulls, NaN and
+    infinities are left out. This runs jobs when it is called."""
+    x = F.col("x")
+    column = F.col(column) if isinstance(column, str) else column
+    rows = cut(df.select(column.cast("double").alias("x")).where(F.abs(x) < math.inf), "values")
+    n, lo, hi = rows.agg(F.count("*"), F.min(x), F.max(x)).first()
+    if not n:
+        discard(rows)
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    held = {f(at): (lo, hi, 0) for at in places for f in (math.floor, math.ceil)}
+    while ranges := sorted({(a, b) for a, b, _ in held.values() if a < b}):
+        found = None
+        for k, (a, b) in enumerate(ranges):
+            half = 0.5 if math.isinf(b - a) else 1.0
+            place = F.least(F.floor((x * half - a * half) / (b * half - a * half) * bins), F.lit(bins - 1)) + k * bins
+            found = (F if found is None else found).when(x.between(a, b), place)
+        counts = rows.groupBy(found.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("a"), F.max(x).alias("b")).where("bin IS NOT NULL").orderBy("bin").collect()
+        for rank, (a, b, below) in held.items():
+            if a < b:
+                k = ranges.index((a, b))
+                for c in (c for c in counts if c["bin"] // bins == k):
+                    if rank < below + c["n"]:
+                        held[rank] = (c["a"], c["b"], below)
+                        break
+                    below += c["n"]
+    discard(rows)
+    value = lambda at: held[math.floor(at)][0] * (1 - at % 1) + held[math.ceil(at)][0] * (at % 1)
+    return [value(at) if at % 1 else held[int(at)][0] for at in places]
+
+
+def _number(value: float | None) -> Column:
+    return F.lit(value).cast("double")
+
+
 def field_statistics(df: DataFrame) -> DataFrame:
     """One row: extent, moments of u, v and speed over wet cells, shares of wet cells, direction, strong-flow count."""
     d = with_speed(df)
     four = lambda c: [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
     wet = F.expr(WET)
-    made = d.agg(
+    (p90,), (middle,) = quantiles(d, "speed", [0.9]), quantiles(d, "direction_deg", [0.5])
+    return d.agg(
         *(f(c).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))),
         *four("water_u"),
         *four("water_v"),
@@ -30,12 +73,11 @@ def field_statistics(df: DataFrame) -> DataFrame:
         F.count_if(wet).alias("valid"),
         F.count_if(~wet).alias("invalid"),
         F.avg(wet.cast("double")).alias("valid_share"),
-        F.median("direction_deg").alias("direction_median"),
+        F.first(_number(middle)).alias("direction_median"),
         F.stddev_pop("direction_deg").alias("direction_std"),
-        F.percentile("speed", F.lit(0.9)).alias("speed_p90"),
+        F.first(_number(p90)).alias("speed_p90"),
+        F.count_if(F.col("speed") > _number(p90)).alias("strong"),
     )
-    strong = d.join(F.broadcast(made.select("speed_p90")), F.col("speed") > F.col("speed_p90")).agg(F.count("*").alias("strong"))
-    return made.join(F.broadcast(strong))
 
 
 def flow_statistics(df: DataFrame) -> DataFrame:
@@ -46,7 +88,7 @@ def flow_statistics(df: DataFrame) -> DataFrame:
         F.avg("speed").alias("mean_speed"),
         F.max("speed").alias("max_speed"),
         F.stddev_pop("speed").alias("std_speed"),
-        F.median("direction_deg").alias("median_direction"),
+        F.first(_number(quantiles(d, "direction_deg", [0.5])[0])).alias("median_direction"),
         (F.avg(F.col("speed") * F.col("speed")) * (0.5 * ocean.RHO0)).alias("kinetic_energy"),
         (F.sum(F.col("speed") * F.col("speed")) * (0.5 * ocean.RHO0)).alias("total_energy"),
         n.alias("cells"),
@@ -66,7 +108,7 @@ def moments(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"),
         F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"),
         F.coalesce(F.var_samp(c), F.lit(0.0)).alias("variance"),
-        F.median(c).alias("median"),
+        (F.median(c) if by else F.first(_number(quantiles(df, c, [0.5])[0]))).alias("median"),
         F.sqrt(F.sum(c * c)).alias("norm"),
     ]
     return df.groupBy(*(by or [])).agg(*aggs)
@@ -75,17 +117,17 @@ def moments(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
 def tail_counts(df: DataFrame, name: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Mean, extremes and population variance of a column, its percentiles and the counts beyond them."""
     c = F.col(name)
-    s = df.agg(F.avg(c).alias("mean"), F.max(c).alias("max"), F.min(c).alias("min"), F.var_pop(c).alias("variance"), F.percentile(c, F.lit(low)).alias("p_low"), F.percentile(c, F.lit(high)).alias("p_high"))
-    counts = df.select(c.alias("_c")).join(F.broadcast(s.select("p_low", "p_high"))).agg(F.count_if(F.col("_c") > F.col("p_high")).alias("above"), F.count_if(F.col("_c") < F.col("p_low")).alias("below"))
-    return s.join(F.broadcast(counts))
+    p_low, p_high = (_number(p) for p in quantiles(df, c, [low, high]))
+    extremes = [F.avg(c).alias("mean"), F.max(c).alias("max"), F.min(c).alias("min"), F.var_pop(c).alias("variance")]
+    beyond = [F.count_if(c > p_high).alias("above"), F.count_if(c < p_low).alias("below")]
+    return df.agg(*extremes, F.first(p_low).alias("p_low"), F.first(p_high).alias("p_high"), *beyond)
 
 
 def levels(df: DataFrame, name: str, n: int = 21) -> DataFrame:
     """level_idx and level: n contour levels from the 5th to the 95th percentile; a range of one value is widened."""
-    p = df.agg(F.percentile(name, F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
-    lo, hi = F.col("p")[0], F.col("p")[1]
+    lo, hi = (_number(p) for p in quantiles(df, name, [0.05, 0.95]))
     lo, hi = F.when(lo == hi, lo - 0.5).otherwise(lo), F.when(lo == hi, hi + 0.5).otherwise(hi)
-    return p.select(lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("level_idx")).select("level_idx", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("level_idx") / (n - 1)).alias("level"))
+    return df.sparkSession.range(n).select(F.col("id").cast("int").alias("level_idx"), (lo + (hi - lo) * F.col("id") / (n - 1)).alias("level"))
 
 
 def tracer_statistics(df: DataFrame, c: str, cell_area: float) -> DataFrame:

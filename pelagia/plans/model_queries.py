@@ -36,6 +36,32 @@ def drift_track(spark, sf_dir):
     return track(spark, sf_dir).select("id", "step", rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"))
 
 
+def rk4_step(k: int) -> str:
+    """CTEs that carry s<k> (id, lon, lat) one Runge-Kutta step on, to s<k+1>."""
+    at, made = f"(SELECT *, lon AS x, lat AS y FROM s{k})", []
+    for stage, reach in enumerate((0.5, 0.5, 1.0, 0.0)):
+        cell = f"CASE WHEN x BETWEEN 118 AND 121.875 AND y BETWEEN 21 AND 24.875 THEN least(CAST(floor(({{}})/{H}e0) AS INT), {N - 2}) END"
+        placed = f"SELECT *, {cell.format('x - 118e0')} AS ci, {cell.format('y - 21e0')} AS cj FROM {at}"
+        inner = f"SELECT p.*, (x - 118e0)/{H}e0 - ci AS fx, (y - 21e0)/{H}e0 - cj AS fy, q.* EXCLUDE (time_idx, j, i) FROM ({placed}) p LEFT JOIN q ON q.time_idx = {k} AND q.j = p.cj AND q.i = p.ci"
+        a, b = f"coalesce({blend('water_u')}, 0e0)/(111000e0*cos(radians(y)))", f"coalesce({blend('water_v')}, 0e0)/111000e0"
+        before = "".join(f", a{m}, b{m}" for m in range(stage))
+        slopes = f"SELECT id, lon, lat{before}, {a} AS a{stage}, {b} AS b{stage} FROM ({inner})"
+        made.append(f"r{k}{stage} AS (SELECT *, lon + {reach * 10800}e0*a{stage} AS x, lat + {reach * 10800}e0*b{stage} AS y FROM ({slopes}))")
+        at = f"r{k}{stage}"
+    moved = f"SELECT id, lon + (a0 + 2*a1 + 2*a2 + a3)*1800e0 AS lon, lat + (b0 + 2*b1 + 2*b2 + b3)*1800e0 AS lat FROM {at}"
+    return ", ".join([*made, f"s{k + 1} AS (SELECT * FROM ({moved}) WHERE {INSIDE})"])
+
+
+@query(
+    f"{CORNERS}, s0 AS (SELECT id, lon, lat FROM v_particle), {rk4_step(0)}, {rk4_step(1)} " + " UNION ALL ".join(f"SELECT id, {k} AS step, {r('lon')} AS lon, {r('lat')} AS lat FROM s{k}" for k in range(3)),
+    "v_field",
+    "v_particle",
+)
+def drift_rk4(spark, sf_dir):
+    d = particles.drift_rk4(views.field(spark, sf_dir), views.particles(spark, sf_dir), AXES, 2)
+    return d.select("id", "step", rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"))
+
+
 def hav(a: str, b: str) -> str:
     h = f"(sin((radians({b}.lat) - radians({a}.lat))/2)*sin((radians({b}.lat) - radians({a}.lat))/2) + cos(radians({a}.lat))*cos(radians({b}.lat))*sin(radians({b}.lon - {a}.lon)/2)*sin(radians({b}.lon - {a}.lon)/2))"
     return f"2*6371e0*atan2(sqrt({h}), sqrt(1 - {h}))"

@@ -45,7 +45,7 @@ ACTIONS: dict[str, tuple[tuple[str, ...], Action]] = {
     "animation_frames": ((), lambda df, p: stats.with_speed(df.where(F.col("time_idx") % p.get("stride", 1) == 0))),
     "track_particles": (("positions", "steps", "lon0", "lat0", "step", "n_x", "n_y"), _tracked),
     "track_statistics": (("positions", "steps", "lon0", "lat0", "step", "n_x", "n_y"), lambda df, p: stats.trajectory_statistics(_tracked(df, p))),
-    "analyze_for_dispersion": ((), lambda df, p: readers.extent(df).withColumn("resolution", (F.col("lat_max") - F.col("lat_min")) / 100)),
+    "analyze_for_dispersion": ((), lambda df, p: readers.extent(df).withColumn("resolution", F.least(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min")) / 100)),
 }
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagia.functions import geo, ocean
-from pelagia.operators import ensemble, grid, interp, particles, qc, series, stencil, transport
+from pelagia.operators import ensemble, grid, interp, particles, qc, series, stats, stencil, transport
 from pelagia.plans import registry
 from pelagia.sources import generators, readers, sinks
 
@@ -241,3 +241,24 @@ def test_nearest_index_of_uneven_axes(spark):
     got = {r["id"]: r["nearest_idx"] for r in interp.nearest_index(spark.createDataFrame([(k, v) for k, v in enumerate(axis)], "idx long, value double"), points, "x").collect()}
     assert got == {i: None if v is None else int(np.argmin(np.abs(np.array(axis) - v))) for i, v in enumerate(x)}
     assert interp.nearest_index(spark.createDataFrame([], "idx long, value double"), points, "x").where("nearest_idx is null").count() == 9
+
+
+@pytest.mark.parametrize("bins", [7, 4096])
+def test_quantiles_equal_those_of_numpy(spark, bins):
+    rng = np.random.default_rng(3)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    for x in (rng.normal(size=501), np.r_[np.zeros(400), rng.normal(size=100)], np.array([-1.7e308, 0.0, 5e-324, 1.0, 1.7e308]), np.array([3.0]), np.full(20, 2.5)):
+        d = spark.createDataFrame([(float(v),) for v in x] + [(None,), (math.nan,), (math.inf,)], "x double")
+        assert stats.quantiles(d, "x", shares, bins) == pytest.approx([np.quantile(x / 2, s) * 2 for s in shares], rel=1e-12)
+    assert stats.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5, 0.9], bins) == [None, None]
+
+
+def test_rk4_drift_keeps_the_radius_where_euler_leaves_it(spark):
+    axes = interp.Axes(0.0, -0.1, 0.01, 21, 21)
+    turn = [(t, 0, j, i, -0.01 * (j - 10.0), 0.01 * (i - 10.0)) for t in range(3) for j in range(21) for i in range(21)]
+    field = spark.createDataFrame(turn, "time_idx int, depth_idx int, j int, i int, water_u double, water_v double")
+    start = spark.createDataFrame([(1, 0.15, 0.0), (2, 0.199, 0.09)], "id long, lon double, lat double")
+    radius = lambda d: [math.hypot(r["lon"] - 0.1, r["lat"]) for r in d.where("id = 1").orderBy("step").collect()]
+    good, plain = radius(particles.drift_rk4(field, start, axes, 3)), radius(particles.drift(field, start, axes, 3))
+    assert len(good) == 4 and good[3] == pytest.approx(0.05, rel=5e-3)
+    assert abs(plain[3] - 0.05) > 10 * abs(good[3] - 0.05)
