@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelagia.lineage import cut
 from pelagia.operators.series import fill_gaps
 from pelagia.operators.stats import quantiles
 from pelagia.operators.stencil import along_t, derivative, along_x, along_y, median_filter
@@ -52,6 +53,7 @@ def limit_flags(df: DataFrame, name: str = "name", value: str = "value", units:
 def robust_bounds(df: DataFrame, name: str) -> DataFrame:
     """One row: mean, std, quartiles, median and the median absolute deviation of a column."""
     c = F.col(name)
+    df = cut(df.select(c), "values")
     q = quantiles(df, c, [0.25, 0.5, 0.75])
     (mad,) = quantiles(df, F.abs(c - F.lit(q[1])), [0.5])
     fixed = [F.first(F.array(*(F.lit(x).cast("double") for x in q))).alias("q"), F.first(F.lit(mad).cast("double")).alias("mad")]

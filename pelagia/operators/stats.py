@@ -25,13 +25,14 @@ def quantiles(df: DataFrame, column: str | Column, shares: list[float], bins: in
 
     Counts in `bins` bins narrow the range around each wanted rank until it holds a single value. So no task holds the
     values, and at most `bins` counts for each open range reach the driver, whatever the number of rows. Nulls, NaN and
-    infinities are left out. This runs jobs when it is called."""
+    infinities are left out. This runs jobs when it is called; a table of cut() is read as it is, others are computed once."""
     x = F.col("x")
     column = F.col(column) if isinstance(column, str) else column
-    rows = cut(df.select(column.cast("double").alias("x")).where(F.abs(x) < math.inf), "values")
+    rows = df.select(column.cast("double").alias("x")).where(F.abs(x) < math.inf)
+    held_before = hasattr(df, "_saved_at")
+    rows = rows if held_before else cut(rows, "values")
     n, lo, hi = rows.agg(F.count("*"), F.min(x), F.max(x)).first()
     if not n:
-        discard(rows)
         return [None] * len(shares)
     places = [share * (n - 1) for share in shares]
     held = {f(at): (lo, hi, 0) for at in places for f in (math.floor, math.ceil)}
@@ -50,7 +51,8 @@ def quantiles(df: DataFrame, column: str | Column, shares: list[float], bins: in
                         held[rank] = (c["a"], c["b"], below)
                         break
                     below += c["n"]
-    discard(rows)
+    if not held_before:
+        discard(rows)
     value = lambda at: held[math.floor(at)][0] * (1 - at % 1) + held[math.ceil(at)][0] * (at % 1)
     return [value(at) if at % 1 else held[int(at)][0] for at in places]
 
@@ -61,7 +63,7 @@ def _number(value: float | None) -> Column:
 
 def field_statistics(df: DataFrame) -> DataFrame:
     """One row: extent, moments of u, v and speed over wet cells, shares of wet cells, direction, strong-flow count."""
-    d = with_speed(df)
+    d = cut(with_speed(df).select("lat", "lon", "water_u", "water_v", "speed", "direction_deg"), "speeds")
     four = lambda c: [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
     wet = F.expr(WET)
     (p90,), (middle,) = quantiles(d, "speed", [0.9]), quantiles(d, "direction_deg", [0.5])
@@ -82,7 +84,7 @@ def field_statistics(df: DataFrame) -> DataFrame:
 
 def flow_statistics(df: DataFrame) -> DataFrame:
     """One row: speeds, direction, kinetic energy density and total, Coriolis parameter and Rossby number."""
-    d = with_speed(df)
+    d = cut(with_speed(df).select("lat", "speed", "direction_deg"), "speeds")
     n = F.count("speed")
     row = d.agg(
         F.avg("speed").alias("mean_speed"),
