@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import save, table, text_key, text_or_empty
+from pelagia.llm.common import save, scratch, table, text_key, text_or_empty
 from pelagia.llm.decontamination import contaminated
 from pelagia.llm.mixing import drawn_rows, mix
 from pelagia.llm.sharding import shard
@@ -38,7 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat a document's id and text go as well. Rows without an id stay only where no row with one is alike;
     null texts count as empty ones. An empty table gives an empty result; columns that documents has besides stay."""
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    kept = groups(docs).where("first").select(F.struct("text_key", F.col("doc_id").alias("id")).alias("_kept")).distinct()
+    with scratch(spark) as keep:
+        kept = save(groups(docs).where("first").select(F.struct("text_key", F.col("doc_id").alias("id")).alias("_kept")).distinct(), "kept")
+        keep.append(kept)
     own = F.struct(key.alias("text_key"), F.col("doc_id").cast("long").alias("id"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_own"))
     once = rows.join(kept, F.col("_own") == F.col("_kept"), "left_semi").groupBy("_own").agg(F.first("_row").alias("_row"))
@@ -51,7 +53,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows of one id go together; a row without an id is judged by its text alone. Null and empty texts stay; an empty
     table, of documents or of items, removes nothing; further columns stay, whatever their names."""
     own = F.coalesce(F.col("doc_id").cast("long"), -1 - text_key(text_or_empty()))
-    found = contaminated(docs.select(own.alias("_own"), "text"), table(spark, sf_dir, "benchmark"), id_col="_own").select("_own").distinct()
+    with scratch(spark) as keep:
+        found = save(contaminated(docs.select(own.alias("_own"), "text"), table(spark, sf_dir, "benchmark"), id_col="_own").select("_own").distinct(), "contaminated")
+        keep.append(found)
     return docs.select(F.struct(*docs.columns).alias("_row"), own.alias("_own")).join(found, "_own", "left_anti").select("_row.*")
 
 

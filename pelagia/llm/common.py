@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What save() has written inside each scratch() that is open, the outermost first.
+_OPEN: list[list[DataFrame]] = []
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: this cuts the lineage and survives lost executors.
 
@@ -28,7 +35,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
     try:
         for k, v in WRITING.items():
             spark.conf.set(k, v)
-        return cut(df, name, "tables")
+        made = cut(df, name, "tables")
+        for held in _OPEN:
+            held.append(made)
+        return made
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -42,6 +52,25 @@ def discard(*saved: DataFrame) -> None:
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete at the end every table that save() wrote inside, but for those in the list that it yields.
+
+    Shuffle files of counts and other actions inside go with their query, too."""
+    keep: list[DataFrame] = []
+    before = spark.conf.get(CLEANUP)
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield keep
+    finally:
+        spark.conf.set(CLEANUP, before)
+        _OPEN[:] = [held for held in _OPEN if held is not made]
+        kept = {df._saved_at for df in keep}
+        discard(*(df for df in made if df._saved_at not in kept))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import save
+from pelagia.llm.common import discard, save
 
 
 def _star(both: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = _star(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _star(large)
         small = small.select(F.col("v").alias("u"), "m").union(small.select("u", "m")).where("u <> m").select("u", F.col("m").alias("v")).distinct()
-        now, before = save(small, "edges"), state
+        old, now, before = now, save(small, "edges"), state
+        discard(old)
         state = _state(now)
     else:
         raise RuntimeError(f"no fixpoint after {most} rounds")

@@ -237,6 +237,7 @@ def groups(
     near = near.join(owner.toDF("a", "na"), "a").join(owner.toDF("b", "nb"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     found = verified(save(same.union(near).distinct(), "pairs"))
     label = save(texts.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "labels")
+    discard(owner, found)
     members = listed.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
     label = relabelled(label, verified(save(stars(members, label, similarity), "pairs")))
     before = listed
