@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,3 +229,20 @@ def distance_pairs(a: DataFrame, b: DataFrame, metric: str = "euclidean", most:
     left = left.withColumn("_gx", F.explode(F.transform(near, lambda k: place("xa") + k))).withColumn("_gy", F.explode(F.transform(near, lambda k: place("ya") + k)))
     right = right.withColumns({"_gx": place("xb"), "_gy": place("yb")})
     return left.join(right, ["_gx", "_gy"]).select("id_a", "id_b", metrics[metric].alias("distance")).where(F.col("distance") <= most)
+
+
+def paired_error(source: DataFrame, target: DataFrame, key: str, distance: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """n and mean_error, the mean distance between the points (lon, lat) of both tables that have the same key; 0 without pairs."""
+    pairs = source.select(key, F.col("lon").alias("_a"), F.col("lat").alias("_b")).join(target.select(key, "lon", "lat"), key)
+    return pairs.agg(F.count("*").alias("n"), F.coalesce(F.avg(distance(F.col("_a"), F.col("_b"), F.col("lon"), F.col("lat"))), F.lit(0.0)).alias("mean_error"))
+
+
+def grid_shape(df: DataFrame, n_x: int, n_y: int) -> DataFrame:
+    """By slab: rows, places and coordinates on each axis, and whether they make a whole n_x by n_y grid."""
+    d = df.groupBy("time_idx", "depth_idx").agg(F.count("*").alias("n"), *(F.countDistinct(c).alias(n) for c, n in (("j", "n_y"), ("i", "n_x"), ("lat", "n_lat"), ("lon", "n_lon"))))
+    return d.withColumn("whole", (F.col("n") == n_x * n_y) & (F.col("n_lat") == n_y) & (F.col("n_lon") == n_x))
+
+
+def with_status(df: DataFrame, column: str, status: str | None) -> DataFrame:
+    """The rows of a status; all rows where none is asked for."""
+    return df if status is None else df.where(F.col(column) == status)
