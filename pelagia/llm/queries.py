@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from pelagia.llm.chat import OP9_SQL, op9_chat_formatting
 from pelagia.llm.decontamination import op4_decontamination
+from pelagia.llm.embedding_duplicates import OP11_SQL, op11_embedding_duplicates
 from pelagia.llm.html import op3_html_extraction
 from pelagia.llm.mixing import op2_mixing
 from pelagia.llm.neighbours import op8_nearest_neighbours
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
+    "op11_embedding_duplicates": op11_embedding_duplicates,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL, "op11_embedding_duplicates": OP11_SQL}
