@@ -10,6 +10,7 @@ import corpus_pipeline
 from pelagia.llm.chat import OP9_SQL, op9_chat_formatting
 from pelagia.llm.decontamination import op4_decontamination
 from pelagia.llm.embedding_duplicates import OP11_SQL, op11_embedding_duplicates
+from pelagia.llm.filter_audit import OP12_SQL, op12_filter_audit
 from pelagia.llm.html import op3_html_extraction
 from pelagia.llm.mixing import op2_mixing
 from pelagia.llm.neighbours import op8_nearest_neighbours
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
     "op11_embedding_duplicates": op11_embedding_duplicates,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL, "op11_embedding_duplicates": OP11_SQL}
+ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL, "op11_embedding_duplicates": OP11_SQL, "op12_filter_audit": OP12_SQL}
