@@ -17,6 +17,7 @@ from pelagia.llm.neighbours import op8_nearest_neighbours
 from pelagia.llm.secrets import op1_secret_scans
 from pelagia.llm.sharding import op10_sharding
 from pelagia.llm.simhash import op6_simhash
+from pelagia.llm.spelling import op13_spelling_variants
 from pelagia.llm.substrings import op5_repeated_substrings
 from pelagia.llm.toxicity import op7_toxicity
 
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_embedding_duplicates": op11_embedding_duplicates,
     "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL, "op11_embedding_duplicates": OP11_SQL, "op12_filter_audit": OP12_SQL}
