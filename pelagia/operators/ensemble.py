@@ -154,3 +154,65 @@ def quality(mean: DataFrame, truth: DataFrame) -> DataFrame:
     d = mean.join(truth, ["block", "cell"])
     e = F.col("mean") - F.col("y")
     return d.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.corr("mean", "y").alias("correlation"), F.avg(e).alias("bias"), F.count("*").alias("n"))
+
+
+def merged_observations(obs: DataFrame) -> DataFrame:
+    """One observation for each block and cell: all of a cell weighed by their precision, which is exact for one state."""
+    known = obs.where("y IS NOT NULL AND r > 0")
+    total = F.sum(1 / F.col("r"))
+    return known.groupBy("block", "cell").agg((F.sum(F.col("y") / F.col("r")) / total).alias("y"), (1 / total).alias("r"))
+
+
+def local_analysis(ens: DataFrame, obs: DataFrame, radius: float, spacing: float = 1.0, cells_per_task: int = 4096) -> DataFrame:
+    """The deterministic analysis of each cell from the observations around it, in the space of the members.
+
+    An observation's precision fades with distance by the Gaspari-Cohn weight, to nothing at twice the radius. Cells are
+    cut into bins; an observation goes to every bin that it reaches, so a task holds a bin's cells and the observations
+    in reach of it, and solves a members-by-members system for each cell: no matrix of cells by cells exists. Several
+    observations of a cell are merged first, so a bin has no more of them than it reaches cells. ens: member, block,
+    cell, x, every cell with all members; obs: block, cell, y, r. Cells without an observation in reach stay."""
+    reach = 2 * radius / spacing
+    width = max(1, int(min(cells_per_task, max(reach, 64))))
+    states = ens.groupBy("block", "cell").agg(F.array_sort(F.collect_list(F.struct("member", "x"))).alias("m"))
+    states = states.select("block", "cell", F.transform("m", lambda s: s["member"]).alias("members"), F.transform("m", lambda s: s["x"]).alias("xs"))
+    seen = merged_observations(obs).join(states.select("block", "cell", F.col("xs").alias("hx")), ["block", "cell"])
+    bins = F.sequence(F.floor((F.col("cell") - reach) / width), F.floor((F.col("cell") + reach) / width))
+    spread_obs = seen.withColumn("bin", F.explode(bins)).select("block", "bin", F.col("cell").alias("at"), "y", "r", "hx")
+    dealt = states.withColumn("bin", F.floor(F.col("cell") / width))
+
+    def one_bin(cells: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(cells):  # observations reach past the cells
+            return cells[["block", "cell", "members", "xs"]]
+        x = np.array(cells["xs"].tolist(), dtype=float)
+        if len(near) and x.shape[1] > 1:
+            at, y, r = (near[c].to_numpy(float) for c in ("at", "y", "r"))
+            hx = np.array(near["hx"].tolist(), dtype=float)
+            place = cells["cell"].to_numpy(float)
+            for k in range(0, len(x), 256):
+                weights = _gaspari_cohn(np.abs(place[k : k + 256, None] - at[None, :]) * spacing / radius) / r
+                x[k : k + 256] = _in_member_space(x[k : k + 256], hx, y, weights)
+        return cells[["block", "cell", "members"]].assign(xs=list(x))
+
+    kinds = dict(ens.dtypes)
+    made = dealt.groupBy("block", "bin").cogroup(spread_obs.groupBy("block", "bin")).applyInPandas(
+        one_bin, f"block {kinds['block']}, cell {kinds['cell']}, members array<{kinds['member']}>, xs array<double>"
+    )
+    rows = made.select("block", "cell", F.explode(F.arrays_zip("members", "xs")).alias("z"))
+    return rows.select(F.col("z.members").alias("member"), "block", "cell", F.col("z.xs").alias("x")).select(*(c for c in ens.columns if c in ("member", "block", "cell", "x")))
+
+
+def _in_member_space(x: np.ndarray, hx: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Members (cells, k) after the analysis with observations y, whose members are hx (observations, k).
+
+    weights: each cell's precision of each observation. The square root is the symmetric one, which keeps the mean."""
+    k = x.shape[1]
+    dx, dy, innovation = x - x.mean(axis=1, keepdims=True), hx - hx.mean(axis=1, keepdims=True), y - hx.mean(axis=1)
+    pairs = (dy[:, :, None] * dy[:, None, :]).reshape(len(dy), -1)
+    precision = (weights @ pairs).reshape(-1, k, k) + (k - 1) * np.eye(k)
+    values, vectors = np.linalg.eigh(precision)
+    pull = np.einsum("cp,pk->ck", weights * innovation, dy)
+    turned = np.einsum("ckm,ck->cm", vectors, pull) / values
+    mean = np.einsum("ckm,cm->ck", vectors, turned)
+    root = np.einsum("ckm,cm,clm->ckl", vectors, np.sqrt((k - 1) / values), vectors)
+    new = x.mean(axis=1, keepdims=True) + np.einsum("ck,ckl->cl", dx, root + mean[:, :, None])
+    return np.where((weights > 0).any(axis=1)[:, None], new, x)
