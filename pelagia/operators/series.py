@@ -1,11 +1,14 @@
 """Ordered operators on series: moving statistics, gaps, resampling, anomalies, correlation, spectra, integrals.
 
-A series has key, idx (0, 1, ...) and value. Windows are per key; a key's series must fit one task's sort, which spills.
+A series has key, idx (0, 1, ...) and value. A key may hold most of the rows: moving statistics, gaps, resampling and the
+exponential average work in blocks of a key. What a block needs from others is a few rows at its edges or one small row
+for each block, which are carried over and joined back. The other operators' windows are per key, whose sort spills.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,17 +16,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from pelagia.lineage import cut
+from pelagia.operators.lines import tridiagonal
+
 
 def by_idx() -> WindowSpec:
     return Window.partitionBy("key").orderBy("idx")
 
 
-def running(df: DataFrame, width: int, value: str = "value") -> DataFrame:
+#: Rows of a key that are worked on together.
+BLOCK = 1_000_000
+
+
+def haloed(df: DataFrame, reach: int, rows_per_block: int, order: str = "idx") -> tuple[DataFrame, Column]:
+    """df with `_b`, a block of `order`, where rows within `reach` of another block are in that one too; and which are its own."""
+    size = max(rows_per_block, reach, 1)
+    block = lambda c: F.floor(c / size)
+    spread = df.withColumn("_b", F.explode(F.sequence(block(F.col(order) - reach), block(F.col(order) + reach))))
+    return spread, F.col("_b") == block(F.col(order))
+
+
+def running(df: DataFrame, width: int, value: str = "value", rows_per_block: int = BLOCK) -> DataFrame:
     """Centred moving mean, population std and variance, min, max and median over idx ± width // 2; nulls do not count."""
     if width <= 0:
         raise ValueError("width must be positive")
-    w, c = by_idx().rowsBetween(-(width // 2), width // 2), F.col(value)
-    return df.withColumns(
+    spread, own = haloed(df, width // 2, rows_per_block)
+    w, c = Window.partitionBy("key", "_b").orderBy("idx").rangeBetween(-(width // 2), width // 2), F.col(value)
+    made = spread.withColumns(
         {
             "running_mean": F.avg(c).over(w),
             "running_std": F.stddev_pop(c).over(w),
@@ -33,6 +52,7 @@ def running(df: DataFrame, width: int, value: str = "value") -> DataFrame:
             "running_median": F.percentile(c, F.lit(0.5)).over(w),
         }
     )
+    return made.where(own).drop("_b")
 
 
 def moving_average(df: DataFrame, before: int, value: str = "value") -> DataFrame:
@@ -40,24 +60,49 @@ def moving_average(df: DataFrame, before: int, value: str = "value") -> DataFram
     return df.withColumn("moving_average", F.avg(value).over(by_idx().rowsBetween(-before, 0)))
 
 
-def exponential_average(df: DataFrame, alpha: float = 0.1, value: str = "value") -> DataFrame:
-    """One row per key: the exponential moving average after its last value."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("idx", value)))), lambda r: r[value])
-    folded = F.aggregate(F.col("v"), F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(alpha * x + (1 - alpha) * s))
-    return df.groupBy("key").agg(ordered.alias("v")).select("key", folded.alias("ema"))
+def exponential_average(df: DataFrame, alpha: float = 0.1, value: str = "value", rows_per_block: int = 100_000) -> DataFrame:
+    """One row per key: the exponential moving average after its last value.
+
+    A block is folded alone, from nothing and from zero; what it does to an average from before is then a multiple of it
+    plus a number, so a key's blocks are folded as one short row of such steps."""
+    known = df.where(F.col(value).isNotNull()).select("key", F.floor(F.col("idx") / rows_per_block).alias("_b"), F.struct("idx", F.col(value).cast("double").alias("v")).alias("r"))
+    blocks = known.groupBy("key", "_b").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["v"]).alias("v"))
+    fold = lambda start: F.aggregate("v", start, lambda s, x: F.when(s.isNull(), x).otherwise(alpha * x + (1 - alpha) * s))
+    steps = blocks.select("key", F.struct("_b", fold(F.lit(None).cast("double")).alias("alone"), fold(F.lit(0.0)).alias("add"), F.pow(F.lit(1 - alpha), F.size("v")).alias("keep")).alias("s"))
+    folded = F.aggregate(F.array_sort("s"), F.lit(None).cast("double"), lambda a, s: F.when(a.isNull(), s["alone"]).otherwise(s["keep"] * a + s["add"]))
+    averages = steps.groupBy("key").agg(F.collect_list("s").alias("s")).select("key", folded.alias("ema"))
+    return df.select("key").distinct().join(averages, "key", "left")
 
 
-def with_neighbours(df: DataFrame, order: str = "idx", value: str = "value", by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """df with the nearest known value and its place on either side: _v0, _p0, _v1, _p1."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)  # a frame that only grows costs one step a row
-    known = F.when(F.col(value).isNotNull(), F.col(order))
-    return df.withColumns({"_v0": F.last(value, True).over(before), "_p0": F.last(known, True).over(before), "_v1": F.last(value, True).over(after), "_p1": F.last(known, True).over(after)})
+def _neighbours_in_blocks(df: DataFrame, order: str, value: str, by: tuple[str, ...], known: Column, ties: str | None = None) -> DataFrame:
+    """df, which has blocks `_b` in the order of `order`, with _v0, _p0, _v1, _p1: see with_neighbours().
 
+    Within a block by windows; a block's first and last known value are one row, carried to the blocks behind and ahead."""
+    at = F.when(known, F.col(order))
+    also = [ties] if ties else []
+    before = Window.partitionBy(*by, "_b").orderBy(order, *also).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*by, "_b").orderBy(F.desc(order), *also).rowsBetween(Window.unboundedPreceding, 0)  # a frame that only grows costs one step a row
+    local = df.withColumns({"_v0": F.last(value, True).over(before), "_p0": F.last(at, True).over(before), "_v1": F.last(value, True).over(after), "_p1": F.last(at, True).over(after)})
+    end = F.when(known, F.struct(F.col(order).alias("p"), F.col(value).alias("v")))
+    edges = df.groupBy(*by, "_b").agg(F.max_by(end, at).alias("_last"), F.min_by(end, at).alias("_first"))
+    back = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(*by, "_b", F.last("_last", True).over(back).alias("_l"), F.last("_first", True).over(ahead).alias("_f")).where("_l IS NOT NULL OR _f IS NOT NULL")
+    keys = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*by, "_b")]
+    met = local.alias("d").join(carried.alias("c"), reduce(Column.__and__, keys), "left")
+    filled = {f"_{k}{n}": F.coalesce(F.col(f"d._{k}{n}"), F.col(f"c._{'lf'[n]}")[k]).alias(f"_{k}{n}") for n in (0, 1) for k in ("v", "p")}
+    return met.select(*(F.col(f"d.{c}") for c in df.columns if c != "_b"), *filled.values())
 
-def fill_gaps(df: DataFrame, max_gap: int | None = None, order: str = "idx", value: str = "value", by: tuple[str, ...] = ("key",), out: str = "filled") -> DataFrame:
+
+def with_neighbours(df: DataFrame, order: str = "idx", value: str = "value", by: tuple[str, ...] = ("key",), rows_per_block: int = BLOCK) -> DataFrame:
+    """df with the nearest known value and its place on either side: _v0, _p0, _v1, _p1. `order` holds whole numbers."""
+    blocks = df.withColumn("_b", F.floor(F.col(order) / rows_per_block))
+    return _neighbours_in_blocks(blocks, order, value, by, F.col(value).isNotNull())
+
+
+def fill_gaps(df: DataFrame, max_gap: int | None = None, order: str = "idx", value: str = "value", by: tuple[str, ...] = ("key",), out: str = "filled", rows_per_block: int = BLOCK) -> DataFrame:
     """Linear filling between known neighbours of runs of at most max_gap rows; nothing is extrapolated."""
-    w = with_neighbours(df, order, value, by)
+    w = with_neighbours(df, order, value, by, rows_per_block)
     span = F.col("_p1") - F.col("_p0")
     between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide((F.col(order) - F.col("_p0")).cast("double"), span.cast("double"))
     short = F.lit(True) if max_gap is None else span - 1 <= max_gap
@@ -67,17 +112,16 @@ def fill_gaps(df: DataFrame, max_gap: int | None = None, order: str = "idx", val
 def resample(df: DataFrame, targets: DataFrame, x: str = "x", value: str = "value", method: str = "linear") -> DataFrame:
     """Values at the targets' (key, x): linear or nearest between a key's points, null outside them.
 
-    An as-of lookup on both sides: points and targets are ordered together, so nothing is paired with everything."""
-    rows = df.where(F.col(value).isNotNull()).select("key", F.col(x).cast("double").alias("x"), F.col(value).alias("_v"), F.lit(0).alias("_t"))
+    An as-of lookup on both sides: points and targets are ordered together, so nothing is paired with everything. They
+    are range-partitioned by (key, x) and written; each partition is a block, so a key with most rows is many blocks."""
+    rows = df.where(F.col(value).isNotNull()).select("key", F.col(x).cast("double").alias("x"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_t"))
     both = rows.unionByName(targets.select("key", F.col(x).cast("double").alias("x"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_t")))
-    before = Window.partitionBy("key").orderBy("x", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("key").orderBy(F.desc("x"), "_t").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col("_t") == 0, F.col("x"))
-    w = both.withColumns({"_v0": F.last("_v", True).over(before), "_x0": F.last(known, True).over(before)}).withColumns({"_v1": F.last("_v", True).over(after), "_x1": F.last(known, True).over(after)})
-    share = F.try_divide(F.col("x") - F.col("_x0"), F.col("_x1") - F.col("_x0"))
-    linear = F.when(F.col("_x1") == F.col("_x0"), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share)
-    nearest = F.when(F.col("x") - F.col("_x0") <= F.col("_x1") - F.col("x"), F.col("_v0")).otherwise(F.col("_v1"))
-    return w.where("_t = 1").select("key", "x", (linear if method == "linear" else nearest).alias("value"))
+    blocks = cut(both.repartitionByRange("key", "x").withColumn("_b", F.spark_partition_id()), "resample")
+    w = _neighbours_in_blocks(blocks, "x", "_v", ("key",), F.col("_t") == 0, "_t").where("_t = 1")
+    share = F.try_divide(F.col("x") - F.col("_p0"), F.col("_p1") - F.col("_p0"))
+    linear = F.when(F.col("_p1") == F.col("_p0"), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share)
+    nearest = F.when(F.col("x") - F.col("_p0") <= F.col("_p1") - F.col("x"), F.col("_v0")).otherwise(F.col("_v1"))
+    return w.select("key", "x", (linear if method == "linear" else nearest).alias("value"))
 
 
 def anomalies(df: DataFrame, by: list[str], value: str = "value", method: str = "zscore") -> DataFrame:
@@ -167,6 +211,67 @@ def bracket_time(df: DataFrame, targets: DataFrame) -> DataFrame:
     return resample(seconds(df), seconds(targets))
 
 
+def knot_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes at the points of the cubic spline through them with not-a-knot ends; points in order, four at least."""
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    n = len(x)
+    lower, main, upper, right = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    lower[1:-1], main[1:-1], upper[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
+    right[1:-1] = 3 * (h[1:] * d[:-1] + h[:-1] * d[1:])
+    a, b = h[0] + h[1], h[-1] + h[-2]
+    main[0], upper[0], right[0] = h[1], a, ((h[0] + 2 * a) * h[1] * d[0] + h[0] ** 2 * d[1]) / a
+    main[-1], lower[-1], right[-1] = h[-2], b, ((h[-1] + 2 * b) * h[-2] * d[-1] + h[-1] ** 2 * d[-2]) / b
+    return tridiagonal(lower, main, upper, right[None, :])[0]
+
+
+def with_slopes(df: DataFrame, order: str = "idx", value: str = "value", rows_per_block: int = 200_000, reach: int = 48) -> DataFrame:
+    """key, `order`, v and slope of each known point on its key's cubic spline; null slopes where a key has under four.
+
+    A point's pull on a slope falls to 0.27 of it from point to point, so `reach` points on either side of a block
+    decide its slopes to the last bit, and blocks of known points are solved alone. Points are numbered through their
+    blocks' counts."""
+    known = df.where(F.col(value).isNotNull()).select("key", order, F.col(value).cast("double").alias("v"), F.floor(F.col(order) / rows_per_block).alias("_r"))
+    counts = known.groupBy("key", "_r").agg(F.count("*").alias("_c"))
+    per_key = Window.partitionBy("key")
+    counts = counts.select("key", "_r", (F.sum("_c").over(per_key.orderBy("_r")) - F.col("_c")).alias("_ahead"), F.sum("_c").over(per_key).alias("_all"))
+    numbered = known.withColumn("_k", F.row_number().over(Window.partitionBy("key", "_r").orderBy(order)) - 1).join(counts, ["key", "_r"])
+    spread, own = haloed(numbered.withColumn("_n", F.col("_ahead") + F.col("_k")), reach, rows_per_block, "_n")
+    kinds = dict(df.dtypes)
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_n")
+        enough = len(rows) >= 4 and rows["_all"].iloc[0] >= 4
+        rows["slope"] = knot_slopes(rows[order].to_numpy(float), rows["v"].to_numpy(float)) if enough else np.nan
+        return rows.loc[rows["_own"], ["key", order, "v", "slope"]]
+
+    made = spread.withColumn("_own", own).select("key", order, "v", "_n", "_all", "_b", "_own")
+    # a halo at a key's end is a block without points of its own
+    made = made.groupBy("key", "_b").applyInPandas(solved, f"key {kinds['key']}, `{order}` {kinds[order]}, v double, slope double")
+    return made.withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))
+
+
+def hermite(v0: Column, s0: Column, v1: Column, s1: Column, share: Column, width: Column) -> Column:
+    """The cubic with these values and slopes at both ends of a piece of this width, at a share of it."""
+    t, rest = share, 1 - share
+    return v0 * (1 + 2 * t) * rest * rest + s0 * width * t * rest * rest + v1 * t * t * (3 - 2 * t) - s1 * width * t * t * rest
+
+
+def fill_gaps_cubic(df: DataFrame, max_gap: int | None = None, value: str = "value", out: str = "filled", rows_per_block: int = 200_000) -> DataFrame:
+    """Filling of runs of at most max_gap rows by the cubic spline through a key's known values, whose ends are not knots.
+
+    A key with under four known values is filled linearly; nothing is extrapolated. df: key, idx and the value."""
+    slopes = with_slopes(df, "idx", value, rows_per_block)
+    met = df.join(slopes.select("key", "idx", F.struct("v", "slope").alias("_known")), ["key", "idx"], "left")
+    w = with_neighbours(met, "idx", "_known", ("key",), rows_per_block)
+    span = (F.col("_p1") - F.col("_p0")).cast("double")
+    share = F.try_divide((F.col("idx") - F.col("_p0")).cast("double"), span)
+    v0, v1 = F.col("_v0.v"), F.col("_v1.v")
+    curve = F.coalesce(hermite(v0, F.col("_v0.slope"), v1, F.col("_v1.slope"), share, span), v0 + (v1 - v0) * share)
+    short = F.lit(True) if max_gap is None else span - 1 <= max_gap
+    filled = F.when(F.col(value).isNotNull(), F.col(value)).when(short, curve)
+    return w.withColumn(out, filled).select(*df.columns, out)
+
+
 def cubic_resample(df: DataFrame, targets: DataFrame, x: str = "x", value: str = "value") -> DataFrame:
     """Natural cubic spline through each key's points at the key's targets; null outside them."""
 
