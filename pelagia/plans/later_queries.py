@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagia.functions.ocean import GRAVITY, RHO0
-from pelagia.operators import adaptive, ensemble, interp, lines, split
+from pelagia.operators import adaptive, cubic, ensemble, interp, lines, series, split
 from pelagia.plans.catalogue import query, r
 from pelagia.plans.field_queries import AXES, CORNERS, H, N, WX, WY, blend, tracer
 from pelagia.plans.model_queries import OBS_BLOCK, block_observations
@@ -151,3 +151,115 @@ def adaptive_arrivals(spark, sf_dir):
     p = views.particles(spark, sf_dir).join(F.broadcast(f.select("time_idx").distinct()))
     made = adaptive.to_end(p, interp.corners(f, ["water_u", "water_v"]), AXES, END, FIRST, TOLERANCE)
     return made.select("id", "time_idx", rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"), "n_steps", "n_tried", rounded(F.col("error")).alias("error"))
+
+
+# cubic lookups
+
+
+def _splined(name: str, source: str, c: str, axis: str, out: str) -> str:
+    """CTE `name`: source with `out`, the slope along `axis` of the spline through column c of every line."""
+    last, across = N - 1, "j" if axis == "i" else "i"
+    w = f"(PARTITION BY time_idx, {across} ORDER BY {axis})"
+    d = lambda k: f"(lead({c}, {k + 1}) OVER {w} - lead({c}, {k}) OVER {w})" if k >= 0 else f"(lag({c}, {-k - 1}) OVER {w} - lag({c}, {-k}) OVER {w})"
+    right = f"CASE {axis} WHEN 0 THEN (5*(lead({c}) OVER {w} - {c}) + {d(1)})/2 WHEN {last} THEN (5*({c} - lag({c}) OVER {w}) + {d(-2)})/2 ELSE 3*(lead({c}) OVER {w} - lag({c}) OVER {w}) END"
+    lower, main, upper = f"CASE WHEN s.{axis} = {last} THEN 2 ELSE 1 END", f"CASE WHEN s.{axis} = {last} THEN 1 ELSE 4 END", f"CASE WHEN s.{axis} = {last} THEN 0 ELSE 1 END"
+    den = f"({main} - {lower}*f.ratio)"
+    return (
+        f"{name}r AS (SELECT time_idx, j, i, {right} AS x FROM {source}), "
+        f"{name}f AS (SELECT time_idx, j, i, 2e0 AS ratio, x FROM {name}r WHERE {axis} = 0 UNION ALL SELECT s.time_idx, s.j, s.i, {upper}/{den}, (s.x - {lower}*f.x)/{den} FROM {name}f f JOIN {name}r s ON s.time_idx = f.time_idx AND s.{across} = f.{across} AND s.{axis} = f.{axis} + 1), "
+        f"{name}b AS (SELECT time_idx, j, i, x FROM {name}f WHERE {axis} = {last} UNION ALL SELECT f.time_idx, f.j, f.i, f.x - f.ratio*b.x FROM {name}b b JOIN {name}f f ON f.time_idx = b.time_idx AND f.{across} = b.{across} AND f.{axis} = b.{axis} - 1), "
+        f"{name} AS (SELECT s.*, b.x AS {out} FROM {source} s JOIN {name}b b USING (time_idx, j, i))"
+    )
+
+
+def _curve(v0: str, s0: str, v1: str, s1: str, t: str) -> str:
+    return f"({v0}*(1 + 2*{t})*(1 - {t})*(1 - {t}) + {s0}*{t}*(1 - {t})*(1 - {t}) + {v1}*{t}*{t}*(3 - 2*{t}) - {s1}*{t}*{t}*(1 - {t}))"
+
+
+def _side(c: str, s: str, lower: str, upper: str) -> str:
+    return _curve(f"{lower}.{c}", f"{lower}.{s}", f"{upper}.{c}", f"{upper}.{s}", "fy")
+
+
+@query(
+    f"{_splined('sx', 'v_tracer', 'c', 'i', 'c_x')}, {_splined('sy', 'sx', 'c', 'j', 'c_y')}, {_splined('sz', 'sy', 'c_x', 'j', 'c_xy')}, "
+    f"p0 AS (SELECT p.*, t.time_idx, least(CAST(floor((lon - 118e0)/{H}e0) AS INT), {N - 2}) AS i, least(CAST(floor((lat - 21e0)/{H}e0) AS INT), {N - 2}) AS j FROM v_particle p, (SELECT DISTINCT time_idx FROM v_field) t), "
+    f"p1 AS (SELECT *, (lon - 118e0)/{H}e0 - i AS fx, (lat - 21e0)/{H}e0 - j AS fy FROM p0) "
+    f"SELECT p1.id, p1.time_idx, {r(_curve(_side('c', 'c_y', 'a', 'e'), _side('c_x', 'c_xy', 'a', 'e'), _side('c', 'c_y', 'b', 'f'), _side('c_x', 'c_xy', 'b', 'f'), 'fx'))} AS c FROM p1 "
+    "JOIN sz a ON a.time_idx = p1.time_idx AND a.j = p1.j AND a.i = p1.i JOIN sz b ON b.time_idx = p1.time_idx AND b.j = p1.j AND b.i = p1.i + 1 "
+    "JOIN sz e ON e.time_idx = p1.time_idx AND e.j = p1.j + 1 AND e.i = p1.i JOIN sz f ON f.time_idx = p1.time_idx AND f.j = p1.j + 1 AND f.i = p1.i + 1",
+    "v_tracer",
+    "v_particle",
+)
+def bicubic_gather(spark, sf_dir):
+    """The tracer at every particle's place at every time, by bicubic splines."""
+    t = tracer(spark, sf_dir)
+    p = views.particles(spark, sf_dir).join(F.broadcast(t.select("time_idx").distinct())).withColumn("depth_idx", F.lit(0))
+    return cubic.bicubic(t, p, ["c"], AXES).select("id", "time_idx", rounded(F.col("c")).alias("c"))
+
+
+TIMES, TARGETS, DEPTHS = [0.0, 1.0, 2.5, 4.0], [0.5, 2.0, 3.0], [0.0, 10.0, 30.0]
+
+
+def _through_all(x: str) -> str:
+    """The cubic through a cell's four times at x, which a spline without knots at its inner points is."""
+    terms = []
+    for k, t in enumerate(TIMES):
+        terms.append(f"max(CASE WHEN time_idx = {k} THEN water_u END)*" + "*".join(f"({x} - {o}e0)/{t - o}e0" for o in TIMES if o != t))
+    return " + ".join(terms)
+
+
+@query(f"SELECT target, depth_idx, j, i, {r(_through_all('target'))} AS water_u FROM v_field, (SELECT unnest({TARGETS}::DOUBLE[]) AS target) GROUP BY 1, 2, 3, 4", "v_field")
+def field_between_times(spark, sf_dir):
+    made = cubic.at_times(views.field(spark, sf_dir), ["water_u"], TIMES, TARGETS, "cubic")
+    return made.select("target", "depth_idx", "j", "i", rounded(F.col("water_u")).alias("water_u"))
+
+
+def _four_corners(q: str) -> str:
+    return f"({q}.c00*(1 - fx)*(1 - fy) + {q}.c10*fx*(1 - fy) + {q}.c01*(1 - fx)*fy + {q}.c11*fx*fy)"
+
+
+_SIXTEEN = "({}*(1 - fz) + {}*fz)*(1 - ft) + ({}*(1 - fz) + {}*fz)*ft".format(*(_four_corners(f"q{n}") for n in range(4)))
+_PLACE = (
+    f"l AS (SELECT time_idx, CAST(k AS INT) AS depth_idx, j, i, c/(k + 1) AS c FROM v_tracer, range({len(DEPTHS)}) t(k)), "
+    "o AS (SELECT *, lead(c) OVER wx AS c10 FROM l WINDOW wx AS (PARTITION BY time_idx, depth_idx, j ORDER BY i)), "
+    "q AS (SELECT time_idx, depth_idx, j, i, c AS c00, c10, lead(c) OVER wy AS c01, lead(c10) OVER wy AS c11 FROM o WINDOW wy AS (PARTITION BY time_idx, depth_idx, i ORDER BY j)), "
+    "p AS (SELECT id, lon, lat, CAST(id % 30 AS DOUBLE) AS depth, CAST(id % 40 AS DOUBLE)/10e0 AS time FROM v_particle), "
+    f"b AS (SELECT *, least(CAST(floor((lon - 118e0)/{H}e0) AS INT), {N - 2}) AS i, least(CAST(floor((lat - 21e0)/{H}e0) AS INT), {N - 2}) AS j, CASE WHEN depth < 10 THEN 0 ELSE 1 END AS k, CASE WHEN time < 1 THEN 0 WHEN time < 2.5e0 THEN 1 ELSE 2 END AS m FROM p), "
+    f"w AS (SELECT *, (lon - 118e0)/{H}e0 - i AS fx, (lat - 21e0)/{H}e0 - j AS fy, CASE k WHEN 0 THEN depth/10 ELSE (depth - 10)/20 END AS fz, CASE m WHEN 0 THEN time WHEN 1 THEN (time - 1)/1.5e0 ELSE (time - 2.5e0)/1.5e0 END AS ft FROM b)"
+)
+
+
+@query(
+    f"{_PLACE} SELECT id, {r(_SIXTEEN)} AS c FROM w "
+    + " ".join(f"JOIN q q{n} ON q{n}.time_idx = w.m + {n // 2} AND q{n}.depth_idx = w.k + {n % 2} AND q{n}.j = w.j AND q{n}.i = w.i" for n in range(4)),
+    "v_tracer",
+    "v_particle",
+)
+def sixteen_corner_gather(spark, sf_dir):
+    """The tracer of three layers at every particle's place, depth and time, linear in all four directions."""
+    t = tracer(spark, sf_dir).withColumn("depth_idx", F.explode(F.array(*map(F.lit, range(len(DEPTHS)))))).withColumn("c", F.col("c") / (F.col("depth_idx") + 1))
+    p = views.particles(spark, sf_dir).withColumns({"depth": (F.col("id") % 30).cast("double"), "time": (F.col("id") % 40).cast("double") / 10})
+    return cubic.anywhere(t, p, ["c"], AXES, DEPTHS, TIMES).select("id", rounded(F.col("c")).alias("c"))
+
+
+# cubic filling: the slopes of all known points by a sweep down and up
+
+_DOWN = "(s.b - s.a*f.ratio)"
+
+
+@query(
+    "k AS (SELECT key, idx, value AS v, row_number() OVER w AS n, count(*) OVER (PARTITION BY key) AS m, CAST(lead(idx) OVER w - idx AS DOUBLE) AS h, CAST(idx - lag(idx) OVER w AS DOUBLE) AS g, "
+    "(lead(value) OVER w - value)/(lead(idx) OVER w - idx) AS d, (value - lag(value) OVER w)/(idx - lag(idx) OVER w) AS e FROM v_series WHERE value IS NOT NULL WINDOW w AS (PARTITION BY key ORDER BY idx)), "
+    "t AS (SELECT *, lead(h) OVER w AS h1, lead(d) OVER w AS d1, lag(g) OVER w AS g1, lag(e) OVER w AS e1 FROM k WINDOW w AS (PARTITION BY key ORDER BY idx)), "
+    "y AS (SELECT key, idx, v, n, m, CASE n WHEN m THEN g + g1 ELSE h END AS a, CASE n WHEN 1 THEN h1 WHEN m THEN g1 ELSE 2*(g + h) END AS b, CASE n WHEN 1 THEN h + h1 WHEN m THEN 0 ELSE g END AS c, "
+    "CASE n WHEN 1 THEN ((h + 2*(h + h1))*h1*d + h*h*d1)/(h + h1) WHEN m THEN ((g + 2*(g + g1))*g1*e + g*g*e1)/(g + g1) ELSE 3*(h*e + g*d) END AS z FROM t), "
+    f"f AS (SELECT key, n, c/b AS ratio, z/b AS x FROM y WHERE n = 1 UNION ALL SELECT s.key, s.n, s.c/{_DOWN}, (s.z - s.a*f.x)/{_DOWN} FROM f JOIN y s ON s.key = f.key AND s.n = f.n + 1), "
+    "u AS (SELECT f.key, f.n, f.x FROM f JOIN y ON y.key = f.key AND y.n = f.n AND y.m = y.n UNION ALL SELECT f.key, f.n, f.x - f.ratio*u.x FROM u JOIN f ON f.key = u.key AND f.n = u.n - 1), "
+    "o AS (SELECT y.key, y.idx, y.v, u.x AS s FROM y JOIN u ON u.key = y.key AND u.n = y.n), "
+    "lo AS (SELECT a.key, a.idx, a.value, o.idx AS p0, o.v AS v0, o.s AS s0 FROM v_series a ASOF LEFT JOIN o ON a.key = o.key AND a.idx >= o.idx), "
+    "b AS (SELECT lo.*, o.idx AS p1, o.v AS v1, o.s AS s1, CAST(o.idx - p0 AS DOUBLE) AS w, CAST(lo.idx - p0 AS DOUBLE)/(o.idx - p0) AS q FROM lo ASOF LEFT JOIN o ON lo.key = o.key AND lo.idx <= o.idx) "
+    f"SELECT key, idx, {r('CASE WHEN value IS NOT NULL THEN value WHEN p1 - p0 - 1 <= 3 THEN v0*(1 + 2*q)*(1 - q)*(1 - q) + s0*w*q*(1 - q)*(1 - q) + v1*q*q*(3 - 2*q) - s1*w*q*q*(1 - q) END')} AS filled FROM b",
+    "v_series",
+)
+def gap_fill_cubic(spark, sf_dir):
+    return series.fill_gaps_cubic(views.series(spark, sf_dir), 3).select("key", "idx", rounded(F.col("filled")).alias("filled"))
