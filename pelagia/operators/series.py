@@ -360,6 +360,62 @@ def orthogonal_modes(df: DataFrame, n_modes: int = 5, by: str = "block", most_st
     return made.select(by, "mode", "variance", "variance_share", F.transform("c", lambda c: c["p"] * F.signum(largest)).alias("pattern"))
 
 
+def _inverse_roots(grams: pd.Series, n: int) -> Iterator[np.ndarray]:
+    """For each n by n Gram matrix a matrix that makes its columns orthonormal; directions without weight become zero."""
+    for g in grams:
+        values, vectors = np.linalg.eigh(np.asarray(g, dtype=float).reshape(n, n))
+        scale = np.where(values > max(values[-1], 0.0) * 1e-14, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        yield vectors * scale
+
+
+def leading_modes(df: DataFrame, n_modes: int = 5, by: str = "block", more: int = 10, rounds: int = 3, seed: int = 1) -> DataFrame:
+    """by, mode, variance, variance_share and pattern (an array of cell, weight) of the strongest modes of (by, step, cell, x).
+
+    A random projection finds the range of the strongest modes: each step has n_modes + `more` random numbers, hashed
+    from it, and only sums of values times such vectors are formed, first by cell, then by step, `rounds` times in turn,
+    made orthonormal in between. So no two steps meet, and a task holds small square matrices only, whatever the number
+    of steps and cells. The error of a mode falls with (its variance over that of mode n_modes + more) to the power of
+    2·rounds; it is exact where there are no more modes than that. Nulls count as the cell's mean."""
+    size = n_modes + more
+    anomaly = df.withColumn("a", F.coalesce(F.col("x") - F.avg("x").over(Window.partitionBy(by, "cell")), F.lit(0.0))).select(by, "step", "cell", "a")
+    anomaly = cut(anomaly, "modes")
+    vector = lambda of: F.array(*(F.sum(F.col("a") * F.col(of)[k]) for k in range(size)))
+    gram = lambda of: F.array(*(F.sum(F.col(of)[k] * F.col(of)[m]) for k in range(size) for m in range(size)))
+
+    @F.pandas_udf("array<double>")
+    def root(grams: pd.Series) -> pd.Series:
+        return pd.Series([r.reshape(-1) for r in _inverse_roots(grams, size)])
+
+    def orthonormal(rows: DataFrame, of: str) -> DataFrame:
+        roots = rows.groupBy(by).agg(gram(of).alias("_g")).select(by, root("_g").alias("_r"))
+        turned = F.array(*(sum((F.col(of)[k] * F.col("_r")[k * size + m] for k in range(size)), F.lit(0.0)) for m in range(size)))
+        return rows.join(roots, by).withColumn(of, turned).drop("_r")
+
+    noise = lambda k: F.sqrt(-2 * F.log((F.pmod(F.xxhash64("step", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 1) / float(1 << 40))) * F.cos(F.pmod(F.xxhash64("step", F.lit(seed), F.lit(k), F.lit(0)), F.lit(1 << 40)) * (2 * np.pi / (1 << 40)))
+    steps = anomaly.select(by, "step").distinct().withColumn("w", F.array(*(noise(k) for k in range(size))))
+    for k in range(rounds):
+        cells = anomaly.join(steps, [by, "step"]).groupBy(by, "cell").agg(vector("w").alias("q"))
+        cells = cut(orthonormal(cells, "q"), "modes")
+        steps = cut(anomaly.join(cells, [by, "cell"]).groupBy(by, "step").agg(vector("q").alias("w")), "modes")
+        if k + 1 < rounds:
+            steps = orthonormal(steps, "w")
+    small = steps.groupBy(by).agg(gram("w").alias("_g"), F.count("*").alias("_n"))
+
+    @F.pandas_udf("values array<double>, vectors array<double>")
+    def decomposed(grams: pd.Series) -> pd.DataFrame:
+        pairs = [np.linalg.eigh(np.asarray(g, dtype=float).reshape(size, size)) for g in grams]
+        return pd.DataFrame({"values": [v[::-1].copy() for v, _ in pairs], "vectors": [e[:, ::-1].reshape(-1) for _, e in pairs]})
+
+    total = anomaly.groupBy(by).agg(F.sum(F.col("a") * F.col("a")).alias("_total"))
+    found = small.withColumn("_e", decomposed("_g")).join(total, by).select(by, "_n", "_total", "_e.*")
+    modes = found.withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(n_modes - 1)))).withColumn("_v", F.col("values")[F.col("mode")]).where(F.col("_v") > F.col("_total") * 1e-12)
+    weight = sum((F.col("q")[k] * F.element_at("vectors", F.lit(k * size + 1) + F.col("mode")) for k in range(size)), F.lit(0.0))
+    made = modes.join(cells, by).select(by, "mode", (F.col("_v") / F.greatest(F.col("_n") - 1, F.lit(1))).alias("variance"), F.try_divide("_v", "_total").alias("variance_share"), F.struct("cell", weight.alias("p")).alias("c"))
+    gathered = made.groupBy(by, "mode").agg(F.first("variance").alias("variance"), F.first("variance_share").alias("variance_share"), F.array_sort(F.collect_list("c")).alias("c"))
+    largest = F.array_max(F.transform("c", lambda c: F.struct(F.abs(c["p"]).alias("size"), c["p"].alias("p"))))["p"]
+    return gathered.select(by, "mode", "variance", "variance_share", F.transform("c", lambda c: c["p"] * F.signum(largest)).alias("pattern"))
+
+
 def project_modes(df: DataFrame, patterns: dict[int, list[float]]) -> Iterator[tuple[int, Column]]:
     """(mode, Column) of each mode's weight at a row with `cell` and `x`: sum these over a step for its coefficient."""
     for mode, pattern in patterns.items():
