@@ -7,8 +7,8 @@ for each block, which are carried over and joined back. The other operators' win
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -161,8 +161,30 @@ def dft_power(df: DataFrame, frequencies: int, value: str = "value") -> DataFram
     return sums.select("key", "k", ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power"))
 
 
+@lru_cache(maxsize=8)
+def prolate_tapers(n: int, bandwidth: float = 4.0, count: int = 7) -> np.ndarray:
+    """The first `count` discrete prolate sequences of length n (rows of unit energy) for a band of bandwidth / n.
+
+    They are eigenvectors of a tridiagonal matrix and, for few of them, smooth: so the matrix is projected on Legendre
+    polynomials, of which far fewer than n are needed, and the small problem is solved. Memory is n times their number."""
+    place = np.arange(n)
+    main = ((n - 1 - 2 * place) / 2.0) ** 2 * np.cos(2 * np.pi * min(0.5, bandwidth / n))
+    side = place[1:] * (n - place[1:]) / 2.0
+    basis = np.eye(n) if n <= 64 else np.linalg.qr(np.polynomial.legendre.legvander(np.linspace(-1, 1, n), 47 + 2 * count + int(4 * bandwidth)))[0]
+    moved = main[:, None] * basis
+    moved[1:] += side[:, None] * basis[:-1]
+    moved[:-1] += side[:, None] * basis[1:]
+    _, vectors = np.linalg.eigh(basis.T @ moved)
+    return (basis @ vectors[:, ::-1][:, : min(count, n)]).T
+
+
 def spectrum(df: DataFrame, dt: float = 1.0, method: str = "periodogram", value: str = "value") -> DataFrame:
-    """key, frequency, power: the one-sided density of each series without its mean, whole or by Welch's averaged quarters."""
+    """key, frequency, power: the one-sided density of each series without its mean.
+
+    Whole (periodogram), by Welch's averaged quarters (welch), or as the mean over seven prolate tapers of a band of four
+    frequencies on either side (multitaper), which keeps all of the series and leaks little. Nulls count as 0."""
+    if method not in ("periodogram", "welch", "multitaper"):
+        raise ValueError(f"unknown method {method}")
 
     def density(x: np.ndarray, window: np.ndarray) -> np.ndarray:
         p = np.abs(np.fft.rfft((x - x.mean()) * window)) ** 2 * dt / np.sum(window**2)
@@ -171,9 +193,11 @@ def spectrum(df: DataFrame, dt: float = 1.0, method: str = "periodogram", value:
 
     def measured(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("idx")[value].fillna(0.0).to_numpy()
-        n = len(x) if method == "periodogram" else max(1, len(x) // 4)
+        n = max(1, len(x) // 4) if method == "welch" else len(x)
         if method == "periodogram":
             power = density(x, np.ones(n))
+        elif method == "multitaper":
+            power = np.mean([density(x, taper) for taper in prolate_tapers(n)], axis=0)
         else:
             taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if n > 1 else np.ones(1)
             power = np.mean([density(x[i : i + n], taper) for i in range(0, len(x) - n + 1, max(1, n - n // 2))], axis=0)
@@ -360,12 +384,27 @@ def orthogonal_modes(df: DataFrame, n_modes: int = 5, by: str = "block", most_st
     return made.select(by, "mode", "variance", "variance_share", F.transform("c", lambda c: c["p"] * F.signum(largest)).alias("pattern"))
 
 
-def _inverse_roots(grams: pd.Series, n: int) -> Iterator[np.ndarray]:
-    """For each n by n Gram matrix a matrix that makes its columns orthonormal; directions without weight become zero."""
-    for g in grams:
-        values, vectors = np.linalg.eigh(np.asarray(g, dtype=float).reshape(n, n))
-        scale = np.where(values > max(values[-1], 0.0) * 1e-14, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-        yield vectors * scale
+def _inverse_root(gram: np.ndarray) -> np.ndarray:
+    """A matrix that makes columns with this Gram matrix orthonormal; directions without weight become zero."""
+    values, vectors = np.linalg.eigh(gram)
+    return vectors * np.where(values > max(values[-1], 0.0) * 1e-14, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+
+
+def _grams(rows: DataFrame, by: str, at: str, of: str, size: int, made: Callable[[np.ndarray], tuple[np.ndarray, ...]], outputs: list[str], bundle: int = 4096) -> DataFrame:
+    """by, n and `outputs`: what `made` makes of the sum of the rows' outer products, which are summed in bundles of `at` first."""
+    kind = dict(rows.dtypes)[by]
+
+    def part(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
+        q = np.array(r[of].tolist())
+        return pd.DataFrame({by: [key[0]], "n": [len(r)], "g": [(q.T @ q).reshape(-1)]})
+
+    def whole(key: tuple, r: pd.DataFrame) -> pd.DataFrame:
+        results = made(np.sum(r["g"].tolist(), axis=0).reshape(size, size))
+        return pd.DataFrame({by: [key[0]], "n": [int(r["n"].sum())], **{c: [x.reshape(-1)] for c, x in zip(outputs, results, strict=True)}})
+
+    parts = rows.select(by, F.pmod(F.xxhash64(at), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy(by)) / bundle))).alias("_b"), of)
+    parts = parts.groupBy(by, "_b").applyInPandas(part, f"`{by}` {kind}, n long, g array<double>")
+    return parts.groupBy(by).applyInPandas(whole, f"`{by}` {kind}, n long" + "".join(f", {c} array<double>" for c in outputs))
 
 
 def leading_modes(df: DataFrame, n_modes: int = 5, by: str = "block", more: int = 10, rounds: int = 3, seed: int = 1) -> DataFrame:
@@ -380,36 +419,31 @@ def leading_modes(df: DataFrame, n_modes: int = 5, by: str = "block", more: int
     anomaly = df.withColumn("a", F.coalesce(F.col("x") - F.avg("x").over(Window.partitionBy(by, "cell")), F.lit(0.0))).select(by, "step", "cell", "a")
     anomaly = cut(anomaly, "modes")
     vector = lambda of: F.array(*(F.sum(F.col("a") * F.col(of)[k]) for k in range(size)))
-    gram = lambda of: F.array(*(F.sum(F.col(of)[k] * F.col(of)[m]) for k in range(size) for m in range(size)))
 
     @F.pandas_udf("array<double>")
-    def root(grams: pd.Series) -> pd.Series:
-        return pd.Series([r.reshape(-1) for r in _inverse_roots(grams, size)])
+    def turned(q: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series(list(np.einsum("nk,nkm->nm", np.array(q.tolist()), np.array(r.tolist()).reshape(-1, size, size)))) if len(q) else q
 
-    def orthonormal(rows: DataFrame, of: str) -> DataFrame:
-        roots = rows.groupBy(by).agg(gram(of).alias("_g")).select(by, root("_g").alias("_r"))
-        turned = F.array(*(sum((F.col(of)[k] * F.col("_r")[k * size + m] for k in range(size)), F.lit(0.0)) for m in range(size)))
-        return rows.join(roots, by).withColumn(of, turned).drop("_r")
+    def orthonormal(rows: DataFrame, at: str, of: str) -> DataFrame:
+        roots = _grams(rows, by, at, of, size, lambda g: (_inverse_root(g),), ["_r"]).drop("n")
+        return rows.join(roots, by).select(by, at, turned(of, "_r").alias(of))
 
     noise = lambda k: F.sqrt(-2 * F.log((F.pmod(F.xxhash64("step", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 1) / float(1 << 40))) * F.cos(F.pmod(F.xxhash64("step", F.lit(seed), F.lit(k), F.lit(0)), F.lit(1 << 40)) * (2 * np.pi / (1 << 40)))
     steps = anomaly.select(by, "step").distinct().withColumn("w", F.array(*(noise(k) for k in range(size))))
     for k in range(rounds):
         cells = anomaly.join(steps, [by, "step"]).groupBy(by, "cell").agg(vector("w").alias("q"))
-        cells = cut(orthonormal(cells, "q"), "modes")
+        cells = cut(orthonormal(cut(cells, "modes"), "cell", "q"), "modes")
         steps = cut(anomaly.join(cells, [by, "cell"]).groupBy(by, "step").agg(vector("q").alias("w")), "modes")
         if k + 1 < rounds:
-            steps = orthonormal(steps, "w")
-    small = steps.groupBy(by).agg(gram("w").alias("_g"), F.count("*").alias("_n"))
-
-    @F.pandas_udf("values array<double>, vectors array<double>")
-    def decomposed(grams: pd.Series) -> pd.DataFrame:
-        pairs = [np.linalg.eigh(np.asarray(g, dtype=float).reshape(size, size)) for g in grams]
-        return pd.DataFrame({"values": [v[::-1].copy() for v, _ in pairs], "vectors": [e[:, ::-1].reshape(-1) for _, e in pairs]})
-
+            steps = orthonormal(steps, "step", "w")
+    small = _grams(steps, by, "step", "w", size, lambda g: tuple(x[..., ::-1] for x in np.linalg.eigh(g)), ["values", "vectors"])
     total = anomaly.groupBy(by).agg(F.sum(F.col("a") * F.col("a")).alias("_total"))
-    found = small.withColumn("_e", decomposed("_g")).join(total, by).select(by, "_n", "_total", "_e.*")
+    found = small.withColumnRenamed("n", "_n").join(total, by)
     modes = found.withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(n_modes - 1)))).withColumn("_v", F.col("values")[F.col("mode")]).where(F.col("_v") > F.col("_total") * 1e-12)
-    weight = sum((F.col("q")[k] * F.element_at("vectors", F.lit(k * size + 1) + F.col("mode")) for k in range(size)), F.lit(0.0))
+    # a mode's vector is a column of the square matrix, which lies row by row
+    own = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.get("vectors", k * size + F.col("mode")))
+    modes = modes.withColumn("_own", own)
+    weight = F.aggregate(F.zip_with("q", "_own", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     made = modes.join(cells, by).select(by, "mode", (F.col("_v") / F.greatest(F.col("_n") - 1, F.lit(1))).alias("variance"), F.try_divide("_v", "_total").alias("variance_share"), F.struct("cell", weight.alias("p")).alias("c"))
     gathered = made.groupBy(by, "mode").agg(F.first("variance").alias("variance"), F.first("variance_share").alias("variance_share"), F.array_sort(F.collect_list("c")).alias("c"))
     largest = F.array_max(F.transform("c", lambda c: F.struct(F.abs(c["p"]).alias("size"), c["p"].alias("p"))))["p"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelagia.functions.ocean import GRAVITY, RHO0
-from pelagia.operators import adaptive, cubic, ensemble, interp, lines, series, split
+from pelagia.operators import adaptive, cubic, ensemble, interp, lines, particles, quadtree, series, split
 from pelagia.plans.catalogue import query, r
 from pelagia.plans.field_queries import AXES, CORNERS, H, N, WX, WY, blend, tracer
 from pelagia.plans.model_queries import OBS_BLOCK, block_observations
@@ -263,3 +263,63 @@ _DOWN = "(s.b - s.a*f.ratio)"
 )
 def gap_fill_cubic(spark, sf_dir):
     return series.fill_gaps_cubic(views.series(spark, sf_dir), 3).select("key", "idx", rounded(F.col("filled")).alias("filled"))
+
+
+# structures
+
+
+STEEP = 0.9
+
+
+@query(
+    "g AS (SELECT j, i, avg(water_u) AS v FROM v_field GROUP BY 1, 2), b AS (SELECT j // 2 AS y, i // 2 AS x, avg(v) AS v, coalesce(max(v) - min(v) > " + str(STEEP) + ", false) AS s FROM g GROUP BY 1, 2), "
+    "f AS (SELECT 4 AS level, y, x, v, 2 AS n, y*2 AS y0, x*2 AS x0 FROM b WHERE NOT s UNION ALL SELECT 5, g.j, g.i, g.v, 1, g.j, g.i FROM g JOIN b ON b.y = g.j // 2 AND b.x = g.i // 2 WHERE s), "
+    "t AS (SELECT a.level, a.y, a.x, CASE WHEN o.x0 + o.n = a.x0 THEN 1 WHEN o.x0 = a.x0 + a.n THEN 2 WHEN o.y0 + o.n = a.y0 THEN 3 ELSE 4 END AS side, a.v AS own, o.v, a.n AS n, o.n AS m FROM f a JOIN f o ON "
+    "((o.x0 + o.n = a.x0 OR o.x0 = a.x0 + a.n) AND o.y0 < a.y0 + a.n AND a.y0 < o.y0 + o.n) OR ((o.y0 + o.n = a.y0 OR o.y0 = a.y0 + a.n) AND o.x0 < a.x0 + a.n AND a.x0 < o.x0 + o.n)), "
+    "q AS (SELECT level, y, x, coalesce((avg(v) - max(own))/((max(n) + max(m))/2e0)*max(n), 0e0) AS flux FROM t GROUP BY level, y, x, side), "
+    f"z AS (SELECT level, y, x, sum(flux) AS flux FROM q GROUP BY 1, 2, 3) SELECT f.level, CAST(f.y AS INT) AS y, CAST(f.x AS INT) AS x, {r('f.v', 9)} AS value, {r('coalesce(flux, 0e0)/(n*n)', 9)} AS laplacian FROM f JOIN z ON z.level = f.level AND z.y = f.y AND z.x = f.x",
+    "v_field",
+)
+def quadtree_laplacian(spark, sf_dir):
+    """The field's mean over all times on cells that are joined by four where it is flat, and its fluxes across both sizes."""
+    mean = views.field(spark, sf_dir).groupBy("j", "i").agg(F.avg("water_u").alias("v"))
+    leaves = quadtree.balanced(quadtree.from_cells(mean, "v", 4, 5, STEEP))
+    made = quadtree.laplacian(leaves, width=float(N))
+    return made.select("level", "y", "x", rounded(F.col("value"), 9).alias("value"), rounded(F.col("laplacian"), 9).alias("laplacian"))
+
+
+@query(f"SELECT time_idx, j, i, {r('water_u', 5)} AS water_u FROM v_field WHERE water_u IS NOT NULL", "v_field")
+def radial_basis_known(spark, sf_dir):
+    """Radial interpolation asked for at every cell of every slab, where it is known: it returns the data."""
+    f = views.field(spark, sf_dir)
+    made = interp.radial_basis(f, "water_u", f.select("lon", "lat").distinct(), AXES)
+    met = made.join(f.select("time_idx", "depth_idx", "j", "i", "lon", "lat", "water_u"), ["time_idx", "depth_idx", "lon", "lat"]).where("water_u IS NOT NULL")
+    return met.select("time_idx", "j", "i", rounded(F.col("value"), 5).alias("water_u"))
+
+
+@query()
+def radial_basis_land(spark, sf_dir):
+    """The cells on land of every slab, filled by radial interpolation in patches."""
+    f = views.field(spark, sf_dir)
+    made = interp.radial_basis(f, "water_u", f.where("water_u IS NULL").select("lon", "lat").distinct(), AXES)
+    return made.select("time_idx", "lon", "lat", rounded(F.col("value")).alias("water_u"))
+
+
+@query()
+def leading_modes(spark, sf_dir):
+    """The three strongest modes of each block's members, by random projection."""
+    d = views.ensemble(spark, sf_dir).select("block", F.col("member").alias("step"), "cell", "x")
+    return series.leading_modes(d, 3, more=16, rounds=2)
+
+
+@query()
+def multitaper_spectrum(spark, sf_dir):
+    return series.spectrum(views.series(spark, sf_dir), 1.0, "multitaper")
+
+
+@query(f"SELECT c_custkey AS id, {r('118.5e0 + CAST(c_custkey % 48 AS DOUBLE) * 0.0625e0', 3)} AS start, true AS near FROM customer")
+def walked(spark, sf_dir):
+    """All particles after one random step, none of which is over six of its standard deviations."""
+    p = views.particles(spark, sf_dir)
+    moved = particles.random_walk(p.withColumn("start", F.col("lon")), ["lon", "lat"], 0.5, 1e-4)
+    return moved.select("id", rounded(F.col("start"), 3).alias("start"), (F.abs(F.col("lon") - F.col("start")) < 0.06).alias("near"))
