@@ -33,6 +33,21 @@ class Settings:
         """The defaults with what is given; unknown keys are left out, null means the default."""
         return cls(**{k: v for k, v in given.items() if k in cls.__dataclass_fields__ and v is not None})
 
+    @classmethod
+    def from_file(cls, spark: SparkSession, path: str, section: str | None = None) -> Settings:
+        """read() of a YAML or JSON file, or of one of its sections, from wherever Spark can read; a missing section is empty.
+
+        JSON is YAML, so one reader serves both; without a YAML library only JSON is read."""
+        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+        try:
+            from yaml import safe_load as parsed
+        except ImportError:
+            from json import loads as parsed
+        held = parsed(text) or {}
+        if not isinstance(held, dict):
+            raise ValueError(f"{path} holds no settings by name")
+        return cls.read((held.get(section) or {}) if section else held)
+
     def faults(self) -> list[str]:
         """The names of the settings that are out of range."""
         out = [k for k, (lo, hi) in RANGES.items() if not lo < getattr(self, k) <= hi]

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.functions.mathx import speed
+from pelagia.functions.mathx import normal, speed
 from pelagia.lineage import cut
 from pelagia.operators.interp import Axes, blended, corners, located
 
@@ -93,13 +93,6 @@ def _by_event():
     return Window.partitionBy("event_id").orderBy("lon", "lat")
 
 
-def normal(*of: str | Column) -> Column:
-    """A standard normal number hashed from columns: the same for the same values, wherever and whenever it is computed."""
-    whole = float(1 << 53)
-    share = lambda k: (F.pmod(F.xxhash64(*of, F.lit(k)), F.lit(1 << 53)) + 0.5) / whole
-    return F.sqrt(-2 * F.log(share(0))) * F.cos(2 * math.pi * share(1))
-
-
 def random_walk(df: DataFrame, columns: list[str], diffusivity: float, dt: float, seed: int = 1, step: int = 0, id_col: str = "id") -> DataFrame:
     """Each coordinate moved by a normal step of variance 2·D·dt, hashed from the particle, the step and the seed."""
     sigma = math.sqrt(2 * diffusivity * dt)

@@ -143,14 +143,16 @@ def run(df: DataFrame, n_steps: int, step: Callable[[DataFrame, int], DataFrame]
 
 
 def steady_state(df: DataFrame, step: Callable[[DataFrame], DataFrame], tolerance: float = 1e-6, most: int = 200) -> tuple[DataFrame, int]:
-    """Steps until the relative change of c falls below the tolerance; the state and the number of steps."""
+    """Steps until the relative change of c falls below the tolerance; the state and the number of steps.
+
+    A state that still moves after `most` steps is an error, not a result."""
     for k in range(1, most + 1):
         new = cut(step(df))
         r = new.select(*KEYS, F.col("c").alias("_n")).join(df.select(*KEYS, "c"), KEYS).agg(F.sqrt(F.sum((F.col("_n") - F.col("c")) * (F.col("_n") - F.col("c")))).alias("d"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n")).first()
         df = new
         if (r["d"] or 0.0) <= tolerance * max(r["n"] or 0.0, 1e-30):
             return df, k
-    return df, most
+    raise RuntimeError(f"not steady after {most} steps")
 
 
 def react(df: DataFrame, reactions: list[tuple[str, str, str, float]], dt: float, decay: dict[str, float] | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def query(sql: str | None = None, *names: str) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from pelagia.plans import field_queries, further_queries, later_queries, model_queries, more_queries, scalar_queries, series_queries  # noqa: F401
+    from pelagia.plans import field_queries, function_queries, further_queries, later_queries, model_queries, more_queries, scalar_queries, series_queries  # noqa: F401
 
 
 load()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pelagia.functions.geo import haversine
 from pelagia.operators import assimilation, coupled, ensemble, interp, stats
 from pelagia.plans.catalogue import query, r
-from pelagia.plans.field_queries import AXES, CORNERS, H, INSIDE, N, WX, WY, blend, tracer
+from pelagia.plans.field_queries import AXES, CORNERS, H, INSIDE, N, WX, WY, blend, slope, tracer
 from pelagia.plans.model_queries import OBS_BLOCK, block_observations, hav
 from pelagia.schema import rounded
 from pelagia.sources import synthetic, views
@@ -63,9 +63,36 @@ def step_doubling(spark, sf_dir):
     return made.select("id", rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"), rounded(F.col("error")).alias("error"), "taken")
 
 
-@query()
+def number(x: float) -> str:
+    """A number as SQL that keeps all of its digits."""
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+WIDTH, DEEP = 100_000.0, 40.0
+_TURNS = " ".join(f"{{sign}} (CASE WHEN {{r{n}}} < {radius * synthetic.CORE}e0 THEN {number(strength / (radius * synthetic.CORE))} WHEN {{r{n}}} < {radius}e0 THEN {number(strength * radius * synthetic.CORE)}/({{r{n}}}*{{r{n}}}) ELSE 0e0 END*exp(-({{r{n}}}/{radius}e0)*({{r{n}}}/{radius}e0)))*({{axis}} - {{m{n}}})" for n, (_, _, strength, radius) in enumerate(synthetic.EDDIES))
+
+
+def _turned(sign: str, axis: str) -> str:
+    """SQL of what all eddies add to a velocity across `axis`."""
+    radii = {f"r{n}": f"sqrt((x - {WIDTH / 2 + e}e0)*(x - {WIDTH / 2 + e}e0) + (y - {WIDTH / 2 + o}e0)*(y - {WIDTH / 2 + o}e0))" for n, (e, o, _, _) in enumerate(synthetic.EDDIES)}
+    middles = {f"m{n}": f"{WIDTH / 2 + (o if axis == 'y' else e)}e0" for n, (e, o, _, _) in enumerate(synthetic.EDDIES)}
+    return _TURNS.format(sign=sign, axis=axis, **radii, **middles)
+
+
+@query(
+    f"g AS (SELECT time_idx, CAST(k AS INT) AS depth_idx, j, i, i*{number(WIDTH / (N - 1))} AS x, j*{number(WIDTH / (N - 1))} AS y, k*10e0 AS z FROM v_field, range(5) t(k)), "
+    f"v AS (SELECT *, (0.5e0 {_turned('-', 'y')})*exp(-z/50) AS u, (0.1e0*sin(2*pi()*x/{WIDTH}e0) {_turned('+', 'x')})*exp(-z/50) AS v FROM g), "
+    f"s AS (SELECT *, {slope('u', 'wx', 1.0)} AS ux, {slope('v', 'wy', 1.0)} AS vy FROM v WINDOW {WX}, {WY}), "
+    "w AS (SELECT *, sum(CASE WHEN depth_idx > 0 THEN -(ux + vy)*10 ELSE 0e0 END) OVER (PARTITION BY time_idx, j, i ORDER BY depth_idx) AS w FROM s) "
+    f"SELECT time_idx, depth_idx, j, i, {r('u')} AS u, {r('v')} AS v, {r('w')} AS w, {r(f'25 - 15*(z/{DEEP}e0) + 2*sin(2*pi()*x/{WIDTH}e0)*exp(-z/30)')} AS temperature, {r(f'35 + (y - {WIDTH / 2}e0)/{WIDTH}e0 + 0.5e0*(z/{DEEP}e0)')} AS salinity FROM w",
+    "v_field",
+)
 def layered_ocean(spark, sf_dir):
-    return synthetic.layered_ocean(spark)
+    """Five layers of the analytic ocean on the field's cells and times."""
+    d = views.field(spark, sf_dir).withColumn("depth_idx", F.explode(F.array(*map(F.lit, range(5)))))
+    d = d.select("time_idx", "depth_idx", "j", "i", *((F.col(c) * (WIDTH / (N - 1))).alias(a) for c, a in (("i", "x"), ("j", "y"))), (F.col("depth_idx") * 10.0).alias("z"))
+    made = synthetic.layered(d, WIDTH, DEEP, 10.0)
+    return made.select("time_idx", "depth_idx", "j", "i", *(rounded(F.col(c)).alias(c) for c in ("u", "v", "w", "temperature", "salinity")))
 
 
 @query()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pelagia.functions.ocean import GRAVITY, RHO0
+from pelagia.lineage import shared_folder
 from pelagia.operators import adaptive, cubic, ensemble, interp, lines, particles, quadtree, series, split
 from pelagia.plans.catalogue import query, r
 from pelagia.plans.field_queries import AXES, CORNERS, H, N, WX, WY, blend, tracer
 from pelagia.plans.model_queries import OBS_BLOCK, block_observations
 from pelagia.schema import rounded
-from pelagia.sources import views
+from pelagia.sources import sinks, views
 
 DX, DZ, LAYERS = 1000.0, 10.0, 3
 
@@ -323,3 +326,13 @@ def walked(spark, sf_dir):
     p = views.particles(spark, sf_dir)
     moved = particles.random_walk(p.withColumn("start", F.col("lon")), ["lon", "lat"], 0.5, 1e-4)
     return moved.select("id", rounded(F.col("start"), 3).alias("start"), (F.abs(F.col("lon") - F.col("start")) < 0.06).alias("near"))
+
+
+@query("SELECT time_idx, count(*) AS n, count(magnitude) AS n_wet, round(sum(magnitude), 4) + 0e0 AS total FROM (SELECT time_idx, sqrt(water_u*water_u + water_v*water_v) AS magnitude FROM v_field, range(2)) GROUP BY 1", "v_field")
+def exported_vectors(spark, sf_dir):
+    """The field on two layers, exported as a vector field and read again."""
+    f = views.field(spark, sf_dir).withColumn("depth_idx", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = sinks.Export(spark, f"{shared_folder(spark)}/exports/{uuid.uuid4().hex}").set_coordinate_system("geographic")
+    back = spark.read.parquet(out.vector_field_3d(f, "current", ("water_u", "water_v")))
+    made = back.groupBy("time_idx").agg(F.count("*").alias("n"), F.count("magnitude").alias("n_wet"), rounded(F.sum("magnitude"), 4).alias("total"))
+    return made.select("time_idx", "n", "n_wet", "total")

@@ -105,10 +105,18 @@ def particle_validation(spark, sf_dir):
     return particles.validate(views.particles(spark, sf_dir), cells, AXES).select("id", "inside", "wet")
 
 
-@query()
+#: A Runge-Kutta step turns and shrinks by this complex number; ten steps by its tenth power.
+TURN = (1 - 0.02**2 / 2 + 0.02**4 / 24 + 1j * (0.02 - 0.02**3 / 6)) ** 10
+
+
+@query(
+    f"p AS (SELECT c_custkey AS id, 0.1e0*cos(c_custkey*0.0628e0) AS x, 0.1e0*sin(c_custkey*0.0628e0) AS y FROM customer) SELECT id, {r(f'0.5e0 + x*{TURN.real!r} - y*{TURN.imag!r}', 9)} AS x, {r(f'0.5e0 + x*{TURN.imag!r} + y*{TURN.real!r}', 9)} AS y FROM p",
+    "v_particle",
+)
 def rotation_rk4(spark, sf_dir):
-    p = spark.range(100).select("id", (0.5 + 0.1 * F.cos(F.col("id") * 0.0628)).alias("x"), (0.5 + 0.1 * F.sin(F.col("id") * 0.0628)).alias("y"))
-    return particles.rotate_rk4(p, 2.0, 0.01, 10)
+    """A particle for each customer on a circle, after ten steps about its middle."""
+    p = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), (0.5 + 0.1 * F.cos(F.col("c_custkey") * 0.0628)).alias("x"), (0.5 + 0.1 * F.sin(F.col("c_custkey") * 0.0628)).alias("y"))
+    return particles.rotate_rk4(p, 2.0, 0.01, 10).select("id", rounded(F.col("x"), 9).alias("x"), rounded(F.col("y"), 9).alias("y"))
 
 
 # transport
@@ -358,9 +366,15 @@ def mass_imbalance(spark, sf_dir):
     return flow.mass_imbalance(flow_state(spark, sf_dir), N, N, D, D).select("time_idx", rounded(F.col("imbalance"), 3).alias("imbalance"))
 
 
-@query()
+@query(
+    "d AS (SELECT time_idx, j, i, lon - 121 AS dx, lat - 23.75e0 AS dy FROM v_field), s AS (SELECT *, sqrt(dx*dx + dy*dy) AS r FROM d), t AS (SELECT *, CASE WHEN r <= 0.01e0 THEN 0e0 ELSE 0.5e0*exp(-2*r)/r END AS s FROM s) "
+    f"SELECT time_idx, j, i, {r('-dy*s')} AS water_u, {r('dx*s')} AS water_v FROM t",
+    "v_field",
+)
 def vortex_field(spark, sf_dir):
-    return generators.gaussian_vortex(spark).select("j", "i", "lat", "lon", rounded(F.col("water_u")).alias("water_u"), rounded(F.col("water_v")).alias("water_v"))
+    """The vortex at every cell of the field."""
+    made = generators.swirled(views.field(spark, sf_dir))
+    return made.select("time_idx", "j", "i", rounded(F.col("water_u")).alias("water_u"), rounded(F.col("water_v")).alias("water_v"))
 
 
 # ensembles

@@ -139,9 +139,10 @@ def adams_bashforth(spark, sf_dir):
     return d.select("time_idx", "j", "i", rounded(F.col("c") + DT * (1.5 * F.col("diffusion") - 0.5 * F.col("k1")), 9).alias("c"))
 
 
-@query()
+@query(f"SELECT time_idx, j, i, {r('10*sin(radians(lon*18))*cos(radians(lat*18)) + 5*sin(time_idx*(2*pi()/365))')} AS sla FROM v_field", "v_field")
 def sea_level_days(spark, sf_dir):
-    return generators.sea_level(spark, 7)
+    """The analytic sea level at every cell and time of the field."""
+    return generators.sea_level_over(views.field(spark, sf_dir)).select("time_idx", "j", "i", rounded(F.col("sla")).alias("sla"))
 
 
 @query(f"SELECT id, step, {r('lon')} AS lon FROM (SELECT id, s AS step, lon + s*0.25e0 AS lon FROM v_particle, range(6) t(s)) WHERE step >= 3", "v_particle")

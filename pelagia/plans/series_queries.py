@@ -133,9 +133,11 @@ def top_events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value").orderBy(F.desc("value"), "event_id").limit(50)
 
 
-@query("SELECT strftime(t, '%Y%m%d%H') AS label FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-08 00:00:01', INTERVAL 3 HOUR) r(t)")
+@query("SELECT strftime(t, '%Y%m%d%H') AS label FROM (SELECT unnest(generate_series(CAST(min(o_orderdate) AS TIMESTAMP), CAST(max(o_orderdate) AS TIMESTAMP), INTERVAL 3 HOUR)) AS t FROM orders)")
 def stepped_times(spark, sf_dir):
-    return readers.stepped_times(spark, "2024-01-01 00:00:00", "2024-01-08 00:00:00", 3).select("label")
+    """Every third hour from the first order to the last."""
+    ends = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(*(f("o_orderdate").cast("timestamp").cast("string").alias(k) for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    return readers.stepped_times(spark, ends["lo"], ends["hi"], 3).select("label")
 
 
 @query()

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelagia.functions.mathx import normal
+
 
 def cells(spark: SparkSession, n_x: int, n_y: int, n_t: int = 1, n_z: int = 1) -> DataFrame:
     """time_idx, depth_idx, j, i of every cell of a grid."""
@@ -19,13 +21,17 @@ def _axis(c: str, lo: float, hi: float, n: int):
     return F.lit(lo) + F.col(c) * ((hi - lo) / (n - 1))
 
 
+def swirled(df: DataFrame, lon0: float = 121.0, lat0: float = 23.75, strength: float = 0.5, fade: float = 2.0) -> DataFrame:
+    """df (lat, lon) with water_u and water_v of a vortex around a point, strength·exp(-fade·r), still at the centre."""
+    dx, dy = F.col("lon") - lon0, F.col("lat") - lat0
+    r = F.sqrt(dx * dx + dy * dy)
+    s = F.when(r <= 0.01, 0.0).otherwise(F.try_divide(strength * F.exp(-fade * r), r))
+    return df.withColumns({"water_u": -dy * s, "water_v": dx * s})
+
+
 def gaussian_vortex(spark: SparkSession) -> DataFrame:
     """20 x 25 cells around (23.75, 121): strength 0.5·exp(-2r), still at the centre."""
-    d = cells(spark, 25, 20).withColumns({"lat": _axis("j", 21.0, 26.5, 20), "lon": _axis("i", 118.0, 124.0, 25)})
-    dx, dy = F.col("lon") - 121.0, F.col("lat") - 23.75
-    r = F.sqrt(dx * dx + dy * dy)
-    s = F.when(r <= 0.01, 0.0).otherwise(F.try_divide(0.5 * F.exp(-2 * r), r))
-    return d.withColumns({"water_u": -dy * s, "water_v": dx * s})
+    return swirled(cells(spark, 25, 20).withColumns({"lat": _axis("j", 21.0, 26.5, 20), "lon": _axis("i", 118.0, 124.0, 25)}))
 
 
 def solid_rotation(spark: SparkSession, n: int = 50, omega: float = 2.0) -> DataFrame:
@@ -44,12 +50,17 @@ def tidal_demo(spark: SparkSession, n_t: int = 24, n_z: int = 4, n_y: int = 60,
     return d.withColumns({"water_u": (-0.5 * dy * swirl + tide) * fade, "water_v": (0.5 * dx * swirl + 0.5 * tide) * fade})
 
 
-def sea_level(spark: SparkSession, days: int = 7, noise: float = 0.0, seed: int = 1) -> DataFrame:
-    """A 20 x 40 sea-level anomaly in centimetres for each day, with optional seeded noise."""
-    d = cells(spark, 40, 20, days).withColumns({"lat": _axis("j", 65.0, 75.0, 20), "lon": _axis("i", 0.0, 20.0, 40)})
+def sea_level_over(df: DataFrame, noise: float = 0.0, seed: int = 1) -> DataFrame:
+    """df (time_idx in days, lat, lon) with a sea-level anomaly in centimetres, and noise hashed from the place and day."""
     wave = 10 * F.sin(F.radians(F.col("lon") * 18)) * F.cos(F.radians(F.col("lat") * 18))
     season = 5 * F.sin(F.col("time_idx") * (2 * math.pi / 365))
-    return d.withColumn("sla", wave + season + F.randn(seed) * noise)
+    made = wave + season
+    return df.withColumn("sla", made + normal("time_idx", "lat", "lon", F.lit(seed)) * noise if noise else made)
+
+
+def sea_level(spark: SparkSession, days: int = 7, noise: float = 0.0, seed: int = 1) -> DataFrame:
+    """A 20 x 40 sea-level anomaly in centimetres for each day, with optional seeded noise."""
+    return sea_level_over(cells(spark, 40, 20, days).withColumns({"lat": _axis("j", 65.0, 75.0, 20), "lon": _axis("i", 0.0, 20.0, 40)}), noise, seed)
 
 
 def profiles(spark: SparkSession, n: int = 3) -> DataFrame:

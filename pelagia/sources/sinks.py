@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.functions.mathx import speed
@@ -80,3 +83,75 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", variables: list[str] |
 def file_name(base: str, fmt: str, prefix: str = "export") -> Column:
     """prefix_base_timestamp.ext"""
     return F.concat(F.lit(f"{prefix}_{base}_"), F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss_SSS"), F.lit(f".{fmt}"))
+
+
+class Export:
+    """A folder of exported fields, snapshots and series, with metadata for all of it and counts of what was written.
+
+    Every table goes out in one job, whose rows are counted on the way; metadata is a file of its own beside the tables
+    and goes into the columns' own metadata where the format keeps it (Parquet)."""
+
+    #: The coordinate systems by name, with their codes and the units of their axes.
+    SYSTEMS = {"geographic": ("EPSG:4326", "degrees"), "mercator": ("EPSG:3857", "metres"), "cartesian": ("", "metres")}
+
+    def __init__(self, spark: SparkSession, folder: str, fmt: str = "parquet") -> None:
+        if fmt not in WRITERS:
+            raise ValueError(f"{fmt} is not one of {', '.join(WRITERS)}")
+        self.spark, self.folder, self.fmt = spark, folder.rstrip("/"), fmt
+        self.metadata: dict[str, str] = {}
+        self.written: list[dict] = []
+
+    def add_metadata(self, **given: str) -> Export:
+        self.metadata |= {k: str(v) for k, v in given.items()}
+        return self
+
+    def set_coordinate_system(self, name: str) -> Export:
+        """Name the coordinate system of all tables; one that is not in SYSTEMS is an error."""
+        code, units = self.SYSTEMS[name]
+        return self.add_metadata(coordinate_system=name, coordinate_code=code, coordinate_units=units)
+
+    def _write(self, df: DataFrame, name: str, kind: str, partition_by: list[str] | None = None, units: dict[str, str] | None = None) -> str:
+        for c, unit in (units or {}).items():
+            df = df.withMetadata(c, {"units": unit, **self.metadata})
+        seen, path = Observation(), f"{self.folder}/{name}"
+        write(df.observe(seen, F.count("*").alias("rows")), path, self.fmt, partition_by=partition_by)
+        self.written.append({"name": name, "kind": kind, "format": self.fmt, "rows": seen.get["rows"]})
+        return path
+
+    def scalar_field_3d(self, df: DataFrame, name: str, units: str = "") -> str:
+        """A column on all cells, depths and times, one folder a time; returns the path."""
+        return self._write(df.select("time_idx", "depth_idx", "j", "i", name), name, "scalar field", ["time_idx"], {name: units})
+
+    def vector_field_3d(self, df: DataFrame, name: str, parts: tuple[str, ...] = ("u", "v", "w"), units: str = "m/s") -> str:
+        """Several columns of a vector on all cells with its length, one folder a time; nulls have no length."""
+        length = F.sqrt(sum((F.col(c) * F.col(c) for c in parts), F.lit(0.0)))
+        made = df.select("time_idx", "depth_idx", "j", "i", *parts, length.alias("magnitude"))
+        return self._write(made, name, "vector field", ["time_idx"], dict.fromkeys((*parts, "magnitude"), units))
+
+    def particle_snapshot(self, particles: DataFrame, name: str, time: float) -> str:
+        """All particles at one time, with that time as a column."""
+        return self._write(particles.withColumn("time", F.lit(float(time))), f"{name}-{time:g}", "particles")
+
+    def time_series(self, steps: Iterable[tuple[int, DataFrame]], name: str) -> str:
+        """The tables of a run's steps, each in its own folder of one table; each step is written as it comes."""
+        for k, df in steps:
+            self._write(df, f"{name}/step={k}", "step")
+        return f"{self.folder}/{name}"
+
+    def batch(self, tables: dict[str, DataFrame]) -> list[str]:
+        """Several tables under their names."""
+        return [self._write(df, name, "table") for name, df in tables.items()]
+
+    def stats(self) -> dict[str, int]:
+        """Tables and rows written since the start or the last reset()."""
+        return {"tables": len(self.written), "rows": sum(w["rows"] for w in self.written)}
+
+    def reset(self) -> None:
+        self.written = []
+
+    def close(self) -> str:
+        """Write the metadata and what was written as one JSON text beside the tables."""
+        text = json.dumps({"metadata": self.metadata, "tables": self.written}, sort_keys=True)
+        path = f"{self.folder}/_metadata.json"
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+        return path
