@@ -64,37 +64,44 @@ def dispersed(df: DataFrame, dt: float, dx: float, n_x: int, n_y: int, diffusivi
 def coupled(state: DataFrame, particles: DataFrame, axes: Axes, n_steps: int, dt: float, dx: float, coriolis: float, diffusivity: float = 500.0, decay: float = 5e-5, sources: DataFrame | None = None, every: int = 1) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     """(step, state, particles) of every `every`-th step and the last: flow, then particles in it, then the tracer in it.
 
-    state: time_idx, depth_idx, j, i, u, v, eta, c of one time and depth; particles: id, lon, lat. A particle whose step
-    would leave the extent stays where it is. Each step is written, so lineage does not grow."""
+    state: time_idx, depth_idx, j, i, u, v, eta, c of one depth; particles: id, lon, lat and time_idx, the run that carries
+    them, which may be left out where the state has one time only. Runs of different times do not touch each other. A
+    particle whose step would leave the extent stays where it is. Each step is written, so lineage does not grow."""
+    own = [c for c in ("id", "time_idx") if c in particles.columns]
+    keys = [*own[1:], "j", "i"]
     for k in range(n_steps):
         state = barotropic_step(state, dt, dx, dx, coriolis)
         flow = state.withColumns({"water_u": F.col("u"), "water_v": F.col("v")})
-        at = located(particles, axes).join(corners(flow, ["water_u", "water_v"]), ["j", "i"], "left")
-        at = at.select("id", "lon", "lat", F.coalesce(blended("water_u"), F.lit(0.0)).alias("u"), F.coalesce(blended("water_v"), F.lit(0.0)).alias("v"))
+        at = located(particles, axes).join(corners(flow, ["water_u", "water_v"]), keys, "left")
+        at = at.select(*own, "lon", "lat", F.coalesce(blended("water_u"), F.lit(0.0)).alias("u"), F.coalesce(blended("water_v"), F.lit(0.0)).alias("v"))
         lon = F.col("lon") + F.col("u") * dt / (M_PER_DEGREE * F.cos(F.radians("lat")))
         lat = F.col("lat") + F.col("v") * dt / M_PER_DEGREE
         inside = lon.between(axes.lon0, axes.lon1) & lat.between(axes.lat0, axes.lat1)
-        particles = cut(at.select("id", F.when(inside, lon).otherwise(F.col("lon")).alias("lon"), F.when(inside, lat).otherwise(F.col("lat")).alias("lat"), speed(F.col("u"), F.col("v")).alias("speed")), "coupled-particles")
+        particles = cut(at.select(*own, F.when(inside, lon).otherwise(F.col("lon")).alias("lon"), F.when(inside, lat).otherwise(F.col("lat")).alias("lat"), speed(F.col("u"), F.col("v")).alias("speed")), "coupled-particles")
         moved = dispersion_step(flow, dt, dx, axes.n_x, axes.n_y, diffusivity, decay)
         moved = add_sources(moved, sources, k * dt, dt) if sources is not None else moved
         state = cut(moved.select(*state.columns), "coupled-state")
         if (k + 1) % every == 0 or k + 1 == n_steps:
             yield k + 1, state, particles
-        particles = particles.select("id", "lon", "lat")
+        particles = particles.select(*own, "lon", "lat")
 
 
 def step_doubling(particles: DataFrame, cells: DataFrame, axes: Axes, dt: float, tolerance: float) -> DataFrame:
     """id, lon, lat, error, next_dt and taken: a Euler step in degrees compared with two half steps, for all particles at once.
 
-    cells: corners() of one time and depth, of velocities in degrees a second. A step whose error is over the tolerance
+    cells: corners() of one depth, of velocities in degrees a second, and of one time unless the particles have a
+    time_idx, which stays. A step whose error is over the tolerance
     is not taken and asks for half of dt; one under a tenth of it asks for 1.5 times dt; the half steps' end is kept."""
 
+    keys = [c for c in ("id", "time_idx") if c in particles.columns]
+    held = cells.drop("depth_idx") if len(keys) > 1 else cells.drop("time_idx", "depth_idx")
+
     def velocity(d: DataFrame, lon: str, lat: str, name: str) -> DataFrame:
-        seen = located(d, axes, lon, lat).join(cells.drop("time_idx", "depth_idx"), ["j", "i"], "left")
+        seen = located(d, axes, lon, lat).join(held, [*keys[1:], "j", "i"], "left")
         own = [c for c in d.columns if c not in ("j", "i")]
         return seen.select(*own, F.coalesce(blended("water_u"), F.lit(0.0)).alias(f"{name}u"), F.coalesce(blended("water_v"), F.lit(0.0)).alias(f"{name}v"))
 
-    d = velocity(particles.select("id", "lon", "lat"), "lon", "lat", "a")
+    d = velocity(particles.select(*keys, "lon", "lat"), "lon", "lat", "a")
     d = d.withColumns({"_lon": F.col("lon") + F.col("au") * (dt / 2), "_lat": F.col("lat") + F.col("av") * (dt / 2)})
     d = velocity(d, "_lon", "_lat", "b")
     x, y = F.col("_lon") + F.col("bu") * (dt / 2), F.col("_lat") + F.col("bv") * (dt / 2)
@@ -102,4 +109,4 @@ def step_doubling(particles: DataFrame, cells: DataFrame, axes: Axes, dt: float,
     d = d.withColumns({"_x": x, "_y": y, "error": F.sqrt(dx * dx + dy * dy)})
     taken = F.col("error") <= tolerance
     step = F.when(~taken, dt * 0.5).when(F.col("error") < tolerance * 0.1, dt * 1.5).otherwise(dt)
-    return d.select("id", F.when(taken, F.col("_x")).otherwise(F.col("lon")).alias("lon"), F.when(taken, F.col("_y")).otherwise(F.col("lat")).alias("lat"), "error", step.alias("next_dt"), taken.alias("taken"))
+    return d.select(*keys, F.when(taken, F.col("_x")).otherwise(F.col("lon")).alias("lon"), F.when(taken, F.col("_y")).otherwise(F.col("lat")).alias("lat"), "error", step.alias("next_dt"), taken.alias("taken"))

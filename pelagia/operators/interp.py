@@ -81,11 +81,16 @@ def mesh(spark, lons: list[float], lats: list[float], time_idx: int = 0, depth_i
     return made.select(F.lit(time_idx).alias("time_idx"), F.lit(depth_idx).alias("depth_idx"), "gj", "gi", pick(lons, "gi").alias("lon"), pick(lats, "gj").alias("lat"))
 
 
-def regrid(df: DataFrame, columns: list[str], axes: Axes, resolution: float, time_idx: int = 0, depth_idx: int = 0) -> DataFrame:
-    """The columns on a finer or coarser regular grid over the same extent, 0 where nothing is known."""
+def regrid(df: DataFrame, columns: list[str], axes: Axes, resolution: float, time_idx: int | None = 0, depth_idx: int = 0) -> DataFrame:
+    """The columns on a finer or coarser regular grid over the same extent, 0 where nothing is known.
+
+    Of one slab, or of all that df has where time_idx is None."""
     lons = [round(axes.lon0 + k * resolution, 10) for k in range(int((axes.lon1 - axes.lon0) / resolution + 1e-9) + 1)]
     lats = [round(axes.lat0 + k * resolution, 10) for k in range(int((axes.lat1 - axes.lat0) / resolution + 1e-9) + 1)]
-    return bilinear(df, mesh(df.sparkSession, lons, lats, time_idx, depth_idx), columns, axes, 0.0)
+    points = mesh(df.sparkSession, lons, lats, time_idx or 0, depth_idx)
+    if time_idx is None:
+        points = points.drop("time_idx", "depth_idx").crossJoin(df.select(F.col("time_idx").alias("time_idx"), F.col("depth_idx").alias("depth_idx")).distinct())
+    return bilinear(df, points, columns, axes, 0.0)
 
 
 def between_layers(df: DataFrame, points: DataFrame, columns: list[str], axes: Axes, depths: list[float]) -> DataFrame:

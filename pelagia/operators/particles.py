@@ -124,10 +124,11 @@ def rotate_rk4(particles: DataFrame, omega: float, dt: float, n_steps: int, cent
 
 
 def validate(points: DataFrame, cells: DataFrame, axes: Axes) -> DataFrame:
-    """points with `inside` (the extent) and `wet` (the cell they fall in has a current)."""
+    """points with `inside` (the extent) and `wet` (the cell they fall in has a current, at the point's time_idx if it has one)."""
     placed = located(points, axes)
-    wet = cells.where("water_u IS NOT NULL AND water_v IS NOT NULL").select("j", "i", F.lit(True).alias("_wet")).distinct()
-    got = placed.join(wet, ["j", "i"], "left")
+    by = [*(["time_idx"] if "time_idx" in points.columns else []), "j", "i"]
+    wet = cells.where("water_u IS NOT NULL AND water_v IS NOT NULL").select(*by, F.lit(True).alias("_wet")).distinct()
+    got = placed.join(wet, by, "left")
     return got.select(*points.columns, F.col("i").isNotNull().alias("inside"), F.coalesce("_wet", F.lit(False)).alias("wet"))
 
 

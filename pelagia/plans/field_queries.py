@@ -255,16 +255,21 @@ LOCATE = f"least(CAST(floor((lon - 118e0) / {H}e0) AS INT), {N - 2}) AS i, least
 INSIDE = "lon BETWEEN 118 AND 121.875 AND lat BETWEEN 21 AND 24.875"
 
 
+def at_all_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every particle at every time of the field."""
+    times = views.field(spark, sf_dir).select("time_idx", "depth_idx").distinct()
+    return views.particles(spark, sf_dir).crossJoin(times)
+
+
 @query(
     f"{CORNERS}, p AS (SELECT *, {LOCATE} FROM v_particle WHERE {INSIDE}), f AS (SELECT p.*, (lon - 118e0)/{H}e0 - i AS fx, (lat - 21e0)/{H}e0 - j AS fy FROM p) "
-    f"SELECT f.id, {r(blend('water_u'))} AS water_u, {r(blend('water_v'))} AS water_v FROM f JOIN q ON q.time_idx = 0 AND q.j = f.j AND q.i = f.i",
+    f"SELECT f.id, q.time_idx, {r(blend('water_u'))} AS water_u, {r(blend('water_v'))} AS water_v FROM f JOIN q ON q.j = f.j AND q.i = f.i",
     "v_field",
     "v_particle",
 )
 def bilinear_gather(spark, sf_dir):
-    p = views.particles(spark, sf_dir).select("*", F.lit(0).alias("time_idx"), F.lit(0).alias("depth_idx"))
-    d = interp.bilinear(views.field(spark, sf_dir), p, ["water_u", "water_v"], AXES).where("water_u IS NOT NULL")
-    return d.select("id", rounded(F.col("water_u")).alias("water_u"), rounded(F.col("water_v")).alias("water_v"))
+    d = interp.bilinear(views.field(spark, sf_dir), at_all_times(spark, sf_dir), ["water_u", "water_v"], AXES).where("water_u IS NOT NULL")
+    return d.select("id", "time_idx", rounded(F.col("water_u")).alias("water_u"), rounded(F.col("water_v")).alias("water_v"))
 
 
 AT = "greatest(0, least(CAST(ceil(({c} - {lo}e0) / {h}e0 - 0.5e0) AS INT), {n}))"
@@ -272,13 +277,13 @@ NEAR_I, NEAR_J = AT.format(c="lon", lo=118, h=H, n=N - 1), AT.format(c="lat", lo
 
 
 @query(
-    f"p AS (SELECT *, {NEAR_I} AS i, {NEAR_J} AS j FROM v_particle WHERE {INSIDE}) SELECT p.id, p.j, p.i, f.water_u, f.water_v FROM p JOIN v_field f ON f.time_idx = 0 AND f.j = p.j AND f.i = p.i",
+    f"p AS (SELECT *, {NEAR_I} AS i, {NEAR_J} AS j FROM v_particle WHERE {INSIDE}) SELECT p.id, f.time_idx, p.j, p.i, f.water_u, f.water_v FROM p JOIN v_field f ON f.j = p.j AND f.i = p.i",
     "v_field",
     "v_particle",
 )
 def nearest_gather(spark, sf_dir):
-    p = views.particles(spark, sf_dir).select("*", F.lit(0).alias("time_idx"), F.lit(0).alias("depth_idx"))
-    return interp.nearest(views.field(spark, sf_dir), p, ["water_u", "water_v"], AXES).where("i IS NOT NULL").select("id", "j", "i", "water_u", "water_v")
+    p = at_all_times(spark, sf_dir)
+    return interp.nearest(views.field(spark, sf_dir), p, ["water_u", "water_v"], AXES).where("i IS NOT NULL").select("id", "time_idx", "j", "i", "water_u", "water_v")
 
 
 @query(f"SELECT a.j, a.i, {r('a.water_u*(1-0.25e0) + b.water_u*0.25e0')} AS water_u, {r('a.water_v*(1-0.25e0) + b.water_v*0.25e0')} AS water_v FROM v_field a JOIN v_field b ON a.time_idx = 1 AND b.time_idx = 2 AND a.j = b.j AND a.i = b.i", "v_field")
@@ -288,11 +293,11 @@ def temporal_interp(spark, sf_dir):
 
 @query(
     f"{CORNERS}, g AS (SELECT CAST(y.k AS INT) AS gj, CAST(x.k AS INT) AS gi, 118e0 + x.k*0.3125e0 AS lon, 21e0 + y.k*0.3125e0 AS lat FROM range(13) x(k), range(13) y(k)), p AS (SELECT *, {LOCATE} FROM g), "
-    f"f AS (SELECT p.*, (lon - 118e0)/{H}e0 - i AS fx, (lat - 21e0)/{H}e0 - j AS fy FROM p) SELECT gj, gi, {r(blend('water_u'))} AS water_u FROM f JOIN q ON q.time_idx = 0 AND q.j = f.j AND q.i = f.i",
+    f"f AS (SELECT p.*, (lon - 118e0)/{H}e0 - i AS fx, (lat - 21e0)/{H}e0 - j AS fy FROM p) SELECT q.time_idx, gj, gi, {r(blend('water_u'))} AS water_u FROM f JOIN q ON q.j = f.j AND q.i = f.i",
     "v_field",
 )
 def regrid(spark, sf_dir):
-    return interp.regrid(views.field(spark, sf_dir), ["water_u"], AXES, 0.3125).select("gj", "gi", rounded(F.col("water_u")).alias("water_u"))
+    return interp.regrid(views.field(spark, sf_dir), ["water_u"], AXES, 0.3125, None).select("time_idx", "gj", "gi", rounded(F.col("water_u")).alias("water_u"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pelagia.functions.geo import haversine
 from pelagia.operators import assimilation, coupled, ensemble, interp, stats
 from pelagia.plans.catalogue import query, r
-from pelagia.plans.field_queries import AXES, CORNERS, H, INSIDE, N, WX, WY, blend, slope, tracer
+from pelagia.plans.field_queries import AXES, CORNERS, H, INSIDE, N, WX, WY, at_all_times, blend, slope, tracer
 from pelagia.plans.model_queries import OBS_BLOCK, block_observations, hav
 from pelagia.schema import rounded
 from pelagia.sources import synthetic, views
@@ -40,27 +40,27 @@ def dispersed(spark, sf_dir):
 
 @query()
 def coupled_run(spark, sf_dir):
-    """Particles after two coupled steps of the first time's flow."""
-    t = tracer(spark, sf_dir).where("time_idx = 0").select("time_idx", "depth_idx", "j", "i", F.col("water_u").alias("u"), F.col("water_v").alias("v"), (F.col("c") / 10).alias("eta"), "c")
-    p = views.particles(spark, sf_dir)
+    """Particles after two coupled steps of every time's flow."""
+    t = tracer(spark, sf_dir).select("time_idx", "depth_idx", "j", "i", F.col("water_u").alias("u"), F.col("water_v").alias("v"), (F.col("c") / 10).alias("eta"), "c")
+    p = at_all_times(spark, sf_dir).drop("depth_idx")
     *_, (_, _, moved) = coupled.coupled(t, p, AXES, 2, 10.0, H * coupled.DEGREE, 1e-4, sources=views.sources(spark, sf_dir))
     return moved
 
 
 @query(
-    f"{CORNERS}, c0 AS (SELECT * FROM q WHERE time_idx = 0), a0 AS (SELECT id, lon, lat, least(CAST(floor((lon - 118e0)/{H}e0) AS INT), {N - 2}) AS i, least(CAST(floor((lat - 21e0)/{H}e0) AS INT), {N - 2}) AS j FROM v_particle WHERE {INSIDE}), "
-    f"a AS (SELECT p.id, p.lon, p.lat, {blend('water_u', f'((p.lon - 118e0)/{H}e0 - p.i)', f'((p.lat - 21e0)/{H}e0 - p.j)')} AS au, {blend('water_v', f'((p.lon - 118e0)/{H}e0 - p.i)', f'((p.lat - 21e0)/{H}e0 - p.j)')} AS av FROM a0 p JOIN c0 ON c0.j = p.j AND c0.i = p.i), "
+    f"{CORNERS}, c0 AS (SELECT * FROM q), a0 AS (SELECT id, t.time_idx, lon, lat, least(CAST(floor((lon - 118e0)/{H}e0) AS INT), {N - 2}) AS i, least(CAST(floor((lat - 21e0)/{H}e0) AS INT), {N - 2}) AS j FROM v_particle, (SELECT DISTINCT time_idx FROM v_field) t WHERE {INSIDE}), "
+    f"a AS (SELECT p.id, p.time_idx, p.lon, p.lat, {blend('water_u', f'((p.lon - 118e0)/{H}e0 - p.i)', f'((p.lat - 21e0)/{H}e0 - p.j)')} AS au, {blend('water_v', f'((p.lon - 118e0)/{H}e0 - p.i)', f'((p.lat - 21e0)/{H}e0 - p.j)')} AS av FROM a0 p JOIN c0 ON c0.time_idx = p.time_idx AND c0.j = p.j AND c0.i = p.i), "
     f"h AS (SELECT *, lon + au*0.005e0 AS hx, lat + av*0.005e0 AS hy FROM a), b0 AS (SELECT *, least(CAST(floor((hx - 118e0)/{H}e0) AS INT), {N - 2}) AS i, least(CAST(floor((hy - 21e0)/{H}e0) AS INT), {N - 2}) AS j FROM h), "
-    f"b AS (SELECT p.id, p.lon, p.lat, p.au, p.av, p.hx, p.hy, {blend('water_u', f'((p.hx - 118e0)/{H}e0 - p.i)', f'((p.hy - 21e0)/{H}e0 - p.j)')} AS bu, {blend('water_v', f'((p.hx - 118e0)/{H}e0 - p.i)', f'((p.hy - 21e0)/{H}e0 - p.j)')} AS bv FROM b0 p JOIN c0 ON c0.j = p.j AND c0.i = p.i), "
+    f"b AS (SELECT p.id, p.time_idx, p.lon, p.lat, p.au, p.av, p.hx, p.hy, {blend('water_u', f'((p.hx - 118e0)/{H}e0 - p.i)', f'((p.hy - 21e0)/{H}e0 - p.j)')} AS bu, {blend('water_v', f'((p.hx - 118e0)/{H}e0 - p.i)', f'((p.hy - 21e0)/{H}e0 - p.j)')} AS bv FROM b0 p JOIN c0 ON c0.time_idx = p.time_idx AND c0.j = p.j AND c0.i = p.i), "
     f"e AS (SELECT *, sqrt((bu - au)*(bu - au) + (bv - av)*(bv - av))*0.005e0 AS err FROM b) "
-    f"SELECT id, {r('CASE WHEN err <= 0.0005e0 THEN hx + bu*0.005e0 ELSE lon END')} AS lon, {r('CASE WHEN err <= 0.0005e0 THEN hy + bv*0.005e0 ELSE lat END')} AS lat, {r('err')} AS error, err <= 0.0005e0 AS taken FROM e",
+    f"SELECT id, time_idx, {r('CASE WHEN err <= 0.0005e0 THEN hx + bu*0.005e0 ELSE lon END')} AS lon, {r('CASE WHEN err <= 0.0005e0 THEN hy + bv*0.005e0 ELSE lat END')} AS lat, {r('err')} AS error, err <= 0.0005e0 AS taken FROM e",
     "v_field",
     "v_particle",
 )
 def step_doubling(spark, sf_dir):
-    cells = interp.corners(views.field(spark, sf_dir).where("time_idx = 0"), ["water_u", "water_v"])
-    made = coupled.step_doubling(views.particles(spark, sf_dir), cells, AXES, 0.01, 0.0005)
-    return made.select("id", rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"), rounded(F.col("error")).alias("error"), "taken")
+    cells = interp.corners(views.field(spark, sf_dir), ["water_u", "water_v"])
+    made = coupled.step_doubling(at_all_times(spark, sf_dir), cells, AXES, 0.01, 0.0005)
+    return made.select("id", "time_idx", rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"), rounded(F.col("error")).alias("error"), "taken")
 
 
 def number(x: float) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pelagia.operators import ensemble, flow, particles, series, stats, transport
 from pelagia.plans.catalogue import query, r
-from pelagia.plans.field_queries import AXES, CORNERS, H, INSIDE, N, WINDOWS, WX, WY, blend, tracer
+from pelagia.plans.field_queries import AXES, CORNERS, H, INSIDE, N, WINDOWS, WX, WY, at_all_times, blend, tracer
 from pelagia.schema import rounded
 from pelagia.sources import generators, sinks, views
 
@@ -96,13 +96,12 @@ def track_lines(spark, sf_dir):
 
 
 @query(
-    f"p AS (SELECT id, lon, lat, {INSIDE} AS inside, least(CAST(floor((lon - 118e0)/{H}e0) AS INT), {N - 2}) AS i, least(CAST(floor((lat - 21e0)/{H}e0) AS INT), {N - 2}) AS j FROM v_particle) SELECT p.id, p.inside, p.inside AND f.water_u IS NOT NULL AS wet FROM p LEFT JOIN v_field f ON f.time_idx = 0 AND f.j = p.j AND f.i = p.i",
+    f"p AS (SELECT id, lon, lat, {INSIDE} AS inside, least(CAST(floor((lon - 118e0)/{H}e0) AS INT), {N - 2}) AS i, least(CAST(floor((lat - 21e0)/{H}e0) AS INT), {N - 2}) AS j FROM v_particle) SELECT p.id, t.time_idx, p.inside, p.inside AND f.water_u IS NOT NULL AS wet FROM p CROSS JOIN (SELECT DISTINCT time_idx FROM v_field) t LEFT JOIN v_field f ON f.time_idx = t.time_idx AND f.j = p.j AND f.i = p.i",
     "v_field",
     "v_particle",
 )
 def particle_validation(spark, sf_dir):
-    cells = views.field(spark, sf_dir).where("time_idx = 0")
-    return particles.validate(views.particles(spark, sf_dir), cells, AXES).select("id", "inside", "wet")
+    return particles.validate(at_all_times(spark, sf_dir), views.field(spark, sf_dir), AXES).select("id", "time_idx", "inside", "wet")
 
 
 #: A Runge-Kutta step turns and shrinks by this complex number; ten steps by its tenth power.
