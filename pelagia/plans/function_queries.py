@@ -173,3 +173,23 @@ def relaxed_to_mean(spark, sf_dir):
     w = Window.partitionBy("time_idx", "depth_idx")
     made, _ = transport.steady_state(tracer(spark, sf_dir), lambda d: d.withColumn("c", F.col("c") + 0.9 * (F.avg("c").over(w) - F.col("c"))), 1e-6)
     return made.withColumn("m", F.avg("c").over(w)).groupBy("time_idx").agg(rounded(F.max(F.abs(F.col("c") - F.col("m"))), 3).alias("off"))
+
+
+@query("SELECT time_idx, j, i, lat, lon, water_u, water_v FROM v_field", "v_field")
+def json_round_trip(spark, sf_dir):
+    """The field as JSON texts, read again: numbers keep all their digits and nulls stay null."""
+    f = views.field(spark, sf_dir).select("time_idx", "j", "i", "lat", "lon", "water_u", "water_v")
+    schema = ", ".join(f"{c} {t}" for c, t in f.dtypes)
+    return sinks.json_rows(f).select(F.from_json("value", schema).alias("v")).select("v.*")
+
+
+@query(
+    f"SELECT time_idx, j, i, {r('lon')} AS lon0, {r('lat')} AS lat0, {r('lon + water_u')} AS lon1, {r('lat + water_v')} AS lat1, {r('sqrt(water_u*water_u + water_v*water_v)')} AS speed, {r('degrees(atan2(water_v, water_u))')} AS direction FROM v_field WHERE i % 5 = 0 AND j % 5 = 0 AND water_u IS NOT NULL AND water_v IS NOT NULL",
+    "v_field",
+)
+def geojson_round_trip(spark, sf_dir):
+    """The vector lines as GeoJSON texts, read again: both ends, the speed and the direction."""
+    feature = "type STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<DOUBLE>>>, properties STRUCT<speed: DOUBLE, direction: DOUBLE>"
+    d = sinks.vector_lines(views.field(spark, sf_dir), 5).withColumn("v", F.from_json("value", feature)).where("v.type = 'Feature' AND v.geometry.type = 'LineString'")
+    at = lambda k, m: rounded(F.col("v.geometry.coordinates")[k][m])
+    return d.select("time_idx", "j", "i", at(0, 0).alias("lon0"), at(0, 1).alias("lat0"), at(1, 0).alias("lon1"), at(1, 1).alias("lat1"), rounded(F.col("v.properties.speed")).alias("speed"), rounded(F.col("v.properties.direction")).alias("direction"))

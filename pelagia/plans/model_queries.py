@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,12 +164,48 @@ def quick_advection(spark, sf_dir):
     return d.select("time_idx", "j", "i", rounded(F.col("advection"), 12).alias("advection"))
 
 
-@query()
+#: A cell's neighbours along both axes as columns, x_3 (three behind) to x3 (three ahead).
+AROUND = "n AS (SELECT time_idx, j, i, water_u, water_v, " + ", ".join(f"{'lead' if k > 0 else 'lag'}(c, {abs(k)}) OVER w{a} AS {a}{str(k).replace('-', '_')}" for a in "xy" for k in range(-3, 4)) + f" FROM v_tracer {WINDOWS})"
+
+
+def _at(axis: str):
+    return lambda k: f"{axis}{str(k).replace('-', '_')}"
+
+
+def weno_face(a: str, b: str, c: str, d: str, e: str) -> str:
+    """SQL of the face value from five cells: three candidates weighed by how smooth they are."""
+    sq = lambda x: f"({x})*({x})"
+    smooth = (f"13/12e0*{sq(f'{a} - 2*{b} + {c}')} + {sq(f'{a} - 4*{b} + 3*{c}')}/4", f"13/12e0*{sq(f'{b} - 2*{c} + {d}')} + {sq(f'{b} - {d}')}/4", f"13/12e0*{sq(f'{c} - 2*{d} + {e}')} + {sq(f'3*{c} - 4*{d} + {e}')}/4")
+    raw = [f"({g}e0/(({x} + 1e-6)*({x} + 1e-6)))" for g, x in zip((0.1, 0.6, 0.3), smooth, strict=True)]
+    faces = (f"(2*{a} - 7*{b} + 11*{c})/6", f"(5*{c} - {b} + 2*{d})/6", f"(2*{c} + 5*{d} - {e})/6")
+    return f"(({' + '.join(f'{w}*({x})' for w, x in zip(raw, faces, strict=True))})/({' + '.join(raw)}))"
+
+
+def weno_sql(vel: str, axis: str) -> str:
+    at = _at(axis)
+    plus = lambda k: weno_face(*(at(k + m) for m in (-2, -1, 0, 1, 2)))
+    minus = lambda k: weno_face(*(at(k + m) for m in (3, 2, 1, 0, -1)))
+    return f"{vel}*CASE WHEN {vel} > 0 THEN {plus(0)} - {plus(-1)} ELSE {minus(0)} - {minus(-1)} END/{D}e0"
+
+
+def muscl_sql(vel: str, axis: str) -> str:
+    at = _at(axis)
+
+    def slope(k: int) -> str:
+        back, ahead = f"({at(k)} - {at(k - 1)})", f"({at(k + 1)} - {at(k)})"
+        return f"CASE WHEN abs({ahead}) < 1e-15 THEN 0e0 ELSE greatest(0e0, least(1e0, {back}/{ahead}))*{ahead} END"
+
+    right = lambda k: f"({at(k)} + 0.5e0*{slope(k)})"
+    left = lambda k: f"({at(k)} - 0.5e0*{slope(k)})"
+    return f"{vel}*CASE WHEN {vel} > 0 THEN {right(0)} - {right(-1)} ELSE {left(1)} - {left(0)} END/{D}e0"
+
+
+@query(f"{AROUND} SELECT time_idx, j, i, {r('coalesce(' + weno_sql('water_u', 'x') + ' + ' + weno_sql('water_v', 'y') + ', 0e0)', 9)} AS advection FROM n", "v_tracer")
 def weno_advection(spark, sf_dir):
     return transport.advection(tracer(spark, sf_dir), "weno5", D, D).select("time_idx", "j", "i", rounded(F.col("advection"), 9).alias("advection"))
 
 
-@query()
+@query(f"{AROUND} SELECT time_idx, j, i, {r('coalesce(' + muscl_sql('water_u', 'x') + ' + ' + muscl_sql('water_v', 'y') + ', 0e0)', 9)} AS advection FROM n", "v_tracer")
 def muscl_advection(spark, sf_dir):
     return transport.advection(tracer(spark, sf_dir), "muscl", D, D).select("time_idx", "j", "i", rounded(F.col("advection"), 9).alias("advection"))
 
@@ -302,7 +340,22 @@ def series_transport(spark, sf_dir):
     return transport.series_step(d, 1.0, 0.5, 1.0, 0.1).select("key", "idx", rounded(F.col("c")).alias("c"))
 
 
-@query()
+CELL = 13915.0
+_DAMP = "CASE least({a}, {n} - {a}) WHEN 0 THEN 0.45e0 WHEN 1 THEN 0.9e0 ELSE 1e0 END"
+_W1 = math.exp(-12.5) / (1 + 2 * math.exp(-12.5))
+
+
+def _one_sided(c: str, w: str, axis: str) -> str:
+    return f"CASE {axis} WHEN 0 THEN (lead({c}) OVER {w} - {c})/{CELL}e0 WHEN {N - 1} THEN ({c} - lag({c}) OVER {w})/{CELL}e0 ELSE (lead({c}) OVER {w} - lag({c}) OVER {w})/{2 * CELL}e0 END"
+
+
+@query(
+    f"a AS (SELECT *, {_one_sided('c', 'wx', 'i')} AS cx, {_one_sided('c', 'wy', 'j')} AS cy FROM v_tracer {WINDOWS}), b AS (SELECT *, {_one_sided('cx', 'wx', 'i')} AS cxx, {_one_sided('cy', 'wy', 'j')} AS cyy FROM a {WINDOWS}), "
+    f"d AS (SELECT time_idx, depth_idx, j, i, greatest(0e0, c + 300*(-water_u*cx - water_v*cy + 500*(cxx + cyy) - 5e-5*c))*{_DAMP.format(a='i', n=N - 1)}*{_DAMP.format(a='j', n=N - 1)} AS c FROM b), "
+    f"e AS (SELECT time_idx, depth_idx, j, i, {1 - 2 * _W1!r}::DOUBLE*c + {_W1!r}::DOUBLE*(coalesce(lag(c) OVER wx, c) + coalesce(lead(c) OVER wx, c)) AS c FROM d {WINDOWS}) "
+    f"SELECT time_idx, j, i, {r(f'{1 - 2 * _W1!r}::DOUBLE*c + {_W1!r}::DOUBLE*(coalesce(lag(c) OVER wy, c) + coalesce(lead(c) OVER wy, c))')} AS c FROM e {WINDOWS}",
+    "v_tracer",
+)
 def dispersion_step(spark, sf_dir):
     return transport.dispersion_step(tracer(spark, sf_dir), 300.0, 13915.0, N, N).select("time_idx", "j", "i", rounded(F.col("c")).alias("c"))
 
