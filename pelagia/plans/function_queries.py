@@ -128,13 +128,13 @@ def bracketed_events(spark, sf_dir):
     return made.select("key", rounded(F.col("x"), 3).alias("x"), rounded(F.col("value"), 4).alias("value"))
 
 
-@query("SELECT count(*) AS n, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS n_wet, count(*) AS n_places FROM (SELECT j, i, bool_or(water_u IS NOT NULL AND water_v IS NOT NULL) AS ok FROM v_field GROUP BY 1, 2) WHERE ok", "v_field")
+@query("SELECT count(*) AS n, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS n_wet, count(*) AS n_places FROM (SELECT j, i, bool_or(water_u IS NOT NULL AND water_v IS NOT NULL) AS ok FROM v_field GROUP BY 1, 2) WHERE ok", "v_field")
 def sampled_wet_cells(spark, sf_dir):
     """A sample as large as there are wet cells holds each of them once."""
     f = views.field(spark, sf_dir)
     s = particles.sample_wet(f, N * N)
     wet = f.where("water_u IS NOT NULL AND water_v IS NOT NULL").select("j", "i", F.lit(1).alias("ok")).distinct()
-    return s.join(wet, ["j", "i"], "left").agg(F.count("*").alias("n"), F.sum("ok").cast("decimal(38,0)").alias("n_wet"), F.countDistinct("j", "i").alias("n_places"))
+    return s.join(wet, ["j", "i"], "left").agg(F.count("*").alias("n"), F.sum("ok").alias("n_wet"), F.countDistinct("j", "i").alias("n_places"))
 
 
 @query("SELECT c_custkey AS id, 4 AS n_points, true AS starts_there FROM customer")
@@ -146,7 +146,7 @@ def json_paths(spark, sf_dir):
     return back.select("id", F.size("path").alias("n_points"), ((F.col("path")[0][0] == F.col("lon")) & (F.col("path")[3][1] == F.col("lat"))).alias("starts_there"))
 
 
-@query("SELECT 'run_' || (o_orderkey % 3) AS action, count(*) AS n, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS n_lacking FROM orders GROUP BY 1")
+@query("SELECT 'run_' || (o_orderkey % 3) AS action, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_lacking FROM orders GROUP BY 1")
 def parsed_requests(spark, sf_dir):
     """JSON requests made of all orders, by action, and how many lack a parameter."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -154,7 +154,7 @@ def parsed_requests(spark, sf_dir):
     text = F.to_json(F.struct(F.concat(F.lit("run_"), (F.col("o_orderkey") % 3).cast("string")).alias("action"), F.map_from_arrays(F.array(F.coalesce(given, F.lit("other"))), F.array(F.lit("1"))).alias("parameters")))
     parsed = readers.requests(o.select(text.alias("value")))
     lacks = F.size(readers.required(F.col("parameters"), "dt")) > 0
-    return parsed.groupBy("action").agg(F.count("*").alias("n"), F.sum(lacks.cast("int")).cast("decimal(38,0)").alias("n_lacking"))
+    return parsed.groupBy("action").agg(F.count("*").alias("n"), F.sum(lacks.cast("int")).alias("n_lacking"))
 
 
 @query(f"SELECT block, count(*) AS n, {r('sum(x)', 4)} AS total FROM v_ensemble GROUP BY 1", "v_ensemble")
