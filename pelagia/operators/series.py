@@ -235,37 +235,48 @@ def bracket_time(df: DataFrame, targets: DataFrame) -> DataFrame:
     return resample(seconds(df), seconds(targets))
 
 
-def knot_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slopes at the points of the cubic spline through them with not-a-knot ends; points in order, four at least."""
+def knot_slopes(x: np.ndarray, y: np.ndarray, natural: bool = False) -> np.ndarray:
+    """Slopes at the points of the cubic spline through them, points in order.
+
+    With not-a-knot ends from four points on, or natural, without curvature at its ends, from two."""
     h, d = np.diff(x), np.diff(y) / np.diff(x)
     n = len(x)
     lower, main, upper, right = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     lower[1:-1], main[1:-1], upper[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
     right[1:-1] = 3 * (h[1:] * d[:-1] + h[:-1] * d[1:])
+    if natural:
+        main[0], upper[0], right[0] = 2, 1, 3 * d[0]
+        main[-1], lower[-1], right[-1] = 2, 1, 3 * d[-1]
+        return tridiagonal(lower, main, upper, right[None, :])[0]
     a, b = h[0] + h[1], h[-1] + h[-2]
     main[0], upper[0], right[0] = h[1], a, ((h[0] + 2 * a) * h[1] * d[0] + h[0] ** 2 * d[1]) / a
     main[-1], lower[-1], right[-1] = h[-2], b, ((h[-1] + 2 * b) * h[-2] * d[-1] + h[-1] ** 2 * d[-2]) / b
     return tridiagonal(lower, main, upper, right[None, :])[0]
 
 
-def with_slopes(df: DataFrame, order: str = "idx", value: str = "value", rows_per_block: int = 200_000, reach: int = 48) -> DataFrame:
-    """key, `order`, v and slope of each known point on its key's cubic spline; null slopes where a key has under four.
-
-    A point's pull on a slope falls to 0.27 of it from point to point, so `reach` points on either side of a block
-    decide its slopes to the last bit, and blocks of known points are solved alone. Points are numbered through their
-    blocks' counts."""
+def with_slopes(df: DataFrame, order: str = "idx", value: str = "value", rows_per_block: int = 200_000) -> DataFrame:
+    """key, `order`, v and slope of each known point on its key's cubic spline; null slopes where a key has under four."""
     known = df.where(F.col(value).isNotNull()).select("key", order, F.col(value).cast("double").alias("v"), F.floor(F.col(order) / rows_per_block).alias("_r"))
+    return _slopes(known, order, rows_per_block, False)
+
+
+def _slopes(known: DataFrame, order: str, rows_per_block: int, natural: bool, reach: int = 48) -> DataFrame:
+    """key, `order`, v and slope of points (key, order, v, _r), which lie in ranges `_r` in their order.
+
+    Points are numbered through their ranges' counts, and blocks of numbers are solved alone: a point's pull on a slope
+    falls to 0.27 of it from point to point, so `reach` points on either side of a block decide its slopes to the last
+    bit. At an inner block's edge the kind of end does not matter, at a key's end it is the spline's own."""
     counts = known.groupBy("key", "_r").agg(F.count("*").alias("_c"))
     per_key = Window.partitionBy("key")
     counts = counts.select("key", "_r", (F.sum("_c").over(per_key.orderBy("_r")) - F.col("_c")).alias("_ahead"), F.sum("_c").over(per_key).alias("_all"))
     numbered = known.withColumn("_k", F.row_number().over(Window.partitionBy("key", "_r").orderBy(order)) - 1).join(counts, ["key", "_r"])
     spread, own = haloed(numbered.withColumn("_n", F.col("_ahead") + F.col("_k")), reach, rows_per_block, "_n")
-    kinds = dict(df.dtypes)
+    kinds, least = dict(known.dtypes), 2 if natural else 4
 
     def solved(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_n")
-        enough = len(rows) >= 4 and rows["_all"].iloc[0] >= 4
-        rows["slope"] = knot_slopes(rows[order].to_numpy(float), rows["v"].to_numpy(float)) if enough else np.nan
+        enough = len(rows) >= least and rows["_all"].iloc[0] >= least
+        rows["slope"] = knot_slopes(rows[order].to_numpy(float), rows["v"].to_numpy(float), natural) if enough else np.nan
         return rows.loc[rows["_own"], ["key", order, "v", "slope"]]
 
     made = spread.withColumn("_own", own).select("key", order, "v", "_n", "_all", "_b", "_own")
@@ -296,20 +307,21 @@ def fill_gaps_cubic(df: DataFrame, max_gap: int | None = None, value: str = "val
     return w.withColumn(out, filled).select(*df.columns, out)
 
 
-def cubic_resample(df: DataFrame, targets: DataFrame, x: str = "x", value: str = "value") -> DataFrame:
-    """Natural cubic spline through each key's points at the key's targets; null outside them."""
-
-    def spline(points: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        p = points.dropna().drop_duplicates(x).sort_values(x)
-        xs, ys, t = p[x].to_numpy(float), p[value].to_numpy(float), at[x].to_numpy(float)
-        out = np.full(len(t), np.nan)
-        if len(xs) >= 2:
-            out = np.where((t >= xs[0]) & (t <= xs[-1]), natural_spline(xs, ys, t), np.nan)
-        return pd.DataFrame({"key": at["key"], "x": t, "value": out})
-
-    both = df.select("key", x, value).groupBy("key").cogroup(targets.select("key", x).groupBy("key"))
-    made = both.applyInPandas(spline, "key string, x double, value double")
-    return made.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+def cubic_resample(df: DataFrame, targets: DataFrame, x: str = "x", value: str = "value", rows_per_block: int = 200_000) -> DataFrame:
+    """Natural cubic spline through each key's points at the key's targets; null outside them.
+
+    Points and targets are range-partitioned by (key, x) and written, slopes are solved in blocks of points, and each
+    target reads the spline's piece around it, so a key may hold most of the rows. Of points with one x the lowest counts."""
+    points = df.where(F.col(value).isNotNull() & F.col(x).isNotNull()).groupBy("key", F.col(x).cast("double").alias("x")).agg(F.min(F.col(value).cast("double")).alias("v"))
+    both = points.select("key", "x", "v", F.lit(0).alias("_t")).unionByName(targets.select("key", F.col(x).cast("double").alias("x"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("_t")))
+    blocks = cut(both.repartitionByRange("key", "x").withColumn("_b", F.spark_partition_id()), "spline")
+    slopes = _slopes(blocks.where("_t = 0").select("key", "x", "v", F.col("_b").alias("_r")), "x", rows_per_block, True)
+    met = blocks.drop("v").join(slopes.select("key", "x", F.lit(0).alias("_t"), F.struct("v", "slope").alias("_known")), ["key", "x", "_t"], "left")
+    w = _neighbours_in_blocks(met, "x", "_known", ("key",), F.col("_t") == 0, "_t").where("_t = 1")
+    width = F.col("_p1") - F.col("_p0")
+    share = F.try_divide(F.col("x") - F.col("_p0"), width)
+    curve = hermite(F.col("_v0.v"), F.col("_v0.slope"), F.col("_v1.v"), F.col("_v1.slope"), share, width)
+    return w.select("key", "x", F.when(width == 0, F.col("_v0.v")).otherwise(curve).alias("value"))
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:

@@ -145,11 +145,24 @@ def welch_spectrum(spark, sf_dir):
     return series.spectrum(views.series(spark, sf_dir), 1.0, "welch")
 
 
-@query()
+_PIVOT = "(s.b - s.a*f.ratio)"
+
+
+@query(
+    "k AS (SELECT key, CAST(idx AS DOUBLE) AS x, value AS v, row_number() OVER w AS n, count(*) OVER (PARTITION BY key) AS m, CAST(lead(idx) OVER w - idx AS DOUBLE) AS h, CAST(idx - lag(idx) OVER w AS DOUBLE) AS g, "
+    "(lead(value) OVER w - value)/(lead(idx) OVER w - idx) AS d, (value - lag(value) OVER w)/(idx - lag(idx) OVER w) AS e FROM v_series WHERE value IS NOT NULL WINDOW w AS (PARTITION BY key ORDER BY idx)), "
+    "y AS (SELECT key, n, m, x, v, CASE WHEN n = 1 OR n = m THEN 0e0 ELSE g END AS a, CASE WHEN n = 1 OR n = m THEN 1e0 ELSE 2*(g + h) END AS b, CASE WHEN n = 1 OR n = m THEN 0e0 ELSE h END AS c, CASE WHEN n = 1 OR n = m THEN 0e0 ELSE 6*(d - e) END AS z FROM k), "
+    f"f AS (SELECT key, n, 0e0 AS ratio, 0e0 AS u FROM y WHERE n = 1 UNION ALL SELECT s.key, s.n, s.c/{_PIVOT}, (s.z - s.a*f.u)/{_PIVOT} FROM f JOIN y s ON s.key = f.key AND s.n = f.n + 1), "
+    "b AS (SELECT f.key, f.n, f.u FROM f JOIN y ON y.key = f.key AND y.n = f.n AND y.m = y.n UNION ALL SELECT f.key, f.n, f.u - f.ratio*b.u FROM b JOIN f ON f.key = b.key AND f.n = b.n - 1), "
+    "o AS (SELECT y.key, y.x, y.v, b.u AS curve FROM y JOIN b ON b.key = y.key AND b.n = y.n), t AS (SELECT key, CAST(idx AS DOUBLE) + 0.5e0 AS x FROM v_series WHERE idx % 7 = 3), "
+    "lo AS (SELECT t.key, t.x, o.x AS x0, o.v AS v0, o.curve AS m0 FROM t ASOF LEFT JOIN o ON t.key = o.key AND t.x >= o.x), hi AS (SELECT lo.*, o.x AS x1, o.v AS v1, o.curve AS m1, o.x - x0 AS h FROM lo ASOF LEFT JOIN o ON lo.key = o.key AND lo.x <= o.x) "
+    f"SELECT key, x, {r('(m0*(x1 - x)*(x1 - x)*(x1 - x) + m1*(x - x0)*(x - x0)*(x - x0))/(6*h) + (v0/h - m0*h/6)*(x1 - x) + (v1/h - m1*h/6)*(x - x0)')} AS value FROM hi",
+    "v_series",
+)
 def spline_resample(spark, sf_dir):
     d = views.series(spark, sf_dir).withColumn("x", F.col("idx").cast("double"))
     targets = d.where("idx % 7 = 3").select("key", (F.col("x") + 0.5).alias("x"))
-    return series.cubic_resample(d, targets)
+    return series.cubic_resample(d, targets).select("key", "x", rounded(F.col("value")).alias("value"))
 
 
 @query(

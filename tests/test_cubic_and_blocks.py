@@ -174,3 +174,22 @@ def test_cubic_filling_equals_one_spline_of_all_points(spark, long_series, block
             assert abs(got["hot", i] - want) < 1e-8 * max(1.0, abs(want)), i
     # under four known values: a line
     assert got["two", 1] == 2.0 and abs(got["three", 3] - 4 / 3) < 1e-12 and got["none", 0] is None
+
+
+@pytest.mark.parametrize("block", [60, 200_000])
+def test_spline_resampling_equals_one_natural_spline(spark, long_series, block):
+    rows = [(r.idx, r.value) for r in long_series.where("key = 'hot' AND value IS NOT NULL").orderBy("idx").collect()]
+    at = [float(v) for v in (*np.linspace(-2, 3002, 300), 10, 11, rows[0][0], rows[-1][0])]
+    targets = spark.createDataFrame([("hot", v) for v in at] + [("two", 1.0), ("none", 0.0), ("absent", 1.0)], "key string, x double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {(r.key, r.x): r.value for r in series.cubic_resample(long_series.withColumn("x", F.col("idx").cast("double")), targets, rows_per_block=block).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    xs, ys = (np.array(c, dtype=float) for c in zip(*rows, strict=True))
+    want = series.natural_spline(xs, ys, np.array(at))
+    for v, w in zip(at, want, strict=True):
+        inside = xs[0] <= v <= xs[-1]
+        assert (got["hot", v] is None) != inside and (not inside or abs(got["hot", v] - w) < 1e-8 * max(1.0, abs(w))), v
+    assert abs(got["two", 1.0] - 2.0) < 1e-12 and got["none", 0.0] is None and got["absent", 1.0] is None
