@@ -164,9 +164,10 @@ def _cells(signed: DataFrame, blocks: DataFrame | None, tables: range) -> DataFr
     """The rows of some tables by the cells in which they are compared.
 
     A bucket without blocks is one cell. Elsewhere each pair of blocks is a cell, but not two blocks of one ball."""
-    picked = F.array(*(F.struct(F.lit(t).alias("t"), F.col("buckets")[t].alias("number")) for t in tables))
-    keyed = signed.withColumn("x", F.explode(picked)).withColumns({"t": F.col("x.t"), "bucket": _bucket(F.col("x.number"))})
-    keyed = keyed.select("t", "bucket", "node", "weight", "ball", "dim", "vec", "signs")
+    # a row of table t carries the signatures of the tables before it, 4 bytes each
+    picked = F.array(*(F.struct(F.lit(t).alias("t"), F.col("buckets")[t].alias("number"), F.substring("signs", 1, 4 * t).alias("signs")) for t in tables))
+    keyed = signed.withColumn("x", F.explode(picked)).withColumn("bucket", _bucket(F.col("x.number")))
+    keyed = keyed.select("x.t", "bucket", "node", "weight", "ball", "dim", "vec", "x.signs")
     if blocks is None:
         return keyed.withColumns({"cell": F.lit(0).cast("long"), "block": F.lit(0), "other": F.lit(0)})
     marked = salted(keyed, blocks, ["t", "bucket", "ball"], "node")
@@ -184,7 +185,8 @@ def _compared(threshold: float, kind: str):
 
     def cell(rows: dict[str, np.ndarray]) -> pd.DataFrame:
         node, weight, ball, block, other = (rows[c] for c in ("node", "weight", "ball", "block", "other"))
-        vec, signs, t = units(stacked(rows["vec"], kind)), stacked(rows["signs"], np.int32), int(rows["t"][0])
+        vec, t = units(stacked(rows["vec"], kind)), int(rows["t"][0])
+        signs = stacked(rows["signs"], np.int32) if t else None
         within = bool((block == other).all())
         left = np.arange(len(node)) if within else np.flatnonzero(block < other)
         right = left if within else np.flatnonzero(block > other)
@@ -238,7 +240,7 @@ def near_vectors(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     miss: float = 1e-6,
-    bucket: int = 128,
+    bucket: int = 512,
     block: int = 2048,
     rows_at_once: int = 250_000,
     seed: int = 7,
