@@ -13,6 +13,7 @@ from pelagia.plans.catalogue import query, r
 from pelagia.plans.field_queries import AXES, H, N, tracer
 from pelagia.schema import rounded
 from pelagia.sources import readers, sinks, views
+from pelagia.streaming import cycles, events
 
 
 def _rounded(*names: str, digits: int = 6) -> list:
@@ -193,3 +194,38 @@ def geojson_round_trip(spark, sf_dir):
     d = sinks.vector_lines(views.field(spark, sf_dir), 5).withColumn("v", F.from_json("value", feature)).where("v.type = 'Feature' AND v.geometry.type = 'LineString'")
     at = lambda k, m: rounded(F.col("v.geometry.coordinates")[k][m])
     return d.select("time_idx", "j", "i", at(0, 0).alias("lon0"), at(0, 1).alias("lat0"), at(1, 0).alias("lon1"), at(1, 1).alias("lat1"), rounded(F.col("v.properties.speed")).alias("speed"), rounded(F.col("v.properties.direction")).alias("direction"))
+
+
+# what streams do, on whole tables
+
+
+@query(
+    f"SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP))) AS BIGINT) AS start, event_type AS key, count(value) AS n, {r('avg(value)')} AS mean, {r('coalesce(stddev_pop(value), 0e0)')} AS std, min(value) AS min, max(value) AS max FROM events GROUP BY 1, 2"
+)
+def windowed_events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("key"), "value")
+    made = events.windowed_statistics(e)
+    return made.select(F.col("start").cast("timestamp").cast("long").alias("start"), "key", "n", rounded(F.col("mean")).alias("mean"), rounded(F.coalesce("std", F.lit(0.0))).alias("std"), "min", "max")
+
+
+@query("SELECT CAST(CASE WHEN value IS NULL THEN 3 WHEN value NOT BETWEEN 5 AND 80 THEN 2 ELSE 0 END AS INT) AS flag, count(*) AS n FROM v_series GROUP BY 1", "v_series")
+def flags_on_arrival(spark, sf_dir):
+    return events.flagged(views.series(spark, sf_dir), (5, 80)).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query(
+    "e AS (SELECT event_type AS key, date_trunc('day', CAST(ts AS TIMESTAMP)) AS day, value, event_id FROM events), f AS (SELECT key, day, row_number() OVER (PARTITION BY key ORDER BY day) AS n FROM (SELECT DISTINCT key, day FROM e)), "
+    "o AS (SELECT key, day, sum(1/0.5e0) AS p, sum((value/10)/0.5e0) AS q, count(*) AS n_obs FROM e WHERE value IS NOT NULL AND event_id % 3 = 0 GROUP BY 1, 2), "
+    "c AS (SELECT f.key, f.day, f.n, coalesce(p, 0e0) AS p, coalesce(q, 0e0) AS q, coalesce(n_obs, 0) AS n_obs FROM f LEFT JOIN o ON o.key = f.key AND o.day = f.day), "
+    "z AS (SELECT key, day, n, n_obs, 0.1e0 AS forecast, (0.1e0/1.2e0 + q)/(1/1.2e0 + p) AS analysis, 1/(1/1.2e0 + p) AS variance FROM c WHERE n = 1 UNION ALL "
+    "SELECT c.key, c.day, c.n, c.n_obs, z.analysis + 0.1e0, ((z.analysis + 0.1e0)/(z.variance + 0.2e0) + c.q)/(1/(z.variance + 0.2e0) + c.p), 1/(1/(z.variance + 0.2e0) + c.p) FROM z JOIN c ON c.key = z.key AND c.n = z.n + 1) "
+    f"SELECT key, CAST(epoch(day) AS BIGINT) AS cycle, {r('forecast')} AS forecast, {r('analysis')} AS analysis, {r('variance')} AS variance, n_obs FROM z",
+    "v_series",
+)
+def analysed_cycles(spark, sf_dir):
+    """Daily cycles of each event type: a forecast a day, and every third event as an observation."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
+    forecasts = e.select("key", F.date_trunc("day", "ts").alias("ts")).distinct().withColumns({"drift": F.lit(0.1), "noise": F.lit(0.2)})
+    observations = e.where("value IS NOT NULL AND event_id % 3 = 0").select("key", "ts", (F.col("value") / 10).alias("y"), F.lit(0.5).alias("r"))
+    made = cycles.in_batch(cycles.joined(forecasts, observations, "1 DAY", "1 hour"))
+    return made.select("key", F.col("cycle").cast("long").alias("cycle"), *_rounded("forecast", "analysis", "variance"), "n_obs")
