@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.functions.mathx import speed
-from pelagia.lineage import cut
+from pelagia.lineage import cut, discard
 from pelagia.operators.flow import barotropic_step
 from pelagia.operators.interp import Axes, blended, corners, located
 from pelagia.operators.particles import M_PER_DEGREE
@@ -54,10 +54,14 @@ def sub_steps(df: DataFrame, dt: float, dx: float, limit: float = CFL) -> int:
 
 def dispersed(df: DataFrame, dt: float, dx: float, n_x: int, n_y: int, diffusivity: float = 500.0, decay: float = 5e-5, cut_every: int = 4) -> DataFrame:
     """dispersion_step() in as many sub-steps as the flow asks for; lineage is cut every few of them."""
-    n = sub_steps(df, dt, dx)
+    n, held = sub_steps(df, dt, dx), None
     for k in range(n):
         df = dispersion_step(df, dt / n, dx, n_x, n_y, diffusivity, decay)
-        df = cut(df, "dispersed") if (k + 1) % cut_every == 0 and k + 1 < n else df
+        if (k + 1) % cut_every == 0 and k + 1 < n:
+            df = cut(df, "dispersed")
+            if held is not None:
+                discard(held)
+            held = df
     return df
 
 
@@ -66,9 +70,11 @@ def coupled(state: DataFrame, particles: DataFrame, axes: Axes, n_steps: int, dt
 
     state: time_idx, depth_idx, j, i, u, v, eta, c of one depth; particles: id, lon, lat and time_idx, the run that carries
     them, which may be left out where the state has one time only. Runs of different times do not touch each other. A
-    particle whose step would leave the extent stays where it is. Each step is written, so lineage does not grow."""
+    particle whose step would leave the extent stays where it is. Each step is written, so lineage does not grow, and
+    goes when the next one is, unless it was given away."""
     own = [c for c in ("id", "time_idx") if c in particles.columns]
     keys = [*own[1:], "j", "i"]
+    made: list[DataFrame] = []
     for k in range(n_steps):
         state = barotropic_step(state, dt, dx, dx, coriolis)
         flow = state.withColumns({"water_u": F.col("u"), "water_v": F.col("v")})
@@ -81,7 +87,10 @@ def coupled(state: DataFrame, particles: DataFrame, axes: Axes, n_steps: int, dt
         moved = dispersion_step(flow, dt, dx, axes.n_x, axes.n_y, diffusivity, decay)
         moved = add_sources(moved, sources, k * dt, dt) if sources is not None else moved
         state = cut(moved.select(*state.columns), "coupled-state")
+        discard(*made)  # the step before, unless it was given away
+        made = [state, particles]
         if (k + 1) % every == 0 or k + 1 == n_steps:
+            made = []
             yield k + 1, state, particles
         particles = particles.select(*own, "lon", "lat")
 
@@ -90,9 +99,8 @@ def step_doubling(particles: DataFrame, cells: DataFrame, axes: Axes, dt: float,
     """id, lon, lat, error, next_dt and taken: a Euler step in degrees compared with two half steps, for all particles at once.
 
     cells: corners() of one depth, of velocities in degrees a second, and of one time unless the particles have a
-    time_idx, which stays. A step whose error is over the tolerance
-    is not taken and asks for half of dt; one under a tenth of it asks for 1.5 times dt; the half steps' end is kept."""
-
+    time_idx, which stays. A step whose error is over the tolerance is not taken and asks for half of dt; one under a
+    tenth of it asks for 1.5 times dt; the half steps' end is kept."""
     keys = [c for c in ("id", "time_idx") if c in particles.columns]
     held = cells.drop("depth_idx") if len(keys) > 1 else cells.drop("time_idx", "depth_idx")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions.mathx import LIMITERS, weno5
-from pelagia.lineage import cut
+from pelagia.lineage import cut, discard
 from pelagia.operators.stencil import along_x, along_y, smooth_axis
 
 KEYS = ["time_idx", "depth_idx", "j", "i"]
@@ -134,11 +134,15 @@ def euler_step(df: DataFrame, dt: float, dx: float, dy: float, diffusivity: floa
 
 
 def run(df: DataFrame, n_steps: int, step: Callable[[DataFrame, int], DataFrame], cut_every: int = 4) -> DataFrame:
-    """n_steps of a step function; windows nest, so the lineage is cut often."""
+    """n_steps of a step function; windows nest, so the lineage is cut often. One state is kept on disk, not all."""
+    held = None
     for k in range(n_steps):
         df = step(df, k)
         if (k + 1) % cut_every == 0 and k + 1 < n_steps:
             df = cut(df)
+            if held is not None:
+                discard(held)
+            held = df
     return df
 
 
@@ -146,10 +150,13 @@ def steady_state(df: DataFrame, step: Callable[[DataFrame], DataFrame], toleranc
     """Steps until the relative change of c falls below the tolerance; the state and the number of steps.
 
     A state that still moves after `most` steps is an error, not a result."""
+    held = None
     for k in range(1, most + 1):
         new = cut(step(df))
         r = new.select(*KEYS, F.col("c").alias("_n")).join(df.select(*KEYS, "c"), KEYS).agg(F.sqrt(F.sum((F.col("_n") - F.col("c")) * (F.col("_n") - F.col("c")))).alias("d"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n")).first()
-        df = new
+        if held is not None:
+            discard(held)
+        df = held = new
         if (r["d"] or 0.0) <= tolerance * max(r["n"] or 0.0, 1e-30):
             return df, k
     raise RuntimeError(f"not steady after {most} steps")

@@ -65,3 +65,34 @@ def test_the_first_ensemble_has_the_given_moments(spark, tmp_path):
         assimilation.save_state(e.withColumn("x", F.lit(float(cycle))), settings, cycle, f"{tmp_path}/state")
     back, same, cycle = assimilation.load_state(spark, f"{tmp_path}/state")
     assert cycle == 2 and same == settings and back.columns == e.columns and back.agg(F.max("x"), F.min("x")).first()[:] == (2.0, 2.0)
+
+
+def tables(spark, name):
+    """How many step tables of a name lie in the shared folder."""
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + f"/steps/{spark.sparkContext.applicationId}"
+    return sum(d.startswith(name) for d in os.listdir(folder)) if os.path.isdir(folder) else 0
+
+
+def test_steps_that_nothing_reads_any_more_go(spark):
+    from pelagia.operators import interp, transport
+
+    n = 6
+    d = generators.cells(spark, n, n, 2, 1).select("time_idx", "depth_idx", "j", "i").withColumns({"u": F.lit(0.01) * (F.col("time_idx") + 1), "v": F.lit(0.02), "eta": F.lit(0.0), "c": (F.col("i") + F.col("j")).cast("double")})
+    p = spark.createDataFrame([(1, 2.0, 2.0, 0), (2, 3.0, 2.5, 0), (1, 2.0, 2.0, 1)], "id long, lon double, lat double, time_idx int")
+    axes = interp.Axes(0.0, 0.0, 1.0, n, n)
+    made = {}
+    for every in (1, 3):
+        before = tables(spark, "coupled-state")
+        steps = list(coupled.coupled(d, p, axes, 4, 1.0, 1000.0, 1e-4, every=every))
+        assert [k for k, _, _ in steps] == ([1, 2, 3, 4] if every == 1 else [3, 4])
+        assert tables(spark, "coupled-state") - before == len(steps)
+        made[every] = sorted(tuple(r) for r in steps[-1][2].collect()), sorted((r.time_idx, r.j, r.i, r.c) for r in steps[-1][1].collect())
+    assert made[1] == made[3]
+    # the runs of both times are apart: the second one's water is twice as fast along x
+    moved = {(r[0], r[1]): r[2] for r in made[1][0]}
+    assert moved[1, 1] - 2.0 == pytest.approx(2 * (moved[1, 0] - 2.0), rel=1e-2)
+    before = tables(spark, "step-")
+    left = transport.run(d.withColumns({"water_u": F.col("u"), "water_v": F.col("v")}), 9, lambda x, _: transport.euler_step(x, 1.0, 10.0, 10.0, 1.0), cut_every=2)
+    assert left.count() == 2 * n * n and tables(spark, "step-") - before == 1
