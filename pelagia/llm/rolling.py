@@ -66,13 +66,18 @@ def word_hashes(raws: Sequence[bytes], in_word: np.ndarray = IN_WORD) -> tuple[n
 
 def ngram_hashes(words: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """The hash of the n-gram that starts at each word; zero where it would leave its text."""
+    return spread_hashes(words, text, range(n))
+
+
+def spread_hashes(words: np.ndarray, text: np.ndarray, places: Sequence[int]) -> np.ndarray:
+    """The hash of the words at these places from each word, whatever the places; zero where one would leave its text."""
     out = np.zeros(len(words), dtype=np.uint64)
-    k = len(words) - n + 1
+    k = len(words) - places[-1]
     if k > 0:
         value = words[:k].copy()
-        for i in range(1, n):
+        for i in places[1:]:
             value = value * np.uint64(BASE) + words[i : i + k]
-        whole = text[:k] == text[n - 1 :]
+        whole = text[:k] == text[places[-1] :]
         out[:k] = np.where(whole, np.maximum(mixed(value), np.uint64(1)), np.uint64(0))
     return out
 
