@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is the first layer. Each layer is scanned with the base patterns and then unwrapped: URL escapes and Unicode
-escapes give one new layer of the whole text, each base64 run gives a layer of its own, inflated first where the bytes
+A text is the first layer. Each layer is scanned with the base patterns and then unwrapped: its URL and Unicode escapes
+give one new layer of the whole text, each base64 run gives a layer of its own, inflated first where the bytes
 are compressed, and so do compressed bytes in URL escapes. Bytes that are not UTF-8 are read as Latin-1, so every decoded
 layer is scanned. A layer equal to one that it came from ends its branch, so the worklist reaches a fixpoint. Each layer
 maps spans to the layer that it came from, so a finding in the fourth layer still has a place in the document.
@@ -39,10 +39,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: A run of escapes of either kind.
+ESCAPES = re.compile(rf"{URL.pattern}|{UNICODE.pattern}")
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 #: The shortest secret, an assignment of 12 characters, takes 16 in base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PIECE = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
+#: Control characters that no written text holds.
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f]")
 
 #: Compressed bytes in URL escapes, by the magic numbers of gzip, bzip2, xz, zstd and zlib; then what quoting leaves.
 PACKED_URL = re.compile(r"(?:%1[fF]%8[bB]|BZh|%[fF][dD]7zXZ|(?:%28|\()%[bB]5(?:%2[fF]|/)%[fF][dD]|(?:%78|x)%(?:01|5[eE]|9[cC]|[dD][aA]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])+")
@@ -104,8 +108,8 @@ def _read(data: bytes) -> str:
         return data.decode("latin-1")
 
 
-def _unquoted(match: re.Match) -> str:
-    return _read(unquote_to_bytes(match[0]))
+def _unescaped_run(match: re.Match) -> str | None:
+    return _read(unquote_to_bytes(match[0])) if match[0][0] == "%" else _unescaped(match)
 
 
 def _resolved(layer: Layer) -> Layer | None:
@@ -242,10 +246,10 @@ def _unpacked(data: bytes) -> tuple[list[bytes] | Iterator[bytes], bool]:
 
 
 def _decoded(run: str) -> bytes | None:
-    """The bytes of a base64 run."""
+    """The bytes of a base64 run; a last digit that no byte needs is left over."""
     body = run.rstrip("=").translate({45: 43, 95: 47})
     if len(body) % 4 == 1:
-        return None
+        body = body[:-1]
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
@@ -269,11 +273,24 @@ def _from_bytes(layer: Layer, start: int, end: int, data: bytes, places: list[in
     yield Layer(text, layer, back)
 
 
-def _from_base64(layer: Layer) -> Iterator[Layer]:
+def _is_text(data: bytes) -> bool:
+    try:
+        return not CONTROL.search(data.decode("utf-8"))
+    except UnicodeDecodeError:
+        return False
+
+
+def _from_base64(layer: Layer, tried: set[tuple[str, tuple[int, int]]]) -> Iterator[Layer]:
+    """Layers of the layer's base64 runs; a run that an earlier layer held at the same place, as tried tells, is done.
+
+    A run with signs between letters can be several runs, so its pieces are tried unless the whole is text or compressed."""
     whole_from, whole_to = [], []
 
     def attempt(start: int, end: int) -> list[Layer]:
         run = layer.text[start:end]
+        if (key := (run, layer.span(start, end))) in tried:
+            return []
+        tried.add(key)
         data = _decoded(run.replace("\r", "").replace("\n", ""))
         if data is None or len(data) < 6:
             return []
@@ -289,7 +306,7 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
         if at >= 0 and m.start() < whole_to[at]:
             continue
         yield from attempt(m.start(), m.end())
-        if re.search(r"[/_+-]", m[0]):
+        if re.search(r"[/_+-]", m[0]) and not ((data := _decoded(m[0])) and (_is_text(data) or next(_inflated(data), None))):
             for p in PIECE.finditer(layer.text, m.start(), m.end()):
                 if p.span() != m.span():
                     yield from attempt(p.start(), p.end())
@@ -297,24 +314,21 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
         yield from _from_bytes(layer, m.start(), m.end(), unquote_to_bytes(m[0].replace("+", " ")), [])
 
 
-def unwrapped(layer: Layer) -> Iterator[Layer]:
-    if layer.escapes < DEEP:
-        for pattern, decode in ((URL, _unquoted), (UNICODE, _unescaped)):
-            if (made := _replaced(layer, pattern, decode)) is not None:
-                yield made
-    elif (made := _resolved(layer)) is not None:
+def unwrapped(layer: Layer, tried: set[tuple[str, tuple[int, int]]]) -> Iterator[Layer]:
+    made = _replaced(layer, ESCAPES, _unescaped_run) if layer.escapes < DEEP else _resolved(layer)
+    if made is not None:
         yield made
-    yield from _from_base64(layer)
+    yield from _from_base64(layer, tried)
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
     """(base spans, all spans, number of layers) of a text, each list by start and then in the order of KINDS."""
     root = Layer(text or "")
     base = base_spans(root.text)
-    spans, seen, work = set(base), set(), [root]
+    spans, seen, tried, work = set(base), set(), set(), [root]
     while work:
         layer = work.pop()
-        for made in unwrapped(layer):
+        for made in unwrapped(layer, tried):
             digest = hashlib.md5(made.text.encode("utf-8", "surrogatepass")).digest()
             place = made.span(0, len(made.text)) if made.text else None
             if place is None or (digest, place) in seen:
