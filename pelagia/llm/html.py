@@ -4,8 +4,9 @@ A page becomes a tree. For every node the characters, tags, characters in links
 composite text density: characters per tag, damped where much of the text is link text. A node's density sum adds the
 densities of its children. The node with the largest sum holds the article; the smallest density on the path from the
 body to it is the threshold: the article is widened to neighbours that reach it, and lists of links in the article that
-do not reach it are left out. What the markup itself names as furniture (menus, footers, forms, adverts, notices,
-comments) is taken out before the densities are summed. Markup is read in time proportional to the page's length.
+do not reach it are left out, but for those in an `article` element. What the markup itself names as furniture (menus,
+footers, forms, adverts, notices, comments) is taken out before the densities are summed; a form that holds most of the
+page's other text is the page itself, as some systems make them, and stays. Markup is read in time proportional to the page's length.
 """
 
 from __future__ import annotations
@@ -76,6 +77,7 @@ class Node:
     parent: Node | None = None
     names: str = ""
     drop: bool = False
+    form: bool = False
     children: list = field(default_factory=list)
     chars: int = 0
     tags: int = 0
@@ -175,7 +177,8 @@ def parse(page: str) -> Node:
             close(other, frozenset("ul ol dl table select".split()))
         found = _attributes(inside) if inside.strip(" /") else {}
         node = Node(tag, at, f"{found.get('class', '')} {found.get('id', '')}".strip())
-        node.drop = tag in FURNITURE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+        node.form = tag == "form"
+        node.drop = tag in FURNITURE and not node.form or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
         node.drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE))
         at.children.append(node)
         if tag in VOID or inside.endswith("/") and tag not in BLOCK and tag not in RAW and tag not in ("a", "b", "i", "em", "strong", "span"):
@@ -195,8 +198,26 @@ def _furniture(node: Node, in_article: bool) -> bool:
     return bool(node.names) and node.tag not in ("html", "body", "article", "main") and names_furniture(node.names)
 
 
+def drop_small_forms(root: Node) -> None:
+    """Mark the forms that hold half of the page's text or less, furniture not counted, as furniture."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside |= node.tag in ("article", "main")
+        order.append(node)
+        stack += [(c, inside) for c in node.children if isinstance(c, Node) and not _furniture(c, inside)]
+    if any(node.form for node in order):
+        for node in reversed(order):
+            node.chars += sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+            if node.parent is not None:
+                node.parent.chars += node.chars
+        for node in order:
+            node.drop |= node.form and node.chars * 2 <= root.chars
+
+
 def measure(root: Node) -> None:
     """Take furniture out, then fill in the counts and densities of every node, children before parents."""
+    drop_small_forms(root)
     order, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -292,7 +313,7 @@ def main_node(root: Node) -> tuple[Node | None, float]:
             marked = node
         node = node.parent
     if marked is not None:
-        return marked, threshold
+        return marked, 0.0 if marked.tag == "article" else threshold
     node = best
     while node is not body and node.parent is not None:
         rest = [c for c in node.parent.children if isinstance(c, Node) and c is not node and c.chars]
