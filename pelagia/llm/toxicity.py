@@ -112,8 +112,8 @@ def features(text: str | None, words: Words, most_held: int = 100_000) -> list[f
 
 
 def is_held_out(id_: Column) -> Column:
-    """Rows that no training sees: crc32 of the id as text leaves 1 when divided by 3."""
-    return F.crc32(id_.cast("string")) % 3 == 1
+    """Rows that no training sees: crc32 of the id as text leaves 1 when divided by 3. A null id is not held out."""
+    return F.coalesce(F.crc32(id_.cast("string")) % 3 == 1, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
