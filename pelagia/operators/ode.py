@@ -115,9 +115,9 @@ def _stages(y: np.ndarray, t: float | np.ndarray, dt: float | np.ndarray, f: Cal
                 up = at[i].copy()
                 up[:, m] += h
                 jac[i, :, :, m] = (f(up, t + tableau.c[i] * dt) - slopes[i]) / h[:, None]
-        for b in range(len(y)):
-            j = eye - dt * np.block([[a[i, m] * jac[i, b] for m in range(s)] for i in range(s)])
-            k[:, b] -= np.linalg.solve(j, rest[:, b].reshape(-1)).reshape(s, n)
+        # each row's matrix is made of blocks a[i, m] * jac[i]; all rows are solved in one call
+        j = eye - np.reshape(dt, (-1, 1, 1)) * np.einsum("im,ibpq->bipmq", a, jac).reshape(len(y), s * n, s * n)
+        k -= np.linalg.solve(j, rest.transpose(1, 0, 2).reshape(len(y), s * n, 1)).reshape(len(y), s, n).transpose(1, 0, 2)
     return k
 
 

@@ -23,3 +23,11 @@ def test_adaptive_solver_takes_systems_of_several_sizes(spark):
     d = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0]), (3, [4.0])], "id long, y array<double>").coalesce(1)
     got = {r.id: r.y for r in ode.solve_adaptive(d, "y", 1.0, lambda y, t: -y, 1e-9).collect()}
     assert {k: len(v) for k, v in got.items()} == {1: 1, 2: 2, 3: 1} and got[3][0] == pytest.approx(4 * np.exp(-1))
+
+
+def test_implicit_steps_solve_all_rows_in_one_call(monkeypatch):
+    y, solve, calls = np.random.default_rng(1).normal(size=(500, 2)), np.linalg.solve, []
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: calls.append(a.shape) or solve(a, b))
+    got = ode.batch_step(y, 0.0, 0.1, lambda y, t: y * [-1.0, -20.0], ode.GAUSS2)
+    pade = lambda z: (1 + z / 2 + z * z / 12) / (1 - z / 2 + z * z / 12)
+    assert np.allclose(got, y * [pade(-0.1), pade(-2.0)], atol=1e-10) and len(calls) <= 25
