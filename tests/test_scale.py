@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
-from pelagia.operators import ode
+from pelagia.operators import interp, ode, stats
 
 
 def test_adaptive_rows_take_steps_of_their_own():
@@ -31,3 +33,35 @@ def test_implicit_steps_solve_all_rows_in_one_call(monkeypatch):
     got = ode.batch_step(y, 0.0, 0.1, lambda y, t: y * [-1.0, -20.0], ode.GAUSS2)
     pade = lambda z: (1 + z / 2 + z * z / 12) / (1 - z / 2 + z * z / 12)
     assert np.allclose(got, y * [pade(-0.1), pade(-2.0)], atol=1e-10) and len(calls) <= 25
+
+
+def odd_points(spark):
+    """Copies of places, repeated and null ids, null coordinates."""
+    rows = [(k, k % 7 * 0.5, k % 3 * 0.5) for k in range(150)] + [(4, 0.0, 0.0), (4, 0.0, 0.0), (4, 1.0, 0.5), (None, 0.5, 0.0), (200, None, 0.0), (201, 0.5, float("nan"))]
+    return rows, spark.createDataFrame(rows, "id long, x double, y double")
+
+
+def far(p, q):
+    return None if None in (*p[1:], *q[1:]) else math.sqrt((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2)
+
+
+def in_order(rows):
+    return sorted(tuple(map(str, r)) for r in rows)
+
+
+def test_distance_pairs_keep_every_pair(spark):
+    rows, points = odd_points(spark)
+    text = lambda p, q: None if far(p, q) is None else round(far(p, q), 3)
+    every = [(p[0], q[0], text(p, q)) for p in rows for q in rows]
+    got = stats.distance_pairs(points, points, digits=3, piece=8)
+    assert in_order(map(tuple, got.collect())) == in_order(every)
+    near = [(p[0], q[0], text(p, q)) for p in rows for q in rows if far(p, q) is not None and far(p, q) <= 0.5]
+    assert in_order(map(tuple, stats.distance_pairs(points, points, most=0.5, cell=0.5, digits=3, piece=8).collect())) == in_order(near)
+
+
+def test_places_are_compared_once_for_many_points(spark):
+    """10 places of 64 copies: places meet, and their points are written out behind the join."""
+    points = spark.range(640).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS x", "0D AS y")
+    plan = stats.distance_pairs(points, points, most=0.5, digits=6)
+    assert plan.count() == 10 * 64 * 64
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Generate explode(ids_") == 2
