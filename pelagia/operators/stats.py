@@ -260,6 +260,23 @@ def distance_pairs(a: DataFrame, b: DataFrame, metric: str = "euclidean", most:
     return pairs.select(F.explode("ids_a").alias("id_a"), "ids_b", "distance").select("id_a", F.explode("ids_b").alias("id_b"), "distance")
 
 
+def pair_summary(points: DataFrame, most: float, metric: str = "euclidean", cell: float = 1.0) -> DataFrame:
+    """pairs (id_a < id_b), mean and population std of the distances of at most `most` between points (id, x, y).
+
+    Places are compared and their pairs of points counted, not written out: both orders of all pairs, less those of rows
+    with one id, are twice the pairs. Null ids are in no pair."""
+    known = points.where(F.col("id").isNotNull()).groupBy("id", "x", "y").agg(F.count("*").alias("n"))
+    side = lambda d, s: d.select(*(F.col(c).alias(c if c == "id" else f"{c}{s}") for c in d.columns))
+    places = known.groupBy("x", "y").agg(F.sum("n").alias("n"))
+    both = _met(side(places, "a"), side(places, "b"), metric, most, cell).select("distance", (F.col("na") * F.col("nb")).alias("w"))
+    own = side(known, "a").join(side(known, "b"), "id").select(_distance(metric).alias("distance"), (-F.col("na") * F.col("nb")).alias("w")).where(F.col("distance") <= most)
+    d, w = F.col("distance"), F.col("w")
+    sums = both.union(own).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.sum(w * d).alias("d"), F.sum(w * d * d).alias("dd"))
+    mean = F.try_divide("d", "w")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("dd", "w") - mean * mean))
+    return sums.select(F.expr("w DIV 2").alias("pairs"), F.when(w > 0, mean).alias("mean"), F.when(w > 0, std).alias("std"))
+
+
 def paired_error(source: DataFrame, target: DataFrame, key: str, distance: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
     """n and mean_error, the mean distance between the points (lon, lat) of both tables that have the same key; 0 without pairs."""
     pairs = source.select(key, F.col("lon").alias("_a"), F.col("lat").alias("_b")).join(target.select(key, "lon", "lat"), key)

@@ -67,7 +67,7 @@ def recent_average(spark, sf_dir):
 )
 def pair_distances(spark, sf_dir):
     p = views.particles(spark, sf_dir).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return stats.distance_pairs(p, p, most=0.125, cell=0.125).where("id_a < id_b").agg(F.count("*").alias("pairs"), rounded(F.avg("distance")).alias("mean"), rounded(F.stddev_pop("distance")).alias("std"))
+    return stats.pair_summary(p, 0.125, cell=0.125).select("pairs", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"))
 
 
 @query("SELECT id, " + r("lon*exp(-0.5e0)", 2) + " AS x FROM v_particle", "v_particle")

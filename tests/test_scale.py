@@ -49,6 +49,16 @@ def in_order(rows):
     return sorted(tuple(map(str, r)) for r in rows)
 
 
+def test_pair_summary_counts_pairs_of_places(spark):
+    rows, points = odd_points(spark)
+    got = stats.pair_summary(points, 0.75, cell=0.75).first()
+    near = [far(p, q) for p in rows for q in rows if p[0] is not None and q[0] is not None and p[0] < q[0] and far(p, q) is not None and far(p, q) <= 0.75]
+    assert got.pairs == len(near) and got["mean"] == pytest.approx(np.mean(near)) and got["std"] == pytest.approx(np.std(near))
+    one_place = spark.range(60_000).selectExpr("id", "1.5D AS x", "2D AS y")
+    assert stats.pair_summary(one_place, 0.1).first().pairs == 60_000 * 59_999 // 2
+    assert tuple(stats.pair_summary(points.limit(0), 0.1).first()) == (0, None, None)
+
+
 def test_distance_pairs_keep_every_pair(spark):
     rows, points = odd_points(spark)
     text = lambda p, q: None if far(p, q) is None else round(far(p, q), 3)
