@@ -168,15 +168,19 @@ def wet_cell_fix(points: DataFrame, cells: DataFrame, axes: Axes, rings: int = 4
     Points are clipped to the extent; a point on land looks at growing square rings and takes the nearest wet cell of
     the first ring that has any; beyond `rings` the result is null. cells: j, i, lat, lon of wet cells."""
     clip = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(c)))
-    p = points.select("id", clip("lon", axes.lon0, axes.lon1).alias("lon"), clip("lat", axes.lat0, axes.lat1).alias("lat"))
+    p = points.select("id", "lon", "lat", clip("lon", axes.lon0, axes.lon1).alias("_lon"), clip("lat", axes.lat0, axes.lat1).alias("_lat"))
     at = lambda c, lo, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.ceil((F.col(c) - lo) / axes.step - 0.5).cast("int")))
-    p = p.withColumns({"ci": at("lon", axes.lon0, axes.n_x), "cj": at("lat", axes.lat0, axes.n_y)})
+    p = p.withColumns({"ci": at("_lon", axes.lon0, axes.n_x), "cj": at("_lat", axes.lat0, axes.n_y)})
     near = F.sequence(F.lit(-rings), F.lit(rings))
-    tried = p.withColumn("di", F.explode(near)).withColumn("dj", F.explode(near)).withColumns({"i": F.col("ci") + F.col("di"), "j": F.col("cj") + F.col("dj")})
-    wet = cells.select("j", "i", F.col("lat").alias("w_lat"), F.col("lon").alias("w_lon"))
-    dist = (F.col("w_lon") - F.col("lon")) * (F.col("w_lon") - F.col("lon")) + (F.col("w_lat") - F.col("lat")) * (F.col("w_lat") - F.col("lat"))
-    ranked = tried.join(wet, ["j", "i"]).groupBy("id").agg(F.min(F.struct(F.greatest(F.abs("di"), F.abs("dj")).alias("ring"), dist.alias("dist"), "j", "i")).alias("b"))
-    return points.join(ranked, "id", "left").select("id", "lon", "lat", F.col("b.j").alias("j"), F.col("b.i").alias("i"), F.col("b.ring").alias("ring"))
+    # by cell of the grid, wet or not, the wet cells of its first ring that has any: a point then meets one row
+    around = cells.select("j", "i", F.col("lat").alias("w_lat"), F.col("lon").alias("w_lon")).withColumn("_di", F.explode(near)).withColumn("_dj", F.explode(near))
+    found = F.struct(F.greatest(F.abs("_di"), F.abs("_dj")).alias("ring"), "w_lat", "w_lon", "j", "i")
+    first = around.groupBy((F.col("i") - F.col("_di")).alias("ci"), (F.col("j") - F.col("_dj")).alias("cj")).agg(F.collect_list(found).alias("c"))
+    first = first.withColumn("_ring", F.array_min(F.transform("c", lambda w: w["ring"]))).select("ci", "cj", "_ring", F.filter("c", lambda w: w["ring"] == F.col("_ring")).alias("c"))
+    dist = lambda w: (w["w_lon"] - F.col("_lon")) * (w["w_lon"] - F.col("_lon")) + (w["w_lat"] - F.col("_lat")) * (w["w_lat"] - F.col("_lat"))
+    best = F.array_min(F.transform("c", lambda w: F.struct(dist(w).alias("dist"), w["j"].alias("j"), w["i"].alias("i"))))
+    met = p.join(first, ["ci", "cj"], "left").withColumn("b", best)
+    return met.select("id", "lon", "lat", F.col("b.j").alias("j"), F.col("b.i").alias("i"), F.col("_ring").alias("ring"))
 
 
 def nearest_index(axis: DataFrame, points: DataFrame, x: str, bins: int = 4096) -> DataFrame:

@@ -35,6 +35,23 @@ def test_implicit_steps_solve_all_rows_in_one_call(monkeypatch):
     assert np.allclose(got, y * [pade(-0.1), pade(-2.0)], atol=1e-10) and len(calls) <= 25
 
 
+def test_each_point_looks_for_its_own_wet_cell(spark):
+    axes = interp.Axes(0.0, 0.0, 1.0, 12, 12)
+    wet = [(j, i) for j in range(12) for i in range(12) if (i * 5 + j * 3) % 11 == 0]
+    cells = spark.createDataFrame([(j, i, float(j), float(i)) for j, i in wet], "j int, i int, lat double, lon double")
+    rows = [(k // 2, x, y) for k, (x, y) in enumerate((x * 0.7 - 1, y * 0.9 - 1) for x in range(20) for y in range(16))]
+    got = sorted(interp.wet_cell_fix(spark.createDataFrame(rows, "id long, lon double, lat double"), cells, axes, 2).collect(), key=lambda r: (r.lon, r.lat))
+
+    def wanted(x, y):
+        x, y = min(11.0, max(0.0, x)), min(11.0, max(0.0, y))
+        ci, cj = math.ceil(x - 0.5), math.ceil(y - 0.5)
+        near = [(max(abs(i - ci), abs(j - cj)), (i - x) ** 2 + (j - y) ** 2, j, i) for j, i in wet]
+        ring, _, j, i = min(n for n in near if n[0] <= 2) if any(n[0] <= 2 for n in near) else (None,) * 4
+        return j, i, ring
+
+    assert [(r.j, r.i, r.ring) for r in got] == [wanted(r.lon, r.lat) for r in got] and len(got) == 320
+
+
 def odd_points(spark):
     """Copies of places, repeated and null ids, null coordinates."""
     rows = [(k, k % 7 * 0.5, k % 3 * 0.5) for k in range(150)] + [(4, 0.0, 0.0), (4, 0.0, 0.0), (4, 1.0, 0.5), (None, 0.5, 0.0), (200, None, 0.0), (201, 0.5, float("nan"))]
