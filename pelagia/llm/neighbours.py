@@ -3,6 +3,7 @@
 Vectors are projected to a few random directions, shifted, and ordered along a Hilbert curve; several projections give
 several orders. Spark range-partitions each order, and runs of consecutive vectors become windows. A query is compared
 with its own and the neighbouring windows of every curve; the merged candidates are reranked by their exact cosine.
+Equal vectors are one entry of the windows, so a large group of copies is one query and one candidate.
 
 How many curves and how many windows on either side are used is fitted: a bounded sample of the queries is compared with
 all vectors, and the cheapest choice that finds the wanted share of the sample's true neighbours is taken. Vectors with
@@ -131,11 +132,10 @@ def queries_of(blocks: DataFrame, d: int) -> DataFrame:
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """For each query the k best rows of x that reach its floor; a query is no neighbour of itself."""
+    """For each query the k best rows of x that reach its floor, itself included."""
     norm = np.sqrt((x * x).sum(axis=1))
     rows = []
     scores = (q @ x.T) / norm[None, :] / np.sqrt((q * q).sum(axis=1))[:, None]
-    scores[q_ids[:, None] == ids[None, :]] = -np.inf
     for i in range(len(q_ids)):
         s = scores[i]
         floor = max(floors[i], np.partition(s, -k)[-k]) if len(s) >= k else floors[i]
@@ -220,26 +220,36 @@ def search(
     is_query: a condition on the column `id`. All vectors are in the windows of every curve. The number of curves (at
     most `curves`) and of windows is fitted so that `sample` queries, those of the smallest hashes, find `recall` of
     their true neighbours; both are bounds on what reaches the driver. Null, zero, null-holding and non-finite vectors,
-    vectors of an unusual length and rows without an id take no part. Rows that repeat an id count as one neighbour, the
-    nearest; queries of one id are answered together. Equal vectors tie. An empty table or one without queries gives an
+    vectors of an unusual length and rows without an id take no part. Equal vectors are searched for once, as a class,
+    and tie; of a class, its k + 1 smallest ids can be neighbours. Rows that repeat an id count as one neighbour, the
+    nearest; queries of one id are answered together. An empty table or one without queries gives an
     empty result."""
     spark = df.sparkSession
-    vectors = save(usable(df, id_col, vector_col), "vectors")
-    n = vectors.count()
-    if not n or vectors.where(is_query).isEmpty():
+    rows = save(usable(df, id_col, vector_col).withColumn("ask", is_query), "vectors")
+    if rows.where("ask").isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = vectors.select(F.size("vec")).first()[0]
+    # equal vectors are one class, numbered in the order of their smallest ids, so that ties of classes keep that order
+    alike = rows.groupBy("vec").agg(F.min("id").alias("_first"), F.coalesce(F.max("ask"), F.lit(False)).alias("ask"))
+    vectors = save(alike.orderBy("_first", F.xxhash64("vec")).select(F.monotonically_increasing_id().alias("id"), "vec", "ask"), "classes")
+    members = save(rows.join(vectors.select(F.col("id").alias("of"), "vec"), "vec").select("of", "id", "ask").distinct(), "members")
+    # a query's own row is no neighbour, in as many classes as it is
+    wide = k + members.groupBy("id").count().agg(F.max("count")).first()[0]
+    n, d = vectors.count(), vectors.select(F.size("vec")).first()[0]
     n_ranges = max(2, -(-n // per_range))
-    orders = [save(windows(vectors, d, c, size, n_ranges, is_query), "windows") for c in range(curves)]
-    few = vectors.where(is_query).orderBy(F.xxhash64("id"), "id").limit(sample)
-    true = save(true_neighbours(vectors, few, d, k), "true-neighbours")
+    orders = [save(windows(vectors, d, c, size, n_ranges, F.col("ask")), "windows") for c in range(curves)]
+    few = vectors.where("ask").orderBy(F.xxhash64("id"), "id").limit(sample)
+    true = save(true_neighbours(vectors, few, d, wide), "true-neighbours").where("query_id <> vec_id")
     places = reduce(DataFrame.union, (o.select(F.lit(c).alias("curve"), F.explode("ids").alias("id"), "number") for c, o in enumerate(orders)))
     used, reach = fitted_reach(places, true, curves, recall)
     found = []
     for blocks in orders[:used]:
         near = queries_of(blocks, d).select(F.explode(F.sequence(F.col("number") - reach, F.col("number") + reach)).alias("number"), "asking", "asked")
-        found.append(_compared(near.join(blocks, "number"), d, k))
-    return merged(reduce(DataFrame.union, found), k).select("query_id", "rank", "vec_id", "score")
+        found.append(_compared(near.join(blocks, "number"), d, wide))
+    best = merged(reduce(DataFrame.union, found), wide).select(F.col("query_id").alias("_query"), F.col("vec_id").alias("of"), "score")
+    lowest = members.withColumn("_n", F.row_number().over(Window.partitionBy("of").orderBy("id"))).where(F.col("_n") <= k + 1).select("of", F.col("id").alias("vec_id"))
+    asking = members.where("ask").select(F.col("of").alias("_query"), F.col("id").alias("query_id"))
+    pairs = asking.join(best.join(lowest, "of"), "_query").where("query_id <> vec_id")
+    return merged(pairs.select("query_id", "vec_id", "score"), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
