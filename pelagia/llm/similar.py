@@ -54,7 +54,9 @@ def prefix_length(size: int, similarity: float) -> int:
 
 
 def hot_shingles(rows: DataFrame, n_texts: int, width: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` shingles that most of about `sample` texts hold, ascending, and how many do."""
+    """About the `most` shingles that most of about `sample` texts hold, ascending, and how many do.
+
+    Of those at the last count taken, a share by their hash is taken; all that reaches the driver is the result."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -62,9 +64,18 @@ def hot_shingles(rows: DataFrame, n_texts: int, width: int, sample: int, most: i
                 yield pd.DataFrame({"token": np.concatenate(sets).view(np.int64)})
 
     some = rows.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n_texts // sample))) == 0).select("text")
-    top = some.mapInPandas(listed, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(most)
-    found = top.toPandas()
-    token, n = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    held = save(some.mapInPandas(listed, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "hot")
+    # the count from which on all are taken follows from how many shingles have each count, so nothing is sorted as a whole
+    least, share, room = 2, 1.0, most
+    for r in held.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).limit(most).collect():
+        least, share, room = r["n"], min(1.0, room / r["c"]), room - r["c"]
+        if room <= 0:
+            break
+    parts = 1 << 20
+    part = F.pmod(F.xxhash64("token"), F.lit(parts)) < int(share * parts)
+    found = held.where((F.col("n") > least) | ((F.col("n") == least) & part)).toArrow()
+    discard(held)
+    token, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
 

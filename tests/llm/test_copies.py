@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pelagia.llm import neighbours
+from pelagia.llm import neighbours, similar
 
 
 def test_copies_of_a_vector_are_searched_for_once(spark, monkeypatch):
@@ -26,3 +26,16 @@ def test_copies_of_a_vector_are_searched_for_once(spark, monkeypatch):
     assert all(len(v) == 5 for v in found.values()) and len(got) == 40 * 5
     assert all(v == [n for n in range(1000, 1006) if n != q][:5] for q, v in found.items() if q >= 1000)
     assert rows and sum(rows) <= 11 * 6 * 4 * 6  # 11 different queries, 6 of each of at most 4 windows, 6 curves
+
+
+def test_frequent_shingles_come_without_a_sort_on_the_driver(spark):
+    texts = [(k, " ".join([f"w{m}" for m in range(60)] + [f"x{k // 2}-{m}" for m in range(200)])) for k in range(40)]
+    rows = spark.createDataFrame(texts, "id long, text string").withColumn("key", F.md5("text"))
+    token, n = similar.hot_shingles(rows, 40, 5, 1000, 10_000)
+    assert len(token) == 56 + 20 * 200 and (np.diff(token.astype(object)) > 0).all() and (n == 40).sum() == 56 and n.min() == 2
+    some, m = similar.hot_shingles(rows, 40, 5, 1000, 1000)
+    assert 850 < len(some) < 1150 and (m == 40).sum() == 56 and set(some.tolist()) <= set(token.tolist())
+    few, _ = similar.hot_shingles(rows, 40, 5, 1000, 50)
+    assert 20 < len(few) < 56
+    none, _ = similar.hot_shingles(rows.limit(0), 0, 5, 1000, 50)
+    assert len(none) == 0
