@@ -12,6 +12,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -178,6 +179,33 @@ def prolate_tapers(n: int, bandwidth: float = 4.0, count: int = 7) -> np.ndarray
     return (basis @ vectors[:, ::-1][:, : min(count, n)]).T
 
 
+@lru_cache(maxsize=64)
+def _taper_weights(n: int, bandwidth: float = 4.0, count: int = 7, block: int = 1 << 14) -> np.ndarray:
+    """Weights of Legendre polynomials (rows) in the tapers (columns) of prolate_tapers(), for n well above the number of
+    polynomials squared: their products are summed block by block, so memory does not grow with n."""
+    size = 48 + 2 * count + int(4 * bandwidth)
+    gram, moved = np.zeros((size, size)), np.zeros((size, size))
+    for lo in range(0, n, block):
+        at = np.arange(lo, min(n, lo + block), dtype=float)[:, None]
+        v = np.polynomial.legendre.legvander(2 * np.arange(lo - 1, lo + len(at)) / (n - 1) - 1, size - 1)
+        own, step = v[1:], np.diff(v, axis=0)
+        gram += own.T @ own
+        # the tridiagonal matrix less (n^2 - 1) / 4, which moves no eigenvector: written with differences, it stays small
+        moved -= step.T @ (at * (n - at) / 2 * step) + own.T @ (2 * np.sin(np.pi * bandwidth / n) ** 2 * ((n - 1) / 2 - at) ** 2 * own)
+    inverse = np.linalg.inv(np.linalg.cholesky(gram))
+    _, vectors = np.linalg.eigh(inverse @ moved @ inverse.T)
+    return inverse.T @ vectors[:, ::-1][:, :count]
+
+
+def tapers(n: int, block: int = 1 << 14) -> Iterator[np.ndarray]:
+    """The rows of prolate_tapers(n), of long series one at a time."""
+    if n <= block:
+        yield from prolate_tapers(n)
+        return
+    for weights in _taper_weights(n).T:
+        yield np.concatenate([np.polynomial.legendre.legval(2 * np.arange(lo, min(n, lo + block)) / (n - 1) - 1, weights) for lo in range(0, n, block)])
+
+
 def spectrum(df: DataFrame, dt: float = 1.0, method: str = "periodogram", value: str = "value") -> DataFrame:
     """key, frequency, power: the one-sided density of each series without its mean.
 
@@ -191,19 +219,21 @@ def spectrum(df: DataFrame, dt: float = 1.0, method: str = "periodogram", value:
         p[1 : -1 if len(x) % 2 == 0 else None] *= 2
         return p
 
-    def measured(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("idx")[value].fillna(0.0).to_numpy()
+    def measured(key: tuple, rows: pa.Table) -> pa.Table:
+        x = rows[value].to_numpy()[np.argsort(rows["idx"].to_numpy(), kind="stable")].astype(float)
+        x[np.isnan(x)] = 0.0
+        del rows
         n = max(1, len(x) // 4) if method == "welch" else len(x)
         if method == "periodogram":
             power = density(x, np.ones(n))
         elif method == "multitaper":
-            power = np.mean([density(x, taper) for taper in prolate_tapers(n)], axis=0)
+            power = sum(density(x, taper) for taper in tapers(n)) / min(7, n)
         else:
             taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if n > 1 else np.ones(1)
             power = np.mean([density(x[i : i + n], taper) for i in range(0, len(x) - n + 1, max(1, n - n // 2))], axis=0)
-        return pd.DataFrame({"key": key[0], "frequency": np.fft.rfftfreq(n, dt), "power": power})
+        return pa.table({"key": pa.repeat(key[0].cast(pa.string()), len(power)), "frequency": np.fft.rfftfreq(n, dt), "power": power})
 
-    return df.select("key", "idx", value).groupBy("key").applyInPandas(measured, "key string, frequency double, power double")
+    return df.select("key", "idx", F.col(value).cast("double").alias(value)).groupBy("key").applyInArrow(measured, "key string, frequency double, power double")
 
 
 def trapezoid(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 
-from pelagia.operators import interp, ode, stats
+from pelagia.operators import interp, ode, series, stats
 
 
 def test_adaptive_rows_take_steps_of_their_own():
@@ -92,3 +92,11 @@ def test_places_are_compared_once_for_many_points(spark):
     plan = stats.distance_pairs(points, points, most=0.5, digits=6)
     assert plan.count() == 10 * 64 * 64
     assert plan._jdf.queryExecution().executedPlan().toString().count("Generate explode(ids_") == 2
+
+
+def test_tapers_of_long_series_are_those_of_the_whole_matrix(monkeypatch):
+    n = 20_000
+    whole = series.prolate_tapers(n)
+    monkeypatch.setattr(series, "prolate_tapers", lambda n: pytest.fail("a matrix as long as the series"))
+    for a, b in zip(series.tapers(n, 1 << 12), whole, strict=True):
+        assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-8
