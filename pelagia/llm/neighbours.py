@@ -2,7 +2,9 @@
 
 Vectors are projected to a few random directions, shifted, and ordered along a Hilbert curve; several projections give
 several orders. Spark range-partitions each order, and runs of consecutive vectors become windows. A query is compared
-with its own and the neighbouring windows of every curve; the merged candidates are reranked by their exact cosine.
+with its own and the neighbouring windows of every curve; the merged candidates are reranked by their exact cosine. The
+queries of consecutive windows meet their neighbouring windows together, in a bounded number of pieces that stream
+through tasks, so what a query gives is a few rows, however many windows it needs.
 Equal vectors are one entry of the windows, so a large group of copies is one query and one candidate.
 
 How many curves and how many windows on either side are used is fitted: a bounded sample of the queries is compared with
@@ -26,6 +28,10 @@ from pelagia.llm.common import save, table
 FOUND = "query_id long, vec_id long, score double"
 #: How far apart two ways to sum one cosine may be.
 SLACK = 1e-9
+#: Windows that a task compares at once, and cosines that it holds at once.
+HELD, SCORES = 16, 1 << 21
+#: Pieces that a query's windows are dealt over, on all curves together.
+PIECES = 8
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -133,18 +139,27 @@ def queries_of(blocks: DataFrame, d: int) -> DataFrame:
 
 def _best(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     """For each query the k best rows of x that reach its floor, itself included."""
-    norm = np.sqrt((x * x).sum(axis=1))
-    rows = []
-    scores = (q @ x.T) / norm[None, :] / np.sqrt((q * q).sum(axis=1))[:, None]
-    for i in range(len(q_ids)):
-        s = scores[i]
-        floor = max(floors[i], np.partition(s, -k)[-k]) if len(s) >= k else floors[i]
-        near = np.flatnonzero((s >= floor - SLACK) & (s > -np.inf))
-        if len(near):
-            exact = (x[near] * q[i]).sum(axis=1) / (norm[near] * np.sqrt((q[i] * q[i]).sum()))
-            take = np.lexsort((ids[near], -exact))[:k]
-            rows += zip([q_ids[i]] * len(take), ids[near][take], exact[take], strict=True)
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+    norm, q_norm, found = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1)), []
+    step = max(1, SCORES // max(1, len(x)))
+    for i in range(0, len(q), step):
+        scores = (q[i : i + step] @ x.T) / norm[None, :] / q_norm[i : i + step, None]
+        floor = floors[i : i + step]
+        if len(x) >= k and (floor == -np.inf).any():
+            floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+        row, at = np.nonzero((scores >= floor[:, None] - SLACK) & (scores > -np.inf))
+        row += i
+        exact = (x[at] * q[row]).sum(axis=1) / (norm[at] * q_norm[row])
+        found.append(_first_k(row, ids[at], exact, k))
+    row, near, exact = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=int), ids[:0], np.zeros(0))
+    return pd.DataFrame({"query_id": q_ids[row], "vec_id": near, "score": exact})
+
+
+def _first_k(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of each row with the largest scores, ties to the smaller id, in the order of the rows."""
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    take = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[take], ids[take], scores[take]
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
@@ -154,15 +169,63 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _pieces(blocks: DataFrame, d: int, reach: int, pieces: int, most: int = 128) -> DataFrame:
+    """part, piece, number, asking, asked, ids, data: the queries of some consecutive windows and the windows near them.
+
+    A part has the queries of as many windows as `reach`, at most `most`; the windows within `reach` of any of them are
+    dealt over `pieces`, each of which has all the part's queries. Rows hold queries or a window, the others are null."""
+    wide = max(1, min(reach, most))
+    part_of = lambda c: F.floor(c / wide)
+    asked = queries_of(blocks, d).withColumn("part", part_of(F.col("number")))
+    queries = asked.select("part", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"), "number", "asking", "asked", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("data"))
+    spread = blocks.select(F.explode(F.sequence(part_of(F.col("number") - reach), part_of(F.col("number") + reach))).alias("part"), F.pmod("number", F.lit(pieces)).alias("piece"), "number", F.lit(None).cast("array<long>").alias("asking"), F.lit(None).cast("binary").alias("asked"), "ids", "data")
+    return queries.union(spread.join(asked.select("part").distinct(), "part", "left_semi").select(queries.columns))
+
+
 def _compared(rows: DataFrame, d: int, k: int) -> DataFrame:
-    """The k best of each row's queries (asking, asked) in its window (ids, data)."""
+    """The k best of each query in the windows of its part and piece (rows as _pieces() gives them).
+
+    A task holds the queries of one piece with the best found so far, and some windows at a time."""
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for asking, asked, ids, data in zip(b["asking"], b["asked"], b["ids"], b["data"], strict=True):
-                yield _best(np.asarray(asking), _matrix(asked, d), np.full(len(asking), -np.inf), np.asarray(ids), _matrix(data, d), k)
+        now, asking, asked, best, held = None, [], [], None, []
+
+        def best_with(held: list, best: pd.DataFrame | None) -> pd.DataFrame:
+            of, q = np.concatenate(asking), _matrix(b"".join(asked), d)
+            ids, x = np.concatenate([h[0] for h in held]), _matrix(b"".join(h[1] for h in held), d)
+            order = np.argsort(of, kind="stable")
+            of, q, floors = of[order], q[order], np.full(len(of), -np.inf)
+            if best is not None:
+                row, count = np.unique(np.searchsorted(of, best["query_id"].to_numpy()), return_counts=True)
+                last = np.minimum.reduceat(best["score"].to_numpy(), np.cumsum(count) - count) if len(row) else np.zeros(0)
+                floors[row] = np.where(count == k, last, -np.inf)
+            got = _best(of, q, floors, ids, x, k)
+            both = pd.concat([best, got]) if best is not None else got
+            row, near, score = _first_k(*(both[c].to_numpy() for c in ("query_id", "vec_id", "score")), k)
+            return pd.DataFrame({"query_id": row, "vec_id": near, "score": score})
 
-    return rows.select("asking", "asked", "ids", "data").mapInPandas(compared, FOUND)
+        for b in batches:
+            for part, piece, of, q, ids, data in zip(b["part"], b["piece"], b["asking"], b["asked"], b["ids"], b["data"], strict=True):
+                if now != (part, piece):
+                    if held and asking:
+                        best = best_with(held, best)
+                    if best is not None:
+                        yield best
+                    now, asking, asked, best, held = (part, piece), [], [], None, []
+                if q is not None:
+                    asking.append(np.asarray(of, dtype=np.int64))
+                    asked.append(q)
+                elif asking:
+                    held.append((np.asarray(ids, dtype=np.int64), data))
+                    if len(held) == HELD:
+                        best, held = best_with(held, best), []
+        if held and asking:
+            best = best_with(held, best)
+        if best is not None:
+            yield best
+
+    dealt = rows.repartition("part", "piece").sortWithinPartitions("part", "piece", F.col("asked").isNull(), "number")
+    return dealt.select("part", "piece", "asking", "asked", "ids", "data").mapInPandas(compared, FOUND)
 
 
 def true_neighbours(vectors: DataFrame, queries: DataFrame, d: int, k: int, size: int = 4096) -> DataFrame:
@@ -243,8 +306,7 @@ def search(
     used, reach = fitted_reach(places, true, curves, recall)
     found = []
     for blocks in orders[:used]:
-        near = queries_of(blocks, d).select(F.explode(F.sequence(F.col("number") - reach, F.col("number") + reach)).alias("number"), "asking", "asked")
-        found.append(_compared(near.join(blocks, "number"), d, wide))
+        found.append(save(_compared(_pieces(blocks, d, reach, max(1, PIECES // used)), d, wide), "found"))
     best = merged(reduce(DataFrame.union, found), wide).select(F.col("query_id").alias("_query"), F.col("vec_id").alias("of"), "score")
     lowest = members.withColumn("_n", F.row_number().over(Window.partitionBy("of").orderBy("id"))).where(F.col("_n") <= k + 1).select("of", F.col("id").alias("vec_id"))
     asking = members.where("ask").select(F.col("of").alias("_query"), F.col("id").alias("query_id"))

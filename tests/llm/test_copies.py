@@ -39,3 +39,19 @@ def test_frequent_shingles_come_without_a_sort_on_the_driver(spark):
     assert 20 < len(few) < 56
     none, _ = similar.hot_shingles(rows.limit(0), 0, 5, 1000, 50)
     assert len(none) == 0
+
+
+def test_rows_of_a_search_do_not_grow_with_the_windows(spark, monkeypatch):
+    """Vectors without structure, which need most windows of the table: a query gives a few rows for each of its pieces."""
+    compare, rows = neighbours._compared, []
+
+    def counted(near, d, k):
+        made = compare(near, d, k)
+        rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(neighbours, "_compared", counted)
+    x = np.random.default_rng(4).normal(size=(1200, 24))
+    got = neighbours.search(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(1200), "embedding": x.tolist()})), F.col("id") % 50 == 0, k=5, size=16, curves=1)
+    assert got.count() == 24 * 5
+    assert sum(rows) <= 24 * 6 * 8  # 24 queries, 6 of each of 8 pieces; before, 6 of each of up to 75 windows
