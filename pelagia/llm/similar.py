@@ -2,7 +2,8 @@
 
 A text is its set of distinct word shingles. Texts whose SimHash fingerprints are close are the first candidates; what
 the shingles confirm of them gives components, so that large groups of copies collapse at once. Then texts of different
-components meet that share a shingle in their prefixes, which any two texts of the wanted similarity do.
+components meet that share a shingle in their prefixes, which any two texts of the wanted similarity do. In prefixes
+that are half as long again such texts share many shingles, so a text that shares few with other components is left out.
 """
 
 from __future__ import annotations
@@ -48,11 +49,29 @@ def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def bitmaps(sets: list[np.ndarray], longs: int = 8, most: int = 4096) -> list[np.ndarray]:
+    """For each set the parity of its members at each of 64 * `longs` places: two bitmaps differ in no more bits than sets in members."""
+    out, n = [], 64 * longs
+    for i in range(0, len(sets), most):
+        part = sets[i : i + most]
+        places = np.repeat(np.arange(len(part)) * n, [len(s) for s in part]) + (np.concatenate(part) >> np.uint64(20)).astype(np.int64) % n
+        odd = np.bincount(places, minlength=len(part) * n).astype(np.uint8) & 1
+        out += list(np.packbits(odd.reshape(-1, n), axis=1, bitorder="little").view(np.int64))
+    return out
+
+
 def prefix_length(size: int, similarity: float) -> int:
     """Two sets of a Jaccard similarity of `similarity` share one of their first members of this number, in any common order."""
     return size - math.ceil(similarity * size - 1e-9) + 1
 
 
+def common_members(size: int, similarity: float) -> int:
+    """Two sets of at least this size and of that similarity share so many of their first prefix_length + common_members - 1 members.
+
+    Of k common members the first n are followed by k - n others, which a prefix longer by n - 1 can spare."""
+    return min(math.ceil(similarity * size - 1e-9), max(1, prefix_length(size, similarity) // 2))
+
+
 def hot_shingles(rows: DataFrame, n_texts: int, width: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """About the `most` shingles that most of about `sample` texts hold, ascending, and how many do.
 
@@ -81,7 +100,7 @@ def hot_shingles(rows: DataFrame, n_texts: int, width: int, sample: int, most: i
 
 
 def prefixes(sets: list[np.ndarray], similarity: float, hot: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """The prefix of each set, where frequent shingles come last, so that few of them are in one."""
+    """The prefix of each set and what common_members() adds to it, where frequent shingles come last, so that few of them are in one."""
     flat, edge = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets)])
     rank = np.zeros(len(flat), dtype=np.int64)
     if len(hot):
@@ -90,7 +109,7 @@ def prefixes(sets: list[np.ndarray], similarity: float, hot: np.ndarray, counts:
     busy = np.maximum.reduceat(rank, edge[:-1]) > 0
     out = []
     for s, a, b, some in zip(sets, edge[:-1].tolist(), edge[1:].tolist(), busy.tolist(), strict=True):
-        n = prefix_length(len(s), similarity)
+        n = prefix_length(len(s), similarity) + common_members(len(s), similarity) - 1
         out.append(s[np.argsort(rank[a:b], kind="stable")[:n]] if some else s[:n])
     return out
 
@@ -101,13 +120,19 @@ def _may_be_alike(sa: np.ndarray, pa: np.ndarray, sb: np.ndarray, pb: np.ndarray
     return np.minimum(sa - pa, sb - pb) >= need
 
 
+def _most_apart(sa: np.ndarray, sb: np.ndarray, similarity: float) -> np.ndarray:
+    """How many members, at most, two sets of these sizes and of the similarity do not share."""
+    return sa + sb - 2 * np.ceil(similarity / (1 + similarity) * (sa + sb) - 1e-9)
+
+
 def meetings(batches: Iterator[pd.DataFrame], similarity: float, small: int, pivots: int) -> Iterator[pd.DataFrame]:
     """Pairs to verify (left is false) and members still to be compared (left is true).
 
     Rows come sorted by token and r, a member's place among the n that share the token: first those with the fewest
     rarer shingles, which are like the most others. Members of one component need no pair. A token of up to `small`
     members gives all other pairs. Of a larger one the first `pivots` members are compared with all, and the rest stays
-    for the next round. Only the pivots and one small token are held."""
+    for the next round. Pairs whose bitmaps (column bits, if there is one) differ too much are no pairs. Only the pivots and
+    one small token are held."""
     carry: pd.DataFrame | None = None
     open_: dict | None = None
     for b in batches:
@@ -117,21 +142,26 @@ def meetings(batches: Iterator[pd.DataFrame], similarity: float, small: int, piv
             b = pd.concat([carry, b], ignore_index=True)
             carry = None
         token, node, size, pos, comp, n, r = (b[c].to_numpy() for c in MEETING)
+        bits = np.stack(b["bits"].to_numpy()).view(np.uint64) if "bits" in b else np.zeros((len(b), 1), dtype=np.uint64)
         if n[-1] <= small and r[-1] < n[-1]:
             cut = int(np.searchsorted(np.cumsum(token[::-1] != token[-1]), 1))
             carry = b.iloc[len(b) - cut :]
             token, node, size, pos, comp, n, r = (b[c].to_numpy()[: len(b) - cut] for c in MEETING)
+            bits = bits[: len(b) - cut]
         firsts, seconds, left = [], [], []
 
-        def take(na, sa, pa, ca, nb, sb, pb, cb) -> None:
+        def take(na, sa, pa, ca, xa, nb, sb, pb, cb, xb) -> None:
             ok = (ca != cb) & _may_be_alike(sa, pa, sb, pb, similarity)
+            at = np.flatnonzero(ok)
+            apart = np.bitwise_count((xa if xa.ndim == 1 else xa[at]) ^ xb[at]).sum(axis=1, dtype=np.int64)
+            ok[at] = apart <= _most_apart(sa, sb, similarity)[at]
             firsts.append(np.minimum(na, nb)[ok])
             seconds.append(np.maximum(na, nb)[ok])
 
         rows = np.flatnonzero(n <= small)
         for d in range(1, int(n[rows].max(initial=1))):
             rows = rows[r[rows] + d <= n[rows]]
-            take(*(x[rows] for x in (node, size, pos, comp)), *(x[rows + d] for x in (node, size, pos, comp)))
+            take(*(x[rows] for x in (node, size, pos, comp, bits)), *(x[rows + d] for x in (node, size, pos, comp, bits)))
         big = np.flatnonzero(n > small)
         for part in np.split(big, np.flatnonzero(np.diff(token[big])) + 1) if len(big) else ():
             if open_ is None or open_["token"] != token[part[0]]:
@@ -139,11 +169,11 @@ def meetings(batches: Iterator[pd.DataFrame], similarity: float, small: int, piv
             new = part[r[part] <= pivots]
             for i in new.tolist():
                 later = part[part > i]
-                take(node[i], size[i], pos[i], comp[i], *(x[later] for x in (node, size, pos, comp)))
+                take(node[i], size[i], pos[i], comp[i], bits[i], *(x[later] for x in (node, size, pos, comp, bits)))
             rest = part[r[part] > pivots]
             for one in open_["held"]:
-                take(*one, *(x[part] for x in (node, size, pos, comp)))
-            open_["held"] += [(node[i], size[i], pos[i], comp[i]) for i in new.tolist()]
+                take(*one, *(x[part] for x in (node, size, pos, comp, bits)))
+            open_["held"] += [(node[i], size[i], pos[i], comp[i], bits[i]) for i in new.tolist()]
             left.append(rest)
         pairs = np.unique(np.stack([np.concatenate(firsts), np.concatenate(seconds)], axis=1), axis=0) if firsts else np.zeros((0, 2), dtype=np.int64)
         if len(pairs):
@@ -152,11 +182,28 @@ def meetings(batches: Iterator[pd.DataFrame], similarity: float, small: int, piv
             yield pd.DataFrame({"left": True, "a": node[rest], "b": token[rest], "size": size[rest], "pos": pos[rest]})
 
 
-def met(members: DataFrame, label: DataFrame, similarity: float, small: int, pivots: int) -> DataFrame:
-    """The rows of meetings() for members (token, node, size, pos) with the components that label gives them."""
+def linkable(shared: DataFrame, label: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """The members within prefixes of those texts that can still have a link to another component, by the number of what they share.
+
+    A text's partners have at least `similarity` of its size, so it shares common_members() of that size with each of them;
+    texts left out are no partners of others, so counting again leaves out more."""
+    one, least = Window.partitionBy("token"), F.ceil(similarity * F.col("size") - 1e-9)
+    need = F.ceil(similarity * least - 1e-9)
+    common = F.least(need, F.greatest(F.lit(1), F.floor((least - need + 1) / 2)))
+    rows = shared.join(label, "node")
+    for _ in range(rounds):
+        ends = rows.withColumn("first", F.min("comp").over(one)).withColumn("most", F.max("comp").over(one))
+        apart = save(ends.where("first < most").drop("first", "most"), "apart")
+        able = apart.groupBy("node", "size").agg(F.count("*").alias("n")).where(F.col("n") >= common).select("node")
+        rows = apart.join(able, "node", "left_semi")
+    return save(rows.where(F.col("pos") <= F.col("size") - least).select("token", "node", "size", "pos"), "linkable")
+
+
+def met(members: DataFrame, label: DataFrame, marks: DataFrame, similarity: float, small: int, pivots: int) -> DataFrame:
+    """The rows of meetings() for members (token, node, size, pos) with the components that label gives them and the bitmaps of marks."""
     one = Window.partitionBy("token")
-    ranked = members.join(label, "node").withColumn("r", F.row_number().over(one.orderBy("pos", "node"))).withColumn("n", F.count("*").over(one))
-    apart = ranked.withColumn("first", F.min("comp").over(one)).withColumn("most", F.max("comp").over(one)).where("first < most").select(*MEETING)
+    ranked = members.join(label, "node").join(marks, "node").withColumn("r", F.row_number().over(one.orderBy("pos", "node"))).withColumn("n", F.count("*").over(one))
+    apart = ranked.withColumn("first", F.min("comp").over(one)).withColumn("most", F.max("comp").over(one)).where("first < most").select(*MEETING, "bits")
     return apart.mapInPandas(lambda batches: meetings(batches, similarity, small, pivots), PAIRS)
 
 
@@ -192,7 +239,8 @@ def groups(
 
     Links join texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`. The first
     candidates are texts whose fingerprints lie within `radius` bits; afterwards all texts of different components meet
-    that share a shingle in their prefixes, which every link does, so no link between two components is left out. Every
+    that share a shingle in their prefixes, which every link does, so no link between two components is left out. Texts
+    that share too few shingles with other components for any link are left out before (see common_members). Every
     link is verified on the shingles. `first` marks the row of a group that has its smallest id (repeated rows alike).
     Equal texts are one node; null and empty texts are equal to each other. A null id counts as larger than any other; a
     group of such rows only has a null as its id and is marked on one text. Ids are longs below 2^62. Other columns are
@@ -207,7 +255,7 @@ def groups(
             for sets in shingle_sets(b["text"], width):
                 here = b.iloc[at : at + len(sets)]
                 firsts = [p.view(np.int64) for p in prefixes(sets, similarity, hot, counts)]
-                yield pd.DataFrame({"id": here["id"].astype("Int64"), "key": here["key"], "fp": set_fingerprints(sets).view(np.int64), "size": [len(s) for s in sets], "tokens": firsts})
+                yield pd.DataFrame({"id": here["id"].astype("Int64"), "key": here["key"], "fp": set_fingerprints(sets).view(np.int64), "size": [len(s) for s in sets], "bits": bitmaps(sets), "tokens": firsts})
                 at += len(sets)
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,10 +265,10 @@ def groups(
                 yield pd.DataFrame({"id": b["id"].iloc[at : at + len(sets)], "shingles": [s.view(np.int64) for s in sets]})
                 at += len(sets)
 
-    marked = save(rows.mapInPandas(measured, "id long, key string, fp long, size int, tokens array<long>").withColumn("node", node_of(F.col("id"), F.col("key"))), "marked")
-    listed = save(marked.groupBy("key").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "prefixes")
+    marked = save(rows.mapInPandas(measured, "id long, key string, fp long, size int, bits array<long>, tokens array<long>").withColumn("node", node_of(F.col("id"), F.col("key"))), "marked")
+    listed = save(marked.groupBy("key").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens")), "prefixes")
     texts, whole = save(listed.select("key", "node", "fp"), "texts"), marked
-    marked = save(whole.select("id", "key", "node"), "rows")
+    marked, marks = save(whole.select("id", "key", "node"), "rows"), save(listed.select("node", "bits"), "bitmaps")
     discard(whole)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -249,11 +297,16 @@ def groups(
     found = verified(save(same.union(near).distinct(), "pairs"))
     label = save(texts.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "labels")
     discard(owner, found)
-    members = listed.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
+    held = listed.select("node", "size", F.posexplode("tokens").alias("pos", "token"))
+    shared = save(held.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1").drop("n"), "shared")
+    discard(listed)
+    members = linkable(shared, label, similarity)
     label = relabelled(label, verified(save(stars(members, label, similarity), "pairs")))
-    before = listed
+    discard(members)
+    members = before = linkable(shared, label, similarity)
+    discard(shared)
     while True:
-        step = save(met(members, label, similarity, small, pivots), "meetings")
+        step = save(met(members, label, marks, similarity, small, pivots), "meetings")
         discard(before)
         label, before = relabelled(label, verified(save(step.where("not left").select("a", "b").distinct(), "pairs"))), step
         members = step.where("left").select(F.col("b").alias("token"), F.col("a").alias("node"), "size", "pos")

@@ -55,3 +55,35 @@ def test_rows_of_a_search_do_not_grow_with_the_windows(spark, monkeypatch):
     got = neighbours.search(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(1200), "embedding": x.tolist()})), F.col("id") % 50 == 0, k=5, size=16, curves=1)
     assert got.count() == 24 * 5
     assert sum(rows) <= 24 * 6 * 8  # 24 queries, 6 of each of 8 pieces; before, 6 of each of up to 75 windows
+
+
+def test_texts_with_a_common_passage_only_do_not_meet(spark, monkeypatch):
+    """A frequent passage that the sample of frequent shingles has not seen: it is too short for a link."""
+    meet, rows = similar.met, []
+
+    def counted(*args):
+        made = meet(*args)
+        rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(similar, "met", counted)
+    common, texts = " ".join(f"c{m}" for m in range(10)), {}
+    for k in range(60):
+        own = [f"x{k}-{m}" for m in range(150)]
+        texts[2 * k] = " ".join([*own, common])
+        own[30 + k % 5] = "changed"
+        texts[2 * k + 1] = " ".join([common, *own])
+    found = similar.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), sample=1).collect()
+    assert {r["doc_id"]: r["group"] for r in found} == {i: i - i % 2 for i in texts}
+    assert sum(rows) == 0
+
+
+def test_bitmaps_lose_no_pair():
+    """Sets of exactly 0.8 meet whatever bits their bitmaps hold, the sign included; sets of a half do not."""
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        a = rng.integers(0, 1 << 63, 180, dtype=np.uint64) * np.uint64(2)
+        for shared, others, want in ((160, 20, 1), (120, 60, 0)):
+            b = np.concatenate([a[:shared], rng.integers(0, 1 << 63, others, dtype=np.uint64)])
+            rows = pd.DataFrame({"token": 1, "node": [1, 2], "size": 180, "pos": 0, "comp": [1, 2], "n": 2, "r": [1, 2], "bits": similar.bitmaps([a, b])})
+            assert sum(len(m) for m in similar.meetings(iter([rows]), 0.8, 24, 8)) == want
