@@ -449,15 +449,71 @@ def _grams(rows: DataFrame, by: str, at: str, of: str, size: int, made: Callable
     return parts.groupBy(by).applyInPandas(whole, f"`{by}` {kind}, n long" + "".join(f", {c} array<double>" for c in outputs))
 
 
-def leading_modes(df: DataFrame, n_modes: int = 5, by: str = "block", more: int = 10, rounds: int = 3, seed: int = 1) -> DataFrame:
-    """by, mode, variance, variance_share and pattern (an array of cell, weight) of the strongest modes of (by, step, cell, x).
+#: Most values of a block of leading_modes whose sums are formed in one task (8 MB as a matrix).
+WHOLE = 1 << 20
+
+
+def _projected(n_modes: int, rounds: int, by: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The random projection of leading_modes for one block of bounded size, a row per step with its cells, values and random numbers."""
+
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        cells, at = np.unique(np.concatenate(rows["cells"].tolist()), return_inverse=True)
+        x = np.concatenate(rows["xs"].tolist()).astype(float)
+        known = ~np.isnan(x)
+        mean = np.bincount(at[known], x[known], len(cells)) / np.maximum(np.bincount(at[known], minlength=len(cells)), 1)
+        anomaly = np.where(known, x - mean[at], 0.0)
+        a = np.zeros((len(rows), len(cells)))
+        np.add.at(a, (np.repeat(np.arange(len(rows)), rows["cells"].map(len)), at), anomaly)
+        w = np.array(rows["w"].tolist())
+        for k in range(rounds):
+            q = a.T @ w
+            q = q @ _inverse_root(q.T @ q)
+            w = a @ q
+            if k + 1 < rounds:
+                w = w @ _inverse_root(w.T @ w)
+        values, vectors = (v[..., ::-1] for v in np.linalg.eigh(w.T @ w))
+        total = float(anomaly @ anomaly)
+        out = []
+        for m in range(n_modes):
+            if values[m] > total * 1e-12:
+                p = q @ vectors[:, m]
+                size = np.abs(p).max()
+                out.append((rows[by].iloc[0], m, values[m] / max(len(rows) - 1, 1), values[m] / total, p if (p == size).any() else -p))
+        return pd.DataFrame(out, columns=[by, "mode", "variance", "variance_share", "pattern"])
+
+    return made
+
+
+def leading_modes(df: DataFrame, n_modes: int = 5, by: str = "block", more: int = 10, rounds: int = 3, seed: int = 1, whole: int = WHOLE) -> DataFrame:
+    """by, mode, variance, variance_share and pattern (one value per cell, the largest positive) of the strongest modes of (by, step, cell, x).
 
     A random projection finds the range of the strongest modes: each step has n_modes + `more` random numbers, hashed
     from it, and only sums of values times such vectors are formed, first by cell, then by step, `rounds` times in turn,
     made orthonormal in between. So no two steps meet, and a task holds small square matrices only, whatever the number
     of steps and cells. The error of a mode falls with (its variance over that of mode n_modes + more) to the power of
-    2·rounds; it is exact where there are no more modes than that. Nulls count as the cell's mean."""
+    2·rounds; it is exact where there are no more modes than that. Nulls and NaN count as the cell's mean; rows without a
+    block, step or cell take no part.
+
+    A block whose values and vectors are at most about `whole` numbers each is gathered once and its sums are formed in
+    one task, so that its vectors are never shuffled; they outweigh the values where a block is spread over many tasks
+    with a few of its steps in each. Larger blocks are summed by Spark."""
     size = n_modes + more
+    df = df.dropna(subset=[by, "step", "cell"]).select(by, "step", "cell", F.nanvl(F.col("x").cast("double"), F.lit(None).cast("double")).alias("x"))
+    noise = lambda k: F.sqrt(-2 * F.log((F.pmod(F.xxhash64("step", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 1) / float(1 << 40))) * F.cos(F.pmod(F.xxhash64("step", F.lit(seed), F.lit(k), F.lit(0)), F.lit(1 << 40)) * (2 * np.pi / (1 << 40)))
+    random = F.array(*(noise(k) for k in range(size)))
+    # the largest of what a task would hold: the rows, the matrix, the vectors by step and by cell
+    n_steps, n_cells = F.approx_count_distinct("step"), F.approx_count_distinct("cell")
+    extent = F.greatest(F.count("*"), n_steps * n_cells, n_steps * size, n_cells * size)
+    large = cut(df.groupBy(by).agg(extent.alias("_n")).where(F.col("_n") > whole).select(by), "modes")
+    # one exchange by block serves both groupings
+    rows = df.join(large, by, "left_anti").repartition(by).groupBy(by, "step").agg(F.collect_list(F.struct("cell", "x")).alias("_v"))
+    rows = rows.select(by, F.col("_v.cell").alias("cells"), F.col("_v.x").alias("xs"), random.alias("w"))
+    small = rows.groupBy(by).applyInPandas(_projected(n_modes, rounds, by), f"`{by}` {dict(df.dtypes)[by]}, mode int, variance double, variance_share double, pattern array<double>")
+    return small if large.isEmpty() else small.unionByName(_summed_modes(df.join(large, by, "left_semi"), n_modes, by, size, rounds, random))
+
+
+def _summed_modes(df: DataFrame, n_modes: int, by: str, size: int, rounds: int, random: Column) -> DataFrame:
+    """leading_modes by sums over exchanges, for blocks of any size."""
     anomaly = df.withColumn("a", F.coalesce(F.col("x") - F.avg("x").over(Window.partitionBy(by, "cell")), F.lit(0.0))).select(by, "step", "cell", "a")
     anomaly = cut(anomaly, "modes")
     vector = lambda of: F.array(*(F.sum(F.col("a") * F.col(of)[k]) for k in range(size)))
@@ -470,8 +526,7 @@ def leading_modes(df: DataFrame, n_modes: int = 5, by: str = "block", more: int
         roots = _grams(rows, by, at, of, size, lambda g: (_inverse_root(g),), ["_r"]).drop("n")
         return rows.join(roots, by).select(by, at, turned(of, "_r").alias(of))
 
-    noise = lambda k: F.sqrt(-2 * F.log((F.pmod(F.xxhash64("step", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 1) / float(1 << 40))) * F.cos(F.pmod(F.xxhash64("step", F.lit(seed), F.lit(k), F.lit(0)), F.lit(1 << 40)) * (2 * np.pi / (1 << 40)))
-    steps = anomaly.select(by, "step").distinct().withColumn("w", F.array(*(noise(k) for k in range(size))))
+    steps = anomaly.select(by, "step").distinct().withColumn("w", random)
     for k in range(rounds):
         cells = anomaly.join(steps, [by, "step"]).groupBy(by, "cell").agg(vector("w").alias("q"))
         cells = cut(orthonormal(cut(cells, "modes"), "cell", "q"), "modes")

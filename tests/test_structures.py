@@ -110,3 +110,22 @@ def test_leading_modes_equal_exact_ones(spark):
         assert abs(got["a", m].variance - values[m] ** 2 / (n_steps - 1)) < 1e-6
         assert abs(got["a", m].variance_share - values[m] ** 2 / (values**2).sum()) < 1e-6
     assert abs(got["b", 0].variance_share - 1) < 1e-9
+
+
+def test_blocks_that_fit_a_task_cross_the_shuffle_once(spark):
+    """Their modes are those of sums over exchanges, also where the random vectors do not span all modes."""
+    rng = np.random.default_rng(5)
+    rows = [(b, f"s{s}", c, float(x)) for b, n in (("a", 12), ("b", 5), ("c", 1)) for s in range(n) for c, x in enumerate(rng.standard_normal(9) * 2.0 ** -np.arange(9)) if (s, c) != (3, 4)]
+    rows += [("a", "s1", 2, 0.5), ("a", "s0", 9, None), ("b", "s9", 0, None), ("b", "s2", 1, float("nan"))]
+    rows += [(None, "s1", 0, 5.0), ("a", None, 0, 5.0), ("b", "s1", None, 5.0)]
+    df = spark.createDataFrame(rows, "block string, step string, cell int, x double")
+    found = lambda whole: series.leading_modes(df, 2, more=2, rounds=2, whole=whole)
+    fits = found(1 << 20)
+    assert fits._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {(r.block, r.mode): r for r in fits.collect()}
+    assert sorted(want) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)] and len(want["a", 0].pattern) == 10
+    for whole in (0, 60):  # all blocks are summed; a is summed, b and c fit
+        got = {(r.block, r.mode): r for r in found(whole).collect()}
+        assert sorted(got) == sorted(want)
+        for k, r in got.items():
+            assert (r.variance, r.variance_share) == pytest.approx((want[k].variance, want[k].variance_share)) and r.pattern == pytest.approx(want[k].pattern, abs=1e-9)
