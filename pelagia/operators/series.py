@@ -454,17 +454,19 @@ WHOLE = 1 << 20
 
 
 def _projected(n_modes: int, rounds: int, by: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The random projection of leading_modes for one block of bounded size, a row per step with its cells, values and random numbers."""
+    """The random projection of leading_modes for one block of bounded size, where one row of each step has its random numbers."""
 
     def made(rows: pd.DataFrame) -> pd.DataFrame:
-        cells, at = np.unique(np.concatenate(rows["cells"].tolist()), return_inverse=True)
-        x = np.concatenate(rows["xs"].tolist()).astype(float)
+        steps, step = np.unique(rows["step"], return_inverse=True)
+        cells, at = np.unique(rows["cell"], return_inverse=True)
+        x = rows["x"].to_numpy(dtype=float)
         known = ~np.isnan(x)
         mean = np.bincount(at[known], x[known], len(cells)) / np.maximum(np.bincount(at[known], minlength=len(cells)), 1)
         anomaly = np.where(known, x - mean[at], 0.0)
-        a = np.zeros((len(rows), len(cells)))
-        np.add.at(a, (np.repeat(np.arange(len(rows)), rows["cells"].map(len)), at), anomaly)
-        w = np.array(rows["w"].tolist())
+        a = np.zeros((len(steps), len(cells)))
+        np.add.at(a, (step, at), anomaly)
+        given = rows["w"].notna().to_numpy()
+        w = np.array(rows["w"][given].tolist())[np.argsort(step[given])]
         for k in range(rounds):
             q = a.T @ w
             q = q @ _inverse_root(q.T @ q)
@@ -478,7 +480,7 @@ def _projected(n_modes: int, rounds: int, by: str) -> Callable[[pd.DataFrame], p
             if values[m] > total * 1e-12:
                 p = q @ vectors[:, m]
                 size = np.abs(p).max()
-                out.append((rows[by].iloc[0], m, values[m] / max(len(rows) - 1, 1), values[m] / total, p if (p == size).any() else -p))
+                out.append((rows[by].iloc[0], m, values[m] / max(len(steps) - 1, 1), values[m] / total, p if (p == size).any() else -p))
         return pd.DataFrame(out, columns=[by, "mode", "variance", "variance_share", "pattern"])
 
     return made
@@ -505,9 +507,9 @@ def leading_modes(df: DataFrame, n_modes: int = 5, by: str = "block", more: int
     n_steps, n_cells = F.approx_count_distinct("step"), F.approx_count_distinct("cell")
     extent = F.greatest(F.count("*"), n_steps * n_cells, n_steps * size, n_cells * size)
     large = cut(df.groupBy(by).agg(extent.alias("_n")).where(F.col("_n") > whole).select(by), "modes")
-    # one exchange by block serves both groupings
-    rows = df.join(large, by, "left_anti").repartition(by).groupBy(by, "step").agg(F.collect_list(F.struct("cell", "x")).alias("_v"))
-    rows = rows.select(by, F.col("_v.cell").alias("cells"), F.col("_v.x").alias("xs"), random.alias("w"))
+    # one exchange by block serves the steps and the blocks
+    first = F.row_number().over(Window.partitionBy(by, "step").orderBy("cell")) == 1
+    rows = df.join(large, by, "left_anti").repartition(by).withColumn("w", F.when(first, random))
     small = rows.groupBy(by).applyInPandas(_projected(n_modes, rounds, by), f"`{by}` {dict(df.dtypes)[by]}, mode int, variance double, variance_share double, pattern array<double>")
     return small if large.isEmpty() else small.unionByName(_summed_modes(df.join(large, by, "left_semi"), n_modes, by, size, rounds, random))
 
