@@ -11,6 +11,8 @@ probability `miss` at most, closer pairs less often. Whatever meets is verified
 * A bucket of over `block` nodes is cut into blocks, and each pair of blocks is a cell of its own, so that no task
   holds more than two blocks of a bucket. Tight groups need no cells among themselves: nodes within half the threshold
   angle of one pivot (a ball) all link with each other by the triangle inequality on the sphere, and are counted so.
+* Only tables of a few counted rows are broadcast. Tables that grow with the nodes are small as files, but not in memory,
+  so they are joined by shuffles and never pass through the driver.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import save, scratch, shuffle_partitions, table
+from pelagia.llm.common import discard, save, scratch, shuffle_partitions, table
 from pelagia.llm.components import components
 
 #: A cosine this close to a bound is computed again in a fixed order, so that the shape of a block cannot decide.
 DOUBT = 1e-9
 #: Rows that look up a small table are spread over so many copies of it.
 SALTS = 16
+#: A table of so many rows at most (without vectors) may pass through the driver, to be broadcast.
+FEW = 20_000
 
 
 def table_count(bits: int, threshold: float, miss: float) -> int:
@@ -112,9 +116,19 @@ def _signed(nodes: DataFrame, bits: int, tables: int, seed: int, kind: str) -> D
     return spread.mapInPandas(made, "node long, weight long, dim int, vec binary, signs binary, buckets array<int>")
 
 
-def salted(rows: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """rows left joined with small on keys; a key that holds most rows is spread over copies of its small row."""
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def matched(rows: DataFrame, small: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with small, which save() has written: broadcast if it has few rows, by a shuffle of both otherwise."""
+    return rows.join(small.hint("broadcast" if small.count() <= FEW else "merge"), key, how)
+
+
+def salted(rows: DataFrame, small: DataFrame, keys: list[str], by: str, few: bool = False) -> DataFrame:
+    """rows left joined with small on keys; a key that holds most rows is spread over copies of its small row.
+
+    A small table that is known to have few rows is broadcast as it is."""
+    if few:
+        return rows.join(F.broadcast(small), keys, "left")
+    # Spark judges by the file, before the copies, and would broadcast millions of rows
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
@@ -137,12 +151,12 @@ def _balls(signed: DataFrame, threshold: float, block: int, rounds: int, kind: s
                 yield part.loc[inside, ["node", "ball"]]
 
     for t in range(rounds):
-        free = (signed.join(found, "node", "left_anti") if t else signed).withColumn("bucket", _bucket(F.col("buckets")[t]))
+        free = (matched(signed, found, "node", "left_anti") if t else signed).withColumn("bucket", _bucket(F.col("buckets")[t]))
         hot = free.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(t)), "node")).alias("p")).where(F.col("n") > block)
         hot = save(hot.select("bucket", F.col("p.node").alias("ball")), "vector-pivots")
         if not hot.take(1):
             break
-        pivots = hot.join(signed.select(F.col("node").alias("ball"), F.col("vec").alias("pivot")), "ball")
+        pivots = matched(signed.select(F.col("node").alias("ball"), F.col("vec").alias("pivot")), hot, "ball", "inner")
         members = salted(free.select("node", "dim", "vec", "bucket"), pivots, ["bucket"], "node").where(F.col("pivot").isNotNull())
         found = found.union(save(members.select("node", "ball", "dim", "vec", "pivot").mapInPandas(near_pivot, "node long, ball long"), "vector-balls"))
     return found
@@ -160,7 +174,7 @@ def _blocks(signed: DataFrame, block: int) -> DataFrame:
     return sizes.select("t", "bucket", "ball", "own", "first", "all")
 
 
-def _cells(signed: DataFrame, blocks: DataFrame | None, tables: range) -> DataFrame:
+def _cells(signed: DataFrame, blocks: DataFrame | None, tables: range, few: bool = False) -> DataFrame:
     """The rows of some tables by the cells in which they are compared.
 
     A bucket without blocks is one cell. Elsewhere each pair of blocks is a cell, but not two blocks of one ball."""
@@ -170,7 +184,7 @@ def _cells(signed: DataFrame, blocks: DataFrame | None, tables: range) -> DataFr
     keyed = keyed.select("x.t", "bucket", "node", "weight", "ball", "dim", "vec", "x.signs")
     if blocks is None:
         return keyed.withColumns({"cell": F.lit(0).cast("long"), "block": F.lit(0), "other": F.lit(0)})
-    marked = salted(keyed, blocks, ["t", "bucket", "ball"], "node")
+    marked = salted(keyed, blocks, ["t", "bucket", "ball"], "node", few)
     number = F.coalesce(F.col("first") + F.pmod(F.xxhash64("node", F.lit(7)), F.col("own")).cast("int"), F.lit(0))
     own = lambda x: (F.col("ball") >= 0) & (x >= F.col("first")) & (x < F.col("first") + F.col("own"))
     others = F.when(F.col("all").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: ~own(x)))
@@ -262,40 +276,48 @@ def near_vectors(
         tables = table_count(bits, threshold, miss)
         signed = save(_signed(nodes, bits, tables, seed, kind), "vector-signs")
         balls = _balls(signed, threshold, block, min(3, tables), kind)
-        signed = signed.join(balls, "node", "left").withColumn("ball", F.coalesce("ball", F.lit(-1).cast("long")))
+        plain, signed = signed, matched(signed, balls, "node", "left").withColumn("ball", F.coalesce("ball", F.lit(-1).cast("long")))
+        if balls.count() > FEW:  # shuffled once, not in each turn
+            signed = save(signed, "vector-balled")
+            discard(plain)
         blocks = save(_blocks(signed, block), "vector-blocks")
-        blocks = blocks if blocks.take(1) else None
+        cut_up = blocks.count()
+        blocks = blocks if cut_up else None
         at_once = max(1, rows_at_once // max(n, 1))
         tasks = max(shuffle_partitions(spark), n * min(at_once, tables) // 100_000)
         found = []
         for t in range(0, tables, at_once):
-            cells = _cells(signed, blocks, range(t, min(t + at_once, tables)))
+            cells = _cells(signed, blocks, range(t, min(t + at_once, tables)), cut_up <= FEW)
             columns = ["t", "bucket", "cell", "node", "weight", "ball", "block", "other", "vec", "signs"]
             dealt = cells.select(*columns).repartition(tasks, "t", "bucket", "cell").sortWithinPartitions("t", "bucket", "cell", "node")
             found.append(save(dealt.mapInPandas(_compared(threshold, kind), "node long, links long, root long"), "vector-links"))
         met = found[0]
         for more in found[1:]:
             met = met.union(more)
-        in_balls = signed.where("ball >= 0").groupBy("ball").agg(F.sum("weight").alias("all"))
-        balled = salted(signed.where("ball >= 0").select("node", "weight", "ball"), in_balls, ["ball"], "node").select("node", (F.col("all") - F.col("weight")).alias("links"), F.col("ball").alias("root"))
+        in_balls = save(signed.where("ball >= 0").groupBy("ball").agg(F.sum("weight").alias("all")), "vector-in-balls")
+        balled = salted(signed.where("ball >= 0").select("node", "weight", "ball"), in_balls, ["ball"], "node", in_balls.count() <= FEW).select("node", (F.col("all") - F.col("weight")).alias("links"), F.col("ball").alias("root"))
         met = save(met.union(balled).groupBy("node", "root").agg(F.sum("links").alias("links")), "vector-met")
         roots = components(met.select("node", "root"))
         counted = met.groupBy("node").agg(F.sum("links").alias("links"))
-        told = nodes.select("node", "_k", "_l", "weight", "least").join(counted, "node", "left").join(roots, "node", "left")
+        told = nodes.select("node", "_k", "_l", "weight", "least").join(counted.hint("merge"), "node", "left").join(roots.hint("merge"), "node", "left")
         told = told.select("_k", "_l", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "weight", "least", F.coalesce("root", "node").alias("root"))
         told = save(told, "vector-told")
         # partial minima are taken before the exchange, so a component of most nodes is no burden; the way back is salted
-        least = told.groupBy("root").agg(F.min("least").alias("component_id"))
-        answers = save(salted(told, least, ["root"], "_k").select("_k", "_l", "n_links", "component_id", "weight"), "vector-answers")
+        least = told.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+        least = save(least, "vector-least")
+        rooted = salted(told, least, ["root"], "_k", least.count() <= FEW)
+        # a node alone is its own component
+        rooted = rooted.select("_k", "_l", "n_links", F.coalesce("component_id", "least").alias("component_id"), "weight")
+        answers = save(rooted, "vector-answers")
         keep.append(answers)
     # vectors with many copies are few; their rows are spread over copies of the answer, all others meet by their key
     many = answers.where(F.col("weight") > block).drop("weight")
     rest = answers.where(F.col("weight") <= block).select("_k", "_l", F.col("n_links").alias("_n"), F.col("component_id").alias("_c"))
-    first = salted(rows.withColumn("_ok", F.col("_vec").isNotNull()).drop("_vec"), many, ["_k", "_l"], "_id")
+    first = salted(rows.withColumn("_ok", F.col("_vec").isNotNull()).drop("_vec"), many, ["_k", "_l"], "_id", many.count() <= FEW)
     # rows that have their answer get a key of their own, so that they stay spread
     done = F.col("n_links").isNotNull() | ~F.col("_ok")
     second = first.withColumns({"_k": F.when(done, F.col("_id")).otherwise(F.col("_k")), "_l": F.when(~done, F.col("_l"))})
-    out = second.join(rest, ["_k", "_l"], "left")
+    out = second.join(rest.hint("merge"), ["_k", "_l"], "left")
     return out.select(
         F.col("_id").alias(id_col),
         F.coalesce("n_links", "_n", F.lit(0)).alias("n_links"),

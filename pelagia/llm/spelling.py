@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.llm.common import save, scratch, shuffle_partitions, table
-from pelagia.llm.embedding_duplicates import salted
+from pelagia.llm.embedding_duplicates import FEW, salted
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: After A-Z have become a-z: the letters that make words.
@@ -211,7 +211,7 @@ def near_pairs(words: DataFrame, most: int = 50_000) -> DataFrame:
     rows = known.union(asking).where("size >= 5").withColumn("half", F.expr("substr(w, 1, (size - 1) div 2)"))
     sizes = rows.where("not asks").groupBy("backward", "size", "half").agg(F.count("*").alias("c")).where(F.col("c") > most)
     split = save(sizes.select("backward", "size", "half", F.ceil(F.col("c") / most).cast("int").alias("parts")), "spelling-split")
-    dealt = salted(rows, split, ["backward", "size", "half"], "w")
+    dealt = salted(rows, split, ["backward", "size", "half"], "w", split.count() <= FEW)
     parts = F.coalesce("parts", F.lit(1))
     own = F.when(F.col("asks"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("w"), parts).cast("int")))
     dealt = dealt.withColumn("part", F.explode(own))

@@ -61,6 +61,21 @@ def test_near_vectors_of_an_empty_table(spark):
     assert embedding_duplicates.near_vectors(df).collect() == []
 
 
+def test_tables_that_grow_with_the_vectors_are_not_broadcast(spark, monkeypatch):
+    """A table that is small as a file passes through the driver only where it is known to have few rows."""
+    small = spark.range(1000).selectExpr("id AS root", "id AS least")
+    plan = lambda few: embedding_duplicates.salted(spark.range(100).selectExpr("id AS root"), small, ["root"], "root", few)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(False) and "Generate explode" not in plan(True)
+    written, save = [], embedding_duplicates.save
+    monkeypatch.setattr(embedding_duplicates, "save", lambda df, name: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or save(df, name))
+    monkeypatch.setattr(embedding_duplicates, "FEW", 0)
+    rows = vectors(5)
+    got = embedding_duplicates.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, block=7, bucket=500)
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_later.near_vectors(rows, 0.95), key=key)
+    assert {"vector-told", "vector-answers", "vector-balled"} <= {name for name, _ in written} and not [name for name, text in written if "Broadcast" in text]
+
+
 def test_tables_meet_pairs_at_the_threshold():
     for bits in (3, 9, 20):
         meet = (1 - np.arccos(0.95) / np.pi) ** bits
