@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pelagia.operators import interp, ode, series, stats
 
@@ -94,6 +96,26 @@ def test_places_are_compared_once_for_many_points(spark):
     assert plan._jdf.queryExecution().executedPlan().toString().count("Generate explode(ids_") == 2
 
 
+@pytest.mark.parametrize("most", [0.5, None])
+def test_pairs_of_two_pieces_are_held_at_a_time(spark, most):
+    """Not those of a piece with all that it meets, as in code that joins and explodes at once."""
+    points = spark.range(300).selectExpr("id", "CAST(id % 3 AS DOUBLE) AS x", "CAST(id % 2 AS DOUBLE) AS y")
+    pairs = stats.distance_pairs(points, points, most=most, digits=6)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    stage = lambda node: set(re.findall(rf"\*\((\d+)\) {node}", plan))
+    assert stage("SortMergeJoin") and stage(r"Generate explode\(ids_b") and stage("SortMergeJoin").isdisjoint(stage("Generate"))
+
+
+@pytest.mark.parametrize("most", [0.5, None])
+def test_pairs_are_dealt_evenly(spark, most):
+    """10 places of 640 points: no task has more than a small share of the pairs, so that none is waited for."""
+    points = spark.range(6400).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS y")
+    pairs = stats.distance_pairs(points, points, most=most, digits=6)
+    sizes = [r["n"] for r in pairs.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == (10 * 640 * 640 if most else 6400 * 6400) and max(sizes) <= 0.08 * sum(sizes)
+
+
 def test_tapers_of_long_series_are_those_of_the_whole_matrix(monkeypatch):
     n = 20_000
     whole = series.prolate_tapers(n)
